@@ -3,10 +3,12 @@
 from __future__ import annotations
 
 from queuelens.llm.op1_bpe import op1_bpe
+from queuelens.llm.op2_quality import op2_quality
+from queuelens.llm.op3_packing import op3_packing
 
 
 def queries() -> dict:
-    return {"op1_bpe": op1_bpe}
+    return {f.__name__: f for f in (op1_bpe, op2_quality, op3_packing)}
 
 
 def oracle_sql() -> dict[str, str]:
