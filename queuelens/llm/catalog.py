@@ -5,10 +5,12 @@ from __future__ import annotations
 from queuelens.llm.op1_bpe import op1_bpe
 from queuelens.llm.op2_quality import op2_quality
 from queuelens.llm.op3_packing import op3_packing
+from queuelens.llm.op5_pii import op5_pii
+from queuelens.llm.op6_jaccard import op6_jaccard
 
 
 def queries() -> dict:
-    return {f.__name__: f for f in (op1_bpe, op2_quality, op3_packing)}
+    return {f.__name__: f for f in (op1_bpe, op2_quality, op3_packing, op5_pii, op6_jaccard)}
 
 
 def oracle_sql() -> dict[str, str]:

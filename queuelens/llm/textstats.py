@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 
 #: Odd multiplier of the rolling hash modulo 2**64, and its inverse.
 BASE = 0x9E3779B97F4A7C15
@@ -41,7 +42,7 @@ def mix(x: np.ndarray) -> np.ndarray:
 def buffers(column: pa.Array) -> tuple[np.ndarray, np.ndarray]:
     """(bytes of all texts, offsets of the texts in them); nulls are empty."""
     if column.null_count:
-        column = pa.compute.fill_null(column, "")
+        column = pc.fill_null(column, "")
     offsets = np.frombuffer(column.buffers()[1], np.int32)[column.offset : column.offset + len(column) + 1].astype(np.int64)
     raw = column.buffers()[2]
     data = np.frombuffer(raw, np.uint8)[offsets[0] : offsets[-1]] if raw is not None and len(column) else np.zeros(0, np.uint8)
@@ -72,3 +73,9 @@ def per_text(values: np.ndarray, offsets: np.ndarray) -> np.ndarray:
     """Sum of the values in each text."""
     total = np.append(0, np.cumsum(values, dtype=np.float64))
     return total[offsets[1:]] - total[offsets[:-1]]
+
+
+def member(values: np.ndarray, few: np.ndarray) -> np.ndarray:
+    """Which values are among a few others."""
+    few = np.unique(few)
+    return few[np.minimum(np.searchsorted(few, values), len(few) - 1)] == values
