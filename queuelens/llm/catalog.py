@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import corpus_pipeline
 from queuelens.llm import op4_quotes as op4
 from queuelens.llm import op7_warc as op7
 from queuelens.llm import op8_topk as op8
@@ -16,7 +17,7 @@ from queuelens.llm.op10_neardup import op10_neardup
 
 def queries() -> dict:
     found = (op1_bpe, op2_quality, op3_packing, op4.op4_quotes, op5_pii, op6_jaccard, op7.op7_warc, op8.op8_topk, op9_html, op10_neardup)
-    return {f.__name__: f for f in found}
+    return {f.__name__: f for f in found} | {"pipeline": corpus_pipeline.run}
 
 
 def oracle_sql() -> dict[str, str]:
