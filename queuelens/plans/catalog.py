@@ -6,10 +6,10 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from queuelens.plans import monitoring
+from queuelens.plans import monitoring, state, streams
 from queuelens.sources.tables import Tables, from_fixtures
 
-MODULES = (monitoring,)
+MODULES = (monitoring, state, streams)
 
 
 def _bound(query: Callable[[Tables], DataFrame]) -> Callable[[SparkSession, str], DataFrame]:

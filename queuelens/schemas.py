@@ -23,8 +23,15 @@ STALE_CLAIMED, STALE_RUNNING = 120, 300
 KEEP_HEARTBEATS, KEEP_SNAPSHOTS, KEEP_TERMINAL = 24 * 3600, 7 * 24 * 3600, 30 * 24 * 3600
 
 
+_TYPES = {
+    "string": T.StringType(), "int": T.IntegerType(), "bigint": T.LongType(), "double": T.DoubleType(), "boolean": T.BooleanType(), "timestamp": T.TimestampType(),
+    "array<string>": T.ArrayType(T.StringType()), "array<int>": T.ArrayType(T.IntegerType()), "map<string,int>": T.MapType(T.StringType(), T.IntegerType()),
+}
+
+
 def _schema(text: str) -> T.StructType:
-    return T.StructType.fromDDL(text)
+    """A schema from "name type" pairs; needs no session."""
+    return T.StructType([T.StructField(*pair.split(" ")[:1], _TYPES[pair.split(" ")[1]]) for pair in text.split(", ")])
 
 
 TASKS = _schema(
