@@ -8,6 +8,7 @@ from queuelens.functions import ids, retry, schedule
 from queuelens.functions.times import ago
 from queuelens.operators import claim as C
 from queuelens.operators import dag as D
+from queuelens.operators import enqueue as Q
 from queuelens.operators import health as H
 from queuelens.operators import retention as R
 from queuelens.operators import transitions as T
@@ -92,6 +93,17 @@ def _fingerprint(t: Tables):
     return t.tasks.select("id", value.alias("enqueue_sha"))
 
 
+def _argued(t: Tables):
+    """Nodes with arguments of their own, one of them also injected for every seventh workflow."""
+    deps = F.transform("dependencies", lambda i: F.concat(F.lit("d"), i.cast("string")))
+    n = F.regexp_extract("workflow_id", r"(\d+)$", 1).cast("long")
+    return t.workflow_tasks.withColumns({"args_from": F.map_from_arrays(deps, "dependencies"), "task_kwargs": F.when(n % 7 == 0, '{"d0": 1}').when(n % 2 == 0, '{"x": [1, "a"]}')})
+
+
+def _asking(t: Tables):
+    return t.workflow_tasks.withColumn("workflow_ctx_from", F.transform("dependencies", lambda i: F.concat(F.lit("n"), i.cast("string"))))
+
+
 QUERIES = {
     # health and claims
     "stale_tasks": lambda t: H.stale_tasks(t.tasks, t.heartbeats, t.as_of, 300),
@@ -123,7 +135,16 @@ QUERIES = {
     "completions": lambda t: D.completions(t.workflows, t.workflow_tasks),
     "on_error": lambda t: D.on_error(t.workflows, t.workflow_tasks),
     "invalid_graphs": lambda t: D.invalid_graphs(t.workflow_tasks),
-    "ctx_ready": lambda t: D.ctx_ready(t.workflow_tasks.withColumn("workflow_ctx_from", F.transform("dependencies", lambda i: F.concat(F.lit("n"), i.cast("string"))))),
+    "ctx_ready": lambda t: D.ctx_ready(_asking(t)),
+    "node_context": lambda t: Q.context(_asking(t)).select("workflow_id", "task_index", F.explode("results").alias("node_id", "result")),
+    "results_with_names": lambda t: Q.results_with_names(t.workflow_tasks.withColumn("task_name", F.col("join_type"))),
+    "node_arguments": lambda t: Q.arguments(_argued(t)),
+    "tasks_of_nodes": lambda t: Q.tasks_of(t.workflow_tasks, t.as_of),
+    "link_tasks": lambda t: Q.link(t.workflow_tasks, Q.tasks_of(t.workflow_tasks, t.as_of)).select("id", "task_id"),
+    "children_of_nodes": lambda t: Q.children_of(t.workflow_tasks, t.workflows, t.as_of),
+    "parent_results": lambda t: Q.parent_results(D.child_summary(t.workflows, t.workflow_tasks)),
+    "end_nodes": lambda t: _states(T.end_nodes(t.workflow_tasks, Q.parent_results(D.child_summary(t.workflows, t.workflow_tasks)), t.as_of), "id", "result", "changed"),
+    "start_workflow": lambda t: T.start_workflow(t.workflow_tasks, t.as_of).select("id", "status", "created_at"),
     # recovery
     "rec_pending": lambda t: D.rec_pending(t.workflow_tasks, t.workflows),
     "rec_ready": lambda t: D.rec_ready(t.workflow_tasks.withColumn("task_id", F.when(F.col("task_index") % 2 == 0, F.col("task_id"))), t.workflows),
@@ -199,6 +220,12 @@ succ as (select j.id, coalesce(failed, 0) as failed, case when success_policy is
   case when success_policy is null then coalesce(failed, 0) = 0 else coalesce(met, false) end as succeeded from j left join met using (id) left join fail on workflow_id = j.id)"""
 
 
+_PARENTS = f""", cs as (select w.id, w.parent_workflow_id, w.parent_task_index, w.status, count(n.id) as total, count(*) filter (n.status = 'COMPLETED') as completed, count(*) filter (n.status = 'FAILED') as failed, count(*) filter (n.status = 'SKIPPED') as skipped
+  from workflows w left join workflow_tasks n on n.workflow_id = w.id where w.parent_workflow_id is not null group by 1, 2, 3, 4),
+pr as (select parent_workflow_id as workflow_id, parent_task_index as task_index, case when status = 'COMPLETED' then 'COMPLETED' else 'FAILED' end as "to", case when status <> 'COMPLETED' then '{{"err":"SUBWORKFLOW_FAILED"}}' end as outcome,
+  concat('{{"status":"', status, '","total":', total, ',"completed":', completed, ',"failed":', failed, ',"skipped":', skipped, '}}') as summary from cs where status in {_WF_ENDED})"""
+
+
 def _local(tz: str, expr: str) -> str:
     """A local time as a naive UTC instant."""
     return f"(({expr}) at time zone '{tz}') at time zone 'UTC'"
@@ -244,6 +271,19 @@ union all select w.id, concat('{', string_agg(concat('"', n.node_id, '":', coale
     "on_error": oracle(" select w.id, case when w.on_error = 'pause' then 'PAUSED' else 'RUNNING' end as to, n.result as error from workflows w join (select workflow_id, result from workflow_tasks where status = 'FAILED' qualify row_number() over (partition by workflow_id order by task_index) = 1) n on n.workflow_id = w.id where w.status = 'RUNNING'", "workflows", "workflow_tasks"),
     "invalid_graphs": oracle(" select distinct workflow_id, 'quorum over all dependencies' as problem from workflow_tasks where join_type = 'quorum' and min_success > len(dependencies)", "workflow_tasks"),
     "ctx_ready": oracle(f"{_EDGES} select e.workflow_id, e.task_index, count(*) filter (n.status in {_ENDED}) >= count(*) as ctx_ready from (select distinct * from edges) e left join workflow_tasks n on n.workflow_id = e.workflow_id and n.task_index = e.dep group by 1, 2", "workflow_tasks"),
+    "node_context": oracle(f""", a as (select workflow_id, task_index, unnest(dependencies) as dep from workflow_tasks) select distinct a.workflow_id, a.task_index, n.node_id, case when n.status = 'SKIPPED' then '{D.SKIPPED_RESULT}' else n.result end as result from a join workflow_tasks n on n.workflow_id = a.workflow_id and n.task_index = a.dep and n.status in {_ENDED}""", "workflow_tasks"),
+    "results_with_names": oracle(f" select workflow_id, task_index, node_id, concat(join_type, '#', task_index) as by_name, status, result from workflow_tasks where status in {_ENDED}", "workflow_tasks"),
+    "node_arguments": oracle(f"""{_EDGES}, v as (select e.workflow_id, e.task_index, concat('"d', e.dep, '":{{"{Q.RESULT_TAG}":true,"data":', case when n.status = 'SKIPPED' then '{D.SKIPPED_RESULT}' else coalesce(n.result, 'null') end, '}}') as part
+  from edges e join workflow_tasks n on n.workflow_id = e.workflow_id and n.task_index = e.dep and n.status in {_ENDED}), p as (select workflow_id, task_index, string_agg(part, ',' order by part) as parts from v group by 1, 2),
+k as (select w.workflow_id, w.task_index, cast(regexp_extract(workflow_id, '([0-9]+)$', 1) as bigint) as n, dependencies from workflow_tasks w)
+select k.workflow_id, k.task_index, case when not (n % 7 = 0 and list_contains(dependencies, 0)) then concat('{{', concat_ws(',', case when n % 7 = 0 then '"d0": 1' when n % 2 = 0 then '"x": [1, "a"]' end, parts), '}}') end as kwargs, n % 7 = 0 and list_contains(dependencies, 0) as conflict
+from k left join p on p.workflow_id = k.workflow_id and p.task_index = k.task_index""", "workflow_tasks"),
+    "tasks_of_nodes": oracle(f" select concat(workflow_id, '/', task_index) as id, 'PENDING' as status, {NOW} as enqueued_at, 0 as retry_count from workflow_tasks where status = 'ENQUEUED' and not is_subworkflow", "workflow_tasks"),
+    "link_tasks": oracle(" select id, case when status = 'ENQUEUED' and not is_subworkflow then concat(workflow_id, '/', task_index) else task_id end as task_id from workflow_tasks", "workflow_tasks"),
+    "children_of_nodes": oracle(f" select concat(n.workflow_id, '/', n.task_index) as id, w.name, 'RUNNING' as status, n.workflow_id as parent_workflow_id, n.task_index as parent_task_index, w.depth + 1 as depth, w.root_workflow_id, {NOW} as created_at from workflow_tasks n join workflows w on w.id = n.workflow_id where n.status = 'ENQUEUED' and n.is_subworkflow", "workflow_tasks", "workflows"),
+    "parent_results": oracle(f"{_PARENTS} select workflow_id, task_index, \"to\", outcome, summary from pr", "workflows", "workflow_tasks"),
+    "end_nodes": oracle(f"{_PARENTS}, o as (select workflow_id, task_index, min(struct_pack(k := \"to\", outcome := outcome)) as r from pr group by 1, 2), x as (select n.*, o.r, o.r is not null and n.status not in {_ENDED} as go from workflow_tasks n left join o on o.workflow_id = n.workflow_id and o.task_index = n.task_index) select id, case when go then r.k else status end as status, case when go then r.outcome else result end as result, go as changed from x", "workflows", "workflow_tasks"),
+    "start_workflow": oracle(f" select id, case when len(dependencies) = 0 then 'READY' else 'PENDING' end as status, {NOW} as created_at from workflow_tasks", "workflow_tasks"),
     "rec_pending": oracle(f" select n.workflow_id, n.task_index, w.depth, w.root_workflow_id from workflow_tasks n join workflows w on w.id = n.workflow_id where n.status = 'PENDING' and w.status = 'RUNNING' and not exists (select 1 from workflow_tasks d where d.workflow_id = n.workflow_id and list_contains(n.dependencies, d.task_index) and d.status not in {_ENDED})", "workflow_tasks", "workflows"),
     "rec_ready": oracle(" select n.workflow_id, n.task_index, w.depth, w.root_workflow_id from workflow_tasks n join workflows w on w.id = n.workflow_id where n.status = 'READY' and n.task_index % 2 = 1 and not n.is_subworkflow and w.status = 'RUNNING'", "workflow_tasks", "workflows"),
     "rec_ready_sub": oracle(" select n.workflow_id, n.task_index, w.depth, w.root_workflow_id from workflow_tasks n join workflows w on w.id = n.workflow_id where n.status = 'READY' and n.is_subworkflow and w.status = 'RUNNING'", "workflow_tasks", "workflows"),

@@ -59,3 +59,16 @@ def test_upgrade_and_checks(spark):
     now = F.lit("2024-01-31").cast("timestamp")
     assert {r.enqueue_sha for r in schemas.upgrade_tasks(old, now).collect()} == {"legacy-pre-sha"}
     assert [(r.id, r.broken) for r in schemas.invalid(old).collect()] == [("b", ["status", "priority", "retry_count"])]
+
+
+def test_tagged_values(spark):
+    from queuelens.functions import tagged as G
+
+    rows = [('{"__datetime__":true,"value":"2024-01-02T03:04:05+00:00"}',), ('{"__date__":true,"value":"2024-01-02"}',), ('{"__task_result__":true,"ok":{"a":1},"err":null}',), ("5",), ("not json",), (None,)]
+    df = spark.createDataFrame(rows, "v string")
+    v = F.col("v")
+    got = df.select(G.kind(v).alias("k"), G.as_timestamp(v).alias("t"), G.as_date(v).alias("d"), G.decode_result(v).alias("r")).collect()
+    assert [r.k for r in got] == ["datetime", "date", "result", "plain", None, None]
+    assert got[0].t.hour == 3 and got[1].d.day == 2 and got[2].r.ok == '{"a":1}' and got[3].r is None
+    again = spark.range(1).select(G.decode_result(G.encode_result(F.lit("[1]"), F.lit(None).cast("string"))).alias("r")).first().r
+    assert again.ok == "[1]" and again.err is None
