@@ -2,12 +2,11 @@
 
 from __future__ import annotations
 
-import uuid
-
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from queuelens.schemas import NODE_TERMINAL, POLICY, TASK_TERMINAL, WORKFLOW_TERMINAL
+from queuelens.sources.shared import written
 
 
 def ended(status: str = "status") -> Column:
@@ -73,15 +72,11 @@ def propagate(nodes: DataFrame, workflows: DataFrame) -> DataFrame:
     most as many as the longest path has nodes. Between rounds the small table
     (node, new state) is written, not the nodes.
     """
-    spark = nodes.sparkSession
-    base = spark.conf.get("spark.checkpoint.dir", None) or spark.conf.get("spark.sql.warehouse.dir").rstrip("/") + "/_shared"
     moved = None
     while True:
         now = nodes if moved is None else _with(nodes, moved)
         found = verdicts(now, workflows).filter("verdict <> 'PENDING'")
-        path = f"{base.rstrip('/')}/dag-{uuid.uuid4().hex}"
-        (found if moved is None else moved.unionByName(found)).write.parquet(path)
-        last, moved = moved, spark.read.parquet(path)
+        last, moved = moved, written(found if moved is None else moved.unionByName(found), "dag-states")
         skips = moved.filter("verdict = 'SKIPPED'").count()
         if skips == (last.filter("verdict = 'SKIPPED'").count() if last is not None else 0):
             return _with(nodes, moved)
@@ -249,14 +244,10 @@ def invalid_graphs(nodes: DataFrame) -> DataFrame:
 
 def cycles(nodes: DataFrame) -> DataFrame:
     """(workflow_id, problem) of graphs with a cycle, by peeling levels."""
-    spark = nodes.sparkSession
-    base = spark.conf.get("spark.checkpoint.dir", None) or spark.conf.get("spark.sql.warehouse.dir").rstrip("/") + "/_shared"
     left = edges(nodes).distinct()
     count = -1
     while True:
-        path = f"{base.rstrip('/')}/peel-{uuid.uuid4().hex}"
-        left.write.parquet(path)
-        left = spark.read.parquet(path)
+        left = written(left, "dag-peel")
         now = left.count()
         if now in (0, count):
             return left.select("workflow_id", F.lit("cycle").alias("problem")).distinct()

@@ -2,32 +2,25 @@
 
 from __future__ import annotations
 
-import uuid
-
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from queuelens.functions import udfs
 from queuelens.sources.fixtures import oracle
+from queuelens.sources.shared import shared_dir
 from queuelens.sources.tables import Tables
 from queuelens.streaming import jobs
 
 
-def _folder(df: DataFrame, name: str) -> str:
-    spark = df.sparkSession
-    base = spark.conf.get("spark.checkpoint.dir", None) or spark.conf.get("spark.sql.warehouse.dir").rstrip("/") + "/_shared"
-    return f"{base.rstrip('/')}/{name}-{uuid.uuid4().hex}"
-
-
 def stream_of(df: DataFrame, name: str) -> DataFrame:
     """A file stream of the rows of a batch frame, written to the shared folder."""
-    path = _folder(df, name)
+    path = shared_dir(df.sparkSession, name)
     df.write.parquet(path)
     return df.sparkSession.readStream.schema(df.schema).parquet(path)
 
 
 def _run(df: DataFrame, name: str, mode: str = "append") -> DataFrame:
-    root = _folder(df, name)
+    root = shared_dir(df.sparkSession, name)
     return jobs.drain(df, f"{root}/checkpoint", f"{root}/out", mode)
 
 
