@@ -34,7 +34,6 @@ Only the last sequence is shorter than `length`.
 
 from __future__ import annotations
 
-import os
 from dataclasses import dataclass, field
 
 import numpy as np
@@ -44,6 +43,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from queuelens.llm.bpe import load
 from queuelens.llm.common import slices, small_enough, texts, written
 
 #: Fractional bits of deficits, which are counted in chunks.
@@ -178,28 +178,22 @@ def tokenised(docs: DataFrame, path: str, end_id: int, queues_shared: bool) -> D
     schema = "part int, queue string, doc_id long, tokens long, before long, ids binary"
 
     def run(batches):
-        os.environ["TOKENIZERS_PARALLELISM"] = "false"
-        from tokenizers import Tokenizer
-
-        coder = Tokenizer.from_file(path)
-        coder.no_padding()
-        coder.no_truncation()
+        coder = load(path)
+        kind = "<u2" if max(coder.base, end_id) <= 1 << 16 else "<u4"
         part, held = TaskContext.get().partitionId(), {}
         for batch in batches:
             for rows in slices(batch, "text"):
-                out = []
-                names = rows.column("queue").to_pylist()
-                for e, q in zip(coder.encode_batch_fast(texts(rows.column("text")), add_special_tokens=False), names):
-                    ids = np.array([*e.ids, end_id], "<u4")
-                    ids = ids.astype("<u2") if coder.get_vocab_size() <= 1 << 16 else ids
-                    before = held.get(q, 0)
-                    held[q] = before + len(ids)
-                    out.append((len(ids), before, ids.tobytes()))
-                tokens, before, ids = map(list, zip(*out))
-                yield pa.RecordBatch.from_arrays(
-                    [pa.array([part] * len(out), pa.int32()), rows.column("queue"), rows.column("doc_id"), pa.array(tokens, pa.int64()), pa.array(before, pa.int64()), pa.array(ids, pa.binary())],
-                    names=["part", "queue", "doc_id", "tokens", "before", "ids"],
-                )
+                ids, offsets = coder.encode_batch(texts(rows.column("text")))
+                flat = np.insert(ids, offsets[1:], end_id).astype(kind).tobytes()
+                tokens = np.diff(offsets) + 1
+                ends = np.cumsum(tokens) * np.dtype(kind).itemsize
+                before = []
+                for q, n in zip(rows.column("queue").to_pylist(), tokens.tolist()):
+                    before.append(held.get(q, 0))
+                    held[q] = before[-1] + n
+                coded = pa.Array.from_buffers(pa.binary(), len(tokens), [None, pa.py_buffer(np.append(0, ends).astype(np.int32)), pa.py_buffer(flat)])
+                columns = [pa.array([part] * len(tokens), pa.int32()), rows.column("queue"), rows.column("doc_id"), pa.array(tokens), pa.array(before, pa.int64()), coded]
+                yield pa.RecordBatch.from_arrays(columns, names=["part", "queue", "doc_id", "tokens", "before", "ids"])
 
     return docs.select(queue.alias("queue"), F.col("doc_id").cast("long").alias("doc_id"), "text").mapInArrow(run, schema)
 
