@@ -104,7 +104,7 @@ class Schedule:
             credit = np.where(after < self.chunks, held - ((after - sent) << BITS), 0)
             sent = after
         #: By queue: chunks sent at the end of each phase.
-        self.ends = np.array([p.sent for p in self.phases[1:]] + [self.chunks]).T.reshape(len(self.chunks), -1)
+        self.ends = np.array([p.sent for p in self.phases[1:]] + [self.chunks]).T.reshape(len(self.chunks), max(1, len(self.phases)))
         last = np.flatnonzero(self.totals % self.chunk)
         gaps = self.chunk - self.totals[last] % self.chunk
         places = self.slots(last, self.chunks[last] - 1)
