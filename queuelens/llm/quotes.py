@@ -31,6 +31,8 @@ Results, also for odd input:
 
 from __future__ import annotations
 
+import functools
+
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -121,14 +123,18 @@ def _order(places: DataFrame) -> DataFrame:
         F.when(F.col("goes_on"), F.col("reply_to")).otherwise(F.col("turn")).alias("branch"),
         F.col("reply_to").alias("up"), F.when(F.col("reply_to").isNull(), 0).otherwise(1).cast("long").alias("depth"),
     )
+    done = []
     while True:
         state = written(state, "quotes-order")
-        open_rows = state.filter("up is not null").limit(1).count()
-        if not open_rows:
-            return state.drop("up")
-        at_branch = state.select(F.col("conv_id").alias("b_conv"), F.col("turn").alias("b_turn"), F.col("branch").alias("b_branch"))
-        at_up = state.select(F.col("conv_id").alias("u_conv"), F.col("turn").alias("u_turn"), F.col("up").alias("u_up"), F.col("depth").alias("u_depth"))
-        state = state.join(at_branch, (F.col("conv_id") == F.col("b_conv")) & (F.col("branch") == F.col("b_turn")))
+        # What has reached the first message is final, its branch too, and leaves the rounds.
+        done.append(state.filter("up is null").drop("up"))
+        rest = state.filter("up is not null")
+        if not rest.limit(1).count():
+            return functools.reduce(DataFrame.unionByName, done)
+        ends = functools.reduce(DataFrame.unionByName, [d.withColumn("up", F.lit(None).cast("long")) for d in done]).unionByName(rest)
+        at_branch = ends.select(F.col("conv_id").alias("b_conv"), F.col("turn").alias("b_turn"), F.col("branch").alias("b_branch"))
+        at_up = ends.select(F.col("conv_id").alias("u_conv"), F.col("turn").alias("u_turn"), F.col("up").alias("u_up"), F.col("depth").alias("u_depth"))
+        state = rest.join(at_branch, (F.col("conv_id") == F.col("b_conv")) & (F.col("branch") == F.col("b_turn")))
         state = state.join(at_up, (F.col("conv_id") == F.col("u_conv")) & (F.col("up") == F.col("u_turn")), "left")
         state = state.select("conv_id", "turn", "reply_to", F.col("b_branch").alias("branch"), F.col("u_up").alias("up"), (F.col("depth") + F.coalesce("u_depth", F.lit(0))).alias("depth"))
 
