@@ -8,12 +8,16 @@ Here `ORDERS` orders are used, each by how common a token is (from counts over
 all documents) and then by a hash of its own:
 
 1. `common_tokens` counts tokens and keeps the common ones;
-2. `keyed` writes for each document its class and its prefixes;
-3. candidates share a prefix token under the first order, and sizes that
-   allow the similarity; they remain if their prefixes under every other order
-   meet as well;
-4. only what remains is verified, on the whole sets, taken anew from the
-   texts.
+2. `keyed` writes for each document its class and its prefix under the first order;
+3. candidates share a token of these prefixes, sizes that allow the
+   similarity, and places of the token: what follows it in both sets must be
+   enough for the intersection that the pair needs. (For the first token that
+   two similar sets share, it is.)
+4. of what remains, `sketches` holds the prefixes under the other orders, and
+   the numbers of tokens by bucket. A pair whose prefixes do not meet under
+   every order, or whose smaller numbers by bucket do not add up to the
+   intersection that it needs, can't be similar and goes;
+5. only the rest is verified, on the whole sets, taken anew from the texts.
 
 Groups of near copies would give a quadratic number of candidates. So first
 each class is verified against one leader, the class it shares most prefix
@@ -42,7 +46,7 @@ import hashlib
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from queuelens.llm.common import slices, small_enough, written
@@ -50,8 +54,8 @@ from queuelens.llm.components import components
 from queuelens.llm.textstats import buffers, hashes, mix, spans
 
 ORDERS = 3
-#: A token met this often in one slice of texts is a common one's candidate.
-SLICE_COUNT = 4
+#: A token met this often among so many tokens of a task is a common one's candidate.
+SLICE_COUNT, SLICE_TOKENS = 3, 3_000_000
 #: At most so many common tokens are told apart; it bounds what tasks receive.
 COMMON_TOKENS = 200_000
 #: Classes whose texts are fetched by a broadcast join; more by a shuffle.
@@ -84,12 +88,21 @@ def shingles(column: pa.Array, n: int) -> tuple[np.ndarray, np.ndarray]:
 def common_tokens(docs: DataFrame, n: int) -> tuple[np.ndarray, np.ndarray]:
     """(sorted common tokens, their classes from 1 to 63, rarer first)."""
 
+    def often(held: list[np.ndarray]) -> pa.RecordBatch:
+        token, count = np.unique(np.concatenate(held), return_counts=True)
+        keep = count >= SLICE_COUNT
+        return pa.RecordBatch.from_arrays([pa.array(token[keep].view(np.int64)), pa.array(count[keep].astype(np.int64))], names=["token", "count"])
+
     def run(batches):
+        held: list[np.ndarray] = []
         for batch in batches:
             for part in slices(batch, "text"):
-                token, count = np.unique(shingles(part.column("text"), n)[0], return_counts=True)
-                often = count >= SLICE_COUNT
-                yield pa.RecordBatch.from_arrays([pa.array(token[often].view(np.int64)), pa.array(count[often].astype(np.int64))], names=["token", "count"])
+                held.append(shingles(part.column("text"), n)[0])
+                if sum(map(len, held)) >= SLICE_TOKENS:
+                    yield often(held)
+                    held = []
+        if held:
+            yield often(held)
 
     counted = docs.select("text").mapInArrow(run, "token long, count long").groupBy("token").agg(F.sum("count").alias("count"))
     top = counted.orderBy(F.desc("count"), "token").limit(COMMON_TOKENS).toPandas()
@@ -106,77 +119,152 @@ def _rarity(token: np.ndarray, common: tuple[np.ndarray, np.ndarray]) -> np.ndar
     return np.where(common[0][at] == token, common[1][at], np.uint64(0))
 
 
+def _class(tokens: np.ndarray) -> bytes | None:
+    """128-bit name of a set of sorted tokens; null for the empty one."""
+    return hashlib.blake2b(tokens.tobytes(), digest_size=16).digest() if len(tokens) else None
+
+
+def _sets(column: pa.Array, n: int) -> list[np.ndarray]:
+    """The sorted distinct tokens of each text."""
+    token, offsets = shingles(column, n)
+    return [np.unique(token[a:b]) for a, b in zip(offsets[:-1], offsets[1:])]
+
+
+def _prefixes(sets: list[np.ndarray], order: int, num: int, den: int, common: tuple[np.ndarray, np.ndarray]) -> list[np.ndarray]:
+    """The prefix of each set under one of the orders, in that order."""
+    flat = np.concatenate([*sets, np.zeros(0, np.uint64)])
+    own = flat if order == 0 else mix(flat ^ _ODDS[order])
+    key = _rarity(flat, common) << np.uint64(58) | own >> np.uint64(6)
+    out, at = [], 0
+    for s in sets:
+        size = len(s)
+        take = size - -(-num * size // den) + 1 if size else 0
+        own_key = key[at : at + size]
+        first = np.argpartition(own_key, take - 1)[:take] if take < size else np.arange(size)
+        out.append(s[first[np.argsort(own_key[first], kind="stable")]])
+        at += size
+    return out
+
+
 def keyed(docs: DataFrame, n: int, num: int, den: int, common: tuple[np.ndarray, np.ndarray]) -> DataFrame:
-    """One row per document: doc_id, size of its set, its class, its prefixes.
+    """One row per document: doc_id, size of its set, its class (null if empty), its first prefix."""
 
-    The first prefix holds whole tokens; the others hold 32 bits of each,
-    which can only let more pairs through. All are null for empty sets.
-    """
-    names = ["doc_id", "size", "cls", *[f"prefix{k}" for k in range(1, ORDERS + 1)]]
-    schema = "doc_id long, size long, cls binary, prefix1 array<long>, " + ", ".join(f"prefix{k} array<int>" for k in range(2, ORDERS + 1))
+    def run(batches):
+        for batch in batches:
+            for part in slices(batch, "text"):
+                sets = _sets(part.column("text"), n)
+                first = _prefixes(sets, 0, num, den, common)
+                values = pa.array(np.concatenate([*first, np.zeros(0, np.uint64)]).view(np.int64))
+                prefix = pa.ListArray.from_arrays(pa.array(np.append(0, np.cumsum([len(f) for f in first])), pa.int32()), values)
+                columns = [part.column("doc_id"), pa.array([len(s) for s in sets], pa.int32()), pa.array(map(_class, sets), pa.binary()), prefix]
+                yield pa.RecordBatch.from_arrays(columns, names=["doc_id", "size", "cls", "prefix"])
+
+    return docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").mapInArrow(run, "doc_id long, size int, cls binary, prefix array<long>")
+
+
+def _buckets(tokens: np.ndarray) -> bytes:
+    """Numbers of tokens by bucket; empty where one of them does not fit a byte."""
+    count = np.bincount((tokens & np.uint64((1 << max(6, len(tokens).bit_length() - 1)) - 1)).astype(np.int64), minlength=1 << max(6, len(tokens).bit_length() - 1))
+    return count.astype(np.uint8).tobytes() if count.max() < 256 else b""
+
+
+def _sizes_meet(a: dict, b: dict, num: int, den: int) -> bool:
+    """Whether the smaller numbers by bucket add up to the intersection that the pair needs."""
+    need = -(-num * (a["size"] + b["size"]) // (num + den))
+    x, y = np.frombuffer(a["buckets"], np.uint8), np.frombuffer(b["buckets"], np.uint8)
+    if not len(x) or not len(y):
+        return True
+    short = min(len(x), len(y))  # a bucket of the shorter one is several of the longer
+    x, y = (z.reshape(-1, short).sum(axis=0, dtype=np.int64) for z in (x, y))
+    return bool(np.minimum(x, y).sum() >= need)
+
+
+def _orders_meet(a: list[bytes], b: list[bytes]) -> bool:
+    """Whether the prefixes share a token under every order."""
+    return all(len(np.intersect1d(np.frombuffer(p, np.uint32), np.frombuffer(q, np.uint32))) for p, q in zip(a, b))
+
+
+def _fetch(docs: DataFrame, classes: DataFrame, wanted: DataFrame) -> DataFrame:
+    """Texts of one document for each class id in `wanted`."""
+    ids = written(classes.join(wanted, "id", "left_semi").select(F.col("doc_id").alias("wanted")).distinct(), "jaccard-wanted")
+    if small_enough(ids, BROADCAST_ROWS):
+        ids = F.broadcast(ids)
+    return docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").join(ids, F.col("doc_id").eqNullSafe(F.col("wanted")), "left_semi").select("text")
+
+
+def sketches(texts: DataFrame, n: int, num: int, den: int, common: tuple[np.ndarray, np.ndarray]) -> DataFrame:
+    """(cls, size, buckets, orders) of texts: numbers of tokens by bucket, and the prefixes under all orders but the first (32 bits of each token)."""
 
     def run(batches):
         for batch in batches:
             for part in slices(batch, "text"):
-                token, offsets = shingles(part.column("text"), n)
-                sets = [np.unique(token[a:b]) for a, b in zip(offsets[:-1], offsets[1:])]
-                flat = np.concatenate([*sets, np.zeros(0, np.uint64)])
-                size = np.array([len(s) for s in sets], np.int64)
-                ends = np.cumsum(size)
-                rare = _rarity(flat, common) << np.uint64(58)
-                take = np.where(size > 0, size - -(-num * size // den) + 1, 0)
-                columns = [part.column("doc_id"), pa.array(size), pa.array([hashlib.blake2b(s.tobytes(), digest_size=16).digest() if len(s) else None for s in sets], pa.binary())]
-                for k in range(ORDERS):
-                    own = flat if k == 0 else mix(flat ^ _ODDS[k])
-                    key = rare | (own >> np.uint64(6))
-                    first = [a + (np.argpartition(key[a:b], t - 1)[:t] if t < b - a else np.arange(b - a)) for a, b, t in zip(ends - size, ends, take)]
-                    values = flat[np.concatenate([*first, np.zeros(0, np.int64)]).astype(np.int64)]
-                    values = pa.array(values.view(np.int64)) if k == 0 else pa.array((values >> np.uint64(32)).astype(np.uint32).view(np.int32))
-                    columns.append(pa.ListArray.from_arrays(pa.array(np.append(0, np.cumsum(take)), pa.int32()), values))
-                yield pa.RecordBatch.from_arrays(columns, names=names)
-
-    return docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").mapInArrow(run, schema)
-
-
-def _sets(docs: DataFrame, n: int) -> DataFrame:
-    """(cls, tokens) of documents, computed from their texts."""
+                sets = _sets(part.column("text"), n)
+                orders = zip(*[_prefixes(sets, k, num, den, common) for k in range(1, ORDERS)])
+                prefixes = [[(p >> np.uint64(32)).astype(np.uint32).tobytes() for p in o] for o in orders]
+                columns = [pa.array(map(_class, sets), pa.binary()), pa.array([len(s) for s in sets], pa.int32()), pa.array(map(_buckets, sets), pa.binary()), pa.array(prefixes, pa.list_(pa.binary()))]
+                yield pa.RecordBatch.from_arrays(columns, names=["cls", "size", "buckets", "orders"])
+
+    return texts.mapInArrow(run, "cls binary, size int, buckets binary, orders array<binary>").filter(F.col("cls").isNotNull())
+
+
+def token_sets(texts: DataFrame, n: int) -> DataFrame:
+    """(cls, tokens) of texts."""
 
     def run(batches):
         for batch in batches:
             for part in slices(batch, "text"):
-                token, offsets = shingles(part.column("text"), n)
-                sets = [np.unique(token[a:b]) for a, b in zip(offsets[:-1], offsets[1:])]
+                sets = _sets(part.column("text"), n)
                 lists = pa.ListArray.from_arrays(pa.array(np.append(0, np.cumsum([len(s) for s in sets])), pa.int32()), pa.array(np.concatenate([*sets, np.zeros(0, np.uint64)]).view(np.int64)))
-                yield pa.RecordBatch.from_arrays([pa.array([hashlib.blake2b(s.tobytes(), digest_size=16).digest() if len(s) else None for s in sets], pa.binary()), lists], names=["cls", "tokens"])
+                yield pa.RecordBatch.from_arrays([pa.array(map(_class, sets), pa.binary()), lists], names=["cls", "tokens"])
 
-    return docs.select("text").mapInArrow(run, "cls binary, tokens array<long>").filter(F.col("cls").isNotNull())
+    return texts.mapInArrow(run, "cls binary, tokens array<long>").filter(F.col("cls").isNotNull())
 
 
-def _sizes_allow(a: str, b: str, num: int, den: int):
-    return F.least(a, b) * den >= F.greatest(a, b) * num
+def _passing(met: DataFrame, test) -> DataFrame:
+    """(u, v) of the rows (u, v, x, y) whose x and y pass a test."""
+
+    def run(batches):
+        for batch in batches:
+            for at in range(0, batch.num_rows, 1000):
+                part = batch.slice(at, 1000)
+                keep = [test(a, b) for a, b in zip(part.column("x").to_pylist(), part.column("y").to_pylist())]
+                yield pa.RecordBatch.from_arrays([part.column("u"), part.column("v")], names=["u", "v"]).filter(pa.array(keep, pa.bool_()))
 
+    return met.select("u", "v", "x", "y").mapInArrow(run, "u long, v long")
 
-def _verified(pairs: DataFrame, classes: DataFrame, docs: DataFrame, n: int, num: int, den: int) -> DataFrame:
-    """Edges (u, v) of the candidate pairs (u, v) that are similar enough."""
-    others = [f"prefix{k}" for k in range(2, ORDERS + 1)]
-    a = classes.select(F.col("cls").alias("u"), *[F.col(c).alias(f"u_{c}") for c in others])
-    b = classes.select(F.col("cls").alias("v"), *[F.col(c).alias(f"v_{c}") for c in others])
-    meet = pairs.join(a, "u").join(b, "v")
-    for c in others:
-        meet = meet.filter(F.arrays_overlap(f"u_{c}", f"v_{c}"))
-    meet = written(meet.select("u", "v"), "jaccard-candidates")
-    wanted = meet.select(F.col("u").alias("cls")).unionByName(meet.select(F.col("v").alias("cls"))).distinct()
-    ids = written(classes.join(wanted, "cls", "left_semi").select(F.col("doc_id").alias("wanted")).distinct(), "jaccard-wanted")
-    if small_enough(ids, BROADCAST_ROWS):
-        ids = F.broadcast(ids)
-    texts = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").join(ids, F.col("doc_id").eqNullSafe(F.col("wanted")), "left_semi")
-    sets = written(_sets(texts, n).dropDuplicates(["cls"]), "jaccard-sets")
-    left = meet.join(sets.select(F.col("cls").alias("u"), F.col("tokens").alias("x")), "u")
-    full = left.join(sets.select(F.col("cls").alias("v"), F.col("tokens").alias("y")), "v")
+
+def filtered(pairs: DataFrame, sketch: DataFrame, num: int, den: int) -> DataFrame:
+    """Pairs (u, v) of class ids whose sketches (id, size, buckets, orders) let them pass.
+
+    The numbers by bucket come first, as they are short; prefixes are joined
+    to what is left.
+    """
+    counts = sketch.select("id", F.struct("size", "buckets").alias("sketch"))
+    met = pairs.join(counts.toDF("u", "x"), "u").join(counts.toDF("v", "y"), "v")
+    pairs = written(_passing(met, lambda a, b: _sizes_meet(a, b, num, den)), "jaccard-bounded")
+    orders = sketch.select("id", "orders")
+    return _passing(pairs.join(orders.toDF("u", "x"), "u").join(orders.toDF("v", "y"), "v"), _orders_meet)
+
+
+def _places_allow(left: str, right: str, size: str, other: str, num: int, den: int):
+    """Whether the shorter rest, from the shared token on, can hold the intersection."""
+    return F.least(F.col(left), F.col(right)) * (num + den) >= (F.col(size) + F.col(other)) * num
+
+
+def verified(pairs: DataFrame, classes: DataFrame, docs: DataFrame, n: int, num: int, den: int) -> DataFrame:
+    """The pairs (u, v) of class ids that are similar enough, by their whole sets."""
+    wanted = pairs.select(F.col("u").alias("id")).unionByName(pairs.select(F.col("v").alias("id"))).distinct()
+    sets = token_sets(_fetch(docs, classes, wanted), n).dropDuplicates(["cls"]).join(classes.select("cls", "id"), "cls").select("id", "tokens")
+    sets = written(sets, "jaccard-sets")
+    full = pairs.join(sets.toDF("u", "x"), "u").join(sets.toDF("v", "y"), "v")
     same = F.size(F.array_intersect("x", "y"))
     return full.filter(same * den >= (F.size("x") + F.size("y") - same) * num).select("u", "v")
 
 
+def _sizes_allow(a: str, b: str, num: int, den: int):
+    return F.least(a, b) * den >= F.greatest(a, b) * num
+
+
 def join(docs: DataFrame, n: int = 5, num: int = 80, den: int = 100) -> DataFrame:
     """(doc_id, n_shingles, component_id) for every document.
 
@@ -186,30 +274,37 @@ def join(docs: DataFrame, n: int = 5, num: int = 80, den: int = 100) -> DataFram
     common = common_tokens(docs, n)
     keys = written(keyed(docs, n, num, den, common), "jaccard-keys")
     # One document, the one with the least doc_id, stands for a class.
-    least = F.min_by(F.struct("size", *[f"prefix{k}" for k in range(1, ORDERS + 1)]), F.coalesce("doc_id", F.lit(2**63 - 1)))
-    classes = keys.filter(F.col("cls").isNotNull()).groupBy("cls").agg(F.min("doc_id").alias("doc_id"), least.alias("own")).select("cls", "doc_id", "own.*")
-    classes = written(classes, "jaccard-classes")
-    lists = classes.select("cls", "size", F.explode("prefix1").alias("token"))
-    # First: each class against the leader it shares most prefix tokens with.
-    leaders = lists.groupBy("token").agg(F.count("*").alias("members"), F.min(F.struct("cls", "size")).alias("lead")).filter("members > 1")
-    shared = written(leaders.select("token", "lead"), "jaccard-lists")
+    own = F.min_by(F.struct("size", "prefix"), F.coalesce("doc_id", F.lit(2**63 - 1))).alias("own")
+    classes = keys.filter(F.col("cls").isNotNull()).groupBy("cls").agg(F.min("doc_id").alias("doc_id"), own)
+    classes = written(classes.select(F.monotonically_increasing_id().alias("id"), "cls", "doc_id", "own.*"), "jaccard-classes")
+    # Tokens that several classes have in their prefixes, and each list's least class.
+    # `rest` counts the set's tokens from this one on.
+    lists = classes.select(F.posexplode("prefix").alias("pos", "token"), "id", "size").select("token", "id", "size", (F.col("size") - F.col("pos")).alias("rest"))
+    shared = lists.groupBy("token").agg(F.count("*").alias("members"), F.min(F.struct("id", "size", "rest")).alias("lead")).filter("members > 1").select("token", "lead")
     lists = written(lists.join(shared, "token"), "jaccard-postings")
-    led = lists.filter((F.col("cls") != F.col("lead.cls")) & _sizes_allow("size", "lead.size", num, den)).groupBy("cls", "lead.cls").count().toDF("u", "v", "tokens")
-    led = led.groupBy("u").agg(F.max(F.struct("tokens", "v")).alias("best")).select("u", "best.v")
-    found = written(_verified(led, classes, docs, n, num, den), "jaccard-links")
+    # First: each class against the leader it shares most prefix tokens with.
+    fits = _sizes_allow("size", "lead.size", num, den) & _places_allow("rest", "lead.rest", "size", "lead.size", num, den)
+    led = lists.filter((F.col("id") != F.col("lead.id")) & fits).groupBy("id", F.col("lead.id").alias("lead")).agg(F.count("*").alias("tokens"))
+    led = led.groupBy(F.col("id").alias("u")).agg(F.max(F.struct("tokens", F.col("lead").alias("v"))).alias("best")).select("u", "best.v")
+    led = written(led, "jaccard-led")
+    texts = _fetch(docs, classes, lists.select("id").distinct())
+    sketch = sketches(texts, n, num, den, common).dropDuplicates(["cls"]).join(classes.select("cls", "id"), "cls").select("id", "size", "buckets", "orders")
+    sketch = written(sketch, "jaccard-sketches")
+    led = written(filtered(led, sketch, num, den), "jaccard-candidates")
+    found = written(verified(led, classes, docs, n, num, den), "jaccard-links")
     roots = written(components(found), "jaccard-roots")
     # Then: all candidates between different components.
-    placed = lists.join(roots.withColumnRenamed("node", "cls"), "cls", "left").select("token", "cls", "size", F.coalesce("root", "cls").alias("root"))
-    placed = written(placed, "jaccard-placed")
+    placed = lists.join(roots.withColumnRenamed("node", "id"), "id", "left").select("token", "id", "size", "rest", F.coalesce("root", "id").alias("root"))
     mixed = placed.groupBy("token").agg(F.min("root").alias("a"), F.max("root").alias("b")).filter("a <> b").select("token")
     placed = written(placed.join(mixed, "token"), "jaccard-mixed")
-    other = placed.toDF("token", "v", "v_size", "v_root")
-    pairs = placed.join(other, "token").filter((F.col("root") < F.col("v_root")) & _sizes_allow("size", "v_size", num, den)).select(F.col("cls").alias("u"), "v").distinct()
-    found = found.unionByName(_verified(pairs, classes, docs, n, num, den))
-    roots = components(found).withColumnRenamed("node", "cls")
-    named = classes.select("cls", "doc_id").join(roots, "cls", "left").select("cls", "doc_id", F.coalesce("root", "cls").alias("root"))
-    named = written(named, "jaccard-named")
-    ids = named.groupBy("root").agg(F.min("doc_id").alias("component_id"))
-    ids = named.join(ids, "root").select("cls", "component_id")
-    result = keys.select("doc_id", F.col("size").alias("n_shingles"), "cls").join(ids, "cls", "left")
+    other = placed.toDF("token", "v", "v_size", "v_rest", "v_root")
+    fits = _sizes_allow("size", "v_size", num, den) & _places_allow("rest", "v_rest", "size", "v_size", num, den)
+    pairs = placed.join(other, "token").filter((F.col("root") < F.col("v_root")) & fits).select(F.col("id").alias("u"), "v").distinct()
+    pairs = written(filtered(pairs, sketch, num, den), "jaccard-candidates")
+    found = found.unionByName(verified(pairs, classes, docs, n, num, den))
+    roots = components(found).withColumnRenamed("node", "id")
+    named = written(classes.select("cls", "doc_id", "id").join(roots, "id", "left").select("cls", "doc_id", F.coalesce("root", "id").alias("root")), "jaccard-named")
+    least = named.groupBy("root").agg(F.min("doc_id").alias("component_id"))
+    named = named.join(least, "root").select("cls", "component_id")
+    result = keys.select("doc_id", F.col("size").cast("long").alias("n_shingles"), "cls").join(named, "cls", "left")
     return result.select("doc_id", "n_shingles", F.when(F.col("cls").isNull(), F.col("doc_id")).otherwise(F.col("component_id")).alias("component_id"))

@@ -196,7 +196,8 @@ def test_jaccard_filters_never_lose_a_similar_pair():
         none = (np.zeros(0, np.uint64), np.zeros(0, np.uint64))
         sketch = lambda s: {"size": len(s), "buckets": jaccard._buckets(s), "orders": [(jaccard._prefixes([s], k, 80, 100, none)[0] >> np.uint64(32)).astype(np.uint32).tobytes() for k in (1, 2)]}
         if 100 * both >= 80 * (len(x) + len(y) - both):
-            assert jaccard._may_be_similar(sketch(x), sketch(y), 80, 100)
+            a, b = sketch(x), sketch(y)
+            assert jaccard._sizes_meet(a, b, 80, 100) and jaccard._orders_meet(a["orders"], b["orders"])
 
 
 def test_quotes_link_levels_and_branches(spark):
