@@ -37,7 +37,7 @@ from pyspark.sql import types as T
 from queuelens.llm.common import append_columns, texts
 
 #: Words that a worker remembers before it starts afresh.
-CACHE_WORDS = 600_000
+CACHE_WORDS = 500_000
 #: The splitting pattern of byte-level tokenizers.
 BYTE_LEVEL_PATTERN = r"'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"
 ODD_SPACE = re.compile("[\x1c-\x1f]")
@@ -181,36 +181,46 @@ class Bpe:
         ends = np.cumsum(size) - 1
         symbol[ends] = self.last_ids[data[ends]]
         word = np.repeat(np.arange(len(raw)), size)
+        never = len(self.keys)
+        merge = np.full(len(symbol), never)  # of each pair, by its first symbol: where its key stands
+        rank = np.full(len(symbol), never)
+
+        def look_up(at: np.ndarray) -> None:
+            """Find the merges of the pairs that begin at the given places."""
+            at = at[at + 1 < len(symbol)]
+            at = at[word[at] == word[at + 1]]
+            key = symbol[at] * self.base + symbol[at + 1]
+            found = np.minimum(np.searchsorted(self.keys, key), never - 1)
+            hit = self.keys[found] == key
+            merge[at] = np.where(hit, found, never)
+            rank[at] = np.where(hit, self.rank[found], never)
+
         done_symbol, done_word = [], []
-        never = np.int64(len(self.keys))
-        while len(symbol) > 1:
-            key = symbol[:-1] * self.base + symbol[1:]
-            at = np.minimum(np.searchsorted(self.keys, key), len(self.keys) - 1)
-            can = (self.keys[at] == key) & (word[:-1] == word[1:])
-            rank = np.append(np.where(can, self.rank[at], never), never)
+        look_up(np.arange(len(symbol)))
+        while len(symbol):
             first = np.flatnonzero(np.append(True, word[1:] != word[:-1]))
             least = np.minimum.reduceat(rank, first)
-            per_word = np.diff(np.append(first, len(word)))
-            own_least = np.repeat(least, per_word)
+            own_least = np.repeat(least, np.diff(np.append(first, len(word))))
             stay = own_least < never
             if not stay.all():  # words that are complete leave the array
                 done_symbol.append(symbol[~stay])
                 done_word.append(word[~stay])
-                if not stay.any():
-                    symbol, word = symbol[:0], word[:0]
-                    break
-                symbol, word, rank, own_least = symbol[stay], word[stay], rank[stay], own_least[stay]
+                symbol, word, merge, rank, own_least = symbol[stay], word[stay], merge[stay], rank[stay], own_least[stay]
             hit = np.flatnonzero(rank == own_least)
             # Of hits that overlap (runs of neighbours), every second one counts.
-            run = np.append(True, np.diff(hit) != 1)
+            run = np.append(True, np.diff(hit) != 1)[: len(hit)]
             place = np.arange(len(hit))
-            since = place - np.maximum.accumulate(np.where(run, place, 0))
-            hit = hit[since % 2 == 0]
-            key = symbol[hit] * self.base + symbol[hit + 1]
-            symbol[hit] = self.made[np.searchsorted(self.keys, key)]
+            hit = hit[(place - np.maximum.accumulate(np.where(run, place, 0))) % 2 == 0]
+            symbol[hit] = self.made[merge[hit]]
             kept = np.ones(len(symbol), bool)
             kept[hit + 1] = False
-            symbol, word = symbol[kept], word[kept]
+            merge[hit] = rank[hit] = never
+            symbol, word, merge, rank = symbol[kept], word[kept], merge[kept], rank[kept]
+            # Only pairs with a new symbol need another look.
+            new_at = np.cumsum(kept)[hit] - 1
+            before = new_at[new_at > 0] - 1
+            merge[before] = rank[before] = never
+            look_up(np.concatenate([new_at, before]))
         symbol = np.concatenate([*done_symbol, symbol])
         word = np.concatenate([*done_word, word])
         order = np.argsort(word, kind="stable")
