@@ -13,7 +13,7 @@ from pyspark.sql import types as T
 
 #: Text handled at a time inside a Python worker, in bytes. It bounds the
 #: worker's memory whatever the number of rows in an Arrow batch.
-SLICE_BYTES = 4 << 20
+SLICE_BYTES = 1 << 20
 
 
 def slices(batch: pa.RecordBatch, column: str, limit: int = SLICE_BYTES) -> Iterator[pa.RecordBatch]:
