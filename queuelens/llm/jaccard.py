@@ -12,7 +12,11 @@ all documents) and then by a hash of its own:
 3. candidates share a token of these prefixes, sizes that allow the
    similarity, and places of the token: what follows it in both sets must be
    enough for the intersection that the pair needs. (For the first token that
-   two similar sets share, it is.)
+   two similar sets share, it is.) Their parities of token counts in `PARITIES`
+   buckets differ at most as often as the pair's sets may differ in tokens, as
+   each token that only one of them has turns one parity. All of this is part of
+   the join's condition, so that a group of many copies that are just not
+   similar enough makes no rows;
 4. of what remains, `sketches` holds the prefixes under the other orders, and
    the numbers of tokens by bucket. A pair whose prefixes do not meet under
    every order, or whose smaller numbers by bucket do not add up to the
@@ -56,6 +60,8 @@ from queuelens.llm.textstats import buffers, hashes, mix, spans
 ORDERS = 3
 #: A token met this often among so many tokens of a task is a common one's candidate.
 SLICE_COUNT, SLICE_TOKENS = 3, 3_000_000
+#: Buckets by whose parities candidates are compared; a multiple of 64.
+PARITIES = 256
 #: At most so many common tokens are told apart; it bounds what tasks receive.
 COMMON_TOKENS = 200_000
 #: Classes whose texts are fetched by a broadcast join; more by a shuffle.
@@ -146,8 +152,14 @@ def _prefixes(sets: list[np.ndarray], order: int, num: int, den: int, common: tu
     return out
 
 
+def _parities(tokens: np.ndarray) -> np.ndarray:
+    """Parities of the numbers of tokens by bucket, 64 to a word."""
+    bucket = (mix(tokens ^ _ODDS[4]) % np.uint64(PARITIES)).astype(np.int64)
+    return np.packbits((np.bincount(bucket, minlength=PARITIES) & 1).astype(np.uint8)).view(np.int64)
+
+
 def keyed(docs: DataFrame, n: int, num: int, den: int, common: tuple[np.ndarray, np.ndarray]) -> DataFrame:
-    """One row per document: doc_id, size of its set, its class (null if empty), its first prefix."""
+    """One row per document: doc_id, size of its set, its class (null if empty), its parities, its first prefix."""
 
     def run(batches):
         for batch in batches:
@@ -156,10 +168,11 @@ def keyed(docs: DataFrame, n: int, num: int, den: int, common: tuple[np.ndarray,
                 first = _prefixes(sets, 0, num, den, common)
                 values = pa.array(np.concatenate([*first, np.zeros(0, np.uint64)]).view(np.int64))
                 prefix = pa.ListArray.from_arrays(pa.array(np.append(0, np.cumsum([len(f) for f in first])), pa.int32()), values)
-                columns = [part.column("doc_id"), pa.array([len(s) for s in sets], pa.int32()), pa.array(map(_class, sets), pa.binary()), prefix]
-                yield pa.RecordBatch.from_arrays(columns, names=["doc_id", "size", "cls", "prefix"])
+                parities = pa.array([_parities(s) for s in sets], pa.list_(pa.int64()))
+                columns = [part.column("doc_id"), pa.array([len(s) for s in sets], pa.int32()), pa.array(map(_class, sets), pa.binary()), parities, prefix]
+                yield pa.RecordBatch.from_arrays(columns, names=["doc_id", "size", "cls", "parities", "prefix"])
 
-    return docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").mapInArrow(run, "doc_id long, size int, cls binary, prefix array<long>")
+    return docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").mapInArrow(run, "doc_id long, size int, cls binary, parities array<long>, prefix array<long>")
 
 
 def _buckets(tokens: np.ndarray) -> bytes:
@@ -251,6 +264,12 @@ def _places_allow(left: str, right: str, size: str, other: str, num: int, den: i
     return F.least(F.col(left), F.col(right)) * (num + den) >= (F.col(size) + F.col(other)) * num
 
 
+def _parities_allow(left: str, right: str, size: str, other: str, num: int, den: int):
+    """Whether the sets may differ in as many tokens as there are different parities."""
+    differ = sum((F.bit_count(F.col(left)[k].bitwiseXOR(F.col(right)[k])) for k in range(PARITIES // 64)), F.lit(0))
+    return differ * (num + den) <= (F.col(size) + F.col(other)) * (den - num)
+
+
 def verified(pairs: DataFrame, classes: DataFrame, docs: DataFrame, n: int, num: int, den: int) -> DataFrame:
     """The pairs (u, v) of class ids that are similar enough, by their whole sets."""
     wanted = pairs.select(F.col("u").alias("id")).unionByName(pairs.select(F.col("v").alias("id"))).distinct()
@@ -274,7 +293,7 @@ def join(docs: DataFrame, n: int = 5, num: int = 80, den: int = 100) -> DataFram
     common = common_tokens(docs, n)
     keys = written(keyed(docs, n, num, den, common), "jaccard-keys")
     # One document, the one with the least doc_id, stands for a class.
-    own = F.min_by(F.struct("size", "prefix"), F.coalesce("doc_id", F.lit(2**63 - 1))).alias("own")
+    own = F.min_by(F.struct("size", "parities", "prefix"), F.coalesce("doc_id", F.lit(2**63 - 1))).alias("own")
     classes = keys.filter(F.col("cls").isNotNull()).groupBy("cls").agg(F.min("doc_id").alias("doc_id"), own)
     classes = written(classes.select(F.monotonically_increasing_id().alias("id"), "cls", "doc_id", "own.*"), "jaccard-classes")
     # Tokens that several classes have in their prefixes, and each list's least class.
@@ -296,9 +315,11 @@ def join(docs: DataFrame, n: int = 5, num: int = 80, den: int = 100) -> DataFram
     # Then: all candidates between different components.
     placed = lists.join(roots.withColumnRenamed("node", "id"), "id", "left").select("token", "id", "size", "rest", F.coalesce("root", "id").alias("root"))
     mixed = placed.groupBy("token").agg(F.min("root").alias("a"), F.max("root").alias("b")).filter("a <> b").select("token")
-    placed = written(placed.join(mixed, "token"), "jaccard-mixed")
-    other = placed.toDF("token", "v", "v_size", "v_rest", "v_root")
+    placed = placed.join(mixed, "token").join(classes.select("id", "parities"), "id")
+    placed = written(placed.select("token", "id", "size", "rest", "root", "parities"), "jaccard-mixed")
+    other = placed.toDF("token", "v", "v_size", "v_rest", "v_root", "v_parities")
     fits = _sizes_allow("size", "v_size", num, den) & _places_allow("rest", "v_rest", "size", "v_size", num, den)
+    fits &= _parities_allow("parities", "v_parities", "size", "v_size", num, den)
     pairs = placed.join(other, "token").filter((F.col("root") < F.col("v_root")) & fits).select(F.col("id").alias("u"), "v").distinct()
     pairs = written(filtered(pairs, sketch, num, den), "jaccard-candidates")
     found = found.unionByName(verified(pairs, classes, docs, n, num, den))

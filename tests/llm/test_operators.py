@@ -198,6 +198,8 @@ def test_jaccard_filters_never_lose_a_similar_pair():
         if 100 * both >= 80 * (len(x) + len(y) - both):
             a, b = sketch(x), sketch(y)
             assert jaccard._sizes_meet(a, b, 80, 100) and jaccard._orders_meet(a["orders"], b["orders"])
+            differ = sum(int(p ^ q).bit_count() for p, q in zip(jaccard._parities(x).view(np.uint64), jaccard._parities(y).view(np.uint64)))
+            assert differ <= len(x) + len(y) - 2 * both
 
 
 def test_quotes_link_levels_and_branches(spark):
