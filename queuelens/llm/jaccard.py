@@ -24,9 +24,10 @@ all documents) and then by a hash of its own:
 5. only the rest is verified, on the whole sets, taken anew from the texts.
 
 Groups of near copies would give a quadratic number of candidates. So first
-each class is verified against one leader, the class it shares most prefix
-tokens with among the least classes of its tokens' lists; the links found give
-components. Then candidates are formed again, only between classes of
+each class is verified against one leader. A token's leader is the class that
+has it earliest in its prefix, as the original has that copies with words of
+their own stem from; a class takes the leader of most of its tokens. The links
+found give components. Then candidates are formed again, only between classes of
 different components, all of them. A pair that is in one component already
 can't change the result; no other pair is left out.
 
@@ -296,11 +297,11 @@ def join(docs: DataFrame, n: int = 5, num: int = 80, den: int = 100) -> DataFram
     own = F.min_by(F.struct("size", "parities", "prefix"), F.coalesce("doc_id", F.lit(2**63 - 1))).alias("own")
     classes = keys.filter(F.col("cls").isNotNull()).groupBy("cls").agg(F.min("doc_id").alias("doc_id"), own)
     classes = written(classes.select(F.monotonically_increasing_id().alias("id"), "cls", "doc_id", "own.*"), "jaccard-classes")
-    # Tokens that several classes have in their prefixes, and each list's least class.
+    # Tokens that several classes have in their prefixes, and each list's leader.
     # `rest` counts the set's tokens from this one on.
-    lists = classes.select(F.posexplode("prefix").alias("pos", "token"), "id", "size").select("token", "id", "size", (F.col("size") - F.col("pos")).alias("rest"))
-    shared = lists.groupBy("token").agg(F.count("*").alias("members"), F.min(F.struct("id", "size", "rest")).alias("lead")).filter("members > 1").select("token", "lead")
-    lists = written(lists.join(shared, "token"), "jaccard-postings")
+    lists = classes.select(F.posexplode("prefix").alias("pos", "token"), "id", "size").select("token", "id", "size", "pos", (F.col("size") - F.col("pos")).alias("rest"))
+    shared = lists.groupBy("token").agg(F.count("*").alias("members"), F.min(F.struct("pos", "id", "size", "rest")).alias("lead")).filter("members > 1").select("token", "lead")
+    lists = written(lists.drop("pos").join(shared, "token"), "jaccard-postings")
     # First: each class against the leader it shares most prefix tokens with.
     fits = _sizes_allow("size", "lead.size", num, den) & _places_allow("rest", "lead.rest", "size", "lead.size", num, den)
     led = lists.filter((F.col("id") != F.col("lead.id")) & fits).groupBy("id", F.col("lead.id").alias("lead")).agg(F.count("*").alias("tokens"))
