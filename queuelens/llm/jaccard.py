@@ -60,7 +60,7 @@ from queuelens.llm.textstats import buffers, hashes, mix, spans
 
 ORDERS = 3
 #: A token met this often among so many tokens of a task is a common one's candidate.
-SLICE_COUNT, SLICE_TOKENS = 3, 3_000_000
+SLICE_COUNT, SLICE_TOKENS = 2, 1_000_000
 #: Buckets by whose parities candidates are compared; a multiple of 64.
 PARITIES = 256
 #: At most so many common tokens are told apart; it bounds what tasks receive.
