@@ -28,7 +28,7 @@ from queuelens.llm.packing import pack
 def keep_good(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents that the quality classifier scores at `GOOD` or more."""
     model = quality.learn(docs, table(spark, sf_dir, "labels"))
-    scored = quality.score(docs.withColumn("_text", F.col("text")), model, "_text", "_score")
+    scored = quality.score(docs, model, "text", "_score")
     return scored.filter(F.col("_score") >= GOOD).select(docs.columns)
 
 
@@ -52,8 +52,8 @@ def keep_one(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 def redact(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Personal data replaced by its kind; null texts stay null."""
-    found = pii.find(docs.withColumn("_text", F.col("text")), "_text")
-    clean = F.when(F.col("_text").isNotNull(), F.col("redacted"))
+    found = pii.find(docs, "text")
+    clean = F.when(F.col("text").isNotNull(), F.col("redacted"))
     out = found.withColumn("text", clean)
     if "n_chars" in docs.columns:
         out = out.withColumn("n_chars", F.when(F.size("pii") > 0, F.char_length("text").cast(docs.schema["n_chars"].dataType)).otherwise(F.col("n_chars")))
