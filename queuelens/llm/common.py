@@ -16,6 +16,23 @@ from pyspark.sql import types as T
 SLICE_BYTES = 1 << 20
 
 
+#: Data that Spark sends to a Python worker at a time, in bytes.
+BATCH_BYTES = 4 << 20
+_BATCH_LIMIT = "spark.sql.execution.arrow.maxBytesPerBatch"
+
+
+def in_small_batches(df: DataFrame) -> DataFrame:
+    """`df` itself; its session now sends batches of about `BATCH_BYTES` to Python.
+
+    By default Spark bounds a batch by its rows alone, so that long texts take
+    memory on both sides. A limit that the session has already stays.
+    """
+    conf = df.sparkSession.conf
+    if conf.get(_BATCH_LIMIT, None) is None:
+        conf.set(_BATCH_LIMIT, str(BATCH_BYTES))
+    return df
+
+
 def slices(batch: pa.RecordBatch, column: str, limit: int = SLICE_BYTES) -> Iterator[pa.RecordBatch]:
     """Consecutive zero-copy slices whose `column` holds about `limit` bytes.
 
@@ -56,7 +73,7 @@ def append_columns(
             for part in slices(batch, column):
                 yield pa.RecordBatch.from_arrays([*part.columns, *work(part)], names=schema.names)
 
-    return kept.mapInArrow(run, schema)
+    return in_small_batches(kept).mapInArrow(run, schema)
 
 
 def texts(column: pa.Array) -> list[str]:

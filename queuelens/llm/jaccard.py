@@ -54,7 +54,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from queuelens.llm.common import slices, small_enough, written
+from queuelens.llm.common import in_small_batches, slices, small_enough, written
 from queuelens.llm.components import components
 from queuelens.llm.textstats import buffers, hashes, mix, spans
 
@@ -111,7 +111,7 @@ def common_tokens(docs: DataFrame, n: int) -> tuple[np.ndarray, np.ndarray]:
         if held:
             yield often(held)
 
-    counted = docs.select("text").mapInArrow(run, "token long, count long").groupBy("token").agg(F.sum("count").alias("count"))
+    counted = in_small_batches(docs.select("text")).mapInArrow(run, "token long, count long").groupBy("token").agg(F.sum("count").alias("count"))
     top = counted.orderBy(F.desc("count"), "token").limit(COMMON_TOKENS).toPandas()
     token = top["token"].to_numpy(np.int64).view(np.uint64)
     order = np.argsort(token)
@@ -173,7 +173,7 @@ def keyed(docs: DataFrame, n: int, num: int, den: int, common: tuple[np.ndarray,
                 columns = [part.column("doc_id"), pa.array([len(s) for s in sets], pa.int32()), pa.array(map(_class, sets), pa.binary()), parities, prefix]
                 yield pa.RecordBatch.from_arrays(columns, names=["doc_id", "size", "cls", "parities", "prefix"])
 
-    return docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").mapInArrow(run, "doc_id long, size int, cls binary, parities array<long>, prefix array<long>")
+    return in_small_batches(docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text")).mapInArrow(run, "doc_id long, size int, cls binary, parities array<long>, prefix array<long>")
 
 
 def _buckets(tokens: np.ndarray) -> bytes:
@@ -218,7 +218,7 @@ def sketches(texts: DataFrame, n: int, num: int, den: int, common: tuple[np.ndar
                 columns = [pa.array(map(_class, sets), pa.binary()), pa.array([len(s) for s in sets], pa.int32()), pa.array(map(_buckets, sets), pa.binary()), pa.array(prefixes, pa.list_(pa.binary()))]
                 yield pa.RecordBatch.from_arrays(columns, names=["cls", "size", "buckets", "orders"])
 
-    return texts.mapInArrow(run, "cls binary, size int, buckets binary, orders array<binary>").filter(F.col("cls").isNotNull())
+    return in_small_batches(texts).mapInArrow(run, "cls binary, size int, buckets binary, orders array<binary>").filter(F.col("cls").isNotNull())
 
 
 def token_sets(texts: DataFrame, n: int) -> DataFrame:
@@ -231,7 +231,7 @@ def token_sets(texts: DataFrame, n: int) -> DataFrame:
                 lists = pa.ListArray.from_arrays(pa.array(np.append(0, np.cumsum([len(s) for s in sets])), pa.int32()), pa.array(np.concatenate([*sets, np.zeros(0, np.uint64)]).view(np.int64)))
                 yield pa.RecordBatch.from_arrays([pa.array(map(_class, sets), pa.binary()), lists], names=["cls", "tokens"])
 
-    return texts.mapInArrow(run, "cls binary, tokens array<long>").filter(F.col("cls").isNotNull())
+    return in_small_batches(texts).mapInArrow(run, "cls binary, tokens array<long>").filter(F.col("cls").isNotNull())
 
 
 def _passing(met: DataFrame, test) -> DataFrame:
@@ -244,7 +244,7 @@ def _passing(met: DataFrame, test) -> DataFrame:
                 keep = [test(a, b) for a, b in zip(part.column("x").to_pylist(), part.column("y").to_pylist())]
                 yield pa.RecordBatch.from_arrays([part.column("u"), part.column("v")], names=["u", "v"]).filter(pa.array(keep, pa.bool_()))
 
-    return met.select("u", "v", "x", "y").mapInArrow(run, "u long, v long")
+    return in_small_batches(met.select("u", "v", "x", "y")).mapInArrow(run, "u long, v long")
 
 
 def filtered(pairs: DataFrame, sketch: DataFrame, num: int, den: int) -> DataFrame:

@@ -44,7 +44,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from queuelens.llm.bpe import load
-from queuelens.llm.common import slices, small_enough, texts, written
+from queuelens.llm.common import in_small_batches, slices, small_enough, texts, written
 
 #: Fractional bits of deficits, which are counted in chunks.
 BITS = 20
@@ -195,7 +195,7 @@ def tokenised(docs: DataFrame, path: str, end_id: int, queues_shared: bool) -> D
                 columns = [pa.array([part] * len(tokens), pa.int32()), rows.column("queue"), rows.column("doc_id"), pa.array(tokens), pa.array(before, pa.int64()), coded]
                 yield pa.RecordBatch.from_arrays(columns, names=["part", "queue", "doc_id", "tokens", "before", "ids"])
 
-    return docs.select(queue.alias("queue"), F.col("doc_id").cast("long").alias("doc_id"), "text").mapInArrow(run, schema)
+    return in_small_batches(docs.select(queue.alias("queue"), F.col("doc_id").cast("long").alias("doc_id"), "text")).mapInArrow(run, schema)
 
 
 def pack(docs: DataFrame, path: str, end_id: int, length: int = 2048, chunk: int = 256, targets: dict[str | None, float] | None = None) -> DataFrame:
@@ -235,4 +235,4 @@ def pack(docs: DataFrame, path: str, end_id: int, length: int = 2048, chunk: int
                 columns = [rows.column("doc_id").take(pa.array(doc)), pa.array(start), pa.array(many), pa.array(size[doc]), pa.array(sequence), pa.array(offset), rows.column("queue").take(pa.array(doc)), pa.array(cut, pa.binary())]
                 yield pa.RecordBatch.from_arrays(columns, names=PIECES.names)
 
-    return placed.mapInArrow(run, PIECES)
+    return in_small_batches(placed).mapInArrow(run, PIECES)

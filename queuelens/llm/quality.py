@@ -33,7 +33,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from queuelens.llm.common import append_columns
+from queuelens.llm.common import append_columns, in_small_batches
 from queuelens.llm.textstats import buffers, hashes, per_text, spans
 
 MAX_LABELS = 20_000
@@ -241,7 +241,7 @@ def learn(docs: DataFrame, labels: DataFrame, max_labels: int = MAX_LABELS) -> G
                 values = pa.FixedSizeListArray.from_arrays(pa.array(x.ravel()), x.shape[1]).cast(pa.list_(pa.float64()))
                 yield pa.RecordBatch.from_arrays([part.column("doc_id"), part.column("good"), values], names=["doc_id", "good", "x"])
 
-    found = rows.mapInArrow(run, T.StructType([rows.schema["doc_id"], rows.schema["good"], T.StructField("x", T.ArrayType(T.DoubleType()))]))
+    found = in_small_batches(rows).mapInArrow(run, T.StructType([rows.schema["doc_id"], rows.schema["good"], T.StructField("x", T.ArrayType(T.DoubleType()))]))
     # Repeated doc_ids count once: the smallest feature row.
     got = found.groupBy("doc_id").agg(F.min(F.struct("x", "good")).alias("row")).orderBy("doc_id").collect()
     x = np.array([r.row.x for r in got], float).reshape(-1, len(FEATURES))
