@@ -6,15 +6,19 @@ refine it: every node's neighbours, forward and reverse, meet at the node and
 are compared with each other; what beats a neighbour list's worst entry
 replaces it. Rounds end when few entries change.
 
-A list whose entries all reach the threshold is saturated: there may be more
-partners than it can hold. Such lists are enlarged to the whole component
-that their links form, in blocks: blocks of the component's nodes meet
-pairwise, and each node's links are counted exactly, so no list has to hold
-them and no pair is written.
+A list whose entries all reach the threshold is saturated: its node may have
+more partners than it can hold, also in other groups. All links of saturated
+nodes are found without lists: the nodes are covered with balls, the leader of
+each ball meets every node of the table, and who is near enough to link with
+anything in the ball (by the triangle inequality of angles) meets the whole
+ball in blocks. Links are counted there and components joined, so no list has
+to hold them and no pair is written. A link between two unsaturated nodes that
+was ever compared is in their lists.
 
 An audit compares a fixed set of nodes with all others by brute force. While
-the links found for them are fewer than `recall` of the true ones, descent goes
-on with longer lists. All decisive cosines are computed in double precision.
+the final links and components lack more of the true links than `recall`
+allows, descent goes on with longer lists. All decisive cosines are computed
+in double precision.
 
 Results, also for odd input:
 
@@ -35,7 +39,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from queuelens.llm.common import written
+from queuelens.llm.common import shared_dir, written
 from queuelens.llm.components import components
 from queuelens.llm.vectors import bounds, lists, map_groups, matrix, usable
 
@@ -46,6 +50,12 @@ BUCKET = 256
 BLOCK = 512
 MAX_ROUNDS = 8
 AUDITED = 256
+#: Byte vectors may miss a cosine by as much.
+MARGIN = 0.02
+#: Cosine to its leader that a node has at least when it joins a ball.
+NEAR_LEADER = 0.96
+#: Bytes of vectors that meet all nodes in one pass.
+PASS_BYTES = 4 << 20
 _GRAPH = "node long, other long, sim double"
 
 
@@ -174,41 +184,137 @@ def _counts(links: DataFrame, nodes: DataFrame) -> DataFrame:
     return both.join(nodes.select(F.col("node").alias("v"), "many"), "v").groupBy(F.col("u").alias("node")).agg(F.sum("many").alias("n"))
 
 
-def enlarged(wanted: DataFrame, nodes: DataFrame, dim: int, threshold: float) -> DataFrame:
-    """(node, n): links of each node within its component, all of them.
+def saturated(graph: DataFrame, k: int, threshold: float) -> DataFrame:
+    """(node): nodes whose lists of k entries hold nothing but links, so that there may be more."""
+    lists_ = graph.groupBy("node").agg(F.min("sim").alias("least"), F.count("*").alias("entries"))
+    return lists_.filter((F.col("entries") >= k) & (F.col("least") >= threshold - MARGIN)).select("node")
 
-    `wanted` has (node, root). A component's blocks meet pairwise; a node is
-    sent to as many tasks as its component has blocks.
+
+def balls(full: DataFrame, nodes: DataFrame, dim: int) -> DataFrame:
+    """(node, ball): a leader near each node of `full` (node, root), itself one of them.
+
+    Leaders are chosen within blocks of a component, then among the leaders
+    so found, until that leaves about as many.
     """
-    size = wanted.groupBy("root").agg(F.ceil(F.count("*") / BLOCK).cast("long").alias("blocks"))
-    own = wanted.join(size, "root").withColumn("block", F.pmod(F.xxhash64("node"), "blocks"))
-    meet = own.select("node", "root", "block", F.explode(F.sequence(F.lit(0).cast("long"), F.col("blocks") - 1)).alias("with"))
-    pair = F.struct("root", F.least("block", "with"), F.greatest("block", "with"))
-    meet = meet.select("node", "block", F.xxhash64(pair).alias("place")).join(nodes, "node")
 
     def work(table: pa.Table):
-        ids, block, many = (table.column(c).to_numpy() for c in ("node", "block", "many"))
-        rows = _units(table.column("v"), dim)
+        ids, rows = table.column("node").to_numpy(), _units(table.column("v"), dim)
         edge = bounds(table.column("place").to_numpy())
         for a, b in zip(edge[:-1], edge[1:]):
-            lower = block[a:b] == block[a:b].min()
-            x, y = (np.flatnonzero(lower) + a, np.flatnonzero(~lower) + a)
-            alone = not len(y)
-            y = x if alone else y
-            near = rows[x] @ rows[y].T >= threshold
-            if alone:
-                np.fill_diagonal(near, False)
-            yield pa.RecordBatch.from_arrays([pa.array(ids[x]), pa.array(near @ many[y])], names=["node", "n"])
-            if not alone:
-                yield pa.RecordBatch.from_arrays([pa.array(ids[y]), pa.array(many[x] @ near)], names=["node", "n"])
+            leader = np.full(b - a, -1)
+            while (leader < 0).any():
+                first = int(np.argmax(leader < 0))
+                leader[(leader < 0) & (rows[a:b] @ rows[a + first] >= NEAR_LEADER)] = first
+                leader[first] = first
+            yield pa.RecordBatch.from_arrays([pa.array(ids[a:b]), pa.array(ids[a:b][leader])], names=["node", "ball"])
+
+    member, leaders, before = full.select("node", F.col("node").alias("ball")), full, full.count()
+    while True:
+        size = leaders.groupBy("root").agg(F.ceil(F.count("*") / BLOCK).cast("long").alias("blocks"))
+        placed = leaders.join(size, "root").select("node", F.xxhash64("root", F.pmod(F.xxhash64("node", F.lit(before)), "blocks")).alias("place"))
+        step = written(map_groups(placed.join(nodes.select("node", "v"), "node").select("place", "node", "v"), "place", work, "node long, ball long"), "vectors-leaders")
+        member = written(member.join(step.select(F.col("node").alias("ball"), F.col("ball").alias("next")), "ball").select("node", F.col("next").alias("ball")), "vectors-balls")
+        leaders = written(leaders.join(step.filter("node = ball"), "node", "left_semi"), "vectors-leaders")
+        after = leaders.count()
+        if after > 0.5 * before:
+            return member
+        before = after
+
+
+def within_reach(member: DataFrame, nodes: DataFrame, dim: int, threshold: float) -> DataFrame:
+    """(node, ball): all nodes of the table that may link with something in a ball."""
+    pairs = member.join(nodes.select("node", "v"), "node").join(nodes.select(F.col("node").alias("ball"), F.col("v").alias("w")), "ball")
+
+    def angles(batches):
+        for batch in batches:
+            cosine = (_units(batch.column("v"), dim) * _units(batch.column("w"), dim)).sum(axis=1)
+            yield pa.RecordBatch.from_arrays([batch.column("ball"), pa.array(np.arccos(np.clip(cosine, -1, 1)))], names=["ball", "angle"])
+
+    radius = pairs.select("ball", "v", "w").mapInArrow(angles, "ball long, angle double").groupBy("ball").agg(F.max("angle").alias("radius"))
+    leaders = written(radius.join(nodes.select(F.col("node").alias("ball"), "v"), "ball"), "vectors-leaders")
+    passes = -(-leaders.count() * 8 * dim // PASS_BYTES)
+    path = shared_dir(nodes.sparkSession, "vectors-reach")
+    for i in range(passes):
+        some = leaders.filter(F.pmod(F.xxhash64("ball"), F.lit(passes)) == i).toArrow()
+        if not some.num_rows:
+            continue
+        ids, rows = some.column("ball").to_numpy(), _units(some.column("v"), dim)
+        least = np.cos(np.minimum(np.pi, np.arccos(threshold) + some.column("radius").to_numpy())) - 1e-6
+
+        def meet(batches, ids=ids, rows=rows, least=least):
+            for batch in batches:
+                own, node = _units(batch.column("v"), dim), batch.column("node").to_numpy()
+                for a in range(0, len(own), BLOCK):
+                    i, j = np.nonzero(own[a : a + BLOCK] @ rows.T >= least)
+                    yield pa.RecordBatch.from_arrays([pa.array(node[a + i]), pa.array(ids[j])], names=["node", "ball"])
+
+        nodes.select("node", "v").mapInArrow(meet, "node long, ball long").write.mode("append").parquet(path)
+    return nodes.sparkSession.read.schema("node long, ball long").parquet(path)
+
+
+def _joined(near: np.ndarray, x: np.ndarray, y: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """For each row and column the least id it is linked with, over any number of links."""
+    none = np.iinfo(np.int64).max
+    while True:
+        low_y = np.minimum(y, np.where(near, x[:, None], none).min(axis=0))
+        low_x = np.minimum(x, np.where(near, low_y, none).min(axis=1))
+        if (low_x == x).all() and (low_y == y).all():
+            return x, y
+        x, y = low_x, low_y
+
+
+def complete(full: DataFrame, nodes: DataFrame, dim: int, threshold: float) -> DataFrame:
+    """(node, n, root), several rows a node: all links with a node of `full` (node, root) at one end.
+
+    The sum of a node's n are its links with such nodes, for a node of `full`
+    its links with any; and a root is a node of the same component.
+    """
+    member = balls(full, nodes, dim)
+    reach = within_reach(member, nodes, dim, threshold).join(full.select("node", F.lit(True).alias("full")), "node", "left")
+    blocks = lambda df, name: df.groupBy("ball").agg(F.ceil(F.count("*") / BLOCK).cast("long").alias(name))
+    sizes = written(blocks(member, "rows").join(blocks(reach, "columns"), "ball"), "vectors-sizes")
+    upto = lambda n: F.explode(F.sequence(F.lit(0).cast("long"), F.col(n) - 1))
+    rows = member.join(sizes, "ball").select("node", "ball", F.lit(True).alias("full"), F.lit(True).alias("member"), F.pmod(F.xxhash64("node"), "rows").alias("row"), upto("columns").alias("column"))
+    columns = reach.join(sizes, "ball").select("node", "ball", F.coalesce("full", F.lit(False)).alias("full"), F.lit(False).alias("member"), upto("rows").alias("row"), F.pmod(F.xxhash64("node"), "columns").alias("column"))
+    met = rows.unionByName(columns).select("node", "full", "member", F.xxhash64("ball", "row", "column").alias("place")).join(nodes, "node")
 
-    return map_groups(meet.select("place", "node", "block", "v", "many"), "place", work, "node long, n long").groupBy("node").agg(F.sum("n").alias("n"))
+    def work(table: pa.Table):
+        ids, many, place = (table.column(c).to_numpy() for c in ("node", "many", "place"))
+        inside, is_full = (table.column(c).to_numpy() for c in ("member", "full"))
+        units = _units(table.column("v"), dim)
+        edge = bounds(place)
+        for a, b in zip(edge[:-1], edge[1:]):
+            x, y = np.flatnonzero(inside[a:b]) + a, np.flatnonzero(~inside[a:b]) + a
+            if not len(x) or not len(y):
+                continue
+            near = (units[x] @ units[y].T >= threshold) & (ids[x][:, None] != ids[y])
+            low_x, low_y = _joined(near, ids[x], ids[y])
+            # Two nodes of `full` meet twice: each of them is once the one within reach.
+            n = [near @ (many[y] * ~is_full[y]), many[x] @ near]
+            yield pa.RecordBatch.from_arrays([pa.array(np.append(ids[x], ids[y])), pa.array(np.append(*n)), pa.array(np.append(low_x, low_y))], names=["node", "n", "root"])
 
+    return map_groups(met.select("place", "node", "full", "member", "v", "many"), "place", work, "node long, n long, root long")
 
-def audit(nodes: DataFrame, graph: DataFrame, dim: int, threshold: float) -> float:
-    """Recall of links at the audited nodes, which are all compared with every node.
 
-    A node whose list is saturated counts as found as far as its list goes.
+def settle(graph: DataFrame, full: DataFrame, nodes: DataFrame, dim: int, threshold: float) -> tuple[DataFrame, DataFrame]:
+    """Links per node, (node, n), and components, (node, root): those of the lists and all of the nodes `full`."""
+    links = written(exact_links(graph.filter(F.col("sim") >= threshold - MARGIN), nodes, dim, threshold), "vectors-links")
+    roots = written(components(links), "vectors-roots")
+    full = written(full.join(roots, "node", "left").select("node", F.coalesce("root", "node").alias("root")), "vectors-saturated")
+    if not full.limit(1).count():
+        return written(_counts(links, nodes), "vectors-counts"), roots
+    whole = written(complete(full, nodes, dim, threshold), "vectors-complete")
+    edges = links.unionByName(whole.filter("node <> root").select(F.col("node").alias("u"), F.col("root").alias("v")).distinct())
+    for end in ("u", "v"):
+        links = links.join(full.select(F.col("node").alias(end)), end, "left_anti")
+    counts = _counts(links, nodes).unionByName(whole.select("node", "n")).groupBy("node").agg(F.sum("n").alias("n"))
+    return written(counts, "vectors-counts"), written(components(edges), "vectors-roots")
+
+
+def audit(nodes: DataFrame, counts: DataFrame, roots: DataFrame, dim: int, threshold: float) -> float:
+    """Recall of the final links at the audited nodes, which are all compared with every node.
+
+    A link whose ends are in different components is lost, whatever was counted.
     """
     few = nodes.orderBy(F.xxhash64("node"), "node").limit(AUDITED).select("node", "v").toArrow()
     if not few.num_rows:
@@ -220,14 +326,14 @@ def audit(nodes: DataFrame, graph: DataFrame, dim: int, threshold: float) -> flo
             q, c = np.nonzero(rows @ _units(batch.column("v"), dim).T >= threshold)
             other = batch.column("node").to_numpy()[c]
             own = ids[q] == other
-            yield pa.RecordBatch.from_arrays([pa.array(ids[q][~own]), pa.array(other[~own])], names=["node", "other"])
-
-    true = nodes.select("node", "v").mapInArrow(run, "node long, other long").groupBy("node").agg(F.count("*").alias("true"))
-    near = graph.filter(F.col("sim") >= threshold - 0.02)
-    both = near.select("node", "other").unionByName(near.select(F.col("other").alias("node"), F.col("node").alias("other"))).distinct()
-    have = both.groupBy("node").agg(F.count("*").alias("found"))
-    full = graph.groupBy("node").agg((F.min("sim") >= threshold).alias("full"), F.count("*").alias("entries")).filter("full")
-    sums = true.join(have, "node", "left").join(full, "node", "left").agg(F.sum("true").alias("t"), F.sum(F.when(F.col("full"), F.col("true")).otherwise(F.least("true", F.coalesce("found", F.lit(0))))).alias("f")).first()
+            many = batch.column("many").to_numpy()[c]
+            yield pa.RecordBatch.from_arrays([pa.array(ids[q][~own]), pa.array(other[~own]), pa.array(many[~own])], names=["node", "other", "many"])
+
+    true = nodes.select("node", "v", "many").mapInArrow(run, "node long, other long, many long")
+    root = lambda name: roots.select(F.col("node").alias(name), F.col("root").alias(f"{name}_root"))
+    together = F.when(F.col("node_root") == F.col("other_root"), F.col("many")).otherwise(0)
+    true = true.join(root("node"), "node", "left").join(root("other"), "other", "left").groupBy("node").agg(F.sum("many").alias("true"), F.sum(together).alias("together"))
+    sums = true.join(counts, "node", "left").agg(F.sum("true").alias("t"), F.sum(F.least("together", F.coalesce("n", F.lit(0)))).alias("f")).first()
     return 1.0 if not sums.t else sums.f / sums.t
 
 
@@ -246,15 +352,10 @@ def near_duplicates(vectors: DataFrame, threshold: float = 0.9, id_col: str = "v
             graph = new
             if changed <= 0.01 * count * k:
                 break
-        if audit(nodes, graph, dim, threshold) >= recall:
+        counts, roots = settle(graph, saturated(graph, k, threshold), nodes, dim, threshold)
+        if audit(nodes, counts, roots, dim, threshold) >= recall:
             break
         k *= 2
-    links = written(exact_links(graph.filter(F.col("sim") >= threshold - 0.02), nodes, dim, threshold), "vectors-links")
-    roots = written(components(links), "vectors-roots")
-    full = graph.groupBy("node").agg(F.min("sim").alias("least"), F.count("*").alias("entries")).filter((F.col("entries") >= k) & (F.col("least") >= threshold - 0.02))
-    saturated = roots.join(full, "node", "left_semi").select("root").distinct()
-    wanted = written(roots.join(saturated, "root", "left_semi").select("node", "root"), "vectors-saturated")
-    counts = _counts(links, nodes).join(wanted, "node", "left_anti").unionByName(enlarged(wanted, nodes, dim, threshold))
     per_node = nodes.join(counts, "node", "left").join(roots, "node", "left").select("v", "many", F.coalesce("root", "node").alias("root"), F.coalesce("n", F.lit(0)).alias("n"))
     rows = vectors.withColumn("v", F.transform("vector", lambda x: x.cast("double"))).drop("vector")
     rows = written(rows.join(per_node, "v", "left").select("id", "root", F.coalesce(F.col("n") + F.col("many") - 1, F.lit(0)).alias("n_links")), "vectors-rows")

@@ -247,6 +247,37 @@ def test_near_duplicates_equal_brute_force(spark, monkeypatch):
     assert got[101].component_id == 100 and not got[101].kept and got[100].kept
 
 
+def groups_of(rng, groups, size, dim=64):
+    """Tight groups near each other: cosine about 0.99 inside a group, 0.92 between groups."""
+    axes = np.linalg.qr(rng.standard_normal((dim, dim)))[0]
+    noise = rng.standard_normal((groups * size, dim))
+    noise /= np.linalg.norm(noise, axis=1)[:, None]
+    return np.sqrt(0.92) * axes[0] + np.sqrt(0.07) * axes[1 + np.arange(groups * size) // size] + 0.1 * noise
+
+
+def brute_links(x):
+    u = x / np.linalg.norm(x, axis=1)[:, None]
+    near = u @ u.T >= 0.9
+    np.fill_diagonal(near, False)
+    root = np.arange(len(x))
+    while (low := np.minimum(root, np.where(near, root, len(x)).min(axis=1))).tolist() != root.tolist():
+        root = low
+    return near.sum(axis=1).tolist(), root.tolist()
+
+
+def found_links(spark, x):
+    df = spark.createDataFrame([(i, v.tolist()) for i, v in enumerate(x)], "vec_id long, embedding array<double>").repartition(4)
+    got = sorted(nndescent.near_duplicates(df).collect())
+    return [r.n_links for r in got], [r.component_id for r in got]
+
+
+def test_links_between_saturated_groups(spark, monkeypatch):
+    monkeypatch.setattr(nndescent, "BLOCK", 64)
+    rng = np.random.default_rng(5)
+    x = np.vstack([groups_of(rng, 8, 30), rng.standard_normal((100, 64))])
+    assert found_links(spark, x) == brute_links(x)
+
+
 PAGE = '<html><head><title>T</title><style>p{}</style></head><body><div class="site-menu"><a href="/">Home</a></div><header><p>Daily, news, here.</p></header><div id="cookie-notice"><p>We use cookies, really.</p></div><main><article><h1>Title</h1><p>Real&nbsp;text, with <b>bold</b> and <a href="x">a link</a>.<br>Next &lt;line&gt;<p>Second paragraph</p><form><label>Mail</label></form><ul><li>item one</li></ul><section class="comments"><p>First! Nice, text.</p></section></article></main><aside><p>See also, this.</p></aside><footer>(c) me, you.</footer></body>'
 
 
