@@ -17,8 +17,9 @@ was ever compared is in their lists.
 
 An audit compares a fixed set of nodes with all others by brute force. While
 the final links and components lack more of the true links than `recall`
-allows, descent goes on with longer lists. All decisive cosines are computed
-in double precision.
+allows, descent goes on with longer lists. If `ATTEMPTS` descents are not
+enough, every node is treated as saturated, which finds all links. All decisive
+cosines are computed in double precision.
 
 Results, also for odd input:
 
@@ -49,6 +50,8 @@ BUCKET = 256
 #: Nodes of a bucket or component that meet in one task.
 BLOCK = 512
 MAX_ROUNDS = 8
+#: Descents with longer and longer lists before all nodes are compared.
+ATTEMPTS = 3
 AUDITED = 256
 #: Byte vectors may miss a cosine by as much.
 MARGIN = 0.02
@@ -344,7 +347,8 @@ def near_duplicates(vectors: DataFrame, threshold: float = 0.9, id_col: str = "v
     facts = nodes.agg(F.count("*").alias("n"), F.max(F.size("v")).alias("dim")).first()
     dim, count = facts.dim or 1, facts.n
     graph = written(_top(first_graph(nodes, dim, count, k), k), "vectors-graph")
-    for _ in range(3):
+    for attempt in range(ATTEMPTS):
+        k *= 2 if attempt else 1
         for _ in range(MAX_ROUNDS):
             found = written(descend(graph, nodes, dim, k), "vectors-found")
             new = written(_top(graph.unionByName(found), k), "vectors-graph")
@@ -355,7 +359,8 @@ def near_duplicates(vectors: DataFrame, threshold: float = 0.9, id_col: str = "v
         counts, roots = settle(graph, saturated(graph, k, threshold), nodes, dim, threshold)
         if audit(nodes, counts, roots, dim, threshold) >= recall:
             break
-        k *= 2
+    else:
+        counts, roots = settle(graph, nodes.select("node"), nodes, dim, threshold)
     per_node = nodes.join(counts, "node", "left").join(roots, "node", "left").select("v", "many", F.coalesce("root", "node").alias("root"), F.coalesce("n", F.lit(0)).alias("n"))
     rows = vectors.withColumn("v", F.transform("vector", lambda x: x.cast("double"))).drop("vector")
     rows = written(rows.join(per_node, "v", "left").select("id", "root", F.coalesce(F.col("n") + F.col("many") - 1, F.lit(0)).alias("n_links")), "vectors-rows")

@@ -278,6 +278,14 @@ def test_links_between_saturated_groups(spark, monkeypatch):
     assert found_links(spark, x) == brute_links(x)
 
 
+def test_links_are_whole_when_every_audit_fails(spark, monkeypatch):
+    monkeypatch.setattr(nndescent, "audit", lambda *_: 0.0)
+    monkeypatch.setattr(nndescent, "MAX_ROUNDS", 1)
+    rng = np.random.default_rng(6)
+    x = np.vstack([groups_of(rng, 1, 150), rng.standard_normal((50, 64))])
+    assert found_links(spark, x) == brute_links(x)
+
+
 PAGE = '<html><head><title>T</title><style>p{}</style></head><body><div class="site-menu"><a href="/">Home</a></div><header><p>Daily, news, here.</p></header><div id="cookie-notice"><p>We use cookies, really.</p></div><main><article><h1>Title</h1><p>Real&nbsp;text, with <b>bold</b> and <a href="x">a link</a>.<br>Next &lt;line&gt;<p>Second paragraph</p><form><label>Mail</label></form><ul><li>item one</li></ul><section class="comments"><p>First! Nice, text.</p></section></article></main><aside><p>See also, this.</p></aside><footer>(c) me, you.</footer></body>'
 
 
