@@ -1,7 +1,9 @@
 """Near-duplicate vectors by NN-descent over a neighbour graph.
 
 Identical vectors are one node with a multiplicity. The first graph comes from
-buckets of random hyperplanes. Then rounds of neighbours-of-neighbours joins
+buckets of random hyperplanes; the more bits a bucket has, the more tables
+there are, so that a pair at the threshold shares a bucket in some table with a
+probability of `COLLISION` whatever the size of the table. Then rounds of neighbours-of-neighbours joins
 refine it: every node's neighbours, forward and reverse, meet at the node and
 are compared with each other; what beats a neighbour list's worst entry
 replaces it. Rounds end when few entries change.
@@ -15,7 +17,9 @@ ball in blocks. Links are counted there and components joined, so no list has
 to hold them and no pair is written. A link between two unsaturated nodes that
 was ever compared is in their lists.
 
-An audit compares a fixed set of nodes with all others by brute force. While
+An audit compares nodes with all others by brute force, more and more of them
+until it has seen `MIN_LINKS` true links. If there are so few links that it has
+not after its limit, recall is unknown, and a warning says so. While
 the final links and components lack more of the true links than `recall`
 allows, descent goes on with longer lists. If `ATTEMPTS` descents are not
 enough, every node is treated as saturated, which finds all links. All decisive
@@ -35,6 +39,8 @@ Results, also for odd input:
 
 from __future__ import annotations
 
+import warnings
+
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, Window
@@ -45,14 +51,22 @@ from queuelens.llm.components import components
 from queuelens.llm.vectors import bounds, lists, map_groups, matrix, usable
 
 LISTS = 10
+#: Tables of hyperplanes that give neighbours; further ones give near pairs alone.
 TABLES = 6
+#: Probability that a pair at the threshold shares a bucket in some table.
+COLLISION = 0.99
 BUCKET = 256
 #: Nodes of a bucket or component that meet in one task.
 BLOCK = 512
 MAX_ROUNDS = 8
 #: Descents with longer and longer lists before all nodes are compared.
 ATTEMPTS = 3
+#: Nodes first audited, and true links that an audit has to see.
 AUDITED = 256
+MIN_LINKS = 100
+#: An audit ends at so many nodes or so many comparisons, whichever are more.
+AUDIT_NODES = 1 << 14
+AUDIT_PAIRS = 1 << 33
 #: Byte vectors may miss a cosine by as much.
 MARGIN = 0.02
 #: Cosine to its leader that a node has at least when it joins a ball.
@@ -89,31 +103,60 @@ def _best(ids: np.ndarray, sims: np.ndarray, k: int):
     return np.repeat(ids, k), ids[at].ravel(), np.take_along_axis(sims, at, axis=1).ravel()
 
 
-def first_graph(nodes: DataFrame, dim: int, count: int, k: int) -> DataFrame:
-    """Neighbours within the buckets of a few tables of random hyperplanes."""
+def _shrunk(batch: pa.RecordBatch, dim: int) -> pa.Array:
+    """Unit vectors with a byte per component."""
+    rows = np.clip(np.round(_units(batch.column("v"), dim) * 127), -127, 127).astype(np.int8)
+    return pa.array([r.tobytes() for r in rows], pa.binary())
+
+
+def _grown(column: pa.ChunkedArray, dim: int) -> np.ndarray:
+    rows = np.frombuffer(b"".join(column.to_pylist()), np.int8).reshape(-1, dim).astype(np.float32)
+    norm = np.linalg.norm(rows, axis=1)
+    return rows / np.where(norm > 0, norm, 1)[:, None]
+
+
+def tables_for(bits: int, threshold: float) -> int:
+    """Tables in one of which a pair at the threshold shares a bucket with the wanted probability."""
+    shared = (1 - np.arccos(np.clip(threshold, -1, 1)) / np.pi) ** bits
+    return TABLES if shared >= 1 else max(TABLES, int(np.ceil(np.log(1 - COLLISION) / np.log1p(-shared))))
+
+
+def first_graph(nodes: DataFrame, dim: int, count: int, k: int, threshold: float) -> DataFrame:
+    """Neighbours within the buckets of tables of random hyperplanes."""
     bits = max(1, int(np.ceil(np.log2(max(2, count / BUCKET)))))
+    tables = tables_for(bits, threshold)
 
     def codes(batches):
-        planes = np.random.default_rng(7).standard_normal((dim, TABLES * bits))
+        planes = np.random.default_rng(7).standard_normal((dim, tables * bits))
+        for whole in batches:
+            for start in range(0, whole.num_rows, BLOCK):
+                batch = whole.slice(start, BLOCK)
+                side = (matrix(batch.column("v"), dim) @ planes > 0).reshape(-1, tables, bits)
+                bucket = side @ (1 << np.arange(bits)) + (np.arange(tables) << bits)
+                ids = batch.column("node").to_numpy()
+                yield pa.RecordBatch.from_arrays([pa.array(np.repeat(ids, tables)), pa.array(bucket.ravel().astype(np.int64))], names=["node", "bucket"])
+
+    def shrink(batches):
         for batch in batches:
-            side = (matrix(batch.column("v"), dim) @ planes > 0).reshape(-1, TABLES, bits)
-            bucket = side @ (1 << np.arange(bits)) + (np.arange(TABLES) << bits)
-            ids = batch.column("node").to_numpy()
-            yield pa.RecordBatch.from_arrays([pa.array(np.repeat(ids, TABLES)), pa.array(bucket.ravel().astype(np.int64))], names=["node", "bucket"])
+            yield pa.RecordBatch.from_arrays([batch.column("node"), _shrunk(batch, dim)], names=["node", "v"])
 
     placed = written(nodes.select("node", "v").mapInArrow(codes, "node long, bucket long"), "vectors-buckets")
     # Large buckets are dealt out into blocks.
     blocks = placed.groupBy("bucket").agg(F.ceil(F.count("*") / BLOCK).cast("long").alias("blocks"))
-    placed = placed.join(blocks, "bucket").select("node", F.xxhash64("bucket", F.pmod(F.xxhash64("node", "bucket"), "blocks")).alias("place"))
-    met = placed.join(nodes.select("node", "v"), "node")
+    further = F.col("bucket") >= (TABLES << bits)
+    placed = placed.join(blocks, "bucket").select("node", further.alias("further"), F.xxhash64("bucket", F.pmod(F.xxhash64("node", "bucket"), "blocks")).alias("place"))
+    met = placed.join(nodes.select("node", "v").mapInArrow(shrink, "node long, v binary"), "node")
 
     def work(table: pa.Table):
-        ids, rows = table.column("node").to_numpy(), _units(table.column("v"), dim).astype(np.float32)
+        ids, rows = table.column("node").to_numpy(), _grown(table.column("v"), dim)
+        near_only = table.column("further").to_numpy()
         edge = bounds(table.column("place").to_numpy())
         for a, b in zip(edge[:-1], edge[1:]):
-            yield _graph_batch(*_best(ids[a:b], rows[a:b] @ rows[a:b].T, k))
+            node, other, sim = _best(ids[a:b], rows[a:b] @ rows[a:b].T, k)
+            keep = sim >= (threshold - MARGIN if near_only[a] else -2)
+            yield _graph_batch(node[keep], other[keep], sim[keep].astype(float))
 
-    return map_groups(met.select("place", "node", "v"), "place", work, _GRAPH)
+    return map_groups(met.select("place", "further", "node", "v"), "place", work, _GRAPH)
 
 
 def _top(graph: DataFrame, k: int) -> DataFrame:
@@ -139,18 +182,14 @@ def descend(graph: DataFrame, nodes: DataFrame, dim: int, k: int) -> DataFrame:
 
     def shrink(batches):
         for batch in batches:
-            rows = np.clip(np.round(_units(batch.column("v"), dim) * 127), -127, 127).astype(np.int8)
-            packed = pa.array([r.tobytes() for r in rows], pa.binary())
-            yield pa.RecordBatch.from_arrays([batch.column("other"), packed, batch.column("worst")], names=["other", "v", "worst"])
+            yield pa.RecordBatch.from_arrays([batch.column("other"), _shrunk(batch, dim), batch.column("worst")], names=["other", "v", "worst"])
 
     met = met.join(small.mapInArrow(shrink, "other long, v binary, worst double"), "other")
 
     def work(table: pa.Table):
         centre = table.column("node").to_numpy()
         ids, worst = table.column("other").to_numpy(), table.column("worst").to_numpy()
-        rows = np.frombuffer(b"".join(table.column("v").to_pylist()), np.int8).reshape(-1, dim).astype(np.float32)
-        norm = np.linalg.norm(rows, axis=1)
-        rows /= np.where(norm > 0, norm, 1)[:, None]
+        rows = _grown(table.column("v"), dim)
         edge = bounds(centre)
         size = np.diff(edge)
         for n in np.unique(size):  # groups of equal size at once
@@ -314,30 +353,47 @@ def settle(graph: DataFrame, full: DataFrame, nodes: DataFrame, dim: int, thresh
     return written(counts, "vectors-counts"), written(components(edges), "vectors-roots")
 
 
-def audit(nodes: DataFrame, counts: DataFrame, roots: DataFrame, dim: int, threshold: float) -> float:
-    """Recall of the final links at the audited nodes, which are all compared with every node.
-
-    A link whose ends are in different components is lost, whatever was counted.
-    """
-    few = nodes.orderBy(F.xxhash64("node"), "node").limit(AUDITED).select("node", "v").toArrow()
-    if not few.num_rows:
-        return 1.0
+def _audited(few: pa.Table, nodes: DataFrame, counts: DataFrame, roots: DataFrame, dim: int, threshold: float) -> tuple[int, int]:
+    """(true, found): links of the nodes `few`, which are all compared with every node."""
     ids, rows = few.column("node").to_numpy(), _units(few.column("v"), dim)
 
     def run(batches):
-        for batch in batches:
-            q, c = np.nonzero(rows @ _units(batch.column("v"), dim).T >= threshold)
-            other = batch.column("node").to_numpy()[c]
-            own = ids[q] == other
-            many = batch.column("many").to_numpy()[c]
-            yield pa.RecordBatch.from_arrays([pa.array(ids[q][~own]), pa.array(other[~own]), pa.array(many[~own])], names=["node", "other", "many"])
+        for whole in batches:
+            for start in range(0, whole.num_rows, BLOCK):
+                batch = whole.slice(start, BLOCK)
+                q, c = np.nonzero(rows @ _units(batch.column("v"), dim).T >= threshold)
+                other, many = (batch.column(name).to_numpy()[c] for name in ("node", "many"))
+                own = ids[q] == other
+                yield pa.RecordBatch.from_arrays([pa.array(ids[q][~own]), pa.array(other[~own]), pa.array(many[~own])], names=["node", "other", "many"])
 
     true = nodes.select("node", "v", "many").mapInArrow(run, "node long, other long, many long")
     root = lambda name: roots.select(F.col("node").alias(name), F.col("root").alias(f"{name}_root"))
     together = F.when(F.col("node_root") == F.col("other_root"), F.col("many")).otherwise(0)
     true = true.join(root("node"), "node", "left").join(root("other"), "other", "left").groupBy("node").agg(F.sum("many").alias("true"), F.sum(together).alias("together"))
     sums = true.join(counts, "node", "left").agg(F.sum("true").alias("t"), F.sum(F.least("together", F.coalesce("n", F.lit(0)))).alias("f")).first()
-    return 1.0 if not sums.t else sums.f / sums.t
+    return sums.t or 0, sums.f or 0
+
+
+def audit(nodes: DataFrame, counts: DataFrame, roots: DataFrame, dim: int, threshold: float) -> float | None:
+    """Recall of the final links at the audited nodes; None if too few links were seen to tell.
+
+    A link whose ends are in different components is lost, whatever was counted.
+    """
+    count = nodes.count()
+    parts = -(-count // AUDITED)
+    most = max(AUDIT_NODES, AUDIT_PAIRS // max(1, count)) // AUDITED
+    done, step, true, found = 0, 1, 0, 0
+    while done < min(parts, most) and true < MIN_LINKS:
+        part = F.pmod(F.xxhash64("node"), F.lit(parts))
+        few = nodes.filter((part >= done) & (part < done + step)).select("node", "v").toArrow()
+        done += step
+        step = max(1, min(4 * step, PASS_BYTES // (8 * dim * AUDITED)))
+        if few.num_rows:
+            t, f = _audited(few, nodes, counts, roots, dim, threshold)
+            true, found = true + t, found + f
+    if true < MIN_LINKS and done < parts and found == true:
+        return None
+    return found / true if true else 1.0
 
 
 def near_duplicates(vectors: DataFrame, threshold: float = 0.9, id_col: str = "vec_id", vector_col: str = "embedding", recall: float = 0.99, k: int = LISTS) -> DataFrame:
@@ -346,7 +402,7 @@ def near_duplicates(vectors: DataFrame, threshold: float = 0.9, id_col: str = "v
     nodes = nodes_of(vectors, "vector")
     facts = nodes.agg(F.count("*").alias("n"), F.max(F.size("v")).alias("dim")).first()
     dim, count = facts.dim or 1, facts.n
-    graph = written(_top(first_graph(nodes, dim, count, k), k), "vectors-graph")
+    graph = written(_top(first_graph(nodes, dim, count, k, threshold), k), "vectors-graph")
     for attempt in range(ATTEMPTS):
         k *= 2 if attempt else 1
         for _ in range(MAX_ROUNDS):
@@ -357,7 +413,10 @@ def near_duplicates(vectors: DataFrame, threshold: float = 0.9, id_col: str = "v
             if changed <= 0.01 * count * k:
                 break
         counts, roots = settle(graph, saturated(graph, k, threshold), nodes, dim, threshold)
-        if audit(nodes, counts, roots, dim, threshold) >= recall:
+        reached = audit(nodes, counts, roots, dim, threshold)
+        if reached is None:
+            warnings.warn("recall of near-duplicate links is unknown: the audit saw too few links", stacklevel=2)
+        if reached is None or reached >= recall:
             break
     else:
         counts, roots = settle(graph, nodes.select("node"), nodes, dim, threshold)

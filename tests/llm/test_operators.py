@@ -286,6 +286,22 @@ def test_links_are_whole_when_every_audit_fails(spark, monkeypatch):
     assert found_links(spark, x) == brute_links(x)
 
 
+def test_tables_grow_with_bits():
+    side = 1 - np.arccos(0.9) / np.pi
+    assert all(1 - (1 - side**bits) ** nndescent.tables_for(bits, 0.9) >= 0.99 for bits in range(1, 20))
+
+
+def test_audit_sees_few_links_and_knows_when_it_saw_none(spark, monkeypatch):
+    x = np.random.default_rng(8).standard_normal((2000, 32))
+    x[1] = x[0] + 0.01
+    nodes = spark.createDataFrame([(i, v.tolist(), 1) for i, v in enumerate(x)], "node long, v array<double>, many long")
+    none = spark.createDataFrame([], "node long, n long"), spark.createDataFrame([], "node long, root long")
+    assert nndescent.audit(nodes, *none, 32, 0.9) == 0
+    monkeypatch.setattr(nndescent, "AUDIT_NODES", 256)
+    monkeypatch.setattr(nndescent, "AUDIT_PAIRS", 1)
+    assert nndescent.audit(nodes.filter("node > 0"), *none, 32, 0.9) is None
+
+
 PAGE = '<html><head><title>T</title><style>p{}</style></head><body><div class="site-menu"><a href="/">Home</a></div><header><p>Daily, news, here.</p></header><div id="cookie-notice"><p>We use cookies, really.</p></div><main><article><h1>Title</h1><p>Real&nbsp;text, with <b>bold</b> and <a href="x">a link</a>.<br>Next &lt;line&gt;<p>Second paragraph</p><form><label>Mail</label></form><ul><li>item one</li></ul><section class="comments"><p>First! Nice, text.</p></section></article></main><aside><p>See also, this.</p></aside><footer>(c) me, you.</footer></body>'
 
 
