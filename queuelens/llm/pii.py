@@ -6,8 +6,10 @@ every character it writes to the source characters it stands for:
 
 1. homoglyphs and full-width forms become the ASCII characters they imitate,
    invisible characters vanish;
-2. spelled digits ("five", "cinq", "null") become digits, where at least
-   `SPELLED_RUN` of them follow one another; "double" and "triple" repeat;
+2. spelled digits ("five", "cinq", "null") become digits in runs, also of
+   words and figures, that stand for `SPELLED_RUN` digits or have three dots;
+   "double" and "triple" repeat, spelled dots between digits become ".", and
+   the digits between two dots are written together;
 3. "at" and "dot" in brackets, or spelled between the parts of an address,
    become "@" and ".".
 
@@ -49,8 +51,8 @@ BASE = {
     "phone": r"\+[0-9][\x20().0-9-]+[0-9]",
 }
 PATTERNS = {k: re.compile(v) for k, v in BASE.items()}
-#: As many spelled digits in a row are read as a number.
-SPELLED_RUN = 7
+#: The digits of the shortest identifier without dots; a run of spelled digits and figures stands for as many.
+SPELLED_RUN = 9
 #: Digits spelled in the four languages of the corpus.
 DIGIT_WORDS = {
     "0": "zero oh zéro null cero",
@@ -93,8 +95,11 @@ GLYPHS = _glyphs()
 _VALUE = {w: d for d, words in DIGIT_WORDS.items() for w in words.split()}
 _WORD = "|".join(sorted(_VALUE, key=len, reverse=True))
 _UNIT = rf"(?:(?:double|triple)[ -]+)?(?:{_WORD}|[0-9]+)"
-_SPELLED = re.compile(rf"(?<!\w)(?:\+|plus[ -]+)?{_UNIT}(?:[ ,.()-]+{_UNIT})+(?!\w)", re.IGNORECASE)
-_PARTS = re.compile(rf"(?P<many>double|triple)[ -]+(?={_WORD}|[0-9])|(?P<word>{_WORD})(?!\w)|(?P<plus>plus[ -]+)", re.IGNORECASE)
+_SPELLED_DOT = r"(?:\s*[\[({<]\s*(?:dot|point|punkt|punto|\.)\s*[\])}>]\s*|[ ,.()-]+(?:dot|point|punkt|punto)[ ,.()-]+)"
+_SPELLED = re.compile(rf"(?<!\w)(?:\+|plus[ -]+)?{_UNIT}(?:(?:{_SPELLED_DOT}|[ ,.()-]+){_UNIT})+(?!\w)", re.IGNORECASE)
+_PARTS = re.compile(rf"(?P<many>double|triple)[ -]+(?={_WORD}|[0-9])|(?P<word>{_WORD})(?!\w)|(?P<figure>[0-9]+)|(?P<plus>plus[ -]+)", re.IGNORECASE)
+_DOT_GAP = re.compile(rf"{_SPELLED_DOT}|\s*\.\s*", re.IGNORECASE)
+_SPACES = re.compile(r"[ ,]+")
 _AT = r"(?:\s*[\[({<]\s*(?:at|@|arroba|arobase|klammeraffe)\s*[\])}>]\s*|\s+(?:at|arroba|arobase)\s+)"
 _DOT = r"(?:\s*[\[({<]\s*(?:dot|point|punkt|punto|\.)\s*[\])}>]\s*|\s+(?:dot|punkt|punto)\s+|\.)"
 _LABEL = r"[A-Za-z0-9-]+"
@@ -210,12 +215,17 @@ def triggers(column: pa.Array) -> tuple[np.ndarray, np.ndarray]:
     dotted = np.zeros(len(column), bool)
     dotted[text[member(word, _word_hashes(list(_DOT_WORDS)))]] = True
     digit = member(word, _word_hashes(list(_VALUE)))
-    # Spelled digits in a row; figures and multiples may stand among them.
-    among = digit | member(word, _word_hashes(["double", "triple", "plus"])) | ((data[start] >= 48) & (data[start] <= 57))
+    # Spelled digits in a row; figures, multiples and dots may stand among them.
+    figure = (data[start] >= 48) & (data[start] <= 57)
+    double, triple = member(word, _word_hashes(["double"])), member(word, _word_hashes(["triple"]))
+    among = digit | figure | double | triple | member(word, _word_hashes(["plus", *_DOT_WORDS]))
+    stands = np.where(digit, 1, np.where(figure, end - start, 0))
+    stands = stands + np.append(stands[1:], 0) * (double + 2 * triple)
     part = np.cumsum(np.append(True, ~among[1:] | ~among[:-1] | (text[1:] != text[:-1]))[: len(word)]) - 1
     spelled = np.zeros(len(column), bool)
     if len(word):
-        enough = np.bincount(part, digit) >= SPELLED_RUN
+        words = np.bincount(part, digit | double | triple)
+        enough = (words > 0) & ((np.bincount(part, stands) >= SPELLED_RUN) | (np.bincount(part, digit | figure) >= 4))
         spelled[text[enough[part]]] = True
     return spelled, dotted
 
@@ -227,27 +237,55 @@ def unglyph(tape: Tape) -> Tape:
 def unspell(tape: Tape) -> Tape:
     edits = []
     for run in _SPELLED.finditer(tape.text):
-        parts = list(_PARTS.finditer(tape.text, run.start(), run.end()))
-        if sum(m["word"] is not None for m in parts) < SPELLED_RUN:
-            continue
-        many = 1
-        own: list[tuple[int, int, str]] = []
-        for m in parts:
+        parts, many = [], 1
+        for m in _PARTS.finditer(tape.text, run.start(), run.end()):
             if m["many"]:
                 many = 2 if m["many"].lower() == "double" else 3
-                own.append((m.start(), m.end(), ""))
+                parts.append((m.start(), m.end(), ""))
             elif m["plus"]:
-                own.append((m.start(), m.end(), "+"))
+                parts.append((m.start(), m.end(), "+"))
             else:
-                digit = _VALUE[m["word"].lower()]
-                own.append((m.start(), m.end(), digit * many))
+                parts.append((m.start(), m.end(), (m["figure"] or _VALUE[m["word"].lower()]) * many))
                 many = 1
-        # Between two digits, commas count as spaces.
-        own += [(m.start(), m.end(), " ") for m in re.finditer(r"[ ,]+", tape.text[: run.end()]) if m.start() >= run.start() and not any(a < m.end() and m.start() < b for a, b, _ in own)]
-        edits += sorted(own)
+        gaps = [(x[1], y[0]) for x, y in zip(parts, parts[1:])]
+        dots = [_DOT_GAP.fullmatch(tape.text, a, b) is not None for a, b in gaps]
+        digits = [new if new.isdigit() else "" for _, _, new in parts]
+        if all(new == tape.text[a:b] for a, b, new in parts) or sum(map(len, digits)) < SPELLED_RUN and sum(dots) < 3:
+            continue
+        together = _octets(digits, dots) if sum(dots) >= 3 else set()
+        for i, (a, b, new) in enumerate(parts):
+            if new != tape.text[a:b]:
+                edits.append((a, b, new))
+            if i == len(gaps) or gaps[i][0] == gaps[i][1]:
+                continue
+            if dots[i]:
+                edits.append((*gaps[i], "."))
+            elif i in together and not tape.text[slice(*gaps[i])].strip(" -"):
+                edits.append((*gaps[i], ""))
+            else:  # between two digits, commas count as spaces
+                edits += [(m.start(), m.end(), " ") for m in _SPACES.finditer(tape.text, *gaps[i])]
     return tape.rewrite(edits)
 
 
+def _octets(digits: list[str], dots: list[bool]) -> set[int]:
+    """The gaps that vanish: those between two dots, and beside the first and last one as far as an octet goes."""
+    first, last = dots.index(True), len(dots) - 1 - dots[::-1].index(True)
+    out = {i for i in range(first, last) if not dots[i]}
+    octet = digits[first]
+    for i in range(first - 1, -1, -1):
+        octet = digits[i] + octet
+        if len(octet) > 3 or octet and int(octet) > 255:
+            break
+        out.add(i)
+    octet = digits[last + 1]
+    for i in range(last + 1, len(dots)):
+        octet += digits[i + 1]
+        if len(octet) > 3 or octet and int(octet) > 255:
+            break
+        out.add(i)
+    return out
+
+
 def unmask(tape: Tape) -> Tape:
     """Write @ and . for their disguises inside addresses."""
     edits = []

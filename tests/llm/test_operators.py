@@ -141,6 +141,23 @@ def test_pii_deobfuscation(spark):
     assert "john" not in pii.find(df).filter("doc_id = 1").first().redacted
 
 
+SPELLED = {
+    "at one nine two dot one six eight dot zero dot one ok": [("ip", "one nine two dot one six eight dot zero dot one")],
+    "host one nine two point 168 point zero point double one": [("ip", "one nine two point 168 point zero point double one")],
+    "call +44 20 seven nine four six 0958 now": [("phone", "+44 20 seven nine four six 0958")],
+    "plus triple five double one double two three four.": [("phone", "plus triple five double one double two three four")],
+    "pay 4111 one one one one 1111 double 1 11 please": [("card", "4111 one one one one 1111 double 1 11")],
+    "one, two, three dot four; point two five": [],
+    "en 1999 un 2 dos, nine one dot five": [],
+}
+
+
+def test_spelled_identifiers_of_few_words(spark):
+    df = spark.createDataFrame(list(enumerate(SPELLED)), "doc_id long, text string")
+    for r in pii.find(df).collect():
+        assert [(s.kind, r.text[s.start : s.end]) for s in r.pii] == SPELLED[r.text]
+
+
 def test_op5_columns(spark):
     got = op5_pii.op5_pii(spark, SF)
     assert got.columns == ["doc_id", "n_email", "n_ip", "n_card", "n_phone", "base_sha256", "spans"]
