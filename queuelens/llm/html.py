@@ -5,11 +5,12 @@ tags. Per path, text length and punctuation are summed and divided by the
 number of blocks: the path's text ratio and its punctuation ratio; the share
 of text outside links weighs both. The fused ratio of a block's path is
 smoothed along the page with a Gaussian window that does not reach over the
-ends of a container, and paths whose smoothed ratio stays under a threshold
-are not content. Paths through elements that by name, role, class or id are
+ends of a container. Blocks whose smoothed ratio reaches a threshold say where
+the content is: all unmarked text in the lowest container that holds them is
+kept, so that lists, tables and headings between paragraphs stay. Paths through elements that by name, role, class or id are
 menus, headers, footers, sidebars, notices, adverts, forms or comments have
-ratio 0. Inside an `article` or `main` element the threshold is 0, as these
-mark content themselves: headings and short paragraphs in it stay.
+ratio 0. Where `article` and `main` elements hold most of the text, they are
+the content: headings and short paragraphs in them stay, and all else goes.
 
 Results, also for odd input:
 
@@ -56,6 +57,7 @@ MARKS = frozenset(
     "comment comments disqus respond replies reply hidden".split()
 )
 CONTENT = frozenset(["article", "main"])
+CONTAINERS = frozenset("div section article main body html".split())
 #: Outside article and main: content has at least this part of the best smoothed ratio.
 THRESHOLD = 0.25
 _TOKEN = re.compile(r"<!--.*?(?:-->|\Z)|<(/?)([a-zA-Z][^\s/>]*)((?:[^>\"']|\"[^\"]*\"|'[^']*')*)>|<[!?][^>]*>", re.DOTALL)
@@ -75,11 +77,53 @@ def marked(attributes: str) -> bool:
     return False
 
 
+def named_so(attributes: str) -> bool:
+    """Whether an outermost article is no content: hidden, or with a whole name that is a mark.
+
+    Names such as comments-open speak of the page that the article is.
+    """
+    for m in _ATTRIBUTE.finditer(attributes):
+        name, value = m[1].lower(), m[2] or m[3] or m[4] or ""
+        if name in ("class", "id", "role"):
+            if any(re.sub(r"[-_]?[0-9]+$", "", w.lower()) in MARKS for w in value.split()):
+                return True
+        elif marked(m[0]):
+            return True
+    return False
+
+
+class Element:
+    __slots__ = ("tag", "up", "depth")
+
+    def __init__(self, tag: str, up: Element | None):
+        self.tag, self.up, self.depth = tag, up, up.depth + 1 if up else 0
+
+
+def _container(elements: list[Element]) -> Element:
+    """The lowest container that holds all of them."""
+    low = elements[0]
+    for e in elements[1:]:
+        while low is not e:
+            if low.depth >= e.depth:
+                low = low.up
+            else:
+                e = e.up
+    while low.up is not None and low.tag not in CONTAINERS:
+        low = low.up
+    return low
+
+
+def _within(element: Element, container: Element) -> bool:
+    while element.depth > container.depth:
+        element = element.up
+    return element is container
+
+
 class Block:
-    __slots__ = ("path", "parent", "text", "links", "inside", "skipped")
+    __slots__ = ("path", "parent", "text", "links", "inside", "skipped", "element")
 
-    def __init__(self, path: str, parent: str, inside: bool, skipped: bool):
-        self.path, self.parent, self.inside, self.skipped = path, parent, inside, skipped
+    def __init__(self, path: str, parent: str, inside: bool, skipped: bool, element: Element):
+        self.path, self.parent, self.inside, self.skipped, self.element = path, parent, inside, skipped, element
         self.text: list[str] = []
         self.links = 0
 
@@ -88,7 +132,7 @@ def blocks(page: str) -> list[Block]:
     """Blocks of text in page order, each with its path of block tags."""
     out: list[Block] = []
     stack: list[tuple[str, bool, bool]] = []  # tag, inside content, skipped
-    paths = [""]
+    paths, elements = [""], [Element("", None)]
     block: Block | None = None
     links, at, size = 0, 0, len(page)
 
@@ -98,7 +142,7 @@ def blocks(page: str) -> list[Block]:
             if not raw or raw.isspace():
                 return
             top = stack[-1] if stack else ("", False, False)
-            block = Block(paths[-1], paths[-2] if len(paths) > 1 else "", top[1], top[2])
+            block = Block(paths[-1], paths[-2] if len(paths) > 1 else "", top[1], top[2], elements[-1])
             out.append(block)
         block.text.append(raw)
         if links:
@@ -124,7 +168,7 @@ def blocks(page: str) -> list[Block]:
             block = None
             for depth in range(len(stack) - 1, -1, -1):
                 if stack[depth][0] == tag:
-                    del stack[depth:], paths[depth + 1 :]
+                    del stack[depth:], paths[depth + 1 :], elements[depth + 1 :]
                     links = 0
                     break
             continue
@@ -153,15 +197,18 @@ def blocks(page: str) -> list[Block]:
         while stack and tag in CLOSED_BY.get(stack[-1][0], ()):
             stack.pop()
             paths.pop()
+            elements.pop()
         if m[3].endswith("/") and tag in ("svg", "path", "math"):
             continue
         inside, skipped = (stack[-1][1], stack[-1][2]) if stack else (False, False)
         named = tag in SKIPPED and not (tag == "header" and inside)
         # What marks the whole page says nothing about its parts.
-        skipped = skipped or named or (tag not in ("html", "body", "article", "main") or inside) and marked(m[3])
+        outermost = tag == "article" and not inside and named_so(m[3])
+        skipped = skipped or named or outermost or (tag not in ("html", "body", "article", "main") or inside) and marked(m[3])
         inside = inside or tag in CONTENT and not skipped
         stack.append((tag, inside, skipped))
         paths.append(f"{paths[-1]}/{tag}")
+        elements.append(Element(tag, elements[-1]))
     return out
 
 
@@ -183,11 +230,16 @@ def content(page: str) -> str:
         fused[key] = 0.0 if key[1] or not length else length / n * (1 + marks / n) * (1 - links / length)
     ratio = np.array([fused[b.path, b.skipped] for b in found])
     smooth = smoothed(ratio, [(b.inside, b.skipped, b.parent if not b.inside else "") for b in found])
-    if any(b.inside and not b.skipped for b in found):
+    held = [0, 0]  # text outside and inside article and main
+    for b, t, r in zip(found, text, ratio):
+        held[b.inside] += len(t) * (r > 0)
+    if held[1] > held[0]:
         keep = [b.inside and not b.skipped and s > 0 for b, s in zip(found, smooth)]
     else:
         bound = THRESHOLD * smooth.max()
-        keep = [s > 0 and s >= bound for s in smooth]
+        best = [b.element for b, s in zip(found, smooth) if not b.skipped and s > 0 and s >= bound]
+        low = _container(best) if best else None
+        keep = [low is not None and not b.skipped and _within(b.element, low) for b in found]
     return " ".join(t for t, k in zip(text, keep) if k and t)
 
 

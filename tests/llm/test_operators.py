@@ -331,6 +331,20 @@ def test_html_without_article():
     assert html.content(page) == "Long enough text, with marks, and more of it here. And another one, as long as that, or longer."
 
 
+def test_html_keeps_a_post_beside_articles():
+    post = "The post itself, with several sentences. It is long enough, and it has marks."
+    page = f'<body><nav>Home</nav><div class="page"><div class="post"><h1>Head</h1><p>{post}</p></div><article class="comment"><p>First! A comment, not short either.</p></article></div>'
+    assert html.content(page) == f"Head {post}"
+    assert html.content(page.replace('"comment"', '"teaser"').replace("A comment, not short either.", "Short.")).startswith(f"Head {post}")
+    assert html.content(f'<body><p>Some.</p><article class="post comments-open"><p>{post}</p></article>') == post
+
+
+def test_html_keeps_lists_and_tables_between_paragraphs():
+    long = "A paragraph of some length, with marks, and much more than that. " * 6
+    page = f"<body><div><a href=1>Menu</a></div><div><p>{long}</p><ul><li>forty characters of an item of a list</li></ul><table><tr><td>cell</td></tr></table><p>{long}</p></div>"
+    assert html.content(page) == f"{long.strip()} forty characters of an item of a list cell {long.strip()}"
+
+
 def test_pipeline_keeps_clean_documents(spark):
     import corpus_pipeline as C
 
