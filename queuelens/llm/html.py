@@ -2,30 +2,39 @@
 
 A page is cut into blocks of text, each with its root-to-leaf path of block
 tags. Per path, text length and punctuation are summed and divided by the
-number of blocks: the path's text ratio and its punctuation ratio; the share
-of text outside links weighs both. The fused ratio of a block's path is
-smoothed along the page with a Gaussian window that does not reach over the
-ends of a container. Blocks whose smoothed ratio reaches a threshold say where
-the content is: all unmarked text in the lowest container that holds them is
-kept, so that lists, tables and headings between paragraphs stay. Paths through elements that by name, role, class or id are
-menus, headers, footers, sidebars, notices, adverts, forms or comments have
-ratio 0. Where `article` and `main` elements hold most of the text, they are
-the content: headings and short paragraphs in them stay, and all else goes.
+number of blocks: the path's text ratio (of text outside links) and its
+punctuation ratio, fused into one. Names are only a prior on it: what lies in
+elements that are menus, headers, footers, sidebars, dialogs or forms by their
+tag has weight 0, what is marked so by class, id or role has weight `MARKED`.
+The fused ratio of a block's path is smoothed along the page with a Gaussian
+window that does not reach over the ends of a container.
+
+Content nodes follow from the ratios. Blocks whose smoothed ratio reaches
+`THRESHOLD` of the best one are the core; the lowest container that holds the
+core is the content node. Where `article` and `main` elements hold most of the
+weighted text (text in them counts `NAMED` times), they are the content nodes.
+In a content node everything is kept whose path is no menu (`MENU` of its text
+in links, and less than a mark of punctuation per block) and whose weight is
+that of the core: lists, tables, headings and short paragraphs stay.
 
 Results, also for odd input:
 
 * null, empty and text-free pages give an empty text;
 * character references are decoded, white space in a block becomes one space,
   blocks are trimmed and joined by one space in page order;
-* unclosed and stray tags, comments, scripts and cut-off pages are read as
-  browsers read them, as far as blocks are concerned;
-* pages of any length are read whole; repeated rows give equal results;
+* tags, attributes and comments are cut as browsers cut them (quotes count
+  after an equals sign alone; what follows a tag that never ends is lost);
+  unclosed and stray tags are read as far as blocks are concerned;
+* adverts and hidden parts go also as inline elements within a block;
+* pages of any length and depth are read whole, in linear time; repeated rows
+  give equal results;
 * an empty table gives no rows; columns named like an output are replaced.
 """
 
 from __future__ import annotations
 
 import re
+from collections import Counter
 from html import unescape
 
 import numpy as np
@@ -58,119 +67,161 @@ MARKS = frozenset(
 )
 CONTENT = frozenset(["article", "main"])
 CONTAINERS = frozenset("div section article main body html".split())
-#: Outside article and main: content has at least this part of the best smoothed ratio.
+#: Part of the best smoothed ratio that makes a block one of the core.
 THRESHOLD = 0.25
-_TOKEN = re.compile(r"<!--.*?(?:-->|\Z)|<(/?)([a-zA-Z][^\s/>]*)((?:[^>\"']|\"[^\"]*\"|'[^']*')*)>|<[!?][^>]*>", re.DOTALL)
-_ATTRIBUTE = re.compile(r"(?:^|\s)(class|id|role|hidden|aria-hidden|style)(?:\s*=\s*(?:\"([^\"]*)\"|'([^']*)'|([^\s\"'>]+)))?(?=\s|/|$)", re.IGNORECASE)
+#: How much text in article and main counts against text elsewhere.
+NAMED = 4
+#: Weight of what a name marks as no content.
+MARKED = 0.02
+#: Share of link text that makes a path a menu.
+MENU = 0.8
+_W = r" \t\n\f\r"
+# Possessive throughout: no character is read again.
+_VALUE = rf"(?>\"[^\"]*+\"|'[^']*+'|(?![\"'])[^{_W}>]++)"
+_TAG = re.compile(rf"<(/?)([a-zA-Z][^{_W}/>]*+)((?>[{_W}/]++|=?[^{_W}/>=]++(?>[{_W}]*+=[{_W}]*+{_VALUE}?+)?+|=)*+)>")
+_ATTRIBUTE = re.compile(rf"(=?[^{_W}/>=]++)(?>[{_W}]*+=[{_W}]*+({_VALUE})?+)?+")
+_COMMENT_END = re.compile(r"--!?>")
+_NONE = re.compile(r"display\s*:\s*none")
 _NAME = re.compile(r"[A-Z]?[a-z]+|[A-Z]+")
 _MARKS = re.compile(r"[.,;:!?。，；：！？…]")
+_ZEROS = re.compile(r"&#([xX]?)0{6,}+")
+_HUGE = re.compile(r"&#(?:[xX][0-9a-fA-F]{7,}+|[0-9]{8,}+);?")
 
 
-def marked(attributes: str) -> bool:
+def attributes(text: str) -> list[tuple[str, str]]:
+    """(name, value) of the attributes in a tag; names in lower case."""
+    found = []
+    for m in _ATTRIBUTE.finditer(text):
+        value = m[2] or ""
+        found.append((m[1].lower(), value[1:-1] if value[:1] in ("'", '"') else value))
+    return found
+
+
+def _hidden(name: str, value: str) -> bool:
+    return name == "hidden" or name == "aria-hidden" and value == "true" or name == "style" and _NONE.search(value) is not None
+
+
+def marked(text: str) -> bool:
     """Whether an element's attributes say that it is no content."""
-    for m in _ATTRIBUTE.finditer(attributes):
-        name, value = m[1].lower(), m[2] or m[3] or m[4] or ""
-        if name == "hidden" or name == "aria-hidden" and value == "true" or name == "style" and re.search(r"display\s*:\s*none", value):
-            return True
-        if name in ("class", "id", "role") and any(w.lower() in MARKS for w in _NAME.findall(value)):
+    for name, value in attributes(text) if text else ():
+        if _hidden(name, value) or name in ("class", "id", "role") and any(w.lower() in MARKS for w in _NAME.findall(value)):
             return True
     return False
 
 
-def named_so(attributes: str) -> bool:
+def named_so(text: str) -> bool:
     """Whether an outermost article is no content: hidden, or with a whole name that is a mark.
 
     Names such as comments-open speak of the page that the article is.
     """
-    for m in _ATTRIBUTE.finditer(attributes):
-        name, value = m[1].lower(), m[2] or m[3] or m[4] or ""
-        if name in ("class", "id", "role"):
-            if any(re.sub(r"[-_]?[0-9]+$", "", w.lower()) in MARKS for w in value.split()):
-                return True
-        elif marked(m[0]):
+    for name, value in attributes(text):
+        if _hidden(name, value) or name in ("class", "id", "role") and any(re.sub(r"[-_]?[0-9]+$", "", w.lower()) in MARKS for w in value.split()):
             return True
     return False
 
 
-class Element:
-    __slots__ = ("tag", "up", "depth")
-
-    def __init__(self, tag: str, up: Element | None):
-        self.tag, self.up, self.depth = tag, up, up.depth + 1 if up else 0
+def decoded(raw: str) -> str:
+    """Text with its character references decoded; numbers of any length are read."""
+    if "&" not in raw:
+        return raw
+    return unescape(_HUGE.sub("�", _ZEROS.sub(r"&#\g<1>0", raw)) if "&#" in raw else raw)
 
 
-def _container(elements: list[Element]) -> Element:
-    """The lowest container that holds all of them."""
-    low = elements[0]
-    for e in elements[1:]:
-        while low is not e:
-            if low.depth >= e.depth:
-                low = low.up
-            else:
-                e = e.up
-    while low.up is not None and low.tag not in CONTAINERS:
-        low = low.up
-    return low
+class Element:
+    """A block element. first, end: the blocks in it; box: its nearest container."""
 
+    __slots__ = ("tag", "up", "depth", "path", "inside", "weight", "first", "end", "box")
 
-def _within(element: Element, container: Element) -> bool:
-    while element.depth > container.depth:
-        element = element.up
-    return element is container
+    def __init__(self, tag: str, up: Element | None, path: int, inside: bool, weight: float, first: int):
+        self.tag, self.up, self.path, self.inside, self.weight, self.first = tag, up, path, inside, weight, first
+        self.depth, self.end = (up.depth + 1 if up else 0), None
+        self.box: Element = self if up is None or tag in CONTAINERS else up.box
 
 
 class Block:
-    __slots__ = ("path", "parent", "text", "links", "inside", "skipped", "element")
+    __slots__ = ("element", "text", "links")
 
-    def __init__(self, path: str, parent: str, inside: bool, skipped: bool, element: Element):
-        self.path, self.parent, self.inside, self.skipped, self.element = path, parent, inside, skipped, element
+    def __init__(self, element: Element):
+        self.element, self.links = element, 0
         self.text: list[str] = []
-        self.links = 0
 
 
 def blocks(page: str) -> list[Block]:
-    """Blocks of text in page order, each with its path of block tags."""
+    """Blocks of text in page order, each with the element it is in."""
+    root = Element("", None, 0, False, 1.0, 0)
     out: list[Block] = []
-    stack: list[tuple[str, bool, bool]] = []  # tag, inside content, skipped
-    paths, elements = [""], [Element("", None)]
+    stack, opened, paths = [root], Counter(), {}
     block: Block | None = None
-    links, at, size = 0, 0, len(page)
+    # Depth at which an <a>, or a marked inline element, was opened; what is open since in the latter.
+    link, mute, muted = None, None, []
+    at, size = 0, len(page)
 
     def add(raw: str) -> None:
         nonlocal block
+        if mute is not None:
+            return
         if block is None:
-            if not raw or raw.isspace():
+            if raw.isspace():
                 return
-            top = stack[-1] if stack else ("", False, False)
-            block = Block(paths[-1], paths[-2] if len(paths) > 1 else "", top[1], top[2], elements[-1])
+            block = Block(stack[-1])
             out.append(block)
         block.text.append(raw)
-        if links:
+        if link is not None:
             block.links += len(raw)
 
+    def pop() -> None:
+        nonlocal link, mute
+        gone = stack.pop()
+        gone.end = len(out)
+        opened[gone.tag] -= 1
+        if link is not None and link > len(stack):
+            link = None
+        if mute is not None and mute > len(stack):
+            mute = None
+            muted.clear()
+
     while at < size:
-        m = _TOKEN.search(page, at)
-        if m is None:
+        begin = page.find("<", at)
+        if begin < 0:
             add(page[at:])
             break
-        if m.start() > at:
-            add(page[at : m.start()])
-        at = m.end()
-        tag = m[2]
-        if tag is None:
+        after = page[begin + 1 : begin + 3]
+        if not (after[:1].isascii() and after[:1].isalpha() or after[:1] in ("!", "?", "/")) or not after or after == "/":
+            add(page[at : begin + 1])  # a sign, no tag
+            at = begin + 1
+            continue
+        if begin > at:
+            add(page[at:begin])
+        if page.startswith("<!--", begin):
+            if page.startswith((">", "->"), begin + 4):
+                at = page.find(">", begin) + 1
+            else:
+                end = _COMMENT_END.search(page, begin + 4)
+                at = end.end() if end else size
             continue
-        tag = tag.lower()
+        m = _TAG.match(page, begin)
+        if m is None:
+            # A declaration, or a tag that never ends.
+            close = page.find(">", begin) if after[:1] in ("!", "?") or after[:1] == "/" and not after[1:].isalpha() else -1
+            at = close + 1 if close >= 0 else size
+            continue
+        at = m.end()
+        tag = m[2].lower()
         if m[1]:  # an end tag
             if tag == "a":
-                links = max(0, links - 1)
+                link = None
             if tag in INLINE:
+                if tag in muted:
+                    while muted.pop() != tag:
+                        pass
+                    if not muted:
+                        mute = None
                 continue
             block = None
-            for depth in range(len(stack) - 1, -1, -1):
-                if stack[depth][0] == tag:
-                    del stack[depth:], paths[depth + 1 :], elements[depth + 1 :]
-                    links = 0
-                    break
+            if opened[tag]:
+                while stack[-1].tag != tag:
+                    pop()
+                pop()
             continue
         if tag in RAW:
             end = re.compile(rf"</{tag}[\s/>]", re.IGNORECASE).search(page, at)
@@ -178,7 +229,7 @@ def blocks(page: str) -> list[Block]:
                 break
             close = page.find(">", end.end() - 1)
             at = close + 1 if close >= 0 else size
-            if tag not in INLINE and tag != "noscript":
+            if tag != "noscript":
                 block = None
             continue
         if tag == "br":
@@ -189,58 +240,56 @@ def blocks(page: str) -> list[Block]:
                 block = None
             continue
         if tag in INLINE:
-            links += tag == "a"
-            if marked(m[3]) and not m[3].rstrip().endswith("/"):
-                pass  # inline marks do not make a block boilerplate
+            if tag == "a":
+                link = len(stack)
+            if mute is not None:
+                muted.append(tag)
+            elif marked(m[3]):
+                mute = len(stack)
+                muted.append(tag)
             continue
-        block, links = None, 0
-        while stack and tag in CLOSED_BY.get(stack[-1][0], ()):
-            stack.pop()
-            paths.pop()
-            elements.pop()
+        block = None
+        while tag in CLOSED_BY.get(stack[-1].tag, ()):
+            pop()
         if m[3].endswith("/") and tag in ("svg", "path", "math"):
             continue
-        inside, skipped = (stack[-1][1], stack[-1][2]) if stack else (False, False)
-        named = tag in SKIPPED and not (tag == "header" and inside)
-        # What marks the whole page says nothing about its parts.
-        outermost = tag == "article" and not inside and named_so(m[3])
-        skipped = skipped or named or outermost or (tag not in ("html", "body", "article", "main") or inside) and marked(m[3])
-        inside = inside or tag in CONTENT and not skipped
-        stack.append((tag, inside, skipped))
-        paths.append(f"{paths[-1]}/{tag}")
-        elements.append(Element(tag, elements[-1]))
+        up = stack[-1]
+        weight = up.weight
+        if tag in SKIPPED and not (tag == "header" and up.inside):
+            weight = 0.0
+        elif mute is not None:
+            weight *= MARKED
+        elif tag == "article" and not up.inside:
+            weight *= MARKED if named_so(m[3]) else 1  # what marks the whole page says nothing about its parts
+        elif (tag not in ("html", "body", "article", "main") or up.inside) and marked(m[3]):
+            weight *= MARKED
+        path = paths.setdefault((up.path, tag), len(paths) + 1)
+        stack.append(Element(tag, up, path, up.inside or tag in CONTENT and weight == 1, weight, len(out)))
+        opened[tag] += 1
+    while stack:
+        pop()
     return out
 
 
-def content(page: str) -> str:
-    """The main text of a page."""
-    found = blocks(page)
-    if not found:
-        return ""
-    text = [" ".join(unescape("".join(b.text)).split()) for b in found]
-    stats: dict[tuple[str, bool], list[float]] = {}
-    for b, t in zip(found, text):
-        s = stats.setdefault((b.path, b.skipped), [0, 0, 0, 0])
-        s[0] += len(t)
-        s[1] += len(_MARKS.findall(t))
-        s[2] += min(b.links, len(t))
-        s[3] += 1
-    fused = {}
-    for key, (length, marks, links, n) in stats.items():
-        fused[key] = 0.0 if key[1] or not length else length / n * (1 + marks / n) * (1 - links / length)
-    ratio = np.array([fused[b.path, b.skipped] for b in found])
-    smooth = smoothed(ratio, [(b.inside, b.skipped, b.parent if not b.inside else "") for b in found])
-    held = [0, 0]  # text outside and inside article and main
-    for b, t, r in zip(found, text, ratio):
-        held[b.inside] += len(t) * (r > 0)
-    if held[1] > held[0]:
-        keep = [b.inside and not b.skipped and s > 0 for b, s in zip(found, smooth)]
-    else:
-        bound = THRESHOLD * smooth.max()
-        best = [b.element for b, s in zip(found, smooth) if not b.skipped and s > 0 and s >= bound]
-        low = _container(best) if best else None
-        keep = [low is not None and not b.skipped and _within(b.element, low) for b in found]
-    return " ".join(t for t, k in zip(text, keep) if k and t)
+def _container(a: Element, b: Element) -> Element:
+    """The lowest container that holds both elements."""
+    while a is not b:
+        if a.depth >= b.depth:
+            a = a.up
+        else:
+            b = b.up
+    return a.box
+
+
+def ratios(keys: list, length: np.ndarray, marks: np.ndarray, links: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """(fused ratio, whether it is a menu) of each block's path."""
+    number = {k: i for i, k in enumerate(dict.fromkeys(keys))}
+    path = np.array([number[k] for k in keys])
+    total = lambda x: np.bincount(path, x)
+    n, chars, linked, points = np.bincount(path), total(length), total(links), total(marks)
+    fused = (chars - linked) / n * (1 + points / n)
+    menu = (linked >= MENU * chars) & (points < n)
+    return fused[path], menu[path]
 
 
 def smoothed(ratio: np.ndarray, container: list) -> np.ndarray:
@@ -259,6 +308,37 @@ def smoothed(ratio: np.ndarray, container: list) -> np.ndarray:
     return total / norm
 
 
+def content(page: str) -> str:
+    """The main text of a page."""
+    found = blocks(page)
+    text = [" ".join("".join(map(decoded, b.text)).split()) for b in found]
+    length = np.array([len(t) for t in text], float)
+    weight = np.array([b.element.weight for b in found])
+    if not (weight * length).any():
+        return ""
+    marks = np.array([len(_MARKS.findall(t)) for t in text], float)
+    links = np.minimum(length, [b.links for b in found])
+    inside = np.array([b.element.inside for b in found])
+    ratio, menu = ratios([(b.element.path, b.element.weight) for b in found], length, marks, links)
+    ratio = ratio * weight
+    smooth = smoothed(ratio, [id(b.element.box) for b in found])
+    mass = length * weight * (ratio > 0)
+    if NAMED * mass[inside].sum() > mass[~inside].sum():
+        scope = inside
+    else:
+        scope = np.zeros(len(found), bool)
+        core = np.flatnonzero((ratio > 0) & (smooth >= THRESHOLD * smooth.max()))
+        if len(core):
+            low = _container(found[core[0]].element, found[core[-1]].element)
+            scope[low.first : low.end] = True
+    if not (scope & (weight > 0)).any():
+        scope = weight > 0
+    keep = scope & (weight >= weight[scope].max())
+    if not menu[keep].all():
+        keep &= ~menu
+    return " ".join(t for t, k in zip(text, keep) if k and t)
+
+
 def extract(pages: DataFrame, html_col: str = "html", out_col: str = "text") -> DataFrame:
     """Append the main text of each page. See the module's docstring."""
 
