@@ -31,6 +31,7 @@ from __future__ import annotations
 
 import re
 import unicodedata
+from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
@@ -43,6 +44,7 @@ from queuelens.llm.textstats import buffers, hashes, member
 from queuelens.llm.textstats import spans as spans_of
 
 KINDS = ("email", "ip", "card", "phone")
+_NO_DIGIT = re.compile("[^0-9]+")
 #: The patterns of plain identifiers.
 BASE = {
     "email": r"[A-Za-z0-9._%+-]+@[A-Za-z0-9-]+(\.[A-Za-z0-9-]+)+",
@@ -51,6 +53,8 @@ BASE = {
     "phone": r"\+[0-9][\x20().0-9-]+[0-9]",
 }
 PATTERNS = {k: re.compile(v) for k, v in BASE.items()}
+# The same matches in linear time: the first part ends at a dot, so that a run of digits is tried once, from its start.
+PATTERNS["ip"] = re.compile(r"(?<![0-9])[0-9]++\.[0-9]++\.[0-9]++\.[0-9]++")
 #: The digits of the shortest identifier without dots; a run of spelled digits and figures stands for as many.
 SPELLED_RUN = 9
 #: Digits spelled in the four languages of the corpus.
@@ -92,6 +96,8 @@ def _glyphs() -> dict[str, str]:
 
 
 GLYPHS = _glyphs()
+_PLAIN = str.maketrans(GLYPHS)
+_VANISHING = np.array([ord(c) for c in INVISIBLE], np.uint32)
 _VALUE = {w: d for d, words in DIGIT_WORDS.items() for w in words.split()}
 _WORD = "|".join(sorted(_VALUE, key=len, reverse=True))
 _UNIT = rf"(?:(?:double|triple)[ -]+)?(?:{_WORD}|[0-9]+)"
@@ -100,17 +106,19 @@ _SPELLED = re.compile(rf"(?<!\w)(?:\+|plus[ -]+)?{_UNIT}(?:(?:{_SPELLED_DOT}|[ ,
 _PARTS = re.compile(rf"(?P<many>double|triple)[ -]+(?={_WORD}|[0-9])|(?P<word>{_WORD})(?!\w)|(?P<figure>[0-9]+)|(?P<plus>plus[ -]+)", re.IGNORECASE)
 _DOT_GAP = re.compile(rf"{_SPELLED_DOT}|\s*\.\s*", re.IGNORECASE)
 _SPACES = re.compile(r"[ ,]+")
-_AT = r"(?:\s*[\[({<]\s*(?:at|@|arroba|arobase|klammeraffe)\s*[\])}>]\s*|\s+(?:at|arroba|arobase)\s+)"
 _DOT = r"(?:\s*[\[({<]\s*(?:dot|point|punkt|punto|\.)\s*[\])}>]\s*|\s+(?:dot|punkt|punto)\s+|\.)"
 _LABEL = r"[A-Za-z0-9-]+"
-_ADDRESS = re.compile(rf"[A-Za-z0-9._%+-]+(?:{_DOT}[A-Za-z0-9_%+-]+){{0,3}}?(?P<at>{_AT}|@){_LABEL}(?:{_DOT}{_LABEL})+", re.IGNORECASE)
+#: An "at" sign or its disguise, without the space around it.
+_AT = re.compile(r"[\[({<]\s*(?:at|@|arroba|arobase|klammeraffe)\s*[\])}>]|(?<=\s)(?:at|arroba|arobase)(?=\s)|@", re.IGNORECASE)
+_HOST = re.compile(rf"{_LABEL}(?:{_DOT}{_LABEL})+", re.IGNORECASE)
 _BRACKET = re.compile(r"[\[({<]")
 _DOTTED_IP = re.compile(rf"(?<![0-9.])[0-9]{{1,3}}(?:{_DOT}[0-9]{{1,3}}){{3}}(?![0-9])", re.IGNORECASE)
-_AT_TOKEN, _DOT_TOKEN = re.compile(_AT, re.IGNORECASE), re.compile(_DOT, re.IGNORECASE)
+_DOT_TOKEN = re.compile(_DOT, re.IGNORECASE)
 
 _ODD = re.compile("[" + re.escape("".join(GLYPHS)) + "]")
 _MASK_TRIGGER = re.compile(r"[\[({<]\s*(?:at|@|arroba|arobase|klammeraffe|\.)\s*[\])}>]", re.IGNORECASE)
 _DOT_WORDS = ("dot", "point", "punkt", "punto")
+_BARE_DOTS = ("dot", "punkt", "punto")
 
 Span = tuple[str, int, int]
 
@@ -119,12 +127,13 @@ def valid(kind: str, found: str) -> bool:
     if kind == "email":
         return True
     if kind == "ip":
-        return all(len(p.lstrip("0")) <= 3 and int(p) <= 255 for p in found.split("."))
-    digits = [int(c) for c in found if "0" <= c <= "9"]
+        return all(len(p) <= 3 and int(p or 0) <= 255 for p in (p.lstrip("0") for p in found.split(".")))
+    digits = _NO_DIGIT.sub("", found)
     if kind == "phone":
         return 9 <= len(digits) <= 15
     if not 12 <= len(digits) <= 19:
         return False
+    digits = [int(c) for c in digits]
     twice = (d * 2 - 9 * (d > 4) for d in digits[-2::-2])
     return (sum(digits[-1::-2]) + sum(twice)) % 10 == 0
 
@@ -140,7 +149,6 @@ def plain_spans(text: str) -> list[Span]:
     return ordered(out)
 
 
-_LOCAL = re.compile(r"[A-Za-z0-9._%+-]+\Z")
 _DOMAIN = re.compile(r"@[A-Za-z0-9-]+(\.[A-Za-z0-9-]+)+")
 
 
@@ -172,23 +180,43 @@ def ordered(spans: list[Span]) -> list[Span]:
 class Tape:
     """A text with, for each of its characters, the source characters it stands for."""
 
-    def __init__(self, text: str, begin: list[int] | None = None, end: list[int] | None = None):
+    def __init__(self, text: str, begin: np.ndarray | None = None, end: np.ndarray | None = None):
         self.text = text
-        self.begin = list(range(len(text))) if begin is None else begin
-        self.end = list(range(1, len(text) + 1)) if end is None else end
+        self.begin = np.arange(len(text), dtype=np.int32) if begin is None else begin
+        self.end = np.arange(1, len(text) + 1, dtype=np.int32) if end is None else end
 
     def rewrite(self, edits: list[tuple[int, int, str]]) -> Tape:
         """Replace the given stretches (in order, disjoint); each new character stands for its whole stretch."""
-        text, begin, end, at = [], [], [], 0
+        if not edits:
+            return self
+        text, at = [], 0
         for a, b, new in edits:
             text += [self.text[at:a], new]
-            begin += self.begin[at:a] + [self.begin[a]] * len(new)
-            end += self.end[at:a] + [self.end[b - 1]] * len(new)
             at = b
-        return Tape("".join([*text, self.text[at:]]), begin + self.begin[at:], end + self.end[at:])
+        size = len(self.text)
+        a, b = np.array([e[0] for e in edits]), np.array([e[1] for e in edits])
+        inside = np.cumsum(np.bincount(a, minlength=size + 1) - np.bincount(b, minlength=size + 1))[:size]
+        times = 1 - inside  # how often each character's place is written
+        times[a] = [len(e[2]) for e in edits]
+        end = self.end.copy()
+        end[a] = self.end[b - 1]
+        return Tape("".join([*text, self.text[at:]]), np.repeat(self.begin, times), np.repeat(end, times))
 
     def source(self, a: int, b: int) -> tuple[int, int]:
-        return self.begin[a], self.end[b - 1]
+        return int(self.begin[a]), int(self.end[b - 1])
+
+
+class Cover:
+    """Which characters are taken."""
+
+    def __init__(self, size: int):
+        self.taken = bytearray(size)
+
+    def add(self, a: int, b: int) -> None:
+        self.taken[a:b] = b"\1" * (b - a)
+
+    def meets(self, a: int, b: int) -> bool:
+        return self.taken.find(1, a, b) >= 0
 
 
 def _word_hashes(words: list[str]) -> np.ndarray:
@@ -231,7 +259,11 @@ def triggers(column: pa.Array) -> tuple[np.ndarray, np.ndarray]:
 
 
 def unglyph(tape: Tape) -> Tape:
-    return tape.rewrite([(m.start(), m.end(), GLYPHS[m[0]]) for m in _ODD.finditer(tape.text)])
+    text = tape.text.translate(_PLAIN)
+    if len(text) == len(tape.text):
+        return Tape(text, tape.begin, tape.end)
+    kept = ~np.isin(np.frombuffer(tape.text.encode("utf-32-le", "surrogatepass"), np.uint32), _VANISHING)
+    return Tape(text, tape.begin[kept], tape.end[kept])
 
 
 def unspell(tape: Tape) -> Tape:
@@ -286,24 +318,89 @@ def _octets(digits: list[str], dots: list[bool]) -> set[int]:
     return out
 
 
+def _space_before(text: str, at: int, least: int) -> int:
+    while at > least and text[at - 1].isspace():
+        at -= 1
+    return at
+
+
+def _dot_before(text: str, at: int, least: int) -> int | None:
+    """Where the disguised dot begins that ends at `at`, with the space around it."""
+    closed = _space_before(text, at, least)
+    if closed > least and text[closed - 1] in "])}>":
+        inner = _space_before(text, closed - 1, least)
+        for word in (*_DOT_WORDS, "."):
+            if text[max(least, inner - len(word)) : inner].lower() == word:
+                opened = _space_before(text, inner - len(word), least)
+                if opened > least and text[opened - 1] in "[({<":
+                    return _space_before(text, opened - 1, least)
+        return None
+    for word in _BARE_DOTS:
+        if closed < at and text[max(least, closed - len(word)) : closed].lower() == word:
+            begin = _space_before(text, closed - len(word), least)
+            if begin < closed - len(word):
+                return begin
+    return None
+
+
+def _local_before(text: str, at: int, least: int) -> int:
+    """Where the local part begins that ends at `at`; `at` if there is none. Three disguised dots at most."""
+    found = at
+    for part in range(4):
+        begin = at
+        while begin > least and text[begin - 1] in _LOCAL_CHARS:
+            begin -= 1
+        if begin == at:
+            return found
+        found = begin
+        at = _dot_before(text, begin, least) if part < 3 else None
+        if at is None:
+            return found
+    return found
+
+
+def addresses(text: str) -> Iterator[tuple[int, int, int, int]]:
+    """(begin, begin of the at, end of the at, end) of what may be an address, plain or disguised.
+
+    They are found from their at signs, so that no other part of the text is
+    looked at twice.
+    """
+    free = 0
+    for m in _AT.finditer(text):
+        if m.start() < free:
+            continue
+        begin, end = m.span()
+        if m[0] != "@":
+            begin = _space_before(text, begin, free)
+            while end < len(text) and text[end].isspace():
+                end += 1
+        host = _HOST.match(text, end)
+        if host is None:
+            continue
+        local = _local_before(text, begin, free)
+        if local < begin:
+            free = host.end()
+            yield local, begin, end, free
+
+
 def unmask(tape: Tape) -> Tape:
     """Write @ and . for their disguises inside addresses."""
-    edits = []
-    for m in _ADDRESS.finditer(tape.text):
-        token, rest = m["at"], tape.text[m.end("at") : m.end()]
+    text, edits, taken = tape.text, [], Cover(len(tape.text))
+    for a, begin, end, b in addresses(text):
+        token, rest = text[begin:end], text[end:b]
         spelled_dot = any(len(d[0]) > 1 for d in _DOT_TOKEN.finditer(rest))
         if any(part.lower() in _DOT_WORDS for part in re.findall(_LABEL, _DOT_TOKEN.sub(" . ", rest))):
             continue  # a dot word as a name: prose
         # A bare "at" counts only with a disguised dot after it.
-        if token == "@" and not spelled_dot and not _BRACKET.search(m[0]) or not (spelled_dot or "@" in token or _BRACKET.search(token)):
+        if token == "@" and not spelled_dot and not _BRACKET.search(text, a, b) or not (spelled_dot or "@" in token or _BRACKET.search(token)):
             continue
-        head = [(a.start(), a.end(), ".") for a in _DOT_TOKEN.finditer(tape.text, m.start(), m.start("at")) if len(a[0]) > 1]
-        tail = [(a.start(), a.end(), ".") for a in _DOT_TOKEN.finditer(tape.text, m.end("at"), m.end()) if len(a[0]) > 1]
-        edits += [*head, (m.start("at"), m.end("at"), "@"), *tail]
-    for m in _DOTTED_IP.finditer(tape.text):
-        own = [(a.start(), a.end(), ".") for a in _DOT_TOKEN.finditer(tape.text, m.start(), m.end()) if len(a[0]) > 1]
-        if not any(a < m.end() and m.start() < b for a, b, _ in edits):
-            edits += own
+        head = [(d.start(), d.end(), ".") for d in _DOT_TOKEN.finditer(text, a, begin) if len(d[0]) > 1]
+        tail = [(d.start(), d.end(), ".") for d in _DOT_TOKEN.finditer(text, end, b) if len(d[0]) > 1]
+        edits += [*head, (begin, end, "@"), *tail]
+        taken.add(a, b)
+    for m in _DOTTED_IP.finditer(text):
+        if not taken.meets(*m.span()):
+            edits += [(d.start(), d.end(), ".") for d in _DOT_TOKEN.finditer(text, *m.span()) if len(d[0]) > 1]
     return tape.rewrite(sorted(edits))
 
 
@@ -317,12 +414,14 @@ def spans(text: str, spelled: bool = True, dotted: bool = True) -> tuple[list[Sp
     if not (odd or spelled or dotted or _MASK_TRIGGER.search(text)):
         return plain, []
     tape = unmask(unspell(unglyph(Tape(text))))
-    taken, added = [(a, b) for _, a, b in plain], []
+    taken, added = Cover(len(text)), []
+    for _, a, b in plain:
+        taken.add(a, b)
     for kind, a, b in plain_spans(tape.text):
         begin, end = tape.source(a, b)
-        if not any(x < end and begin < y for x, y in taken):
+        if not taken.meets(begin, end):
             added.append((kind, begin, end))
-            taken.append((begin, end))
+            taken.add(begin, end)
     return plain, added
 
 
