@@ -23,25 +23,24 @@ with recursive lines as (
 ), runs as (
   select *, sum(case when level = was then 0 else 1 end) over (partition by conv_id, turn, message order by pos) as run
   from (select *, lag(level) over (partition by conv_id, turn, message order by pos) as was from quoted_lines)
+), normal as (
+  select *, trim(regexp_replace(lower(content), '[ \t\r\n]+', ' ', 'g')) as plain from runs where level > 0
 ), passages as (
-  select conv_id, turn, level, md5(p) as hash
-  from (select conv_id, turn, message, run, level, trim(regexp_replace(lower(string_agg(content, ' ' order by pos)), '[ \t\r\n]+', ' ', 'g')) as p from runs where level > 0 group by all)
-  where p <> ''
-), units as (
-  select conv_id, turn, trim(regexp_replace(lower(u), '[ \t\r\n]+', ' ', 'g')) as p
-  from (select conv_id, turn, own as u from parsed union all select conv_id, turn, unnest(string_split(own, chr(10))) from parsed)
-  where conv_id is not null and turn is not null
+  select conv_id, turn, message, run, level, flat, coalesce(ls, []) as ls
+  from (select conv_id, turn, message, run, level, trim(regexp_replace(lower(string_agg(content, ' ' order by pos)), '[ \t\r\n]+', ' ', 'g')) as flat, list(plain order by pos) filter (plain <> '') as ls from normal group by all)
+  where flat <> ''
 ), originals as (
-  select distinct conv_id, turn, md5(p) as hash from units where p <> ''
-), firsts as (
-  select hash, min((conv_id, turn)) as f from originals group by hash
-), near as (
-  select p.*, (select max(o.turn) from originals o where o.conv_id = p.conv_id and o.hash = p.hash and o.turn < p.turn) as near from passages p
+  select distinct conv_id, turn, list_transform(list_concat([own], regexp_split_to_array(own, '\n[ \t\r]*\n')), lambda u: trim(regexp_replace(lower(u), '[ \t\r\n]+', ' ', 'g'))) as units,
+    list_filter(list_transform(string_split(own, chr(10)), lambda u: trim(regexp_replace(lower(u), '[ \t\r\n]+', ' ', 'g'))), lambda u: u <> '') as ls
+  from parsed where conv_id is not null and turn is not null and own <> ''
+), matches as (
+  select p.conv_id, p.turn, p.message, p.run, o.conv_id as o_conv, o.turn as o_turn
+  from passages p join originals o on list_contains(o.units, p.flat) or list_contains(list_transform(range(1, len(o.ls) - len(p.ls) + 2), lambda s: o.ls[s : s + len(p.ls) - 1] = p.ls), true)
+), best as (
+  select conv_id, turn, message, run, max(o_turn) filter (o_conv = conv_id and o_turn < turn) as near, min((o_conv, o_turn)) filter (o_conv <> conv_id) as f from matches group by all
 ), links as (
-  select n.conv_id, n.turn, n.level,
-    case when near is not null then n.conv_id when f[1] <> n.conv_id then f[1] end as to_conv,
-    case when near is not null then near when f[1] <> n.conv_id then f[2] end as to_turn
-  from near n left join firsts using (hash)
+  select p.conv_id, p.turn, p.level, case when near is not null then p.conv_id else f[1] end as to_conv, case when near is not null then near else f[2] end as to_turn
+  from passages p left join best b on b.conv_id = p.conv_id and b.turn = p.turn and b.message = p.message and b.run = p.run
 ), inside as (
   select *, min(level) over (partition by conv_id, turn) as outermost from links where to_conv = conv_id
 ), replies as (
