@@ -9,6 +9,11 @@ What the rounds send, in order, is cut into sequences of `length` tokens. When
 a queue is empty, its share falls to the others, with their deficits carried.
 The default targets are the queues' own shares, so all of them last to the end.
 
+More than `FANOUT` sources form groups of about the square root of their
+number, in the order of their names: a group's sources are served in the same
+way, and what they send is the group's queue. So the work for a chunk grows
+with that root, and every source keeps its own share.
+
 A queue's state after round r is a linear function of r, so the place of any
 chunk follows from the queue totals alone. Each task therefore starts with the
 exact deficits that earlier windows and partitions have left, without
@@ -27,6 +32,8 @@ Results, also for odd input:
   rows are packed row by row, as they come;
 * documents longer than a sequence are cut into several pieces;
 * an empty table gives no pieces;
+* any number of sources, each by its name; their totals, a few numbers for
+  each source but nothing else, reach the driver and the tasks;
 * further columns, of any name, are ignored.
 
 Only the last sequence is shorter than `length`.
@@ -34,6 +41,7 @@ Only the last sequence is shorter than `length`.
 
 from __future__ import annotations
 
+import math
 from dataclasses import dataclass, field
 
 import numpy as np
@@ -48,8 +56,8 @@ from queuelens.llm.common import in_small_batches, slices, small_enough, texts,
 
 #: Fractional bits of deficits, which are counted in chunks.
 BITS = 20
-#: More sources than this share queues, by hash.
-MAX_QUEUES = 1024
+#: More sources than this are served in groups.
+FANOUT = 1024
 #: Rows of partition starts that are broadcast; more are joined by shuffle.
 BROADCAST_ROWS = 200_000
 PIECES = T.StructType(
@@ -138,26 +146,49 @@ class Schedule:
         slot = self.slots(queue, chunk)
         return slot * self.chunk - self.lost[np.searchsorted(self.short, slot)]
 
+    def segments(self, queue: np.ndarray, begin: np.ndarray, size: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+        """(item, start, length, place) of stretches that lie at `begin` in their queues, cut at chunks; place is in the stream."""
+        first, last = begin // self.chunk, (begin + size - 1) // self.chunk
+        count = last - first + 1
+        item = np.repeat(np.arange(len(begin)), count)
+        chunk = np.arange(len(item)) - np.repeat(np.cumsum(count) - count, count) + first[item]
+        lo = np.maximum(begin[item], chunk * self.chunk)
+        hi = np.minimum(begin[item] + size[item], (chunk + 1) * self.chunk)
+        return item, lo - begin[item], hi - lo, self.tokens(queue[item], chunk) + lo - chunk * self.chunk
+
+
+class Tree:
+    """Schedules of groups of queues, and of the queues in each group."""
+
+    def __init__(self, totals: np.ndarray, targets: np.ndarray, chunk: int, length: int):
+        self.length = length
+        size = len(totals) if len(totals) <= FANOUT else math.isqrt(len(totals) - 1) + 1
+        self.group, self.within = np.divmod(np.arange(len(totals)), max(1, size))
+        starts = np.arange(0, len(totals), max(1, size))
+        self.groups = [Schedule(totals[a : a + size], targets[a : a + size], chunk, length) for a in starts]
+        # A single group is the stream itself.
+        self.root = Schedule(np.add.reduceat(totals, starts), np.add.reduceat(targets, starts), chunk, length) if len(starts) > 1 else None
+
     def pieces(self, queue: np.ndarray, begin: np.ndarray, size: np.ndarray):
         """Pieces of documents that lie at `begin` in their queues.
 
         Returns (document, start, length, sequence, offset) arrays; pieces of
         a document that touch in the same sequence are one.
         """
-        first, last = begin // self.chunk, (begin + size - 1) // self.chunk
-        count = last - first + 1
-        doc = np.repeat(np.arange(len(begin)), count)
-        chunk = np.arange(len(doc)) - np.repeat(np.cumsum(count) - count, count) + first[doc]
-        lo = np.maximum(begin[doc], chunk * self.chunk)
-        hi = np.minimum(begin[doc] + size[doc], (chunk + 1) * self.chunk)
-        place = self.tokens(queue[doc], chunk) + lo - chunk * self.chunk
+        found = []
+        for g in np.unique(self.group[queue]):
+            own = np.flatnonzero(self.group[queue] == g)
+            doc, start, length, place = self.groups[g].segments(self.within[queue[own]], begin[own], size[own])
+            if self.root is not None:
+                item, more, length, place = self.root.segments(np.full(len(place), g), place, length)
+                doc, start = doc[item], start[item] + more
+            found.append((own[doc], start, length, place))
+        doc, start, length, place = (np.concatenate([f[i] for f in found] + [np.zeros(0, np.int64)]) for i in range(4))
         # Cut at the ends of sequences; a chunk reaches over one end at most.
-        cut = np.minimum(hi - lo, self.length - place % self.length)
-        rest = np.flatnonzero(cut < hi - lo)
-        doc = np.concatenate([doc, doc[rest]])
-        start = np.concatenate([lo, lo[rest] + cut[rest]]) - begin[doc]
-        length = np.concatenate([cut, (hi - lo - cut)[rest]])
-        place = np.concatenate([place, place[rest] + cut[rest]])
+        cut = np.minimum(length, self.length - place % self.length)
+        rest = np.flatnonzero(cut < length)
+        doc, start, place = (np.concatenate([x, (x + y)[rest]]) for x, y in ((doc, 0), (start, cut), (place, cut)))
+        length = np.concatenate([cut, (length - cut)[rest]])
         order = np.lexsort((start, doc))
         doc, start, length, place = doc[order], start[order], length[order], place[order]
         new = np.append(True, (doc[1:] != doc[:-1]) | (place[1:] != place[:-1] + length[:-1]) | (place[1:] % self.length == 0))[: len(doc)]
@@ -166,15 +197,13 @@ class Schedule:
         return doc[heads], start[heads], length, place[heads] // self.length, place[heads] % self.length
 
 
-def tokenised(docs: DataFrame, path: str, end_id: int, queues_shared: bool) -> DataFrame:
+def tokenised(docs: DataFrame, path: str, end_id: int) -> DataFrame:
     """One row per document: its queue, its ids, and the tokens before it.
 
     `before` counts the tokens of the queue in earlier rows of the partition
     `part`.
     """
     queue = F.col("source").cast("string")
-    if queues_shared:
-        queue = F.pmod(F.xxhash64(queue), F.lit(MAX_QUEUES)).cast("string")
     schema = "part int, queue string, doc_id long, tokens long, before long, ids binary"
 
     def run(batches):
@@ -205,16 +234,13 @@ def pack(docs: DataFrame, path: str, end_id: int, length: int = 2048, chunk: int
     """
     if length % chunk:
         raise ValueError("a sequence must hold a whole number of chunks")
-    shared = not small_enough(docs.select("source").distinct(), MAX_QUEUES)
-    if shared and targets:
-        raise ValueError(f"targets need at most {MAX_QUEUES} sources")
-    coded = written(tokenised(docs, path, end_id, shared), "packing-ids")
+    coded = written(tokenised(docs, path, end_id), "packing-ids")
     parts = written(coded.groupBy("part", "queue").agg(F.sum("tokens").alias("tokens")), "packing-parts")
     totals = sorted(parts.groupBy("queue").agg(F.sum("tokens").alias("tokens")).collect(), key=lambda r: (r.queue is not None, r.queue))
     names = [r.queue for r in totals]
     counts = np.array([r.tokens for r in totals], np.int64)
     wanted = counts.astype(float) if targets is None else np.array([targets.get(n, 0.0) for n in names])
-    schedule = Schedule(counts, wanted, chunk, length)
+    schedule = Tree(counts, wanted, chunk, length)
     ahead = Window.partitionBy("queue").orderBy("part").rowsBetween(Window.unboundedPreceding, -1)
     starts = parts.select(F.col("part").alias("p"), F.col("queue").alias("q"), F.coalesce(F.sum("tokens").over(ahead), F.lit(0)).alias("ahead"))
     if small_enough(parts, BROADCAST_ROWS):

@@ -100,7 +100,7 @@ def test_schedule_equals_deficit_round_robin(targets):
 
 def test_sequences_hold_the_target_shares():
     totals = np.array([3_000_000, 1_000_000, 500_000])
-    s = packing.Schedule(totals, totals.astype(float), 256, 2048)
+    s = packing.Tree(totals, totals.astype(float), 256, 2048)
     doc, _, length, seq, _ = s.pieces(np.arange(3), np.zeros(3, np.int64), totals)
     share = np.zeros((seq.max() + 1, 3))
     np.add.at(share, (seq, doc), length)
