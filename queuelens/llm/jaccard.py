@@ -28,7 +28,11 @@ each class is verified against one leader. A token's leader is the class that
 has it earliest in its prefix, as the original has that copies with words of
 their own stem from; a class takes the leader of most of its tokens. The links
 found give components. Then candidates are formed again, only between classes of
-different components, all of them. A pair that is in one component already
+different components, all of them. Where more than `LIST` classes share a token,
+they meet by that token and a token of their prefixes under the second order,
+which similar sets share as well; lists that are still longer are dealt out to
+blocks, and each pair of blocks is a group of its own, so that no task gets a
+long list whole. A pair that is in one component already
 can't change the result; no other pair is left out.
 
 Results, also for odd input:
@@ -65,6 +69,8 @@ SLICE_COUNT, SLICE_TOKENS = 2, 1_000_000
 PARITIES = 256
 #: At most so many common tokens are told apart; it bounds what tasks receive.
 COMMON_TOKENS = 200_000
+#: Classes that meet in one group for one token.
+LIST = 1024
 #: Classes whose texts are fetched by a broadcast join; more by a shuffle.
 BROADCAST_ROWS = 500_000
 
@@ -271,6 +277,43 @@ def _parities_allow(left: str, right: str, size: str, other: str, num: int, den:
     return differ * (num + den) <= (F.col(size) + F.col(other)) * (den - num)
 
 
+def second_prefixes(sketch: DataFrame) -> DataFrame:
+    """(id, second): the tokens (32 bits) of each class's prefix under the second order."""
+
+    def run(batches):
+        for batch in batches:
+            raw = batch.column("prefix").to_pylist()
+            token = np.frombuffer(b"".join(raw), np.uint32).view(np.int32)
+            ids = np.repeat(batch.column("id").to_numpy(), [len(x) // 4 for x in raw])
+            yield pa.RecordBatch.from_arrays([pa.array(ids), pa.array(token)], names=["id", "second"])
+
+    return in_small_batches(sketch.select("id", F.col("orders")[0].alias("prefix"))).mapInArrow(run, "id long, second int")
+
+
+def meeting(placed: DataFrame, keys: list[str], num: int, den: int) -> DataFrame:
+    """Pairs (u, v) of rows (keys, id, size, rest, root, parities) with equal keys and different roots that may be similar.
+
+    Lists of equal keys are dealt out to blocks of about `LIST` rows; a row of
+    one block meets a row of another in one place.
+    """
+    blocks = placed.groupBy(*keys).agg(F.ceil(F.count("*") / LIST).cast("int").alias("blocks"))
+    dealt = placed.join(blocks, keys).withColumn("block", F.pmod(F.xxhash64("id"), "blocks").cast("int"))
+    every = F.explode(F.sequence(F.lit(0), F.col("blocks") - 1))
+    own = ["id", "size", "rest", "root", "parities"]
+    left = dealt.select(*keys, F.col("block").alias("_row"), every.alias("_column"), *own)
+    right = dealt.select(*keys, every.alias("_row"), F.col("block").alias("_column"), *[F.col(c).alias(f"v_{c}") for c in own])
+    fits = _sizes_allow("size", "v_size", num, den) & _places_allow("rest", "v_rest", "size", "v_size", num, den)
+    fits &= _parities_allow("parities", "v_parities", "size", "v_size", num, den)
+    met = left.join(right, [*keys, "_row", "_column"]).filter((F.col("root") < F.col("v_root")) & fits)
+    return met.select(F.col("id").alias("u"), F.col("v_id").alias("v"))
+
+
+def _several_roots(placed: DataFrame, keys: list[str]) -> DataFrame:
+    """The rows whose keys are shared by rows of another root."""
+    mixed = placed.groupBy(*keys).agg(F.min("root").alias("a"), F.max("root").alias("b")).filter("a <> b").select(*keys)
+    return placed.join(mixed, keys, "left_semi")
+
+
 def verified(pairs: DataFrame, classes: DataFrame, docs: DataFrame, n: int, num: int, den: int) -> DataFrame:
     """The pairs (u, v) of class ids that are similar enough, by their whole sets."""
     wanted = pairs.select(F.col("u").alias("id")).unionByName(pairs.select(F.col("v").alias("id"))).distinct()
@@ -315,13 +358,17 @@ def join(docs: DataFrame, n: int = 5, num: int = 80, den: int = 100) -> DataFram
     roots = written(components(found), "jaccard-roots")
     # Then: all candidates between different components.
     placed = lists.join(roots.withColumnRenamed("node", "id"), "id", "left").select("token", "id", "size", "rest", F.coalesce("root", "id").alias("root"))
-    mixed = placed.groupBy("token").agg(F.min("root").alias("a"), F.max("root").alias("b")).filter("a <> b").select("token")
-    placed = placed.join(mixed, "token").join(classes.select("id", "parities"), "id")
+    placed = _several_roots(placed, ["token"]).join(classes.select("id", "parities"), "id")
     placed = written(placed.select("token", "id", "size", "rest", "root", "parities"), "jaccard-mixed")
-    other = placed.toDF("token", "v", "v_size", "v_rest", "v_root", "v_parities")
-    fits = _sizes_allow("size", "v_size", num, den) & _places_allow("rest", "v_rest", "size", "v_size", num, den)
-    fits &= _parities_allow("parities", "v_parities", "size", "v_size", num, den)
-    pairs = placed.join(other, "token").filter((F.col("root") < F.col("v_root")) & fits).select(F.col("id").alias("u"), "v").distinct()
+    long = placed.groupBy("token").count().filter(F.col("count") > LIST).select("token")
+    long = written(placed.join(long, "token", "left_semi"), "jaccard-long")
+    if long.limit(1).count():
+        pairs = meeting(placed.join(long.select("token").distinct(), "token", "left_anti"), ["token"], num, den)
+        both = long.join(second_prefixes(sketch.join(long.select("id").distinct(), "id", "left_semi")), "id")
+        both = written(_several_roots(both, ["token", "second"]), "jaccard-both")
+        pairs = pairs.unionByName(meeting(both, ["token", "second"], num, den)).distinct()
+    else:
+        pairs = meeting(placed, ["token"], num, den).distinct()
     pairs = written(filtered(pairs, sketch, num, den), "jaccard-candidates")
     found = found.unionByName(verified(pairs, classes, docs, n, num, den))
     roots = components(found).withColumnRenamed("node", "id")
