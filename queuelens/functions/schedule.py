@@ -126,16 +126,38 @@ def due_schedules(state: DataFrame, now: Column) -> DataFrame:
     return due.orderBy(F.asc_nulls_last("next_run_at"), "schedule_name")
 
 
-def tick(state: DataFrame, pattern: Pattern, now: Column, tz: str = "UTC", catch_up: int = 0) -> DataFrame:
-    """State after one pass: due schedules ran, once or for each missed slot, and have a new next run.
+def slots(state: DataFrame, pattern: Pattern, now: Column, tz: str = "UTC", catch_up: int = 0) -> DataFrame:
+    """The state with `slots`, the runs that are due: the next one (or now, if there is none), with catch-up all missed ones."""
+    due = is_due(F.col("next_run_at"), now)
+    first = F.coalesce("next_run_at", now)
+    found = missed_runs(pattern, first, now, catch_up, tz) if catch_up else F.array(first)
+    return state.withColumn("slots", F.when(due, found).otherwise(F.array().cast("array<timestamp_ntz>")))
+
+
+def tick(state: DataFrame, pattern: Pattern, now: Column, tz: str = "UTC", catch_up: int = 0, done: Column | None = None) -> DataFrame:
+    """State after one pass: due schedules ran, and have a new next run. `slots` are the runs that were enqueued.
 
-    With catch-up they go on from the last slot, else from now.
+    With catch-up they go on from the last slot that was enqueued, else from
+    now. `done` is how many of the slots, in order, were; of a schedule with
+    none the state stays, so that the next pass tries again.
     """
-    due = is_due(F.col("next_run_at"), now)
-    slots = missed_runs(pattern, F.coalesce("next_run_at", now), now, catch_up, tz) if catch_up else F.array(now)
-    ran = state.withColumn("slots", F.when(due, slots).otherwise(F.array().cast("array<timestamp_ntz>")))
-    return ran.withColumns({
-        "last_run_at": F.when(due, now).otherwise(F.col("last_run_at")),
-        "next_run_at": F.when(due, next_run(pattern, F.try_element_at("slots", F.lit(-1)), tz)).otherwise(F.col("next_run_at")),
-        "run_count": F.col("run_count") + F.size("slots"),
-    })
+    ran = slots(state, pattern, now, tz, catch_up)
+    ran = ran if done is None else ran.withColumn("slots", F.slice("slots", F.lit(1), F.greatest(F.lit(0), done.cast("int"))))
+    some = F.size("slots") > 0
+    start = F.try_element_at("slots", F.lit(-1)) if catch_up else now
+    changes = {"last_run_at": F.when(some, now).otherwise(F.col("last_run_at")), "next_run_at": F.when(some, next_run(pattern, start, tz)).otherwise(F.col("next_run_at")), "run_count": F.col("run_count") + some.cast("int")}
+    return ran.withColumns(changes | ({"updated_at": F.when(some, now).otherwise(F.col("updated_at"))} if "updated_at" in state.columns else {}))
+
+
+def sync(state: DataFrame, wanted: DataFrame, now: Column) -> DataFrame:
+    """The state brought in line with the configured schedules, `wanted` (schedule_name, config_hash, next_run).
+
+    New schedules get a row, changed ones a new next run and hash, those no
+    longer configured lose theirs, all others stay.
+    """
+    config = wanted.select("schedule_name", F.col("config_hash").alias("_hash"), F.col("next_run").alias("_next"), F.lit(True).alias("_wanted"))
+    both = state.withColumn("_known", F.lit(True)).join(config, "schedule_name", "full_outer").filter("_wanted")
+    changed = ~F.col("config_hash").eqNullSafe(F.col("_hash"))
+    new = {"next_run_at": F.when(changed, F.col("_next")).otherwise(F.col("next_run_at")), "config_hash": F.col("_hash"), "updated_at": F.when(changed, now).otherwise(F.col("updated_at")), "run_count": F.coalesce("run_count", F.lit(0))}
+    return both.withColumns(new).select(state.columns)
+

@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from queuelens.functions.ids import json_text
 from queuelens.schemas import NODE_TERMINAL, POLICY, TASK_TERMINAL, WORKFLOW_TERMINAL
 from queuelens.sources.shared import written
 
@@ -100,14 +101,19 @@ def dependents(nodes: DataFrame, completed: DataFrame) -> DataFrame:
 
 
 #: What stands for the result of a skipped node, or of one that can't be read.
-SKIPPED_RESULT = '{"err":"UPSTREAM_SKIPPED"}'
-BROKEN_RESULT = '{"err":"RESULT_DESERIALIZATION_ERROR"}'
+SKIPPED_RESULT = '{"err":{"error_code":"UPSTREAM_SKIPPED","message":"Upstream dependency was SKIPPED"}}'
+BROKEN_RESULT = '{"err":{"error_code":"RESULT_DESERIALIZATION_ERROR","message":"Dependency result JSON corrupt"}}'
+
+
+def ended_value() -> Column:
+    """What an ended node's result is to others: a sentinel for skipped nodes and for text that is no JSON; null if there is none."""
+    broken = F.col("result").isNotNull() & F.try_parse_json("result").isNull()
+    return F.when(F.col("status") == "SKIPPED", SKIPPED_RESULT).when(F.col("result") == "", None).when(broken, BROKEN_RESULT).otherwise(F.col("result"))
 
 
 def dependency_results(nodes: DataFrame) -> DataFrame:
     """(workflow_id, task_index, results): a map from dependency to the result of those that have ended."""
-    value = F.when(F.col("status") == "SKIPPED", SKIPPED_RESULT).when(F.col("result").isNotNull() & F.try_parse_json("result").isNull(), BROKEN_RESULT).otherwise(F.col("result"))
-    done = nodes.filter(ended()).select("workflow_id", F.col("task_index").alias("dep"), value.alias("value"))
+    done = nodes.filter(ended()).select("workflow_id", F.col("task_index").alias("dep"), ended_value().alias("value"))
     entry = F.struct("dep", "value")
     return edges(nodes).distinct().join(done, ["workflow_id", "dep"]).groupBy("workflow_id", "task_index").agg(F.map_from_entries(F.array_sort(F.collect_list(entry))).alias("results"))
 
@@ -163,7 +169,7 @@ def final_results(workflows: DataFrame, nodes: DataFrame) -> DataFrame:
     last = sinks(nodes).join(workflows.filter("output_task_index is null").select(F.col("id").alias("workflow_id")), "workflow_id", "left_semi")
     entry = F.struct("node_id", F.coalesce("result", F.lit("null")).alias("value"))
     many = last.groupBy(F.col("workflow_id").alias("id")).agg(F.array_sort(F.collect_list(entry)).alias("entries"))
-    text = F.concat(F.lit("{"), F.array_join(F.transform("entries", lambda e: F.concat(F.lit('"'), e.node_id, F.lit('":'), e.value)), ","), F.lit("}"))
+    text = F.concat(F.lit("{"), F.array_join(F.transform("entries", lambda e: F.concat(json_text(e.node_id), F.lit(":"), e.value)), ","), F.lit("}"))
     return one.unionByName(many.select("id", text.alias("result")))
 
 
@@ -228,8 +234,9 @@ def rec_terminal(workflows: DataFrame, nodes: DataFrame) -> DataFrame:
 # ---- checks ----------------------------------------------------------------
 
 
-def invalid_graphs(nodes: DataFrame) -> DataFrame:
-    """(workflow_id, problem): no root, unknown dependency, impossible quorum, or a cycle.
+def invalid_graphs(nodes: DataFrame, workflows: DataFrame | None = None) -> DataFrame:
+    """(workflow_id, problem): no root, unknown dependency, impossible quorum, or a cycle; with workflows also a success
+    policy or an output that names no node.
 
     Cycles are found by peeling: nodes all of whose dependencies are peeled go,
     level by level; what can't be peeled is on a cycle or behind one.
@@ -239,7 +246,28 @@ def invalid_graphs(nodes: DataFrame) -> DataFrame:
     known = nodes.select("workflow_id", F.col("task_index").alias("dep"))
     unknown = edges(nodes).join(known, ["workflow_id", "dep"], "left_anti").select("workflow_id", F.lit("unknown dependency").alias("problem"))
     quorum = nodes.filter((F.col("join_type") == "quorum") & (F.col("min_success") > F.size("dependencies"))).select("workflow_id", F.lit("quorum over all dependencies").alias("problem"))
-    return no_root.unionByName(unknown).unionByName(quorum).unionByName(cycles(nodes)).distinct()
+    found = no_root.unionByName(unknown).unionByName(quorum).unionByName(cycles(nodes))
+    if workflows is not None:
+        required = F.flatten(F.transform(F.from_json("success_policy", POLICY)["cases"], lambda c: c.required_indices))
+        asked = workflows.select(F.col("id").alias("workflow_id"), F.explode(required).alias("dep"))
+        found = found.unionByName(asked.join(known, ["workflow_id", "dep"], "left_anti").select("workflow_id", F.lit("policy over unknown nodes").alias("problem")))
+        output = workflows.filter("output_task_index is not null").select(F.col("id").alias("workflow_id"), F.col("output_task_index").alias("dep"))
+        found = found.unionByName(output.join(known, ["workflow_id", "dep"], "left_anti").select("workflow_id", F.lit("unknown output").alias("problem")))
+    return found.distinct()
+
+
+def nested_definitions(uses: DataFrame) -> DataFrame:
+    """(name): definitions that contain themselves, by what they use, (name, uses): the closure of the few names, level by level."""
+    pairs = uses.select("name", "uses").distinct()
+    reach, count = pairs, 0
+    while True:
+        reach = written(reach, "dag-nested")
+        now = reach.count()
+        if now == count:
+            return reach.filter("name = uses").select("name").distinct()
+        count = now
+        further = reach.withColumnRenamed("uses", "via").join(pairs.withColumnRenamed("name", "via"), "via").select("name", "uses")
+        reach = reach.unionByName(further).distinct()
 
 
 def cycles(nodes: DataFrame) -> DataFrame:

@@ -5,16 +5,22 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from queuelens.operators.dag import BROKEN_RESULT, SKIPPED_RESULT, ended
+from queuelens.operators.dag import ended, ended_value
 from queuelens.schemas import WORKFLOW_TERMINAL
 
 #: The key that marks an injected result in the arguments of a task.
 RESULT_TAG = "__injected_result__"
 
 
-def results_with_names(nodes: DataFrame) -> DataFrame:
-    """(workflow_id, task_index, node_id, by_name): ended nodes; `by_name` is what others may call them."""
-    done = nodes.filter(ended())
+def results_with_names(nodes: DataFrame, asked: DataFrame | None = None) -> DataFrame:
+    """(workflow_id, task_index, node_id, by_name, status, result) of ended nodes; `by_name` is what others may call them.
+
+    Of `asked` (workflow_id, node_id), if given. Skipped nodes and results that
+    can't be read have a sentinel; nodes without a result are left out.
+    """
+    done = nodes.filter(ended()).withColumn("result", ended_value()).filter("result is not null")
+    if asked is not None:
+        done = done.join(asked.select("workflow_id", "node_id").distinct(), ["workflow_id", "node_id"], "left_semi")
     name = F.concat_ws("#", F.coalesce("task_name", F.lit("task")), F.col("task_index").cast("string"))
     return done.select("workflow_id", "task_index", "node_id", name.alias("by_name"), "status", "result")
 
@@ -22,8 +28,7 @@ def results_with_names(nodes: DataFrame) -> DataFrame:
 def context(nodes: DataFrame) -> DataFrame:
     """(workflow_id, task_index, results): results by node id of the nodes that a node asks to see."""
     wanted = nodes.select("workflow_id", "task_index", F.explode(F.array_distinct("workflow_ctx_from")).alias("node_id"))
-    value = F.when(F.col("status") == "SKIPPED", SKIPPED_RESULT).otherwise(F.col("result"))
-    done = nodes.filter(ended()).select("workflow_id", "node_id", value.alias("value"))
+    done = nodes.filter(ended()).select("workflow_id", "node_id", ended_value().alias("value"))
     met = wanted.join(done, ["workflow_id", "node_id"])
     return met.groupBy("workflow_id", "task_index").agg(F.map_from_entries(F.array_sort(F.collect_list(F.struct("node_id", "value")))).alias("results"))
 
@@ -36,7 +41,7 @@ def arguments(nodes: DataFrame, tag: str = RESULT_TAG) -> DataFrame:
     injected is a conflict: kwargs is null then. JSON objects are spliced as
     text, so values keep their exact form.
     """
-    value = F.when(F.col("status") == "SKIPPED", SKIPPED_RESULT).when(F.col("result").isNotNull() & F.try_parse_json("result").isNull(), BROKEN_RESULT).otherwise(F.coalesce("result", F.lit("null")))
+    value = F.coalesce(ended_value(), F.lit("null"))
     source = nodes.filter(ended()).select("workflow_id", F.col("task_index").alias("dep"), value.alias("value"))
     given = F.coalesce("task_kwargs", F.lit("{}"))
     own = nodes.select("workflow_id", "task_index", given.alias("given"), F.coalesce("args_from", F.create_map().cast("map<string,int>")).alias("args_from"))

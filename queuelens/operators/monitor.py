@@ -11,6 +11,7 @@ from pyspark.sql import functions as F
 
 from queuelens.functions.times import ago, duration_text, ratio, rounded, seconds_between
 from queuelens.operators.latest import latest, one_of, top_counts, where
+from queuelens.schemas import WORKFLOW_STATES
 
 # ---- tasks -----------------------------------------------------------------
 
@@ -49,6 +50,11 @@ def task_facets(tasks: DataFrame, worker: str | None = None, statuses: list[str]
     return names.unionByName(queues).unionByName(top_counts(base.filter("error_code is not null"), "error_code", "error", 20))
 
 
+def facet(facets: DataFrame, kind: str) -> DataFrame:
+    """(value, count) of one kind of facet: task_name, queue or error."""
+    return facets.filter(F.col("kind") == kind).select("value", "count")
+
+
 def task_status_view(tasks: DataFrame) -> DataFrame:
     """Counts of seven fixed states and of all tasks, expired ones among these alone."""
     spark = tasks.sparkSession
@@ -222,6 +228,11 @@ def workflow_summary(workflows: DataFrame) -> DataFrame:
     return workflows.agg(*[F.count_if(F.col("status") == s.upper()).alias(s) for s in states])
 
 
+def workflow_totals(workflows: DataFrame) -> DataFrame:
+    """One row: all workflows, and how many are in each state."""
+    return workflows.agg(F.count("*").alias("total"), *[F.count_if(F.col("status") == s).alias(s.lower()) for s in WORKFLOW_STATES])
+
+
 def workflow_progress(workflows: DataFrame, nodes: DataFrame, as_of: Column) -> DataFrame:
     """Finished and successful shares of each workflow's nodes, and how long it runs or ran."""
     counted = with_counts(workflows, nodes)

@@ -16,10 +16,11 @@ from queuelens.schemas import NODE_TERMINAL
 
 
 def update(df: DataFrame, guard: Column, changes: dict[str, Column], flag: str = "changed") -> DataFrame:
-    """`df` with `changes` where `guard` holds, and the flag. Columns that `df` lacks are not added."""
+    """`df` with `changes` where `guard` holds, and the flag. It must have all columns that change (see `schemas.complete`)."""
+    if lacking := [c for c in changes if c not in df.columns]:
+        raise ValueError(f"the table lacks {', '.join(lacking)}")
     hit = F.coalesce(guard, F.lit(False))
-    known = {c: v for c, v in changes.items() if c in df.columns}
-    return df.withColumns({c: F.when(hit, v.cast(df.schema[c].dataType)).otherwise(F.col(c)) for c, v in known.items()} | {flag: hit})
+    return df.withColumns({c: F.when(hit, v.cast(df.schema[c].dataType)).otherwise(F.col(c)) for c, v in changes.items()} | {flag: hit})
 
 
 def RELEASED(as_of: Column) -> dict[str, Column]:
@@ -101,20 +102,26 @@ def finalize(tasks: DataFrame, outcomes: DataFrame, as_of: Column) -> DataFrame:
     return update(seen, own, changes).drop("_o")
 
 
-def attempts_of(tasks: DataFrame, outcomes: DataFrame, as_of: Column) -> DataFrame:
-    """The attempt rows that ending tasks leave: the number is retry_count + 1."""
+def attempts_of(tasks: DataFrame, outcomes: DataFrame, as_of: Column, plan: DataFrame | None = None) -> DataFrame:
+    """The attempt rows that ending tasks leave: the number is retry_count + 1.
+
+    A failed attempt has `will_retry` if `plan` (id, verdict) schedules another one.
+    """
     running = tasks.filter("status = 'RUNNING'").select("id", "retry_count", "started_at", "claimed_by_worker_id")
+    if plan is None:
+        running = running.withColumn("_again", F.lit(False))
+    else:
+        again = plan.filter("verdict = 'scheduled'").select(F.col("id"), F.lit(True).alias("_again")).distinct()
+        running = running.join(again, "id", "left")
     ends = running.join(outcomes, F.col("id") == F.col("task_id"))
     outcome = F.when(F.col("ok"), "COMPLETED").when(F.col("result").isNull(), "WORKER_FAILURE").otherwise("FAILED")
-    return ends.select("task_id", (F.col("retry_count") + 1).alias("attempt"), outcome.alias("outcome"), F.lit(False).alias("will_retry"), "started_at", as_of.alias("finished_at"), "error_code", F.col("claimed_by_worker_id").alias("worker_id"))
+    return ends.select("task_id", (F.col("retry_count") + 1).alias("attempt"), outcome.alias("outcome"), ((outcome == "FAILED") & F.coalesce("_again", F.lit(False))).alias("will_retry"), "started_at", as_of.alias("finished_at"), "error_code", F.col("claimed_by_worker_id").alias("worker_id"))
 
 
 def upsert_attempts(attempts: DataFrame, new: DataFrame) -> DataFrame:
-    """Attempts with `new` rows in place of old ones of the same (task_id, attempt)."""
-    rest = [c for c in attempts.columns if c not in ("task_id", "attempt")]
-    both = attempts.withColumn("_new", F.lit(0)).unionByName(new.select(attempts.columns).withColumn("_new", F.lit(1)))
-    best = F.max_by(F.struct(*rest), F.struct("_new", *[c for c in rest])).alias("row")
-    return both.groupBy("task_id", "attempt").agg(best).select("task_id", "attempt", "row.*").select(attempts.columns)
+    """Attempts with `new` rows (one for each key) in place of old ones of the same (task_id, attempt)."""
+    key = ["task_id", "attempt"]
+    return attempts.join(new.select(*key).distinct(), key, "left_anti").unionByName(new.select(attempts.columns)).select(attempts.columns)
 
 
 def claimer_heartbeats(tasks: DataFrame, as_of: Column, worker: str, hostname: str, pid: int) -> DataFrame:

@@ -55,6 +55,7 @@ QUERIES = {
     "task_breakdown": lambda t: M.task_breakdown(t.tasks),
     "task_breakdown_filtered": lambda t: M.task_breakdown(t.tasks, True, ["FAILED", "RUNNING"]),
     "task_facets": lambda t: M.task_facets(t.tasks, statuses=("FAILED", "COMPLETED")),
+    "queue_facets": lambda t: M.facet(M.task_facets(t.tasks, statuses=("FAILED", "COMPLETED")), "queue"),
     "task_status_view": lambda t: M.task_status_view(t.tasks),
     "task_list": lambda t: M.task_list(t.tasks, statuses=("RUNNING", "FAILED"), retried_only=True),
     "task_detail": lambda t: M.task_detail(t.tasks, "task-102"),
@@ -70,6 +71,7 @@ QUERIES = {
     "worker_queues": lambda t: M.worker_queues(t.worker_states, t.as_of),
     "worker_uptime": lambda t: M.worker_uptime(t.worker_states, t.as_of),
     "worker_load": lambda t: M.worker_load(t.worker_states, t.as_of),
+    "worker_load_one": lambda t: M.worker_load(t.worker_states, t.as_of, "24h", "worker-7"),
     "load_scale": lambda t: M.load_scale(t.worker_states, t.as_of, "24h"),
     "workflow_list": lambda t: M.workflow_list(t.workflows, t.workflow_tasks),
     "workflow_list_filtered": lambda t: M.workflow_list(t.workflows, t.workflow_tasks, ["RUNNING", "PAUSED"]),
@@ -87,6 +89,7 @@ _SECONDS = f"date_diff('second', created_at, coalesce(completed_at, {NOW}))"
 ORACLES = {
     "task_breakdown": _breakdown("true"),
     "task_breakdown_filtered": _breakdown("retry_count > 0 and status in ('FAILED', 'RUNNING')"),
+    "queue_facets": oracle(" select queue_name as value, count(*) as count from tasks where status in ('FAILED', 'COMPLETED') group by 1 qualify row_number() over (order by count(*) desc, queue_name) <= 30", "tasks"),
     "task_facets": _facets("status in ('FAILED', 'COMPLETED')"),
     "task_status_view": oracle(
         """ select s.status, coalesce(c.n, 0) as count, s.sort_order
@@ -127,6 +130,7 @@ count(*) as snapshot_count, count(distinct worker_id) as unique_workers from wor
     "stale_claims": oracle(f" select worker_id, hostname, tasks_running, tasks_claimed, {_rounded('tasks_claimed::double / nullif(tasks_running::double, 0)', 2)} as claim_ratio, snapshot_at from ({_CLAIMING})", "worker_states"),
     "worker_queues": oracle(f" select worker_id, hostname, queue_priorities, tasks_running, tasks_claimed from ({_ACTIVE})", "worker_states"),
     "worker_uptime": oracle(f" select worker_id, hostname, worker_started_at, snapshot_at as last_seen, date_diff('second', worker_started_at, snapshot_at) as uptime_seconds from (select * from worker_states where snapshot_at > {NOW} - interval 5 minute qualify {_LATEST} = 1)", "worker_states"),
+    "worker_load_one": oracle(f" select worker_id, snapshot_at, tasks_running, tasks_claimed, memory_percent, cpu_percent from worker_states where snapshot_at > {NOW} - interval 24 hour and worker_id = 'worker-7'", "worker_states"),
     "worker_load": oracle(f" select worker_id, snapshot_at, tasks_running, tasks_claimed, memory_percent, cpu_percent from worker_states where snapshot_at > {NOW} - interval 1 hour", "worker_states"),
     "load_scale": oracle(f" select worker_id, max(tasks_running) as max_running, max(tasks_claimed) as max_claimed from worker_states where snapshot_at > {NOW} - interval 24 hour group by 1", "worker_states"),
     "workflow_list": _workflows("true", "order by created_at desc, w.id limit 100"),

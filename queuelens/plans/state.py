@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from dataclasses import replace
+
 from pyspark.sql import functions as F
 
 from queuelens.functions import ids, retry, schedule
@@ -13,7 +15,7 @@ from queuelens.operators import health as H
 from queuelens.operators import retention as R
 from queuelens.operators import transitions as T
 from queuelens.sources.fixtures import oracle
-from queuelens.sources.tables import Tables
+from queuelens.sources.tables import Tables, completed
 
 NOW = "TIMESTAMP '2024-01-31 00:00:00'"
 DAY = 24 * 3600
@@ -30,6 +32,26 @@ _RANKED = f"select *, row_number() over (partition by queue_name order by priori
 
 
 
+def full(t: Tables) -> Tables:
+    """The tables with all columns: tasks claimed as they were enqueued, and not updated since."""
+    t, claimed = completed(t), F.col("status") == "CLAIMED"
+    return replace(t, tasks=t.tasks.withColumns({"claimed": claimed, "claimed_at": F.when(claimed, F.col("enqueued_at")), "updated_at": F.col("enqueued_at")}))
+
+
+def damaged(t: Tables):
+    """Nodes, some of them with results that are no JSON, and some with empty ones."""
+    broken = F.when((F.col("status") == "COMPLETED") & (F.col("task_index") % 4 == 3), '{"r":').when((F.col("status") == "FAILED") & (F.col("task_index") % 4 == 2), "").otherwise(F.col("result"))
+    return t.workflow_tasks.withColumn("result", broken)
+
+
+def flawed(t: Tables):
+    """Nodes of graphs with planted flaws: unknown dependencies, and cycles of the first two nodes."""
+    n = F.regexp_extract("workflow_id", r"(\d+)$", 1).cast("long")
+    loop = (n % 13 == 0) & (F.col("task_index") == 0)
+    unknown = (n % 11 == 0) & (F.col("task_index") == 1)
+    return t.workflow_tasks.withColumn("dependencies", F.when(loop, F.array(F.lit(1))).when(unknown, F.array(F.lit(0), F.lit(99))).otherwise(F.col("dependencies")))
+
+
 def caps(t: Tables):
     """Caps for the queues of the fixtures, in the order of their names."""
     queues = t.tasks.select("queue_name").distinct()
@@ -97,11 +119,11 @@ def _argued(t: Tables):
     """Nodes with arguments of their own, one of them also injected for every seventh workflow."""
     deps = F.transform("dependencies", lambda i: F.concat(F.lit("d"), i.cast("string")))
     n = F.regexp_extract("workflow_id", r"(\d+)$", 1).cast("long")
-    return t.workflow_tasks.withColumns({"args_from": F.map_from_arrays(deps, "dependencies"), "task_kwargs": F.when(n % 7 == 0, '{"d0": 1}').when(n % 2 == 0, '{"x": [1, "a"]}')})
+    return damaged(t).withColumns({"args_from": F.map_from_arrays(deps, "dependencies"), "task_kwargs": F.when(n % 7 == 0, '{"d0": 1}').when(n % 2 == 0, '{"x": [1, "a"]}')})
 
 
 def _asking(t: Tables):
-    return t.workflow_tasks.withColumn("workflow_ctx_from", F.transform("dependencies", lambda i: F.concat(F.lit("n"), i.cast("string"))))
+    return damaged(t).withColumn("workflow_ctx_from", F.transform("dependencies", lambda i: F.concat(F.lit("n"), i.cast("string"))))
 
 
 QUERIES = {
@@ -125,7 +147,7 @@ QUERIES = {
     "dag_fixpoint": lambda t: D.propagate(t.workflow_tasks, t.workflows).select("id", "status"),
     "dag_sinks": lambda t: D.sinks(t.workflow_tasks),
     "dependents": lambda t: D.dependents(t.workflow_tasks, t.workflow_tasks.filter("status = 'COMPLETED'")),
-    "dependency_results": lambda t: D.dependency_results(t.workflow_tasks).select("workflow_id", "task_index", F.explode("results").alias("dep", "result")),
+    "dependency_results": lambda t: D.dependency_results(damaged(t)).select("workflow_id", "task_index", F.explode("results").alias("dep", "result")),
     "child_summary": lambda t: D.child_summary(t.workflows, t.workflow_tasks),
     "completion_status": lambda t: D.completion_status(t.workflows, t.workflow_tasks),
     "success_policy": lambda t: D.success(t.workflows, t.workflow_tasks),
@@ -134,10 +156,10 @@ QUERIES = {
     "final_results": lambda t: D.final_results(t.workflows, t.workflow_tasks),
     "completions": lambda t: D.completions(t.workflows, t.workflow_tasks),
     "on_error": lambda t: D.on_error(t.workflows, t.workflow_tasks),
-    "invalid_graphs": lambda t: D.invalid_graphs(t.workflow_tasks),
+    "invalid_graphs": lambda t: D.invalid_graphs(flawed(t), t.workflows),
     "ctx_ready": lambda t: D.ctx_ready(_asking(t)),
     "node_context": lambda t: Q.context(_asking(t)).select("workflow_id", "task_index", F.explode("results").alias("node_id", "result")),
-    "results_with_names": lambda t: Q.results_with_names(t.workflow_tasks.withColumn("task_name", F.col("join_type"))),
+    "results_with_names": lambda t: Q.results_with_names(damaged(t).withColumn("task_name", F.col("join_type")), t.workflow_tasks.filter("task_index <> 5")),
     "node_arguments": lambda t: Q.arguments(_argued(t)),
     "tasks_of_nodes": lambda t: Q.tasks_of(t.workflow_tasks, t.as_of),
     "link_tasks": lambda t: Q.link(t.workflow_tasks, Q.tasks_of(t.workflow_tasks, t.as_of)).select("id", "task_id"),
@@ -190,6 +212,10 @@ QUERIES = {
 _COUNTS = f"count(*) filter (not wt.status in {_ENDED}) as incomplete, count(*) filter (wt.status = 'FAILED') as failed, count(*) filter (wt.status = 'COMPLETED') as completed, count(*) as total"
 _STALE = f"t.status = 'RUNNING' and t.started_at is not null and coalesce(hb.last_heartbeat, t.started_at) < {NOW} - interval 300 second"
 _EDGES = ", edges as (select workflow_id, task_index, unnest(dependencies) as dep from workflow_tasks)"
+_WF_N = "cast(regexp_extract(workflow_id, '([0-9]+)$', 1) as bigint)"
+#: Nodes with damaged results, and what others see of them.
+_DAMAGED = f""", dm as (select * replace (case when status = 'COMPLETED' and task_index % 4 = 3 then '{{"r":' when status = 'FAILED' and task_index % 4 = 2 then '' else result end as result) from workflow_tasks),
+dn as (select *, case when status = 'SKIPPED' then '{D.SKIPPED_RESULT}' when result = '' then null when result is not null and not json_valid(result) then '{D.BROKEN_RESULT}' else result end as value from dm)"""
 _CAPQ = ", caps as (select distinct queue_name, length(queue_name) % 5 + 3 as cap, case when length(queue_name) % 5 = 2 then 2 else 100000 end as lim from tasks)"
 _ALLOC = f"""{_CAPQ}, busy as (select queue_name, count(*) filter (status = 'RUNNING' or {_ACTIVE}) as busy from tasks group by 1),
 room as (select c.queue_name, greatest(0, least(cap, lim - coalesce(busy, 0))) as room from caps c left join busy using (queue_name)),
@@ -257,7 +283,7 @@ ORACLES = {
     "join_readiness_round1": oracle(_VERDICT, "workflow_tasks", "workflows"),
     "dag_sinks": oracle(" select workflow_id, task_index, node_id, result from workflow_tasks w where not exists (select 1 from workflow_tasks o where o.workflow_id = w.workflow_id and list_contains(o.dependencies, w.task_index))", "workflow_tasks"),
     "dependents": oracle(f"{_EDGES} select distinct e.workflow_id, e.task_index from edges e join workflow_tasks p on p.workflow_id = e.workflow_id and p.task_index = e.task_index and p.status = 'PENDING' join workflow_tasks d on d.workflow_id = e.workflow_id and d.task_index = e.dep and d.status = 'COMPLETED'", "workflow_tasks"),
-    "dependency_results": oracle(f"""{_EDGES} select distinct e.workflow_id, e.task_index, e.dep, case when d.status = 'SKIPPED' then '{D.SKIPPED_RESULT}' else d.result end as result from edges e join workflow_tasks d on d.workflow_id = e.workflow_id and d.task_index = e.dep and d.status in {_ENDED}""", "workflow_tasks"),
+    "dependency_results": oracle(f"""{_EDGES}{_DAMAGED} select distinct e.workflow_id, e.task_index, e.dep, d.value as result from edges e join dn d on d.workflow_id = e.workflow_id and d.task_index = e.dep and d.status in {_ENDED}""", "workflow_tasks"),
     "child_summary": oracle(" select w.id, w.parent_workflow_id, w.parent_task_index, w.status, count(n.id) as total, count(*) filter (n.status = 'COMPLETED') as completed, count(*) filter (n.status = 'FAILED') as failed, count(*) filter (n.status = 'SKIPPED') as skipped from workflows w left join workflow_tasks n on n.workflow_id = w.id where w.parent_workflow_id is not null group by 1, 2, 3, 4", "workflows", "workflow_tasks"),
     "completion_status": oracle(f" select w.id, w.status, w.completed_at, {_COUNTS} from workflows w left join workflow_tasks wt on wt.workflow_id = w.id group by 1, 2, 3", "workflows", "workflow_tasks"),
     "success_policy": oracle(f"{_SUCCESS} select * from succ", "workflows", "workflow_tasks"),
@@ -269,12 +295,20 @@ union all select w.id, concat('{', string_agg(concat('"', n.node_id, '":', coale
   where w.output_task_index is null and not exists (select 1 from used u where u.workflow_id = n.workflow_id and u.task_index = n.task_index) group by 1""", "workflows", "workflow_tasks"),
     "completions": oracle(f"{_SUCCESS}, c as (select w.id, {_COUNTS} from workflows w left join workflow_tasks wt on wt.workflow_id = w.id where w.status = 'RUNNING' and w.completed_at is null group by 1) select c.id, case when succeeded then 'COMPLETED' else 'FAILED' end as to from c join succ using (id) where incomplete = 0", "workflows", "workflow_tasks"),
     "on_error": oracle(" select w.id, case when w.on_error = 'pause' then 'PAUSED' else 'RUNNING' end as to, n.result as error from workflows w join (select workflow_id, result from workflow_tasks where status = 'FAILED' qualify row_number() over (partition by workflow_id order by task_index) = 1) n on n.workflow_id = w.id where w.status = 'RUNNING'", "workflows", "workflow_tasks"),
-    "invalid_graphs": oracle(" select distinct workflow_id, 'quorum over all dependencies' as problem from workflow_tasks where join_type = 'quorum' and min_success > len(dependencies)", "workflow_tasks"),
+    "invalid_graphs": oracle(f""", f as (select * replace (case when {_WF_N} % 13 = 0 and task_index = 0 then [1] when {_WF_N} % 11 = 0 and task_index = 1 then [0, 99] else dependencies end as dependencies) from workflow_tasks),
+e as (select distinct workflow_id, task_index, unnest(dependencies) as dep from f), known as (select workflow_id, task_index as dep from f),
+asked as (select id as workflow_id, unnest(flatten(cast(json_extract(success_policy, '$.cases[*].required_indices') as int[][]))) as dep from workflows where success_policy is not null)
+select distinct workflow_id, 'quorum over all dependencies' as problem from f where join_type = 'quorum' and min_success > len(dependencies)
+union select workflow_id, 'no root' from f group by 1 having count(*) filter (len(dependencies) = 0) = 0
+union select workflow_id, 'unknown dependency' from e anti join known using (workflow_id, dep)
+union select a.workflow_id, 'cycle' from e a join e b on a.workflow_id = b.workflow_id and a.task_index = b.dep and a.dep = b.task_index
+union select workflow_id, 'policy over unknown nodes' from asked anti join known using (workflow_id, dep)
+union select id, 'unknown output' from (select id, id as workflow_id, output_task_index as dep from workflows where output_task_index is not null) anti join known using (workflow_id, dep)""", "workflow_tasks", "workflows"),
     "ctx_ready": oracle(f"{_EDGES} select e.workflow_id, e.task_index, count(*) filter (n.status in {_ENDED}) >= count(*) as ctx_ready from (select distinct * from edges) e left join workflow_tasks n on n.workflow_id = e.workflow_id and n.task_index = e.dep group by 1, 2", "workflow_tasks"),
-    "node_context": oracle(f""", a as (select workflow_id, task_index, unnest(dependencies) as dep from workflow_tasks) select distinct a.workflow_id, a.task_index, n.node_id, case when n.status = 'SKIPPED' then '{D.SKIPPED_RESULT}' else n.result end as result from a join workflow_tasks n on n.workflow_id = a.workflow_id and n.task_index = a.dep and n.status in {_ENDED}""", "workflow_tasks"),
-    "results_with_names": oracle(f" select workflow_id, task_index, node_id, concat(join_type, '#', task_index) as by_name, status, result from workflow_tasks where status in {_ENDED}", "workflow_tasks"),
-    "node_arguments": oracle(f"""{_EDGES}, v as (select e.workflow_id, e.task_index, concat('"d', e.dep, '":{{"{Q.RESULT_TAG}":true,"data":', case when n.status = 'SKIPPED' then '{D.SKIPPED_RESULT}' else coalesce(n.result, 'null') end, '}}') as part
-  from edges e join workflow_tasks n on n.workflow_id = e.workflow_id and n.task_index = e.dep and n.status in {_ENDED}), p as (select workflow_id, task_index, string_agg(part, ',' order by part) as parts from v group by 1, 2),
+    "node_context": oracle(f"""{_DAMAGED}, a as (select workflow_id, task_index, unnest(dependencies) as dep from workflow_tasks) select distinct a.workflow_id, a.task_index, n.node_id, n.value as result from a join dn n on n.workflow_id = a.workflow_id and n.task_index = a.dep and n.status in {_ENDED}""", "workflow_tasks"),
+    "results_with_names": oracle(f"{_DAMAGED} select workflow_id, task_index, node_id, concat(join_type, '#', task_index) as by_name, status, value as result from dn where status in {_ENDED} and value is not null and task_index <> 5", "workflow_tasks"),
+    "node_arguments": oracle(f"""{_EDGES}{_DAMAGED}, v as (select e.workflow_id, e.task_index, concat('"d', e.dep, '":{{"{Q.RESULT_TAG}":true,"data":', coalesce(n.value, 'null'), '}}') as part
+  from edges e join dn n on n.workflow_id = e.workflow_id and n.task_index = e.dep and n.status in {_ENDED}), p as (select workflow_id, task_index, string_agg(part, ',' order by part) as parts from v group by 1, 2),
 k as (select w.workflow_id, w.task_index, cast(regexp_extract(workflow_id, '([0-9]+)$', 1) as bigint) as n, dependencies from workflow_tasks w)
 select k.workflow_id, k.task_index, case when not (n % 7 = 0 and list_contains(dependencies, 0)) then concat('{{', concat_ws(',', case when n % 7 = 0 then '"d0": 1' when n % 2 = 0 then '"x": [1, "a"]' end, parts), '}}') end as kwargs, n % 7 = 0 and list_contains(dependencies, 0) as conflict
 from k left join p on p.workflow_id = k.workflow_id and p.task_index = k.task_index""", "workflow_tasks"),
@@ -334,3 +368,6 @@ select schedule_name, slot from slots qualify row_number() over (partition by sc
     "schedule_slot_id": oracle(f" select schedule_name, {_UUID} as slot_id from (select schedule_name, sha1(unhex('{ids.NAMESPACE}') || encode(concat(schedule_name, ':', {_ISO.format('last_run_at')}))) as h from schedule_state)", "schedule_state"),
     "enqueue_fingerprint": oracle(f""" select id, sha256(concat('["', task_name, '","', queue_name, '",', priority, ',null,null,"', {_ISO.format('enqueued_at')}, '",', case when good_until is null then 'null' else concat('"', {_ISO.format('good_until')}, '"') end, ',null,null]')) as enqueue_sha from tasks""", "tasks"),
 }
+#: Transitions write columns that the fixtures lack.
+for _name in "claim_tasks guard_workflows end_nodes expire_pending requeue_claimed mark_stale_failed renew_lease start_claimed finalize_outcomes cancel_workflow pause_cascade resume enqueue_nodes change_feed".split():
+    QUERIES[_name] = lambda t, query=QUERIES[_name]: query(full(t))

@@ -6,7 +6,9 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from queuelens.functions import udfs
-from queuelens.sources.fixtures import oracle
+from queuelens.operators import lifecycle
+from queuelens.plans.lifecycle import REAPED, equipped
+from queuelens.sources.fixtures import AS_OF, oracle
 from queuelens.sources.shared import shared_dir
 from queuelens.sources.tables import Tables
 from queuelens.streaming import jobs
@@ -40,8 +42,25 @@ def stream_latest_worker(t: Tables) -> DataFrame:
 
 def stream_liveness(t: Tables) -> DataFrame:
     beats = jobs.zoned(t.heartbeats.filter("role = 'runner'").select("task_id", "sent_at"), "sent_at")
-    seen = _run(jobs.liveness(stream_of(beats, "heartbeats")), "liveness")
-    return _plain(seen, "last_seen").filter("alive")
+    spark, path = beats.sparkSession, shared_dir(beats.sparkSession, "heartbeats")
+    # First all beats, then one a day later, after which all other tasks are silent.
+    beats.coalesce(1).write.parquet(path)
+    beats.limit(1).select(F.lit("later").alias("task_id"), F.expr(f"TIMESTAMP '{AS_OF}' + interval 1 day").alias("sent_at")).coalesce(1).write.mode("append").parquet(path)
+    stream = spark.readStream.schema(beats.schema).option("maxFilesPerTrigger", 1).parquet(path)
+    return _plain(_run(jobs.liveness(stream), "liveness"), "last_seen")
+
+
+def stream_reaper(t: Tables) -> DataFrame:
+    tasks = equipped(t).tasks
+    root = shared_dir(tasks.sparkSession, "reaper")
+    ticks = stream_of(tasks.sparkSession.sql(f"select TIMESTAMP_NTZ '{AS_OF}' as at"), "ticks")
+    last = jobs.reaper(ticks, tasks, t.heartbeats, lifecycle.reap, f"{root}/state", f"{root}/checkpoint")
+    return tasks.sparkSession.read.schema(tasks.schema).parquet(last).select("id", "status", "retry_count", "claimed_by_worker_id", "error_code")
+
+
+def stream_worker_feed(t: Tables) -> DataFrame:
+    states = jobs.zoned(t.worker_states.select("worker_id", "snapshot_at"), "snapshot_at")
+    return _plain(_run(jobs.row_feed(stream_of(states, "snapshots"), "worker_state", "worker_id", "snapshot_at"), "feed"), "at")
 
 
 def stream_change_feed(t: Tables) -> DataFrame:
@@ -71,7 +90,9 @@ QUERIES = {
     "stream_trend": stream_trend,
     "stream_latest_worker": stream_latest_worker,
     "stream_liveness": stream_liveness,
+    "stream_reaper": stream_reaper,
     "stream_change_feed": stream_change_feed,
+    "stream_worker_feed": stream_worker_feed,
     "stream_deduplicated": stream_deduplicated,
     "task_udf": task_udf,
 }
@@ -79,8 +100,10 @@ _ROUNDED = "cast(round(cast(avg(tasks_running::double / nullif(processes::double
 ORACLES = {
     "stream_trend": oracle(f" select date_trunc('minute', snapshot_at) as minute, {_ROUNDED} as avg_utilization_pct, cast(sum(tasks_running) as bigint) as total_running, cast(sum(processes) as bigint) as total_capacity from worker_states group by 1", "worker_states"),
     "stream_latest_worker": oracle(" select worker_id, hostname, tasks_running, tasks_claimed, snapshot_at from worker_states qualify row_number() over (partition by worker_id order by snapshot_at desc, id desc) = 1", "worker_states"),
-    "stream_liveness": oracle(" select task_id, max(sent_at) as last_seen, true as alive from heartbeats where role = 'runner' group by 1", "heartbeats"),
-    "stream_change_feed": oracle(f" select case when status = 'PENDING' then concat('task_queue_', queue_name) when status in ('COMPLETED', 'FAILED', 'CANCELLED', 'EXPIRED') then 'task_done' else 'task_status' end as channel, id as payload, enqueued_at as at from tasks", "tasks"),
+    "stream_liveness": oracle(f", seen as (select task_id, max(sent_at) as last_seen from heartbeats where role = 'runner' group by 1) select *, true as alive from seen union all select *, false from seen union all select 'later', TIMESTAMP '{AS_OF}' + interval 1 day, true", "heartbeats"),
+    "stream_reaper": REAPED.format(more=""),
+    "stream_worker_feed": oracle(" select 'worker_state' as channel, worker_id as payload, snapshot_at as at from worker_states", "worker_states"),
+    "stream_change_feed": oracle(" select unnest(case when status = 'PENDING' then ['task_status', 'task_new', concat('task_queue_', queue_name)] when status in ('COMPLETED', 'FAILED', 'CANCELLED', 'EXPIRED') then ['task_status', 'task_done'] else ['task_status'] end) as channel, id as payload, enqueued_at as at from tasks", "tasks"),
     "stream_deduplicated": oracle(" select distinct task_id from heartbeats", "heartbeats"),
     "task_udf": oracle(" select id, case when retry_count > 0 and priority <= 95 then cast(priority // retry_count as bigint) end as ok, case when retry_count = 0 then 'DIVISION' when priority > 95 then 'TASK_RETURNED_NONE' end as code from tasks", "tasks"),
 }

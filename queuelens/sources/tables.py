@@ -2,11 +2,13 @@
 
 from __future__ import annotations
 
-from dataclasses import dataclass, fields
+from dataclasses import dataclass, fields, replace
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
+from queuelens import schemas
 from queuelens.sources import fixtures
 
 
@@ -22,6 +24,15 @@ class Tables:
     as_of: Column
 
 
+def completed(t: Tables) -> Tables:
+    """The tables with all columns of their schemas; those that they lack are null, instants without a time zone.
+
+    Transitions write columns that a table may not have been read with.
+    """
+    kinds = {"tasks": schemas.TASKS, "task_attempts": schemas.TASK_ATTEMPTS, "heartbeats": schemas.HEARTBEATS, "worker_states": schemas.WORKER_STATES, "schedule_state": schemas.SCHEDULE_STATE, "workflows": schemas.WORKFLOWS, "workflow_tasks": schemas.WORKFLOW_TASKS}
+    return replace(t, **{n: schemas.complete(getattr(t, n), s, T.TimestampNTZType()) for n, s in kinds.items()})
+
+
 NAMES = tuple(f.name for f in fields(Tables) if f.name != "as_of")
 
 
