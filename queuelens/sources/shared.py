@@ -6,13 +6,27 @@ import uuid
 
 from pyspark.sql import DataFrame, SparkSession
 
+#: Folders made, in order, by application.
+_MADE: dict[str, list[str]] = {}
+
+
+def _made(spark: SparkSession) -> list[str]:
+    return _MADE.setdefault(spark.conf.get("spark.app.id", ""), [])
+
 
 def shared_dir(spark: SparkSession, name: str) -> str:
-    """A new folder below the one that spark.checkpoint.dir names; below the warehouse only where that is unset."""
+    """A new folder below the one that spark.checkpoint.dir names.
+
+    Only in local mode, where that may be unset, a folder below the warehouse is used.
+    """
     base = spark.conf.get("spark.checkpoint.dir", None)
     if not base:
+        if not spark.conf.get("spark.master", "").startswith("local"):
+            raise ValueError("spark.checkpoint.dir must name a folder that the driver and all executors share")
         base = spark.conf.get("spark.sql.warehouse.dir").rstrip("/") + "/_shared"
-    return f"{base.rstrip('/')}/{name}-{uuid.uuid4().hex}"
+    path = f"{base.rstrip('/')}/{name}-{uuid.uuid4().hex}"
+    _made(spark).append(path)
+    return path
 
 
 def written(df: DataFrame, name: str) -> DataFrame:
@@ -20,3 +34,18 @@ def written(df: DataFrame, name: str) -> DataFrame:
     path = shared_dir(df.sparkSession, name)
     df.write.parquet(path)
     return df.sparkSession.read.schema(df.schema).parquet(path)
+
+
+def mark(spark: SparkSession) -> int:
+    """How many folders were made so far; for `clear`."""
+    return len(_made(spark))
+
+
+def clear(spark: SparkSession, since: int = 0, keep: int = 0) -> None:
+    """Delete the folders made since a mark, but for the last `keep` of them. Frames that read them are of no use then."""
+    made = _made(spark)
+    end = max(since, len(made) - keep)
+    for path in made[since:end]:
+        jpath = spark._jvm.org.apache.hadoop.fs.Path(path)
+        jpath.getFileSystem(spark._jsc.hadoopConfiguration()).delete(jpath, True)
+    del made[since:end]
