@@ -13,9 +13,10 @@ Content nodes follow from the ratios. Blocks whose smoothed ratio reaches
 `THRESHOLD` of the best one are the core; the lowest container that holds the
 core is the content node. Where `article` and `main` elements hold most of the
 weighted text (text in them counts `NAMED` times), they are the content nodes.
-In a content node everything is kept whose path is no menu (`MENU` of its text
-in links, and less than a mark of punctuation per block) and whose weight is
-that of the core: lists, tables, headings and short paragraphs stay.
+In a content node everything is kept whose weight is that of the core and that
+is of no menu, by the ratios of its path in its own parent: several blocks, no
+headings, `MENU` of their text in links, and less than a mark of punctuation
+each. Lists, tables, headings and short paragraphs stay.
 
 Results, also for odd input:
 
@@ -66,6 +67,7 @@ MARKS = frozenset(
     "comment comments disqus respond replies reply hidden".split()
 )
 CONTENT = frozenset(["article", "main"])
+HEADINGS = frozenset("h1 h2 h3 h4 h5 h6".split())
 CONTAINERS = frozenset("div section article main body html".split())
 #: Part of the best smoothed ratio that makes a block one of the core.
 THRESHOLD = 0.25
@@ -73,7 +75,7 @@ THRESHOLD = 0.25
 NAMED = 4
 #: Weight of what a name marks as no content.
 MARKED = 0.02
-#: Share of link text that makes a path a menu.
+#: Share of link text that makes the blocks of a path in one element a menu.
 MENU = 0.8
 _W = r" \t\n\f\r"
 # Possessive throughout: no character is read again.
@@ -281,15 +283,21 @@ def _container(a: Element, b: Element) -> Element:
     return a.box
 
 
-def ratios(keys: list, length: np.ndarray, marks: np.ndarray, links: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """(fused ratio, whether it is a menu) of each block's path."""
+def _totals(keys: list, *values: np.ndarray) -> list[np.ndarray]:
+    """For each block: how many share its key, and the sums of the values over them."""
     number = {k: i for i, k in enumerate(dict.fromkeys(keys))}
     path = np.array([number[k] for k in keys])
-    total = lambda x: np.bincount(path, x)
-    n, chars, linked, points = np.bincount(path), total(length), total(links), total(marks)
+    return [np.bincount(path, v, len(number))[path] for v in (np.ones(len(path)), *values)]
+
+
+def ratios(found: list[Block], length: np.ndarray, marks: np.ndarray, links: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """(fused ratio of its path, whether it is of a menu) for each block."""
+    n, chars, linked, points = _totals([(b.element.path, b.element.weight) for b in found], length, links, marks)
     fused = (chars - linked) / n * (1 + points / n)
-    menu = (linked >= MENU * chars) & (points < n)
-    return fused[path], menu[path]
+    # The blocks of a path in one element: a list, say.
+    n, chars, linked, points = _totals([(b.element.path, id(b.element.up)) for b in found], length, links, marks)
+    heading = np.array([b.element.tag in HEADINGS for b in found])
+    return fused, (n > 1) & (linked >= MENU * chars) & (points < n) & ~heading
 
 
 def smoothed(ratio: np.ndarray, container: list) -> np.ndarray:
@@ -319,7 +327,7 @@ def content(page: str) -> str:
     marks = np.array([len(_MARKS.findall(t)) for t in text], float)
     links = np.minimum(length, [b.links for b in found])
     inside = np.array([b.element.inside for b in found])
-    ratio, menu = ratios([(b.element.path, b.element.weight) for b in found], length, marks, links)
+    ratio, menu = ratios(found, length, marks, links)
     ratio = ratio * weight
     smooth = smoothed(ratio, [id(b.element.box) for b in found])
     mass = length * weight * (ratio > 0)
