@@ -48,7 +48,7 @@ from pyspark.sql import functions as F
 
 from queuelens.llm.common import shared_dir, written
 from queuelens.llm.components import components
-from queuelens.llm.vectors import bounds, lists, map_groups, matrix, usable
+from queuelens.llm.vectors import bounds, map_groups, matrix, usable
 
 LISTS = 10
 #: Tables of hyperplanes that give neighbours; further ones give near pairs alone.
@@ -58,6 +58,8 @@ COLLISION = 0.99
 BUCKET = 256
 #: Nodes of a bucket or component that meet in one task.
 BLOCK = 512
+#: Nodes of a ball, and of its reach, that meet in one task: a vector is sent once for so many others.
+MEET = 2048
 MAX_ROUNDS = 8
 #: Descents with longer and longer lists before all nodes are compared.
 ATTEMPTS = 3
@@ -313,7 +315,7 @@ def complete(full: DataFrame, nodes: DataFrame, dim: int, threshold: float) -> D
     """
     member = balls(full, nodes, dim)
     reach = within_reach(member, nodes, dim, threshold).join(full.select("node", F.lit(True).alias("full")), "node", "left")
-    blocks = lambda df, name: df.groupBy("ball").agg(F.ceil(F.count("*") / BLOCK).cast("long").alias(name))
+    blocks = lambda df, name: df.groupBy("ball").agg(F.ceil(F.count("*") / MEET).cast("long").alias(name))
     sizes = written(blocks(member, "rows").join(blocks(reach, "columns"), "ball"), "vectors-sizes")
     upto = lambda n: F.explode(F.sequence(F.lit(0).cast("long"), F.col(n) - 1))
     rows = member.join(sizes, "ball").select("node", "ball", F.lit(True).alias("full"), F.lit(True).alias("member"), F.pmod(F.xxhash64("node"), "rows").alias("row"), upto("columns").alias("column"))

@@ -31,12 +31,6 @@ def matrix(column: pa.Array, dim: int) -> np.ndarray:
     return out
 
 
-def lists(rows: np.ndarray) -> pa.Array:
-    """An Arrow list column of the rows of a matrix."""
-    n, dim = rows.shape
-    return pa.ListArray.from_arrays(pa.array(np.arange(n + 1, dtype=np.int32) * np.int32(dim)), pa.array(rows.ravel()))
-
-
 def map_groups(df: DataFrame, key: str, work: Callable[[pa.Table], Iterator[pa.RecordBatch]], schema: str) -> DataFrame:
     """Hand `work` tables that hold whole groups of equal, non-null `key`, in order of the key.
 
