@@ -2,15 +2,15 @@
 
 from __future__ import annotations
 
-import uuid
 from collections.abc import Callable, Iterator
 
 import pyarrow as pa
 import pyarrow.compute as pc
 from pyspark.sql import DataFrame, SparkSession
-from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from queuelens.sources.shared import shared_dir, written  # noqa: F401  (the operators' own names for them)
+
 #: Text handled at a time inside a Python worker, in bytes. It bounds the
 #: worker's memory whatever the number of rows in an Arrow batch.
 SLICE_BYTES = 1 << 20
@@ -81,44 +81,10 @@ def texts(column: pa.Array) -> list[str]:
     return ["" if x is None else x for x in column.to_pylist()]
 
 
-def shared_dir(spark: SparkSession, name: str) -> str:
-    """A new folder below the shared folder named by spark.checkpoint.dir.
-
-    Only where the setting is absent, as in local tests, a folder below the
-    warehouse is used.
-    """
-    base = spark.conf.get("spark.checkpoint.dir", None)
-    if not base:
-        base = spark.conf.get("spark.sql.warehouse.dir").rstrip("/") + "/_shared"
-    return f"{base.rstrip('/')}/{name}-{uuid.uuid4().hex}"
-
-
-def written(df: DataFrame, name: str) -> DataFrame:
-    """Write `df` as Parquet in the shared folder and read it back.
-
-    This cuts lineage: later stages read committed files and survive the loss
-    of the executors that made them.
-    """
-    spark = df.sparkSession
-    path = shared_dir(spark, name)
-    df.write.parquet(path)
-    return spark.read.schema(df.schema).parquet(path)
-
-
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
-def drop_files(spark: SparkSession, path: str) -> None:
-    """Delete a folder of intermediate files through Spark's own file system."""
-    jpath = spark._jvm.org.apache.hadoop.fs.Path(path)
-    jpath.getFileSystem(spark._jsc.hadoopConfiguration()).delete(jpath, True)
-
-
 def small_enough(df: DataFrame, rows: int) -> bool:
     """Whether `df` has at most `rows` rows; reads no more than that."""
     return df.limit(rows + 1).count() <= rows
-
-
-def null_safe(df: DataFrame, column: str) -> DataFrame:
-    return df.withColumn(column, F.coalesce(F.col(column), F.lit("")))
