@@ -85,6 +85,14 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+def fresh(df: DataFrame, name: str) -> str:
+    """`name`, with as many underscores before it as make it a name that `df` lacks (in any case of letters)."""
+    taken = {c.lower() for c in df.columns}
+    while name.lower() in taken:
+        name = "_" + name
+    return name
+
+
 def small_enough(df: DataFrame, rows: int) -> bool:
     """Whether `df` has at most `rows` rows; reads no more than that."""
     return df.limit(rows + 1).count() <= rows
