@@ -9,7 +9,8 @@
 Each stage takes (spark, docs, sf_dir) and returns a DataFrame that is written
 as Parquet and read again for the next one. All stages but the last return the
 columns that `docs` has. Null, empty and very long texts, repeated rows and
-null ids are treated as the operators' docstrings say.
+null ids are treated as the operators' docstrings say; further columns of any
+name pass through all stages but the last.
 """
 
 from __future__ import annotations
@@ -19,7 +20,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from queuelens.llm import jaccard, pii, quality
-from queuelens.llm.common import small_enough, table, written
+from queuelens.llm.common import fresh, small_enough, table, written
 from queuelens.llm.op2_quality import GOOD
 from queuelens.llm.op3_packing import END_ID, FILE
 from queuelens.llm.packing import pack
@@ -29,8 +30,8 @@ from queuelens.sources.shared import clear, mark
 def keep_good(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents that the quality classifier scores at `GOOD` or more."""
     model = quality.learn(docs, table(spark, sf_dir, "labels"))
-    scored = quality.score(docs, model, "text", "_score")
-    return scored.filter(F.col("_score") >= GOOD).select(docs.columns)
+    score = fresh(docs, "score")
+    return quality.score(docs, model, "text", score).filter(F.col(score) >= GOOD).select(docs.columns)
 
 
 def keep_one(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -42,23 +43,25 @@ def keep_one(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     key, keyed = "doc_id", docs
     repeated = docs.groupBy("doc_id").count().filter("count > 1 or doc_id is null")
     if repeated.limit(1).count():
-        key = "_key"
+        key = fresh(docs, "key")
         keyed = written(docs.withColumn(key, F.monotonically_increasing_id()), "pipeline-keyed")
     found = jaccard.join(keyed.select(F.col(key).alias("doc_id"), "text"), n=5, num=80, den=100)
-    gone = written(found.filter(F.col("component_id") != F.col("doc_id")).select(F.col("doc_id").alias("_gone")), "pipeline-gone")
+    other = fresh(keyed, "gone")
+    gone = written(found.filter(F.col("component_id") != F.col("doc_id")).select(F.col("doc_id").alias(other)), "pipeline-gone")
     if small_enough(gone, jaccard.BROADCAST_ROWS):
         gone = F.broadcast(gone)
-    return keyed.join(gone, F.col(key) == F.col("_gone"), "left_anti").select(docs.columns)
+    return keyed.join(gone, F.col(key) == F.col(other), "left_anti").select(docs.columns)
 
 
 def redact(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Personal data replaced by its kind; null texts stay null."""
-    found = pii.find(docs, "text")
-    clean = F.when(F.col("text").isNotNull(), F.col("redacted"))
-    out = found.withColumn("text", clean)
+    own = {f.name for f in pii.FIELDS}
+    aside = {c: fresh(docs, f"own_{c}") for c in docs.columns if c.lower() in own}
+    out = pii.find(docs.withColumnsRenamed(aside), "text")
+    out = out.withColumn("text", F.when(F.col("text").isNotNull(), F.col("redacted")))
     if "n_chars" in docs.columns:
         out = out.withColumn("n_chars", F.when(F.size("pii") > 0, F.char_length("text").cast(docs.schema["n_chars"].dataType)).otherwise(F.col("n_chars")))
-    return out.select(docs.columns)
+    return out.select(*[F.col(aside.get(c, c)).alias(c) for c in docs.columns])
 
 
 def sequences(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
