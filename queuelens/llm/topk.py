@@ -7,7 +7,8 @@ bin holds the query's k-th best score. That bin's range is divided into bins
 again, until it is a single score. Then the candidates above the k-th score,
 and of those at it the ones with the smallest ids, are ranked.
 
-Scores are integer inner products, exact as long as they fit 64 bits.
+Scores are integer inner products; where one lies beyond 62 bits, the search
+ends with an error instead of a wrong result.
 
 Results, also for odd input:
 
@@ -28,7 +29,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from queuelens.llm.common import written
+from queuelens.llm.common import shared_dir, written
 from queuelens.llm.vectors import matrix, usable
 
 #: Queries that are scored together; it bounds what is sent to each task.
@@ -50,8 +51,8 @@ def _scores(queries: np.ndarray, rows: np.ndarray, exact: bool) -> np.ndarray:
         return (queries @ rows.T).astype(np.int64)
     whole = lambda m: np.array([[int(x) for x in r] for r in m], dtype=object)
     product = whole(queries).dot(whole(rows).T)
-    if any(abs(x) >= 1 << 63 for x in product.ravel()):
-        raise ArithmeticError("a score does not fit 64 bits")
+    if any(abs(x) >= 1 << 62 for x in product.ravel()):
+        raise ArithmeticError("a score does not fit 62 bits")
     return product.astype(np.int64)
 
 
@@ -145,17 +146,16 @@ def search(vectors: DataFrame, is_query: str, k: int, id_col: str = "vec_id", ve
     queries = candidates.filter(is_query).groupBy("id").agg(F.min("v").alias("v"))
     blocks = max(1, -(-queries.count() // BLOCK))
     queries = written(queries.withColumn("block", F.pmod(F.xxhash64("id"), F.lit(blocks))), "topk-queries")
-    found = None
+    path = shared_dir(vectors.sparkSession, "topk-found")
     for b in range(blocks):
         rows = queries.filter(F.col("block") == b).orderBy("id").select("id", "v").toArrow()  # about BLOCK rows
         ids = rows.column("id").to_numpy().astype(np.int64)
         block = _Block(ids, matrix(rows.column("v"), dim), min(limit, (1 << 62) - 1), k, exact)
         while len(ids) and (block.hi > block.lo).any():
             block.refine(candidates)
-        part = block.best(candidates)
-        if blocks > 1:  # each block's result is kept, so that plans stay small
-            part = written(part, "topk-block")
-        found = part if found is None else found.unionByName(part)
+        # Each block's result is kept in one table, so that the plan stays the same for any number of blocks.
+        block.best(candidates).write.mode("append").parquet(path)
+    found = vectors.sparkSession.read.schema("query_id long, id long, score long").parquet(path)
     order = Window.partitionBy("query_id").orderBy(F.desc("score"), "id")
     ranked = found.withColumn("rank", F.row_number().over(order)).filter(F.col("rank") <= k)
     return ranked.select("query_id", "rank", "id", "score")
