@@ -65,8 +65,8 @@ def captures(pages: DataFrame) -> DataFrame:
     url = F.regexp_replace(F.coalesce(F.col("url").cast("string"), F.lit("")), r"[\r\n]+", " ")
     base = pages.select(F.col("page_id").cast("long").alias("page_id"), url.alias("url"), F.coalesce(F.col("html"), F.lit("")).alias("payload"))
     base = base.withColumn("digest", F.sha2("payload", 256)).withColumn("long_enough", F.octet_length("payload") >= MIN_REVISIT)
-    repeated = base.filter("long_enough").groupBy("digest").agg(F.min("page_id").alias("first"), F.count("*").alias("n")).filter("n > 1 and first is not null")
-    repeated = written(repeated.select(F.col("digest").alias("d"), "first"), "warc-repeated")
+    repeated = base.filter("long_enough").groupBy("digest").agg(F.min("page_id").alias("first"), F.min_by("url", "page_id").alias("first_url"), F.count("*").alias("n")).filter("n > 1 and first is not null")
+    repeated = written(repeated.select(F.col("digest").alias("d"), "first", "first_url"), "warc-repeated")
     if small_enough(repeated, BROADCAST_ROWS):
         repeated = F.broadcast(repeated)
     return base.join(repeated, (base.digest == F.col("d")) & base.long_enough, "left").drop("d", "long_enough")
@@ -88,7 +88,9 @@ def write(pages: DataFrame, path: str) -> None:
     kind = ("Content-Type", F.lit("application/http; msgtype=response"))
     response = _record("response", F.col("response"), [date, uri, digest, kind], F.concat(http, F.col("payload")))
     profile = ("WARC-Profile", F.lit("http://netpreserve.org/warc/1.1/revisit/identical-payload-digest"))
-    again = _record("revisit", F.col("response"), [date, uri, digest, profile, ("WARC-Refers-To-Page", F.col("first").cast("string")), kind], http)
+    # The standard names a revisited capture by its address and date; its page's id is our own header.
+    refers = [("WARC-Refers-To-Target-URI", F.coalesce("first_url", F.lit(""))), ("WARC-Refers-To-Date", date[1]), ("WARC-Refers-To-Page", F.col("first").cast("string"))]
+    again = _record("revisit", F.col("response"), [date, uri, digest, profile, *refers, kind], http)
     fields = F.concat(F.lit("page-id: "), page, F.lit(f"{_CRLF}payload-bytes: "), F.octet_length("payload").cast("string"), F.lit(_CRLF))
     metadata = _record("metadata", F.col("metadata"), [date, uri, with_response, ("Content-Type", F.lit("application/warc-fields"))], fields)
     records = rows.select(F.explode(F.array(request, F.when(revisit, again).otherwise(response), metadata)).alias("value"))
