@@ -25,6 +25,25 @@ def claimable_top_k(tasks: DataFrame, as_of: Column, k: int) -> DataFrame:
     return tasks.filter(claimable(as_of)).withColumn("place", rank).filter(F.col("place") <= k).select("queue_name", "place", "id", "task_name", "priority")
 
 
+def claim_budget(tasks: DataFrame, as_of: Column, worker: str, processes: int, prefetch: int = 0, max_claimed: int = 0, cluster_cap: int | None = None) -> DataFrame:
+    """One row, (budget): how many tasks a worker's claiming round may take.
+
+    Without prefetching its running and claimed tasks fill its processes; with
+    it only running ones count against processes and prefetched tasks. A worker
+    with `max_claimed` claims (by default as many as its capacity) takes none,
+    and the cluster's cap, if any, is for all tasks in flight.
+    """
+    capacity = processes + prefetch
+    own = F.coalesce(F.col("claimed_by_worker_id") == worker, F.lit(False))
+    running, claimed = F.col("status") == "RUNNING", active_claim(as_of)
+    counts = tasks.filter(F.col("status").isin("RUNNING", "CLAIMED")).agg(
+        F.count_if(own & (running | claimed if prefetch == 0 else running)).alias("busy"), F.count_if(own & claimed).alias("held"), F.count_if(running | claimed).alias("all"))
+    budget = F.greatest(F.lit(0), F.lit(capacity) - F.col("busy"))
+    if cluster_cap is not None:
+        budget = F.least(budget, F.greatest(F.lit(0), F.lit(cluster_cap) - F.col("all")))
+    return counts.select(F.when(F.col("held") >= (max_claimed or capacity), F.lit(0)).otherwise(budget).cast("long").alias("budget"))
+
+
 def claim_allocation(tasks: DataFrame, caps: DataFrame, as_of: Column, total: int, worker: str | None = None, max_claimed: int | None = None) -> DataFrame:
     """Tasks that one claiming round takes, with their order.
 

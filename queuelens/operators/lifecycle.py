@@ -252,6 +252,12 @@ def node_config(nodes: DataFrame, workflows: DataFrame) -> DataFrame:
     return nodes.join(flow, "workflow_id").select("workflow_id", "task_index", "status", "join_type", "min_success", "allow_failed_deps", "is_subworkflow", "workflow_status", "depth", "root_workflow_id")
 
 
+def delayed_messages(tasks: DataFrame, as_of: Column) -> DataFrame:
+    """(channel, payload, deliver_at): the messages that tasks waiting for a retry send to their queue when it is due."""
+    waiting = tasks.filter((F.col("status") == "PENDING") & (F.col("next_retry_at") > as_of))
+    return waiting.select(F.concat(F.lit("task_queue_"), F.col("queue_name")).alias("channel"), F.col("id").alias("payload"), F.col("next_retry_at").alias("deliver_at"))
+
+
 def notifications(old: DataFrame, new: DataFrame, kind: str) -> DataFrame:
     """(channel, payload) messages between two states of the tasks ("task") or workflows ("workflow").
 

@@ -2,18 +2,20 @@
 
 from __future__ import annotations
 
+import functools
 from dataclasses import replace
 
 from pyspark.sql import functions as F
 
 from queuelens.functions import ids, schedule
+from queuelens.operators import claim as C
 from queuelens.operators import dag as D
 from queuelens.operators import enqueue as Q
 from queuelens.operators import lifecycle as L
 from queuelens.operators import monitor as M
 from queuelens.operators import retention as R
 from queuelens.operators import transitions as T
-from queuelens.plans.state import _ACTIVE, _ALLOC, _ENDED, _HB, _N, _WF_ENDED, DAY, NOW, full
+from queuelens.plans.state import _ACTIVE, _ALLOC, _ENDED, _HB, _N, _WF_ENDED, DAY, NOW, caps, full
 from queuelens.sources.fixtures import oracle
 from queuelens.sources.tables import Tables
 
@@ -117,6 +119,8 @@ QUERIES = {
     "enqueue_subworkflows": lambda t: T.enqueue_nodes(full(t).workflow_tasks, t.workflows, t.as_of, subworkflows=True).select("id", "status", "started_at", "changed"),
     "reset_subworkflows": lambda t: T.move_nodes(full(t).workflow_tasks, F.col("is_subworkflow"), "PENDING", only=("READY",)).select("id", "status", "changed"),
     "claim_limit": lambda t: _claim_limit(t),
+    "claim_budget": lambda t: _budgets(t),
+    "delayed_messages": lambda t: L.delayed_messages(t.tasks, t.as_of),
     "task_of_workflow": lambda t: t.tasks.select("id").join(t.workflow_tasks.select(F.col("task_id").alias("id")), "id", "left_semi"),
     # inserts
     "insert_workflows": lambda t: L.insert(t.workflows, _children(t).unionByName(t.workflows.select("id", "name", F.lit("PENDING").alias("status"), "parent_workflow_id", "parent_task_index", "depth", "root_workflow_id", "created_at"))).select("id", "name", "status", "depth"),
@@ -171,13 +175,17 @@ def _uses(t: Tables):
 
 def _claim_limit(t: Tables):
     """What a worker takes with a limit of claims: nothing once it holds as many."""
-    from queuelens.operators import claim as C
-    from queuelens.plans.state import caps
-
     rows = [C.claim_allocation(t.tasks, caps(t), t.as_of, 17, worker, 2).select(F.lit(worker).alias("worker"), "claim_order", "id") for worker in ("worker-7", "nobody")]
     return rows[0].unionByName(rows[1])
 
 
+def _budgets(t: Tables):
+    """Budgets of one worker by mode: strict, with prefetching, with a limit of claims, under a cap of the cluster."""
+    modes = {"strict": {"processes": 90}, "prefetch": {"processes": 40, "prefetch": 50}, "limited": {"processes": 90, "max_claimed": 1}, "capped": {"processes": 90, "cluster_cap": 100000}, "full": {"processes": 90, "cluster_cap": 5}}
+    rows = [C.claim_budget(t.tasks, t.as_of, "worker-7", **kw).select(F.lit(mode).alias("mode"), "budget") for mode, kw in modes.items()]
+    return functools.reduce(lambda a, b: a.unionByName(b), rows)
+
+
 # ---- oracles ---------------------------------------------------------------
 
 _FT = f", ft as (select *, status = 'CLAIMED' as claimed, case when status = 'CLAIMED' then enqueued_at end as claimed_at, enqueued_at as updated_at from tasks)"
@@ -286,6 +294,8 @@ select id, case when id in (select id from hit) then 'RUNNING' else status end a
     "resume_all": _recursive(oracle(f"{_WF0}, f0 as (select * replace (case when status = 'PAUSED' then 'RUNNING' else status end as status) from wf){_VERDICTS.format(nodes='workflow_tasks', flows='f0')}, pn as (select n.* replace (case when fx.status = 'READY' and w.status = 'RUNNING' then 'ENQUEUED' else fx.status end as status) from workflow_tasks n join fx using (id) left join f0 w on w.id = n.workflow_id){_ended_flows('pn', 'f0')}{_BOTH}", "workflows", "workflow_tasks")),
     "reaper_round": REAPED.format(more=", late or silent or stale as changed"),
     "claim_limit": oracle(f"{_ALLOC} select w.worker, cast(claim_order as int) as claim_order, id from alloc, (values ('worker-7'), ('nobody')) w(worker) where (select count(*) from tasks where {_ACTIVE} and claimed_by_worker_id = w.worker) < 2", "tasks"),
+    "claim_budget": oracle(f", c as (select count(*) filter (claimed_by_worker_id = 'worker-7' and (status = 'RUNNING' or {_ACTIVE})) as strict, count(*) filter (claimed_by_worker_id = 'worker-7' and status = 'RUNNING') as soft, count(*) filter (claimed_by_worker_id = 'worker-7' and {_ACTIVE}) as held, count(*) filter (status = 'RUNNING' or {_ACTIVE}) as total from tasks), m(mode, cap, pre, lim, wide) as (values ('strict', 90, false, 90, null), ('prefetch', 90, true, 90, null), ('limited', 90, false, 1, null), ('capped', 90, false, 90, 100000), ('full', 90, false, 90, 5)) select mode, cast(case when held >= lim then 0 else least(greatest(0, cap - case when pre then soft else strict end), greatest(0, coalesce(wide - total, 1000000))) end as bigint) as budget from c, m", "tasks"),
+    "delayed_messages": oracle(f" select concat('task_queue_', queue_name) as channel, id as payload, next_retry_at as deliver_at from tasks where status = 'PENDING' and next_retry_at > {NOW}", "tasks"),
     "node_results": oracle(" select workflow_id, node_id, result from workflow_tasks where result is not null", "workflow_tasks"),
     "node_result": oracle(" select workflow_id, node_id, result from workflow_tasks where result is not null and node_id = 'n1'", "workflow_tasks"),
     "workflow_outcome": oracle(f"{_WF0}{_ended_flows('workflow_tasks', 'wf')} select id, result, error from cf where status in ('COMPLETED', 'FAILED')", "workflows", "workflow_tasks"),

@@ -50,7 +50,7 @@ def from_jdbc(spark: SparkSession, url: str, as_of: Column, prefix: str = "", pa
     def read(name: str) -> DataFrame:
         reader = spark.read.format("jdbc").options(url=url, dbtable=f"{prefix}{name}", **options)
         if name in ("heartbeats", "worker_states"):
-            top = spark.read.format("jdbc").options(url=url, query=f"select min(id) as lo, max(id) as hi from {prefix}{name}", **options).load().first()
+            top = spark.read.format("jdbc").options(url=url, query=f'select min("id") as "lo", max("id") as "hi" from {prefix}{name}', **options).load().first()
             if top.lo is not None:
                 reader = reader.options(partitionColumn="id", lowerBound=top.lo, upperBound=top.hi + 1, numPartitions=partitions)
         return reader.load()

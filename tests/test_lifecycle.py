@@ -61,3 +61,21 @@ def test_folders_can_be_cleared(spark):
     assert second.count() == 4 and shared.mark(spark) == since + 1
     with pytest.raises(Exception, match="(?i)not.*exist|file"):
         first.count()
+
+
+def test_tables_are_read_from_a_database(spark, tmp_path):
+    """An embedded database; heartbeats are read in parallel by id."""
+    url = f"jdbc:derby:{tmp_path}/db;create=true"
+    options = {"driver": "org.apache.derby.iapi.jdbc.AutoloadedDriver"}
+    t = tables.from_fixtures(spark, SF)
+    plain = {
+        "tasks": t.tasks.select("id", "status"), "task_attempts": t.task_attempts.select("task_id", "attempt"), "schedule_state": t.schedule_state.select("schedule_name", "run_count"),
+        "workflows": t.workflows.select("id", "status"), "workflow_tasks": t.workflow_tasks.select("id", "workflow_id"), "worker_states": t.worker_states.select("id", "worker_id"),
+        "heartbeats": t.heartbeats.limit(500).select(F.monotonically_increasing_id().alias("id"), "task_id"),
+    }
+    for name, df in plain.items():
+        df.write.format("jdbc").options(url=url, dbtable=f"q_{name}", **options).mode("append").save()
+    back = tables.from_jdbc(spark, url, t.as_of, prefix="q_", partitions=3, **options)
+    for name, df in plain.items():
+        assert getattr(back, name).count() == df.count()
+    assert back.heartbeats.rdd.getNumPartitions() > 1
