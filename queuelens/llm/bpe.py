@@ -38,6 +38,8 @@ from queuelens.llm.common import append_columns, texts
 
 #: Words that a worker remembers before it starts afresh.
 CACHE_WORDS = 500_000
+#: Ids of remembered chunks, which bound their bytes as well, as tokens are short.
+CACHE_IDS = 4_000_000
 #: The splitting pattern of byte-level tokenizers.
 BYTE_LEVEL_PATTERN = r"'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"
 ODD_SPACE = re.compile("[\x1c-\x1f]")
@@ -255,7 +257,7 @@ class Bpe:
             chunks = self.chunks(text)
             counts[i] = len(chunks)
             found += chunks
-        if len(self.index) > CACHE_WORDS:
+        if len(self.index) > CACHE_WORDS or len(self.flat) > CACHE_IDS:
             self._reset()
         at = np.fromiter(map(self.index.get, found, repeat(-1)), np.int64, len(found))
         if len(unmet := np.flatnonzero(at < 0)):
