@@ -7,7 +7,8 @@ from dataclasses import replace
 
 from pyspark.sql import functions as F
 
-from queuelens.functions import ids, schedule
+from queuelens import schemas
+from queuelens.functions import ids, schedule, tagged
 from queuelens.operators import claim as C
 from queuelens.operators import dag as D
 from queuelens.operators import enqueue as Q
@@ -157,6 +158,8 @@ QUERIES = {
     "schedule_catch_up": lambda t: _ticked(t, 5),
     "schedule_sync": _synced,
     "advisory_key": lambda t: t.schedule_state.select("schedule_name", ids.advisory_key(F.col("schedule_name")).alias("key")),
+    "upgrade_tasks": lambda t: _upgraded(t),
+    "tagged_values": lambda t: _tagged(t),
     "nested_definitions": lambda t: D.nested_definitions(_uses(t)),
 }
 
@@ -166,6 +169,20 @@ def _no_context(t: Tables):
     return full(t).workflow_tasks
 
 
+def _upgraded(t: Tables):
+    """Tasks of an old schema: half of them without an instant of enqueueing, all without those of sending and without fingerprint."""
+    old = t.tasks.withColumn("enqueued_at", F.when(_number("id") % 2 == 0, F.col("enqueued_at")))
+    return schemas.upgrade_tasks(old, t.as_of).select("id", F.col("enqueued_at").cast("timestamp_ntz").alias("enqueued_at"), "enqueue_sha")
+
+
+def _tagged(t: Tables):
+    """Encoded values by kind, and what they decode to."""
+    n = _number("id") % 5
+    text = F.when(n == 0, tagged.encode_timestamp(F.col("enqueued_at").cast("timestamp"))).when(n == 1, '{"__date__":true,"value":"2024-02-29"}').when(n == 2, tagged.encode_result(F.lit("7"), F.lit(None).cast("string"))).when(n == 3, '{"x": 1}').otherwise("{no json")
+    rows = t.tasks.select("id", text.alias("text"))
+    return rows.select("id", tagged.kind(F.col("text")).alias("kind"), tagged.as_timestamp(F.col("text")).cast("timestamp_ntz").alias("at"), tagged.as_date(F.col("text")).alias("day"), tagged.decode_result(F.col("text"))["ok"].alias("ok"))
+
+
 def _uses(t: Tables):
     """Definitions by number that use each other: chains, and a loop for every seventh."""
     n = t.workflows.select(_number("id").alias("n"))
@@ -296,6 +313,8 @@ select id, case when id in (select id from hit) then 'RUNNING' else status end a
     "claim_limit": oracle(f"{_ALLOC} select w.worker, cast(claim_order as int) as claim_order, id from alloc, (values ('worker-7'), ('nobody')) w(worker) where (select count(*) from tasks where {_ACTIVE} and claimed_by_worker_id = w.worker) < 2", "tasks"),
     "claim_budget": oracle(f", c as (select count(*) filter (claimed_by_worker_id = 'worker-7' and (status = 'RUNNING' or {_ACTIVE})) as strict, count(*) filter (claimed_by_worker_id = 'worker-7' and status = 'RUNNING') as soft, count(*) filter (claimed_by_worker_id = 'worker-7' and {_ACTIVE}) as held, count(*) filter (status = 'RUNNING' or {_ACTIVE}) as total from tasks), m(mode, cap, pre, lim, wide) as (values ('strict', 90, false, 90, null), ('prefetch', 90, true, 90, null), ('limited', 90, false, 1, null), ('capped', 90, false, 90, 100000), ('full', 90, false, 90, 5)) select mode, cast(case when held >= lim then 0 else least(greatest(0, cap - case when pre then soft else strict end), greatest(0, coalesce(wide - total, 1000000))) end as bigint) as budget from c, m", "tasks"),
     "delayed_messages": oracle(f" select concat('task_queue_', queue_name) as channel, id as payload, next_retry_at as deliver_at from tasks where status = 'PENDING' and next_retry_at > {NOW}", "tasks"),
+    "upgrade_tasks": oracle(f" select id, case when {_N} % 2 = 0 then enqueued_at else {NOW} end as enqueued_at, 'legacy-pre-sha' as enqueue_sha from tasks", "tasks"),
+    "tagged_values": oracle(f" select id, case {_N} % 5 when 0 then 'datetime' when 1 then 'date' when 2 then 'result' when 3 then 'plain' end as kind, case when {_N} % 5 = 0 then enqueued_at end as at, case when {_N} % 5 = 1 then DATE '2024-02-29' end as day, case when {_N} % 5 = 2 then '7' end as ok from tasks", "tasks"),
     "node_results": oracle(" select workflow_id, node_id, result from workflow_tasks where result is not null", "workflow_tasks"),
     "node_result": oracle(" select workflow_id, node_id, result from workflow_tasks where result is not null and node_id = 'n1'", "workflow_tasks"),
     "workflow_outcome": oracle(f"{_WF0}{_ended_flows('workflow_tasks', 'wf')} select id, result, error from cf where status in ('COMPLETED', 'FAILED')", "workflows", "workflow_tasks"),
