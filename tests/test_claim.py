@@ -6,7 +6,9 @@ import random
 from datetime import datetime, timedelta
 
 from pyspark.sql import functions as F
+from pyspark.sql import types as ST
 
+from queuelens import schemas
 from queuelens.operators import claim as C
 from queuelens.operators import health as H
 from queuelens.operators import transitions as T
@@ -16,6 +18,11 @@ SCHEMA = "id string, queue_name string, task_name string, priority int, status s
 
 
 
+def whole(df):
+    """With all columns that updates write."""
+    return schemas.complete(df, schemas.TASKS, ST.TimestampNTZType())
+
+
 def as_of():
     return F.expr("TIMESTAMP_NTZ '2024-01-31 00:00:00'")
 
@@ -50,14 +57,14 @@ def test_bounds_are_strict(spark):
 
 
 def test_claim_sets_lease(spark):
-    df = spark.createDataFrame([task(1), task(2, priority=1)], SCHEMA)
+    df = whole(spark.createDataFrame([task(1), task(2, priority=1)], SCHEMA))
     caps = spark.createDataFrame([("a", 1, 1, None)], "queue_name string, queue_order int, cap int, max_concurrency int")
     out = {r.id: r for r in C.claim(df, C.claim_allocation(df, caps, as_of(), 5), as_of(), "w").collect()}
     assert out["t2"].status == "CLAIMED" and out["t2"].claim_expires_at == NOW + timedelta(seconds=60) and out["t1"].status == "PENDING"
 
 
 def test_finalize_ignores_tasks_that_do_not_run(spark):
-    df = spark.createDataFrame([task(1, status="RUNNING"), task(2, status="COMPLETED")], SCHEMA)
+    df = whole(spark.createDataFrame([task(1, status="RUNNING"), task(2, status="COMPLETED")], SCHEMA))
     done = spark.createDataFrame([("t1", True, "{}", None, None), ("t2", False, "{}", "X", None)], "task_id string, ok boolean, result string, error_code string, failed_reason string")
     assert {r.id: (r.status, r.changed) for r in T.finalize(df, done, as_of()).collect()} == {"t1": ("COMPLETED", True), "t2": ("COMPLETED", False)}
 

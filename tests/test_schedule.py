@@ -51,4 +51,12 @@ def test_tick_catches_up(spark):
     once = S.tick(state, S.Daily(3), now).first()
     assert (once.run_count, once.next_run_at.day) == (5, 4)
     many = S.tick(state, S.Daily(3), now, catch_up=2).first()
-    assert (many.run_count, many.next_run_at.day) == (6, 3)
+    # A pass counts once, however many slots it enqueues, and goes on from the last of them.
+    assert (many.run_count, many.next_run_at.day, len(many.slots)) == (5, 3, 2)
+    none = S.tick(state, S.Daily(3), now, catch_up=2, done=F.lit(0)).first()
+    assert (none.run_count, none.next_run_at, none.last_run_at.year) == (4, state.first().next_run_at, 2024)
+
+
+def test_config_hash_changes_with_pattern_and_zone():
+    hashes = {S.config_hash(p, tz) for p in (S.Daily(3), S.Daily(4), S.Hourly(3)) for tz in ("UTC", "Europe/Berlin")}
+    assert len(hashes) == 6 and S.config_hash(S.Daily(3), "UTC") in hashes
