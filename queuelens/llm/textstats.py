@@ -79,3 +79,18 @@ def member(values: np.ndarray, few: np.ndarray) -> np.ndarray:
     """Which values are among a few others."""
     few = np.unique(few)
     return few[np.minimum(np.searchsorted(few, values), len(few) - 1)] == values
+
+
+def equal_words(a: np.ndarray, start: np.ndarray, end: np.ndarray, b: np.ndarray, other: np.ndarray, other_end: np.ndarray) -> np.ndarray:
+    """Whether each stretch of `a` has the same bytes as its stretch of `b`."""
+    size = end - start
+    same = size == other_end - other
+    check = np.flatnonzero(same & (size > 0))
+    if not len(check):
+        return same
+    size = size[check]
+    first = np.cumsum(size) - size
+    flat = np.arange(int(size.sum()))
+    equal = a[flat + np.repeat(start[check] - first, size)] == b[flat + np.repeat(other[check] - first, size)]
+    same[check] = np.logical_and.reduceat(equal, first)
+    return same

@@ -13,7 +13,7 @@ SF = "/root/testdata/sf0.001"
 @pytest.mark.parametrize("name", sorted(catalog.oracle_sql()))
 def test_equals_oracle(spark, name):
     con = duckdb.connect()
-    for t in ("documents", "pages", "embeddings", "conversations"):
+    for t in ("documents", "pages", "embeddings", "conversations", "benchmark"):
         con.execute(f"create view {t} as select * from read_parquet('{SF}/{t}.parquet')")
     result = con.execute(catalog.oracle_sql()[name])
     names = sorted(d[0] for d in result.description)
