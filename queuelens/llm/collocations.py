@@ -16,8 +16,9 @@ digits. A phrase that occurs as often inside one longer phrase as at all is
 dropped. (A longer phrase is not more frequent than what it contains, so only
 the next longer ones are asked.)
 
-At scale: tasks count in numpy, sums are pre-aggregated, only pairs of frequent
-parents are counted. The numbers are broadcast to the tasks up to `NAMES` of a
+At scale: tasks count in numpy; only pairs of frequent parents are counted, and
+travel in packed rows by bucket to where their counts are added up, a bucket at
+a time; there are as many buckets as bound their size. The numbers are broadcast to the tasks up to `NAMES` of a
 level; beyond that the places of the words are rows and meet the numbers by
 joins. Rankings first keep the best of `SALTS` parts of a language.
 
@@ -45,6 +46,8 @@ NAMES = 2_000_000
 #: Text that a task handles at a time, in bytes.
 SLICE = 4 << 20
 SALTS = 64
+#: Words of the table for each bucket of pairs, so that what a task merges at once is bounded; and buckets at least.
+BUCKET, LEAST_BUCKETS = 1 << 22, 1024
 _LOWER = np.arange(256, dtype=np.uint8)
 _LOWER[ord("A") : ord("Z") + 1] += 32
 _BREAK = np.zeros(256, bool)
@@ -121,19 +124,53 @@ def _lists(batch: pa.RecordBatch) -> Flat:
     return np.repeat(np.arange(len(batch)), np.diff(place.offsets.to_numpy())), place.flatten().to_numpy().astype(np.int64), number.flatten().to_numpy().astype(np.int64)
 
 
-def pairs(places: Places) -> DataFrame:
-    """(left, right, f): how often two numbered phrases overlap but for a word."""
+def _packed(batches: Iterator[tuple[np.ndarray, np.ndarray]], buckets: int) -> Iterator[pa.RecordBatch]:
+    """Rows (bucket, keys, counts) of each (keys, counts): keys of a bucket travel together."""
+    for key, count in batches:
+        bucket = (mix(key.astype(np.uint64)) % np.uint64(buckets)).astype(np.int64)
+        order = np.argsort(bucket, kind="stable")
+        used, first = np.unique(bucket[order], return_index=True)
+        offsets = pa.array(np.append(first, len(order)).astype(np.int32))
+        yield pa.RecordBatch.from_arrays([pa.array(used), *(pa.ListArray.from_arrays(offsets, pa.array(x[order])) for x in (key, count))], names=["bucket", "key", "n"])
+
+
+def _merged(batches: Iterator[pa.RecordBatch], least: int) -> Iterator[pa.RecordBatch]:
+    """Pairs that occur `least` times, from packed rows in the order of their buckets; one bucket is held at a time."""
+
+    def flush(held):
+        if not held:
+            return
+        key, count = (np.concatenate([h[i] for h in held]) for i in (0, 1))
+        order = np.argsort(key, kind="stable")
+        key, count = key[order], count[order]
+        first = np.flatnonzero(np.append(True, key[1:] != key[:-1]))
+        total, key = np.add.reduceat(count, first), key[first]
+        key, total = key[total >= least], total[total >= least]
+        yield pa.RecordBatch.from_arrays([pa.array(key >> 32), pa.array(key & 0xFFFFFFFF), pa.array(total)], names=["left", "right", "f"])
+
+    held, now = [], None
+    for batch in batches:
+        bucket = batch.column(0).to_numpy()
+        keys, counts = (batch.column(i).flatten().to_numpy() for i in (1, 2))
+        offsets = np.append(0, np.cumsum(batch.column(1).value_lengths().to_numpy()))
+        edge = np.append(np.flatnonzero(np.append(True, bucket[1:] != bucket[:-1])), len(bucket)) if len(bucket) else np.zeros(1, np.int64)
+        for i, j in zip(edge[:-1], edge[1:], strict=True):
+            if bucket[i] != now:
+                yield from flush(held)
+                held, now = [], bucket[i]
+            held.append((keys[offsets[i] : offsets[j]], counts[offsets[i] : offsets[j]]))
+    yield from flush(held)
+
+
+def pairs(places: Places, least: int, buckets: int) -> DataFrame:
+    """(left, right, f): the pairs of numbered phrases that overlap but for a word `least` times."""
     if places.read is None:
         a, b = places.df.withColumnRenamed("number", "left"), places.df.select("row", (F.col("place") - 1).alias("place"), F.col("number").alias("right"))
-        return a.join(b, ["row", "place"]).groupBy("left", "right").agg(F.count("*").alias("f"))
+        return a.join(b, ["row", "place"]).groupBy("left", "right").agg(F.count("*").alias("f")).filter(F.col("f") >= least)
     read = places.read
-
-    def run(batches):
-        for batch in _parts(batches):
-            key, count = np.unique(_follow(read(batch))[1], return_counts=True)
-            yield pa.RecordBatch.from_arrays([pa.array(key >> 32), pa.array(key & 0xFFFFFFFF), pa.array(count)], names=["left", "right", "n"])
-
-    return in_small_batches(places.df).mapInArrow(run, "left long, right long, n long").groupBy("left", "right").agg(F.sum("n").alias("f"))
+    counted = lambda batches: _packed((np.unique(_follow(read(batch))[1], return_counts=True) for batch in _parts(batches)), buckets)
+    packed = in_small_batches(places.df).mapInArrow(counted, "bucket long, key array<long>, n array<long>")
+    return packed.repartition("bucket").sortWithinPartitions("bucket").mapInArrow(lambda batches: _merged(batches, least), "left long, right long, f long")
 
 
 def renamed(places: Places, names: DataFrame, small: bool) -> Places:
@@ -245,12 +282,13 @@ def levels(docs: DataFrame, least: int, longest: int, names_limit: int = NAMES)
     counts = in_small_batches(docs).mapInArrow(_count_words, "lang string, word string, n long").groupBy("lang", "word").agg(F.sum("n").alias("f"))
     counts = written(counts.filter((F.col("f") >= least) | F.col("word").isNull()), "collocations-words")
     totals = counts.filter("word is null").select("lang", F.col("f").alias("n"))
+    buckets = max(LEAST_BUCKETS, (totals.agg(F.sum("n")).first()[0] or 0) // BUCKET)
     names, many = numbered(counts.filter("word is not null"), least)
     none = F.array().cast("array<bigint>")
     found = [written(names.select("id", F.lit(None).cast("long").alias("left"), F.lit(None).cast("long").alias("right"), "lang", F.col("word").alias("phrase"), F.col("word").alias("last"), "f", none.alias("first_f"), none.alias("last_f")), "collocations-level")]
     places = word_places(docs, names, many <= names_limit) if many else None
     while many and len(found) < longest:
-        names, many = numbered(pairs(places), least)
+        names, many = numbered(pairs(places, least, buckets), least)
         a, b = found[-1].alias("a"), found[-1].alias("b")
         met = names.alias("x").join(a, F.col("x.left") == F.col("a.id")).join(b, F.col("x.right") == F.col("b.id"))
         level = met.select("x.id", "x.left", "x.right", "a.lang", F.concat_ws(" ", "a.phrase", "b.last").alias("phrase"), "b.last", "x.f", F.concat("a.first_f", F.array("a.f")).alias("first_f"), F.concat("b.last_f", F.array("b.f")).alias("last_f"))
