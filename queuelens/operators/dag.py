@@ -2,10 +2,13 @@
 
 from __future__ import annotations
 
+import functools
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from queuelens.functions.ids import json_text
+from queuelens.functions import results
+from queuelens.functions.tagged import RESULT
 from queuelens.schemas import NODE_TERMINAL, POLICY, TASK_TERMINAL, WORKFLOW_TERMINAL
 from queuelens.sources.shared import written
 
@@ -39,48 +42,81 @@ def ctx_ready(nodes: DataFrame) -> DataFrame:
     return met.select("workflow_id", "task_index", (F.col("done") >= F.col("wanted")).alias("ctx_ready"))
 
 
-def verdicts(nodes: DataFrame, workflows: DataFrame) -> DataFrame:
-    """(workflow_id, task_index, verdict) of PENDING nodes with dependencies in running workflows.
+def _live(workflows: DataFrame) -> DataFrame:
+    return workflows.filter("status = 'RUNNING'").select(F.col("id").alias("workflow_id"))
+
 
-    The verdict is READY, SKIPPED or PENDING, by the node's join type: first
-    whether it can still run, then its context, then whether it may run now,
-    then, for "all", whether failed dependencies are allowed.
+def counters(nodes: DataFrame, workflows: DataFrame) -> DataFrame:
+    """PENDING nodes with dependencies in running workflows, with what their verdict follows from.
+
+    `completed`, `failed` and `skipped` count dependencies, `lacking` the nodes
+    of the context that have not ended.
     """
-    live = workflows.filter("status = 'RUNNING'").select(F.col("id").alias("workflow_id"))
-    waiting = nodes.filter((F.col("status") == "PENDING") & (F.size("dependencies") > 0)).join(live, "workflow_id", "left_semi")
-    counted = waiting.join(dep_status_counts(nodes, edges(waiting)), ["workflow_id", "task_index"], "left")
+    waiting = nodes.filter((F.col("status") == "PENDING") & (F.size("dependencies") > 0)).join(_live(workflows), "workflow_id", "left_semi")
+    context = F.col("workflow_ctx_from") if "workflow_ctx_from" in nodes.columns else F.lit(None).cast("array<string>")
+    config = waiting.select("workflow_id", "task_index", "node_id" if "node_id" in nodes.columns else F.lit(None).cast("string").alias("node_id"), "dependencies", context.alias("workflow_ctx_from"), "join_type", "min_success", "allow_failed_deps")
+    counted = config.join(dep_status_counts(nodes, edges(waiting)), ["workflow_id", "task_index"], "left")
     if "workflow_ctx_from" in nodes.columns:
-        counted = counted.join(ctx_ready(nodes), ["workflow_id", "task_index"], "left")
+        wanted = waiting.select("workflow_id", "task_index", F.explode(F.array_distinct("workflow_ctx_from")).alias("node_id"))
+        done = nodes.filter(ended()).select("workflow_id", "node_id", F.lit(1).alias("done"))
+        lack = wanted.join(done, ["workflow_id", "node_id"], "left").groupBy("workflow_id", "task_index").agg(F.count_if(F.col("done").isNull()).alias("lacking"))
+        counted = counted.join(lack, ["workflow_id", "task_index"], "left")
     else:
-        counted = counted.withColumn("ctx_ready", F.lit(True))
-    zero = F.lit(0)
-    c, f, s = (F.coalesce(n, zero) for n in ("completed", "failed", "skipped"))
+        counted = counted.withColumn("lacking", F.lit(0))
+    return counted.withColumns({c: F.coalesce(c, F.lit(0)).cast("long") for c in ("completed", "failed", "skipped", "lacking")})
+
+
+def verdict() -> Column:
+    """READY, SKIPPED or PENDING from `counters`, by join type.
+
+    First whether the node can still run, then its context, then whether it may
+    run now, then, for "all", whether failed dependencies are allowed.
+    """
+    c, f, s = F.col("completed"), F.col("failed"), F.col("skipped")
     size, t = F.size("dependencies"), c + f + s
     need = F.greatest(F.coalesce("min_success", F.lit(1)), F.lit(1))
     kind = F.col("join_type")
     lost = ((kind == "any") & (t == size) & (c == 0)) | ((kind == "quorum") & (c + (size - t) < need))
     open_ = ((kind == "all") & (t == size)) | ((kind == "any") & (c >= 1)) | ((kind == "quorum") & (c >= need))
     spoiled = (kind == "all") & (f + s > 0) & ~F.coalesce("allow_failed_deps", F.lit(False))
-    verdict = F.when(lost, "SKIPPED").when(~F.coalesce("ctx_ready", F.lit(True)), "PENDING").when(open_ & spoiled, "SKIPPED").when(open_, "READY").otherwise("PENDING")
-    return counted.select("workflow_id", "task_index", verdict.alias("verdict"))
+    return F.when(lost, "SKIPPED").when(F.col("lacking") > 0, "PENDING").when(open_ & spoiled, "SKIPPED").when(open_, "READY").otherwise("PENDING")
+
+
+def verdicts(nodes: DataFrame, workflows: DataFrame) -> DataFrame:
+    """(workflow_id, task_index, verdict) of PENDING nodes with dependencies in running workflows."""
+    return counters(nodes, workflows).select("workflow_id", "task_index", verdict().alias("verdict"))
 
 
-def propagate(nodes: DataFrame, workflows: DataFrame) -> DataFrame:
-    """Nodes after all verdicts, and what skipped nodes lead to, have taken effect.
+def settled(nodes: DataFrame, workflows: DataFrame, sizes: list | None = None) -> DataFrame:
+    """(workflow_id, task_index, verdict): READY or SKIPPED, after all that skipped nodes lead to.
 
-    Each round gives every waiting node its verdict at once. Only skips open
-    new verdicts, so rounds end with the first one without a skip; there are at
-    most as many as the longest path has nodes. Between rounds the small table
-    (node, new state) is written, not the nodes.
+    The first round counts the dependencies of all waiting nodes. Only skips
+    open new verdicts, so a later round reads only the nodes that still wait in
+    workflows with a new skip, and adds to their counters what the new skips
+    are to them. `sizes` gets how many nodes each round has read. There are at
+    most as many rounds as the longest path has nodes.
     """
-    moved = None
+    state = written(counters(nodes, workflows).withColumn("verdict", verdict()), "dag-counters")
+    found = []
     while True:
-        now = nodes if moved is None else _with(nodes, moved)
-        found = verdicts(now, workflows).filter("verdict <> 'PENDING'")
-        last, moved = moved, written(found if moved is None else moved.unionByName(found), "dag-states")
-        skips = moved.filter("verdict = 'SKIPPED'").count()
-        if skips == (last.filter("verdict = 'SKIPPED'").count() if last is not None else 0):
-            return _with(nodes, moved)
+        found.append(state.filter("verdict <> 'PENDING'").select("workflow_id", "task_index", "verdict"))
+        read, skips = state.agg(F.count("*"), F.count_if(F.col("verdict") == "SKIPPED")).first()
+        if sizes is not None:
+            sizes.append(read)
+        if not skips:
+            return functools.reduce(DataFrame.unionByName, found)
+        skipped = state.filter("verdict = 'SKIPPED'")
+        waiting = state.filter("verdict = 'PENDING'").drop("verdict").join(skipped.select("workflow_id").distinct(), "workflow_id", "left_semi")
+        met = edges(waiting).distinct().join(skipped.select("workflow_id", F.col("task_index").alias("dep")), ["workflow_id", "dep"]).groupBy("workflow_id", "task_index").agg(F.count("*").alias("_skipped"))
+        seen = waiting.select("workflow_id", "task_index", F.explode(F.array_distinct("workflow_ctx_from")).alias("node_id")).join(skipped.select("workflow_id", "node_id"), ["workflow_id", "node_id"]).groupBy("workflow_id", "task_index").agg(F.count("*").alias("_seen"))
+        more = waiting.join(met, ["workflow_id", "task_index"], "left").join(seen, ["workflow_id", "task_index"], "left")
+        more = more.withColumns({"skipped": F.col("skipped") + F.coalesce("_skipped", F.lit(0)), "lacking": F.col("lacking") - F.coalesce("_seen", F.lit(0))}).drop("_skipped", "_seen")
+        state = written(more.withColumn("verdict", verdict()), "dag-counters")
+
+
+def propagate(nodes: DataFrame, workflows: DataFrame, sizes: list | None = None) -> DataFrame:
+    """Nodes after all verdicts, and what skipped nodes lead to, have taken effect. See `settled`."""
+    return _with(nodes, settled(nodes, workflows, sizes))
 
 
 def _with(nodes: DataFrame, moved: DataFrame) -> DataFrame:
@@ -100,30 +136,29 @@ def dependents(nodes: DataFrame, completed: DataFrame) -> DataFrame:
     return edges(nodes.filter("status = 'PENDING'")).join(done, ["workflow_id", "dep"]).select("workflow_id", "task_index").distinct()
 
 
-#: What stands for the result of a skipped node, or of one that can't be read.
-SKIPPED_RESULT = '{"err":{"error_code":"UPSTREAM_SKIPPED","message":"Upstream dependency was SKIPPED"}}'
-BROKEN_RESULT = '{"err":{"error_code":"RESULT_DESERIALIZATION_ERROR","message":"Dependency result JSON corrupt"}}'
-
-
 def ended_value() -> Column:
-    """What an ended node's result is to others: a sentinel for skipped nodes and for text that is no JSON; null if there is none."""
-    broken = F.col("result").isNotNull() & F.try_parse_json("result").isNull()
-    return F.when(F.col("status") == "SKIPPED", SKIPPED_RESULT).when(F.col("result") == "", None).when(broken, BROKEN_RESULT).otherwise(F.col("result"))
+    """What an ended node's result is to others (see `results.seen_by_others`)."""
+    return results.seen_by_others(F.col("status"), F.col("result"), F.col("task_index"), F.col("workflow_id"))
 
 
 def dependency_results(nodes: DataFrame) -> DataFrame:
-    """(workflow_id, task_index, results): a map from dependency to the result of those that have ended."""
-    done = nodes.filter(ended()).select("workflow_id", F.col("task_index").alias("dep"), ended_value().alias("value"))
+    """(workflow_id, task_index, results): a map from dependency to the result of those that have ended with one."""
+    done = nodes.filter(ended()).select("workflow_id", F.col("task_index").alias("dep"), ended_value().alias("value")).filter("value is not null")
     entry = F.struct("dep", "value")
     return edges(nodes).distinct().join(done, ["workflow_id", "dep"]).groupBy("workflow_id", "task_index").agg(F.map_from_entries(F.array_sort(F.collect_list(entry))).alias("results"))
 
 
 def child_summary(workflows: DataFrame, nodes: DataFrame) -> DataFrame:
-    """Counts of a child workflow's nodes, for the parent's node; one aggregate for all of them."""
+    """Child workflows with counts of their nodes, for the parent's node; one aggregate for all of them.
+
+    `result` and `error` are those of the child, if the table has them.
+    """
+    children = workflows.filter("parent_workflow_id is not null")
     counts = nodes.groupBy("workflow_id").agg(F.count("*").alias("total"), *[F.count_if(F.col("status") == s.upper()).alias(s) for s in ("completed", "failed", "skipped")])
-    children = workflows.filter("parent_workflow_id is not null").join(counts, F.col("id") == F.col("workflow_id"), "left")
+    seen = children.join(counts, F.col("id") == F.col("workflow_id"), "left")
     zero = F.lit(0).cast("long")
-    return children.select("id", "parent_workflow_id", "parent_task_index", workflows["status"], *[F.coalesce(c, zero).alias(c) for c in ("total", "completed", "failed", "skipped")])
+    own = [workflows[c] if c in workflows.columns else F.lit(None).cast("string").alias(c) for c in ("result", "error")]
+    return seen.select("id", "parent_workflow_id", "parent_task_index", workflows["status"], *[F.coalesce(c, zero).alias(c) for c in ("total", "completed", "failed", "skipped")], *own)
 
 
 def completion_status(workflows: DataFrame, nodes: DataFrame) -> DataFrame:
@@ -134,43 +169,57 @@ def completion_status(workflows: DataFrame, nodes: DataFrame) -> DataFrame:
     return seen.select("id", workflows["status"], "completed_at", *[F.coalesce(c, F.lit(n).cast("long")).alias(c) for c, n in fill.items()])
 
 
+def _required(workflows: DataFrame) -> DataFrame:
+    """(id, case_no, task_index): what each case of a workflow's success policy requires."""
+    cases = F.from_json("success_policy", POLICY)["cases"]
+    each = workflows.filter("success_policy is not null").select("id", F.posexplode(cases).alias("case_no", "case"))
+    return each.select("id", "case_no", F.explode(F.array_distinct("case.required_indices")).alias("task_index"))
+
+
+def _has_policy() -> Column:
+    """A policy that is no JSON object counts as none."""
+    return F.col("success_policy").isNotNull() & F.coalesce(results.is_object(F.col("success_policy")), F.lit(False))
+
+
 def success(workflows: DataFrame, nodes: DataFrame) -> DataFrame:
     """(id, failed, policy_met, succeeded).
 
     With a policy a workflow succeeds if all nodes of one of its non-empty
-    cases are COMPLETED; without one if no node failed.
+    cases are COMPLETED; without one if no node failed and no error is noted.
     """
-    status = F.map_from_entries(F.collect_list(F.struct("task_index", "status")))
-    by_flow = nodes.groupBy("workflow_id").agg(status.alias("by_index"), F.count_if(F.col("status") == "FAILED").alias("failed"))
-    seen = workflows.join(by_flow, F.col("id") == F.col("workflow_id"), "left").withColumn("policy", F.from_json("success_policy", POLICY))
-    done = lambda i: F.coalesce(F.try_element_at(F.col("by_index"), i) == "COMPLETED", F.lit(False))
-    met = F.coalesce(F.exists("policy.cases", lambda c: (F.size(c.required_indices) > 0) & F.forall(c.required_indices, done)), F.lit(False))
+    done = nodes.select(F.col("workflow_id").alias("id"), "task_index", (F.col("status") == "COMPLETED").alias("_done"))
+    case = _required(workflows).join(done, ["id", "task_index"], "left").groupBy("id", "case_no").agg(F.bool_and(F.coalesce("_done", F.lit(False))).alias("_met"))
+    met = case.groupBy("id").agg(F.bool_or("_met").alias("_met"))
+    counts = nodes.groupBy(F.col("workflow_id").alias("id")).agg(F.count_if(F.col("status") == "FAILED").alias("failed"))
+    seen = workflows.join(counts, "id", "left").join(met, "id", "left")
     no_error = F.col("error").isNull() if "error" in workflows.columns else F.lit(True)
-    failed = F.coalesce("failed", F.lit(0).cast("long"))
-    fine = F.when(F.col("success_policy").isNull(), no_error & (failed == 0)).otherwise(met)
-    return seen.select("id", failed.alias("failed"), F.when(F.col("success_policy").isNotNull(), met).alias("policy_met"), fine.alias("succeeded"))
+    failed, met = F.coalesce("failed", F.lit(0).cast("long")), F.coalesce("_met", F.lit(False))
+    return seen.select("id", failed.alias("failed"), F.when(_has_policy(), met).alias("policy_met"), F.when(_has_policy(), met).otherwise(no_error & (failed == 0)).alias("succeeded"))
 
 
 def first_failed(nodes: DataFrame, workflows: DataFrame | None = None) -> DataFrame:
     """(workflow_id, task_index, result) of each workflow's first failed node; with workflows, of its required nodes."""
     failed = nodes.filter("status = 'FAILED'")
     if workflows is not None:
-        cases = F.from_json("success_policy", POLICY)["cases"]
-        required = workflows.filter("success_policy is not null").select(F.col("id").alias("workflow_id"), F.flatten(F.transform(cases, lambda c: c.required_indices)).alias("required"))
-        failed = failed.join(required, "workflow_id").filter(F.expr("array_contains(required, task_index)"))
-    first = failed.groupBy("workflow_id").agg(F.min("task_index").alias("task_index"), F.min_by("result", "task_index").alias("result"))
-    return first
+        required = _required(workflows).select(F.col("id").alias("workflow_id"), "task_index").distinct()
+        failed = failed.join(required, ["workflow_id", "task_index"], "left_semi")
+    return failed.groupBy("workflow_id").agg(F.min("task_index").alias("task_index"), F.min_by("result", "task_index").alias("result"))
 
 
 def final_results(workflows: DataFrame, nodes: DataFrame) -> DataFrame:
-    """(id, result): of the output node where one is named, else a JSON object of all sinks by node."""
+    """(id, result): of the output node where one is named (`null` if it has none), else the value of all sinks by node.
+
+    Workflows without any node have no result here. Sinks without an id are left out.
+    """
     named = workflows.filter("output_task_index is not null").select("id", F.col("output_task_index").alias("task_index"))
-    one = named.join(nodes.select(F.col("workflow_id").alias("id"), "task_index", "result"), ["id", "task_index"]).select("id", "result")
+    given = nodes.select(F.col("workflow_id").alias("id"), "task_index", F.nullif("result", F.lit("")).alias("result"))
+    one = named.join(given, ["id", "task_index"], "left").select("id", F.coalesce("result", F.lit("null")).alias("result"))
     last = sinks(nodes).join(workflows.filter("output_task_index is null").select(F.col("id").alias("workflow_id")), "workflow_id", "left_semi")
-    entry = F.struct("node_id", F.coalesce("result", F.lit("null")).alias("value"))
+    entry = F.when(F.col("node_id").isNotNull(), F.struct("node_id", F.coalesce(results.canonical(F.col("result")), F.lit("null")).alias("value")))
     many = last.groupBy(F.col("workflow_id").alias("id")).agg(F.array_sort(F.collect_list(entry)).alias("entries"))
-    text = F.concat(F.lit("{"), F.array_join(F.transform("entries", lambda e: F.concat(json_text(e.node_id), F.lit(":"), e.value)), ","), F.lit("}"))
-    return one.unionByName(many.select("id", text.alias("result")))
+    members = F.array_join(F.transform("entries", lambda e: F.concat(results.text(e.node_id), F.lit(":"), e.value)), ",")
+    value = results.obj(**{RESULT: F.lit("true"), "ok": F.concat(F.lit("{"), members, F.lit("}")), "err": F.lit("null")})
+    return one.unionByName(many.select("id", value.alias("result")))
 
 
 def completions(workflows: DataFrame, nodes: DataFrame) -> DataFrame:
@@ -180,8 +229,8 @@ def completions(workflows: DataFrame, nodes: DataFrame) -> DataFrame:
 
 
 def on_error(workflows: DataFrame, nodes: DataFrame) -> DataFrame:
-    """(id, to, error): running workflows with a failed node, which pause or go on with the error noted."""
-    failed = first_failed(nodes).select(F.col("workflow_id").alias("id"), F.col("result").alias("error"))
+    """(id, to, error): running workflows with a failed node, which pause or go on with its error noted."""
+    failed = first_failed(nodes).select(F.col("workflow_id").alias("id"), results.error_of(F.col("result")).alias("error"))
     live = workflows.filter("status = 'RUNNING'").select("id", "on_error")
     return live.join(failed, "id").select("id", F.when(F.col("on_error") == "pause", "PAUSED").otherwise("RUNNING").alias("to"), "error")
 

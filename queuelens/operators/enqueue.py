@@ -2,14 +2,17 @@
 
 from __future__ import annotations
 
+import functools
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from queuelens.functions import results
 from queuelens.operators.dag import ended, ended_value
 from queuelens.schemas import WORKFLOW_TERMINAL
 
-#: The key that marks an injected result in the arguments of a task.
-RESULT_TAG = "__injected_result__"
+#: Keys of a task's arguments that hold an injected result, the context of its workflow, and what node it is.
+RESULT_TAG, CONTEXT, META = "__injected_result__", "__workflow_ctx__", "__workflow_meta__"
 
 
 def results_with_names(nodes: DataFrame, asked: DataFrame | None = None) -> DataFrame:
@@ -26,41 +29,89 @@ def results_with_names(nodes: DataFrame, asked: DataFrame | None = None) -> Data
 
 
 def context(nodes: DataFrame) -> DataFrame:
-    """(workflow_id, task_index, results): results by node id of the nodes that a node asks to see."""
-    wanted = nodes.select("workflow_id", "task_index", F.explode(F.array_distinct("workflow_ctx_from")).alias("node_id"))
-    done = nodes.filter(ended()).select("workflow_id", "node_id", ended_value().alias("value"))
-    met = wanted.join(done, ["workflow_id", "node_id"])
+    """(workflow_id, task_index, results): results by node id of the nodes that a node asks to see, those without one left out."""
+    return _context(nodes, nodes.filter(ended()))
+
+
+def _context(asking: DataFrame, done: DataFrame) -> DataFrame:
+    wanted = asking.select("workflow_id", "task_index", F.explode(F.array_distinct("workflow_ctx_from")).alias("node_id"))
+    value = done.select("workflow_id", "node_id", ended_value().alias("value")).filter("value is not null")
+    met = wanted.join(value, ["workflow_id", "node_id"])
     return met.groupBy("workflow_id", "task_index").agg(F.map_from_entries(F.array_sort(F.collect_list(F.struct("node_id", "value")))).alias("results"))
 
 
-def arguments(nodes: DataFrame, tag: str = RESULT_TAG) -> DataFrame:
-    """(workflow_id, task_index, kwargs, conflict): own arguments with the injected results of dependencies.
+def _members(column: str, key: str, value: str) -> Column:
+    """JSON members of an array of structs of names and JSON texts, as one text; empty for null."""
+    each = F.transform(F.col(column), lambda e: F.concat(results.text(e[key]), F.lit(":"), e[value]))
+    return F.coalesce(F.array_join(each, ","), F.lit(""))
+
+
+def arguments(nodes: DataFrame, which: Column | None = None, tag: str = RESULT_TAG) -> DataFrame:
+    """(workflow_id, task_index, kwargs, code, message) of the nodes that `which` names, of all without it.
 
-    `args_from` maps an argument to the index of the node whose result it
-    gets, as {tag: true, "data": result}. An argument that is given and
-    injected is a conflict: kwargs is null then. JSON objects are spliced as
-    text, so values keep their exact form.
+    `args_from` maps an argument to the index of the node whose result it gets:
+    {tag: true, "data": text of the result}. Only dependencies that have ended
+    with a result give one. Nodes with a context have `CONTEXT`, with results
+    and summaries by node id as texts; all have `META`. A node whose options or
+    own arguments are no JSON object, or that gets an argument that it has
+    already, has no kwargs but the code and message of its error. Own arguments
+    keep their order; arguments of other kinds than an object count as none.
     """
-    value = F.coalesce(ended_value(), F.lit("null"))
-    source = nodes.filter(ended()).select("workflow_id", F.col("task_index").alias("dep"), value.alias("value"))
-    given = F.coalesce("task_kwargs", F.lit("{}"))
-    own = nodes.select("workflow_id", "task_index", given.alias("given"), F.coalesce("args_from", F.create_map().cast("map<string,int>")).alias("args_from"))
-    asked = own.select("workflow_id", "task_index", F.explode("args_from").alias("arg", "dep")).join(source, ["workflow_id", "dep"])
-    part = F.concat(F.to_json(F.array("arg")), F.lit(f':{{"{tag}":true,"data":'), F.col("value"), F.lit("}"))
-    part = F.regexp_replace(part, r'^\[("(?:[^"\\]|\\.)*")\]', "$1")
-    injected = asked.groupBy("workflow_id", "task_index").agg(F.array_join(F.array_sort(F.collect_list(part)), ",").alias("parts"))
-    both = own.join(injected, ["workflow_id", "task_index"], "left")
-    conflict = F.arrays_overlap(F.coalesce(F.json_object_keys("given"), F.array().cast("array<string>")), F.map_keys("args_from"))
-    body = F.regexp_replace(F.trim("given"), r"^\{\s*|\s*\}$", "")
-    kwargs = F.concat(F.lit("{"), F.concat_ws(",", F.nullif(body, F.lit("")), "parts"), F.lit("}"))
-    return both.select("workflow_id", "task_index", F.when(~conflict, kwargs).alias("kwargs"), conflict.alias("conflict"))
+    which = F.lit(True) if which is None else which
+    sub = F.when(F.col("is_subworkflow"), "subworkflow ").otherwise("") if "is_subworkflow" in nodes.columns else F.lit("")
+    optional = lambda c, kind: (F.col(c) if c in nodes.columns else F.lit(None).cast(kind)).alias(c)
+    own = nodes.filter(which).select("workflow_id", "task_index", optional("task_name", "string"), "dependencies", optional("task_kwargs", "string"), optional("task_options", "string"), optional("args_from", "map<string,int>"), optional("workflow_ctx_from", "array<string>"), optional("sub_workflow_id", "string"), sub.alias("_kind"))
+    done = nodes.filter(ended())
+    source = done.select("workflow_id", F.col("task_index").alias("dep"), ended_value().alias("value")).filter("value is not null")
+    asked = own.select("workflow_id", "task_index", "dependencies", F.explode("args_from").alias("arg", "dep")).filter("array_contains(dependencies, dep)").join(source, ["workflow_id", "dep"])
+    injected = asked.groupBy("workflow_id", "task_index").agg(F.array_sort(F.collect_list(F.struct("arg", F.concat(F.lit(f'{{"{tag}":true,"data":'), results.text(F.col("value")), F.lit("}")).alias("value")))).alias("injected"))
+    seen = _context(own, done).select("workflow_id", "task_index", F.transform(F.map_entries("results"), lambda e: F.struct(e.key.alias("key"), results.text(e.value).alias("value"))).alias("seen"))
+    out = own.join(injected, ["workflow_id", "task_index"], "left").join(seen, ["workflow_id", "task_index"], "left")
+    if {"sub_workflow_summary", "is_subworkflow"} <= set(nodes.columns):
+        wanted = own.select("workflow_id", "task_index", F.explode(F.array_distinct("workflow_ctx_from")).alias("node_id"))
+        told = nodes.filter("is_subworkflow and sub_workflow_summary is not null").select("workflow_id", "node_id", results.text(F.col("sub_workflow_summary")).alias("value"))
+        sums = wanted.join(told, ["workflow_id", "node_id"]).groupBy("workflow_id", "task_index").agg(F.array_sort(F.collect_list(F.struct(F.col("node_id").alias("key"), "value"))).alias("told"))
+        out = out.join(sums, ["workflow_id", "task_index"], "left")
+    else:
+        out = out.withColumn("told", F.lit(None).cast("array<struct<key: string, value: string>>"))
+    index, name = F.col("task_index").cast("string"), results.text(F.col("task_name"))
+    place = {"workflow_id": results.text(F.col("workflow_id")), "task_index": index, "task_name": name}
+    ctx = results.obj(**place, results_by_id=F.concat(F.lit("{"), _members("seen", "key", "value"), F.lit("}")), summaries_by_id=F.concat(F.lit("{"), _members("told", "key", "value"), F.lit("}")))
+    given = F.nullif("task_kwargs", F.lit(""))
+    static = F.when(results.is_object(given), F.get_json_object(given, "$"))
+    body = F.nullif(F.substring(static, F.lit(2), F.length(static) - 2), F.lit(""))
+    parts = [body, F.nullif(_members("injected", "arg", "value"), F.lit("")), F.when(F.size("workflow_ctx_from") > 0, F.concat(F.lit(f'"{CONTEXT}":'), ctx)), F.concat(F.lit(f'"{META}":'), results.obj(**place))]
+    kwargs = F.concat(F.lit("{"), F.concat_ws(",", *parts), F.lit("}"))
+    # JSON's null counts as damaged, as it can't be told from text that is no JSON.
+    damaged = lambda c: c.isNotNull() & ~F.coalesce(results.is_json(c) & (F.trim(c) != "null"), F.lit(False))
+    options = F.nullif("task_options", F.lit(""))
+    # The first conflict by length, then by name.
+    both = F.array_sort(F.transform(F.array_intersect(F.map_keys("args_from"), F.coalesce(F.json_object_keys(static), F.array().cast("array<string>"))), lambda k: F.struct(F.length(k).alias("n"), k.alias("k"))))
+    clash = F.try_element_at(both, F.lit(1))["k"]
+    say = lambda head, kind=F.lit(""): F.concat(F.lit(f"{head} for "), kind, F.lit("task "), index)
+    kind = F.col("_kind")
+    plain = kind == ""
+    faults = [
+        (plain & damaged(options), results.NOT_SERIAL, say("Corrupt task_options JSON")),
+        (plain & options.isNotNull() & ~F.coalesce(results.is_object(options), F.lit(False)), results.NOT_SERIAL, F.concat(F.lit("Invalid task_options payload for task "), index, F.lit(": expected object"))),
+        (damaged(given), results.NOT_SERIAL, say("Corrupt kwargs JSON", kind)),
+        (clash.isNotNull(), results.ENQUEUE_FAILED, F.concat(F.lit("args_from key '"), clash, F.lit("' conflicts with static kwarg ("), kind, F.lit("task "), index, F.lit(")"))),
+    ]
+    pick = lambda at: functools.reduce(lambda w, f: w.when(f[0], f[at] if at == 2 else F.lit(f[at])), faults[1:], F.when(faults[0][0], faults[0][at] if at == 2 else F.lit(faults[0][at])))
+    out = out.select("workflow_id", "task_index", kwargs.alias("kwargs"), pick(1).alias("code"), pick(2).alias("message"))
+    return out.select("workflow_id", "task_index", F.when(F.col("code").isNull(), F.col("kwargs")).alias("kwargs"), "code", "message")
 
 
 def tasks_of(nodes: DataFrame, as_of: Column) -> DataFrame:
     """The tasks that enqueued nodes become: new rows with an id of their own place in the workflow."""
     ready = nodes.filter((F.col("status") == "ENQUEUED") & ~F.col("is_subworkflow"))
     columns = [c for c in ("task_name", "queue_name", "priority", "task_options") if c in nodes.columns]
-    return ready.select(F.concat_ws("/", "workflow_id", F.col("task_index").cast("string")).alias("id"), *columns, F.lit("PENDING").alias("status"), as_of.alias("enqueued_at"), F.lit(0).alias("retry_count"))
+    return ready.select(place_id().alias("id"), *columns, F.lit("PENDING").alias("status"), as_of.alias("enqueued_at"), F.lit(0).alias("retry_count"))
+
+
+def place_id() -> Column:
+    """The id of the task or child workflow that a node becomes: its workflow and index."""
+    return F.concat_ws("/", "workflow_id", F.col("task_index").cast("string"))
 
 
 def link(nodes: DataFrame, tasks: DataFrame) -> DataFrame:
@@ -78,9 +129,21 @@ def children_of(nodes: DataFrame, workflows: DataFrame, as_of: Column) -> DataFr
 
 
 def parent_results(children: DataFrame) -> DataFrame:
-    """(workflow_id, task_index, to, outcome, summary) for the parents' nodes, from `dag.child_summary` rows of ended children."""
+    """(workflow_id, task_index, to, outcome, summary) for the parents' nodes, from `dag.child_summary` rows of ended children.
+
+    A completed child's result is the node's; another child's end is an error
+    that names it and holds the summary.
+    """
     done = children.filter(F.col("status").isin(*WORKFLOW_TERMINAL))
     fine = F.col("status") == "COMPLETED"
-    summary = F.to_json(F.struct("status", "total", "completed", "failed", "skipped"))
-    outcome = F.when(fine, F.col("result") if "result" in children.columns else F.lit(None).cast("string")).otherwise('{"err":"SUBWORKFLOW_FAILED"}')
-    return done.select(F.col("parent_workflow_id").alias("workflow_id"), F.col("parent_task_index").alias("task_index"), F.when(fine, "COMPLETED").otherwise("FAILED").alias("to"), outcome.alias("outcome"), summary.alias("summary"))
+    output = results.member(results.canonical(F.col("result")), ".ok")
+    noted = F.nullif("error", F.lit(""))
+    # The error's message; an error that is no JSON is shown itself, up to 200 characters.
+    said = F.when(results.is_object(noted), F.when(results.member(noted, ".message").startswith('"'), results.member(noted, ".message"))).when(~F.coalesce(results.is_json(noted) & (F.trim(noted) != "null"), F.lit(False)), results.text(F.substring(noted, 1, 200)))
+    said = F.when(noted.isNotNull(), said)
+    count = lambda c: F.col(c).cast("string")
+    summary = results.obj(status=results.text(F.col("status")), output=output, total_tasks=count("total"), completed_tasks=count("completed"), failed_tasks=count("failed"), skipped_tasks=count("skipped"), error_summary=said)
+    message = F.concat(F.lit("Subworkflow "), F.col("id"), F.lit(" failed with status "), F.col("status"))
+    err = results.obj(**{results.ERROR: F.lit("true"), "error_code": F.lit(f'{{"{results.BUILT_IN}":"{results.CHILD_FAILED}"}}'), "data": F.lit("null"), "message": results.text(message), "sub_workflow_id": results.text(F.col("id")), "sub_workflow_summary": F.col("summary")})
+    told = done.withColumn("summary", summary)
+    return told.select(F.col("parent_workflow_id").alias("workflow_id"), F.col("parent_task_index").alias("task_index"), F.when(fine, "COMPLETED").otherwise("FAILED").alias("to"), F.when(fine, F.col("result")).otherwise(results.failed(err)).alias("outcome"), "summary")

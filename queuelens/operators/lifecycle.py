@@ -9,17 +9,13 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from queuelens.functions import ids
+from queuelens.functions import results, tagged
 from queuelens.functions.retry import OPTIONS, retry_plan
-from queuelens.operators import dag, enqueue, transitions
+from queuelens.operators import dag, transitions
 from queuelens.operators.health import is_stale_running, with_heartbeat
 from queuelens.operators.transitions import RELEASED, update
 from queuelens.sources.shared import written
 
-#: Fixed value: the error of a workflow none of whose success cases is met.
-CASE_NOT_MET = '{"error_code":"WORKFLOW_SUCCESS_CASE_NOT_MET","message":"No success case was satisfied"}'
-
-
 # ---- retries ---------------------------------------------------------------
 
 
@@ -72,23 +68,34 @@ def outcome_plan(tasks: DataFrame, outcomes: DataFrame, as_of: Column) -> DataFr
 
 
 def failure_errors(workflows: DataFrame, nodes: DataFrame) -> DataFrame:
-    """(id, error) of each workflow, should it fail: of the first failed node; with a policy of the first failed required one, else that no case is met."""
-    first = dag.first_failed(nodes).select(F.col("workflow_id").alias("id"), F.col("result").alias("_first"))
-    required = dag.first_failed(nodes, workflows).select(F.col("workflow_id").alias("id"), F.col("result").alias("_required"))
-    seen = workflows.select("id", "success_policy").join(first, "id", "left").join(required, "id", "left")
-    return seen.select("id", F.when(F.col("success_policy").isNull(), F.col("_first")).otherwise(F.coalesce("_required", F.lit(CASE_NOT_MET))).alias("error"))
-
-
-def apply_completions(workflows: DataFrame, nodes: DataFrame, as_of: Column) -> DataFrame:
-    """Running workflows whose nodes have all ended are COMPLETED or FAILED, with their result and error."""
-    to = dag.completions(workflows, nodes).select(F.col("id").alias("_id"), F.col("to").alias("_to"))
-    result = dag.final_results(workflows, nodes).select(F.col("id").alias("_id"), F.col("result").alias("_result"))
-    error = failure_errors(workflows, nodes).select(F.col("id").alias("_id"), F.col("error").alias("_error"))
-    verdict = to.join(result, "_id", "left").join(error, "_id", "left")
+    """(id, error) of each workflow, should it fail: that of its first failed node; with a policy that of the first failed
+    required one, else that no case is met. Results that can't be read give none; a policy that can't be read gives none either."""
+    of = lambda df, name: df.select(F.col("workflow_id").alias("id"), results.error_of(F.col("result")).alias(name))
+    seen = workflows.select("id", "success_policy").join(of(dag.first_failed(nodes), "_first"), "id", "left").join(of(dag.first_failed(nodes, workflows), "_required"), "id", "left")
+    readable = F.coalesce(results.is_object(F.col("success_policy")), F.lit(False))
+    return seen.select("id", F.when(F.col("success_policy").isNull(), F.col("_first")).when(readable, F.coalesce("_required", results.case_not_met())).alias("error"))
+
+
+def apply_completions(workflows: DataFrame, nodes: DataFrame, as_of: Column, keep_error: bool = False) -> DataFrame:
+    """Running workflows whose nodes have all ended are COMPLETED or FAILED, with their result and error.
+
+    One aggregate over the nodes finds them; only their nodes are read further.
+    With `keep_error` an error that is noted already stays.
+    """
+    over = written(dag.completion_status(workflows.filter("status = 'RUNNING' and completed_at is null"), nodes).filter("incomplete = 0").select("id"), "lifecycle-over")
+    flows = workflows.join(over, "id", "left_semi")
+    own = nodes.join(over.select(F.col("id").alias("workflow_id")), "workflow_id", "left_semi")
+    ok = dag.success(flows, own).select(F.col("id").alias("_id"), F.when(F.col("succeeded"), "COMPLETED").otherwise("FAILED").alias("_to"))
+    result = dag.final_results(flows, own).select(F.col("id").alias("_id"), F.col("result").alias("_result"))
+    error = failure_errors(flows, own).select(F.col("id").alias("_id"), F.col("error").alias("_error"))
+    # A workflow without nodes has no sinks: its value is an empty object.
+    empty = F.lit(f'{{"{tagged.RESULT}":true,"ok":{{}},"err":null}}')
+    verdict = ok.join(result, "_id", "left").join(error, "_id", "left").withColumn("_result", F.coalesce("_result", empty))
     seen = workflows.join(verdict, F.col("id") == F.col("_id"), "left")
+    noted = F.coalesce("error", "_error") if keep_error else F.coalesce("_error", "error")
     changes = {
         "status": F.col("_to"), "result": F.col("_result"), "completed_at": as_of, "updated_at": as_of,
-        "error": F.when(F.col("_to") == "FAILED", F.coalesce("_error", "error")).otherwise(F.col("error")),
+        "error": F.when(F.col("_to") == "FAILED", noted).otherwise(F.col("error")),
     }
     return update(seen, F.col("_to").isNotNull() & F.col("completed_at").isNull(), changes).drop("_id", "_to", "_result", "_error")
 
@@ -107,22 +114,6 @@ def nodes_of_tasks(nodes: DataFrame, outcomes: DataFrame) -> DataFrame:
     return linked.join(outcomes, "task_id").select("workflow_id", "task_index", F.when(F.col("ok"), "COMPLETED").otherwise("FAILED").alias("to"), F.col("result").alias("outcome"))
 
 
-def _progress(workflows: DataFrame, nodes: DataFrame, results: DataFrame, as_of: Column) -> tuple[DataFrame, DataFrame]:
-    """(workflows, nodes) after nodes ended: error policy, then readiness, then completion."""
-    # Each step is written, so that what follows reads it instead of computing it again.
-    ended = written(transitions.end_nodes(nodes, results, as_of), "lifecycle-nodes")
-    failed = ended.filter("changed and status = 'FAILED'")
-    ended = ended.drop("changed")
-    flows = written(apply_on_error(workflows, failed, as_of).drop("changed"), "lifecycle-workflows")
-    moved = written(dag.propagate(ended, flows), "lifecycle-nodes")
-    return apply_completions(flows, moved, as_of).drop("changed"), moved
-
-
-def complete_nodes(workflows: DataFrame, nodes: DataFrame, outcomes: DataFrame, as_of: Column) -> tuple[DataFrame, DataFrame]:
-    """(workflows, nodes) after tasks (task_id, ok, result) ended: paused workflows keep their other nodes as they are."""
-    return _progress(workflows, nodes, nodes_of_tasks(nodes, outcomes), as_of)
-
-
 # ---- recovery and resumption -----------------------------------------------
 
 
@@ -131,36 +122,20 @@ def crashed_results(nodes: DataFrame, tasks: DataFrame, workflows: DataFrame) ->
 
     The task's result counts if it can be read; else an error says what happened.
     """
-    # Error codes by state of the task.
-    code = F.when(F.col("_broken"), "WORKER_CRASHED").when(F.col("task_status") == "CANCELLED", "TASK_CANCELLED").when(F.col("task_status") == "EXPIRED", "TASK_EXPIRED").when(F.col("task_status") == "COMPLETED", "RESULT_NOT_AVAILABLE").otherwise("WORKER_CRASHED")
-    made = F.concat(F.lit('{"err":{"error_code":"'), code, F.lit('"}}'))
     given = tasks.select(F.col("id").alias("task_id"), F.col("result").alias("_given"))
-    found = dag.rec_crashed(nodes, tasks, workflows).join(given, "task_id", "left").withColumn("_broken", F.col("_given").isNotNull() & F.try_parse_json("_given").isNull())
-    usable = F.col("_given").isNotNull() & ~F.col("_broken")
-    fine = usable & F.get_json_object("_given", "$.err").isNull()
-    return found.select("workflow_id", "task_index", F.when(fine, "COMPLETED").otherwise("FAILED").alias("to"), F.when(usable, F.col("_given")).otherwise(made).alias("outcome"))
-
-
-def repair(workflows: DataFrame, nodes: DataFrame, tasks: DataFrame, as_of: Column) -> tuple[DataFrame, DataFrame]:
-    """(workflows, nodes) after recovery: nodes take the results of ended tasks and children, sub-workflow
-    nodes that were never started wait again, then readiness and completion are evaluated anew."""
-    children = dag.rec_children(workflows, nodes).select("id")
-    ended = enqueue.parent_results(dag.child_summary(workflows, nodes).join(children, "id", "left_semi")).select("workflow_id", "task_index", "to", "outcome")
-    results = crashed_results(nodes, tasks, workflows).unionByName(ended)
-    loose = dag.rec_ready(nodes, workflows, subworkflows=True).select("workflow_id", "task_index", F.lit(True).alias("_loose")).distinct()
-    seen = nodes.join(loose, ["workflow_id", "task_index"], "left")
-    waiting = update(seen, F.col("_loose"), {"status": F.lit("PENDING")}).select(nodes.columns)
-    return _progress(workflows, waiting, results, as_of)
-
-
-def resume_all(workflows: DataFrame, nodes: DataFrame, start: Column, as_of: Column) -> tuple[DataFrame, DataFrame]:
-    """(workflows, nodes) after resuming paused workflows with all below them: nodes are evaluated anew and enqueued."""
-    flows = written(transitions.cascade(workflows, start, "PAUSED", "RUNNING", as_of).drop("changed"), "lifecycle-workflows")
-    moved = dag.propagate(nodes, flows)
-    for subworkflows in (False, True):
-        moved = transitions.enqueue_nodes(moved, flows, as_of, subworkflows).drop("changed")
-    moved = written(moved, "lifecycle-nodes")
-    return apply_completions(flows, moved, as_of).drop("changed"), moved
+    found = dag.rec_crashed(nodes, tasks, workflows).join(given, "task_id", "left").withColumn("_result", results.canonical(F.col("_given")))
+    state, corrupt = F.col("task_status"), F.col("_given").isNotNull()
+    # Error codes and messages by state of the task.
+    code = F.when(corrupt, "WORKER_CRASHED").when(state == "CANCELLED", "TASK_CANCELLED").when(state == "EXPIRED", "TASK_EXPIRED").when(state == "COMPLETED", "RESULT_NOT_AVAILABLE").otherwise("WORKER_CRASHED")
+    message = (
+        F.when(corrupt, "Stored task result is corrupt and could not be deserialized").when(state == "CANCELLED", "Task was cancelled before producing a result")
+        .when(state == "EXPIRED", "Task expired before execution started (good_until passed)").when(state == "COMPLETED", "Task completed but result is missing")
+        .otherwise(F.concat(F.lit("Worker crashed during task execution (task_status="), state, F.lit(", no result stored)")))
+    )
+    data = results.obj(task_id=results.text(F.col("task_id")), task_status=results.text(state), recovery=F.lit('"case_1_7"'))
+    made = results.failed(results.error(code, message, data))
+    fine = F.col("_result").isNotNull() & ~F.coalesce(results.is_failure(F.col("_result")), F.lit(False))
+    return found.select("workflow_id", "task_index", F.when(fine, "COMPLETED").otherwise("FAILED").alias("to"), F.coalesce("_result", made).alias("outcome"))
 
 
 def reap(tasks: DataFrame, heartbeats: DataFrame, as_of: Column, claimed: int = 120, running: int = 300) -> DataFrame:
@@ -211,24 +186,6 @@ def expand(children: DataFrame, definitions: DataFrame, as_of: Column) -> DataFr
     return transitions.start_workflow(nodes.withColumn("id", F.concat_ws("/", "workflow_id", F.col("task_index").cast("string"))), as_of)
 
 
-def materialise(nodes: DataFrame, as_of: Column) -> DataFrame:
-    """Tasks of enqueued nodes with arguments, injected results, deadline, retries and fingerprint.
-
-    Nodes whose arguments conflict become no task; `enqueue.arguments` lists them.
-    """
-    ready = nodes.filter("status = 'ENQUEUED' and not is_subworkflow")
-    kwargs = enqueue.arguments(nodes).filter("not conflict").select("workflow_id", "task_index", "kwargs")
-    option = lambda path: F.get_json_object("task_options", path)
-    rows = ready.join(kwargs, ["workflow_id", "task_index"]).select(
-        F.concat_ws("/", "workflow_id", F.col("task_index").cast("string")).alias("id"), "task_name", "queue_name", "priority", F.col("task_args").alias("args"), "kwargs", F.lit("PENDING").alias("status"),
-        as_of.alias("sent_at"), as_of.alias("enqueued_at"), F.lit(False).alias("claimed"), F.lit(0).alias("retry_count"), F.coalesce(option("$.retry_policy.max_retries").cast("int"), F.lit(0)).alias("max_retries"),
-        "task_options", option("$.good_until").cast("timestamp_ntz").alias("good_until"),
-    )
-    text = ids.json_text
-    sha = ids.fingerprint(text(F.col("task_name")), text(F.col("queue_name")), F.coalesce(F.col("priority").cast("string"), F.lit("null")), text(F.col("args")), text(F.col("kwargs")), text(ids.canonical(F.col("sent_at"))), text(ids.canonical(F.col("good_until"))), F.lit("null"), text(F.col("task_options")))
-    return rows.withColumn("enqueue_sha", sha)
-
-
 # ---- lookups ---------------------------------------------------------------
 
 

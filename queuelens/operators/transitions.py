@@ -160,11 +160,16 @@ def reset_nodes(nodes: DataFrame, which: Column) -> DataFrame:
 
 
 def end_nodes(nodes: DataFrame, results: DataFrame, as_of: Column) -> DataFrame:
-    """Nodes take the states and results of `results` (workflow_id, task_index, to, outcome), unless they have ended."""
-    once = results.groupBy("workflow_id", "task_index").agg(F.min(F.struct("to", "outcome")).alias("_r"))
+    """Nodes take the states and results of `results` (workflow_id, task_index, to, outcome), unless they have ended.
+
+    A `summary` of a child workflow in `results` is the node's then, if it has a column for it.
+    """
+    with_summary = "summary" in results.columns and "sub_workflow_summary" in nodes.columns
+    once = results.groupBy("workflow_id", "task_index").agg(F.min(F.struct("to", "outcome", *(["summary"] if with_summary else []))).alias("_r"))
     seen = nodes.join(once, ["workflow_id", "task_index"], "left")
     guard = F.col("_r").isNotNull() & ~F.col("status").isin(*NODE_TERMINAL)
-    return update(seen, guard, {"status": F.col("_r.to"), "result": F.col("_r.outcome"), "completed_at": as_of}).drop("_r").select(*nodes.columns, "changed")
+    more = {"sub_workflow_summary": F.coalesce("_r.summary", "sub_workflow_summary")} if with_summary else {}
+    return update(seen, guard, {"status": F.col("_r.to"), "result": F.col("_r.outcome"), "completed_at": as_of, **more}).drop("_r").select(*nodes.columns, "changed")
 
 
 def enqueue_nodes(nodes: DataFrame, workflows: DataFrame, as_of: Column, subworkflows: bool = False) -> DataFrame:

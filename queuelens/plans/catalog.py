@@ -6,10 +6,10 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from queuelens.plans import lifecycle, monitoring, state, streams
+from queuelens.plans import lifecycle, monitoring, state, streams, trees
 from queuelens.sources.tables import Tables, from_fixtures
 
-MODULES = (monitoring, state, lifecycle, streams)
+MODULES = (monitoring, state, lifecycle, trees, streams)
 
 
 def _bound(query: Callable[[Tables], DataFrame]) -> Callable[[SparkSession, str], DataFrame]:

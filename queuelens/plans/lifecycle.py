@@ -11,11 +11,13 @@ from queuelens import schemas
 from queuelens.functions import ids, schedule, tagged
 from queuelens.operators import claim as C
 from queuelens.operators import dag as D
+from queuelens.operators import engine as E
 from queuelens.operators import enqueue as Q
 from queuelens.operators import lifecycle as L
 from queuelens.operators import monitor as M
 from queuelens.operators import retention as R
 from queuelens.operators import transitions as T
+from queuelens.plans import resultsql as X
 from queuelens.plans.state import _ACTIVE, _ALLOC, _ENDED, _HB, _N, _WF_ENDED, DAY, NOW, caps, full
 from queuelens.sources.fixtures import oracle
 from queuelens.sources.tables import Tables
@@ -127,17 +129,17 @@ QUERIES = {
     "insert_workflows": lambda t: L.insert(t.workflows, _children(t).unionByName(t.workflows.select("id", "name", F.lit("PENDING").alias("status"), "parent_workflow_id", "parent_task_index", "depth", "root_workflow_id", "created_at"))).select("id", "name", "status", "depth"),
     "link_children": lambda t: L.link_children(full(t).workflow_tasks, _children(t)).select("id", "status", "sub_workflow_id", "changed"),
     "expand_children": lambda t: L.expand(_children(t), _definitions(t), t.as_of).select("id", "workflow_id", "task_index", "node_id", "status", "created_at"),
-    "materialise_nodes": lambda t: L.materialise(equipped(t).workflow_tasks, t.as_of),
+    "materialise_nodes": lambda t: E.materialise(equipped(t).workflow_tasks, t.as_of),
     "append_snapshots": lambda t: t.worker_states.select("id", "worker_id", "snapshot_at").unionByName(t.worker_states.select(-F.col("id"), "worker_id", F.lit(None).alias("snapshot_at")).toDF("id", "worker_id", "snapshot_at").withColumn("snapshot_at", t.as_of)),
     # completions
     "failure_errors": lambda t: L.failure_errors(t.workflows, t.workflow_tasks),
     "apply_completions": lambda t: L.apply_completions(full(t).workflows, t.workflow_tasks, t.as_of).select(*_FLOW, "changed"),
     "apply_on_error": lambda t: L.apply_on_error(full(t).workflows, t.workflow_tasks, t.as_of).select("id", "status", "error", "updated_at", "changed"),
     "nodes_of_tasks": lambda t: L.nodes_of_tasks(t.workflow_tasks, outcomes(t)),
-    "complete_nodes": lambda t: _both(L.complete_nodes(full(t).workflows, _no_context(t), outcomes(t), t.as_of)),
+    "complete_nodes": lambda t: _both(E.complete_nodes(full(t).workflows, _no_context(t), outcomes(t), t.as_of)),
     "crashed_results": lambda t: L.crashed_results(t.workflow_tasks, equipped(t).tasks, t.workflows),
-    "recovery_repair": lambda t: _both(L.repair(full(t).workflows, _no_context(t), equipped(t).tasks, t.as_of)),
-    "resume_all": lambda t: _both(L.resume_all(full(t).workflows, _no_context(t), F.lit(True), t.as_of)),
+    "recovery_repair": lambda t: _both(E.recover(full(t).workflows, _loose(t), equipped(t).tasks, t.as_of)[:2]),
+    "resume_all": lambda t: _both(E.resume_all(full(t).workflows, _no_context(t), F.lit(True), t.as_of)[:2]),
     "resume_cascade": lambda t: T.cascade(full(t).workflows.withColumn("status", F.when(F.col("status") == "COMPLETED", "PAUSED").otherwise(F.col("status"))), F.col("parent_workflow_id").isNull(), "PAUSED", "RUNNING", t.as_of).select("id", "status", "changed"),
     "reaper_round": lambda t: L.reap(equipped(t).tasks, t.heartbeats, t.as_of).select("id", "status", "retry_count", "claimed_by_worker_id", "error_code", "changed"),
     # lookups
@@ -169,6 +171,11 @@ def _no_context(t: Tables):
     return full(t).workflow_tasks
 
 
+def _loose(t: Tables):
+    """The same, READY nodes at odd places without a task."""
+    return _no_context(t).withColumn("task_id", F.when((F.col("status") == "READY") & (F.col("task_index") % 2 == 1), None).otherwise(F.col("task_id")))
+
+
 def _upgraded(t: Tables):
     """Tasks of an old schema: half of them without an instant of enqueueing, all without those of sending and without fingerprint."""
     old = t.tasks.withColumn("enqueued_at", F.when(_number("id") % 2 == 0, F.col("enqueued_at")))
@@ -211,7 +218,7 @@ _HBJ = f"left join {_HB.format('runner')} hb on hb.task_id = t.id"
 _AT = f"({NOW} + interval 100 second)"
 _OPT = f", o as (select t.*, cast(regexp_extract(task_name, '([0-9]+)$', 1) as int) % 3 as kind, {_N} % 9 as out, {_N} % 3 = 0 as has from ft t), p as (select *, cast(case kind when 0 then case when retry_count >= 1 then 20 else 10 end when 1 then 30 * pow(2, retry_count) end as bigint) as delay from o)"
 _CAN = f"kind < 2 and retry_count < max_retries and coalesce(good_until > {NOW}, true) and (good_until is null or {NOW} + to_seconds(delay) < good_until)"
-_VERDICTS = """, st as (select n.workflow_id, n.task_index, n.id, n.status, n.join_type, n.min_success, n.allow_failed_deps, len(n.dependencies) as size, w.status = 'RUNNING' as live from {nodes} n left join {flows} w on w.id = n.workflow_id),
+_VERDICTS = """, st as (select n.workflow_id, n.task_index, n.id, n.status, n.join_type, n.min_success, n.allow_failed_deps, len(n.dependencies) as size, w.status = 'RUNNING' {hot} as live from {nodes} n left join {flows} w on w.id = n.workflow_id),
 fx as (
   select workflow_id, task_index, id, status, null::varchar as was from st where task_index = 0
   union all
@@ -225,20 +232,21 @@ fx as (
 _FIRST = "(select workflow_id, result from {n} where status = 'FAILED' qualify row_number() over (partition by workflow_id order by task_index) = 1)"
 
 
-def _ended_flows(nodes: str, flows: str) -> str:
+def _ended_flows(nodes: str, flows: str, hot: str = "", keep: bool = False) -> str:
     """CTEs: the workflows `flows` after completion over `nodes`, as `cf`."""
+    error = "coalesce(error, new_error)" if keep else "coalesce(new_error, error)"
     return f""", ws as (select id, unnest(cast(json_extract(success_policy, '$.cases[*].required_indices') as int[][])) as need from {flows} where success_policy is not null),
 wm as (select r.id, bool_or(len(need) > 0 and (select count(distinct n.task_index) from {nodes} n where n.workflow_id = r.id and n.status = 'COMPLETED' and list_contains(r.need, n.task_index)) = len(need)) as met from ws r group by r.id),
 wc as (select workflow_id, count(*) filter (status not in {_ENDED}) as open, count(*) filter (status = 'FAILED') as failed from {nodes} group by 1),
 wu as (select distinct workflow_id, unnest(dependencies) as task_index from {nodes}),
-wr as (select w.id, n.result from {flows} w join {nodes} n on n.workflow_id = w.id and n.task_index = w.output_task_index
-  union all select w.id, concat('{{', string_agg(concat('"', n.node_id, '":', coalesce(n.result, 'null')), ',' order by n.node_id), '}}') from {flows} w join {nodes} n on n.workflow_id = w.id
+wr as (select w.id, coalesce(nullif(n.result, ''), 'null') as result from {flows} w left join {nodes} n on n.workflow_id = w.id and n.task_index = w.output_task_index where w.output_task_index is not null
+  union all select w.id, {X.value("string_agg(concat(to_json(n.node_id), ':', coalesce(" + X.canonical("n.result") + ", 'null')), ',' order by n.node_id)")} from {flows} w join {nodes} n on n.workflow_id = w.id
   where w.output_task_index is null and not exists (select 1 from wu u where u.workflow_id = n.workflow_id and u.task_index = n.task_index) group by 1),
 wq as (select n.workflow_id, n.result from {nodes} n join {flows} w on w.id = n.workflow_id and w.success_policy is not null where n.status = 'FAILED' and n.task_index in (0, 1, 2) qualify row_number() over (partition by n.workflow_id order by n.task_index) = 1),
-wv as (select w.*, w.status = 'RUNNING' and w.completed_at is null and coalesce(c.open, 0) = 0 as go, case when w.success_policy is null then w.error is null and coalesce(c.failed, 0) = 0 else coalesce(m.met, false) end as fine, wr.result as new_result,
-  case when w.success_policy is null then f.result else coalesce(q.result, '{L.CASE_NOT_MET}') end as new_error
+wv as (select w.*, w.status = 'RUNNING' and w.completed_at is null and coalesce(c.open, 0) = 0 {hot} as go, case when w.success_policy is null then w.error is null and coalesce(c.failed, 0) = 0 else coalesce(m.met, false) end as fine, coalesce(wr.result, {X.value("''")}) as new_result,
+  case when w.success_policy is null then {X.error_of("f.result")} else coalesce({X.error_of("q.result")}, {X.CASE_NOT_MET}) end as new_error
   from {flows} w left join wc c on c.workflow_id = w.id left join wm m using (id) left join wr using (id) left join {_FIRST.format(n=nodes)} f on f.workflow_id = w.id left join wq q on q.workflow_id = w.id),
-cf as (select id, case when go then case when fine then 'COMPLETED' else 'FAILED' end else status end as status, case when go then new_result else result end as result, case when go and not fine then coalesce(new_error, error) else error end as error,
+cf as (select id, case when go then case when fine then 'COMPLETED' else 'FAILED' end else status end as status, case when go then new_result else result end as result, case when go and not fine then {error} else error end as error,
   case when go then {NOW} else completed_at end as completed_at, case when go then {NOW} else updated_at end as updated_at, go as changed from wv)"""
 
 
@@ -246,13 +254,14 @@ _WF0 = ", wf as (select *, null::varchar as result, null::varchar as error from
 _OUTS = f", oc as (select id as task_id, {_N} % 9 = 0 as ok, case when {_N} % 9 = 6 then null when {_N} % 9 = 0 then '{{\"ok\":1}}' else '{{\"err\":2}}' end as result from tasks where {_N} % 3 = 0)"
 
 
-def _progress(results: str, nodes: str, flows: str) -> str:
-    """CTEs: nodes and workflows after `results` (workflow_id, task_index, k, outcome) over `nodes`; pn, cf."""
-    return f""", rs as ({results}), e1 as (select n.* replace (case when r.k is not null and n.status not in {_ENDED} then r.k else n.status end as status, case when r.k is not null and n.status not in {_ENDED} then r.outcome else n.result end as result), coalesce(r.k = 'FAILED', false) and n.status not in {_ENDED} as fresh
+def _progress(results: str, nodes: str, flows: str, touched: str = "", keep: bool = False) -> str:
+    """CTEs: nodes and workflows after `results` (workflow_id, task_index, k, outcome, summary) over `nodes`, in the workflows that these or `touched` name; pn, cf."""
+    hot = "and w.id in (select workflow_id from hot)"
+    return f""", rs as ({results}), hot as (select workflow_id from rs {touched}), e1 as (select n.* replace (case when r.k is not null and n.status not in {_ENDED} then r.k else n.status end as status, case when r.k is not null and n.status not in {_ENDED} then r.outcome else n.result end as result), coalesce(r.k = 'FAILED', false) and n.status not in {_ENDED} as fresh
   from {nodes} n left join rs r on r.workflow_id = n.workflow_id and r.task_index = n.task_index),
-er as (select workflow_id, result from e1 where fresh qualify row_number() over (partition by workflow_id order by task_index) = 1),
+er as (select workflow_id, {X.error_of("result")} as result from e1 where fresh qualify row_number() over (partition by workflow_id order by task_index) = 1),
 f1 as (select w.* replace (case when w.status = 'RUNNING' and e.workflow_id is not null and w.on_error = 'pause' then 'PAUSED' else w.status end as status, case when w.status = 'RUNNING' and e.workflow_id is not null then e.result else w.error end as error) from {flows} w left join er e on e.workflow_id = w.id)
-{_VERDICTS.format(nodes="e1", flows="f1")}, pn as (select e.* exclude (fresh) replace (fx.status as status) from e1 e join fx using (id))""" + _ended_flows("pn", "f1")
+{_VERDICTS.format(nodes="e1", flows="f1", hot=hot)}, pn as (select e.* exclude (fresh) replace (case when fx.status = 'READY' and not e.is_subworkflow and w.status = 'RUNNING' {hot} and (e.status = 'PENDING' or {"e.task_id is null" if keep else "false"}) then 'ENQUEUED' else fx.status end as status) from e1 e join fx using (id) left join f1 w on w.id = e.workflow_id)""" + _ended_flows("pn", "f1", hot, keep)
 
 
 _BOTH = " select 'workflow' as kind, id, status, result, error from cf union all select 'node', id, status, result, null from pn"
@@ -264,10 +273,17 @@ def _recursive(sql: str) -> str:
 
 _CHILD = f"(select concat(n.workflow_id, '/', n.task_index) as id, w.name, n.workflow_id, n.task_index, w.depth + 1 as depth, w.root_workflow_id from workflow_tasks n join workflows w on w.id = n.workflow_id where n.status = 'ENQUEUED' and n.is_subworkflow)"
 _CODE = "case when r = 2 then 'WORKER_CRASHED' when t.status = 'CANCELLED' then 'TASK_CANCELLED' when t.status = 'EXPIRED' then 'TASK_EXPIRED' when t.status = 'COMPLETED' then 'RESULT_NOT_AVAILABLE' else 'WORKER_CRASHED' end"
-_CRASHED = f"""select n.workflow_id, n.task_index, case when r = 0 then 'COMPLETED' else 'FAILED' end as k, case when r = 0 then '{{"ok":1}}' when r = 1 then '{{"err":{{"error_code":"X"}}}}' else concat('{{"err":{{"error_code":"', {_CODE}, '"}}}}') end as outcome
+_SAY = "case when r = 2 then 'Stored task result is corrupt and could not be deserialized' when t.status = 'CANCELLED' then 'Task was cancelled before producing a result' when t.status = 'EXPIRED' then 'Task expired before execution started (good_until passed)' when t.status = 'COMPLETED' then 'Task completed but result is missing' else concat('Worker crashed during task execution (task_status=', t.status, ', no result stored)') end"
+_MADE = X.failed(X.error(_CODE, _SAY, """concat('{"task_id":"', n.task_id, '","task_status":"', t.status, '","recovery":"case_1_7"}')"""))
+_CRASHED = f"""select n.workflow_id, n.task_index, case when r = 0 then 'COMPLETED' else 'FAILED' end as k, case when r = 0 then '{{"__task_result__":true,"ok":1,"err":null}}' when r = 1 then {X.failed("""'{"__task_error__":true,"error_code":"X","data":null,"message":null}'""")} else {_MADE} end as outcome, null::varchar as summary
 from workflow_tasks n join (select *, {_N} % 5 as r from tasks) t on t.id = n.task_id join workflows w on w.id = n.workflow_id where n.status not in {_ENDED} and not n.is_subworkflow and w.status = 'RUNNING' and t.status in ('COMPLETED', 'FAILED', 'CANCELLED', 'EXPIRED')"""
-_DONE_CHILDREN = f"""select c.parent_workflow_id as workflow_id, c.parent_task_index as task_index, case when c.status = 'COMPLETED' then 'COMPLETED' else 'FAILED' end as k, case when c.status <> 'COMPLETED' then '{{"err":"SUBWORKFLOW_FAILED"}}' end as outcome
+#: In these tables all ended children of running parents are COMPLETED, without a result.
+_DONE_CHILDREN = f"""select c.parent_workflow_id as workflow_id, c.parent_task_index as task_index, 'COMPLETED' as k, null as outcome, '' as summary
 from workflows c join workflows p on p.id = c.parent_workflow_id and p.status = 'RUNNING' join workflow_tasks n on n.workflow_id = p.id and n.task_index = c.parent_task_index and n.status = 'RUNNING' where c.status in {_WF_ENDED}"""
+_STUCK = f"""union all select n.workflow_id from n0 n join workflows w on w.id = n.workflow_id and w.status = 'RUNNING' where n.status = 'PENDING' and not exists (select 1 from n0 d where d.workflow_id = n.workflow_id and list_contains(n.dependencies, d.task_index) and d.status not in {_ENDED})
+union all select l.workflow_id from l0 l join workflows w on w.id = l.workflow_id and w.status = 'RUNNING' where l.status = 'READY' and (l.is_subworkflow or l.task_id is null)
+union all select w.id from workflows w where w.status = 'RUNNING' and not exists (select 1 from n0 x where x.workflow_id = w.id and x.status not in {_ENDED})"""
+_HOT = "and w.id in (select workflow_id from hot)"
 _SN = "cast(regexp_extract(schedule_name, '([0-9]+)$', 1) as bigint)"
 _DUE = f"(next_run_at is null or next_run_at <= {NOW})"
 _THREE = f"(date_trunc('day', {{0}}) + case when {{0}} < date_trunc('day', {{0}}) + interval 3 hour then interval 3 hour else interval 27 hour end)"
@@ -298,17 +314,17 @@ case when own and not re and out = 0 then {NOW} else completed_at end as complet
     "link_children": oracle(f", c as {_CHILD} select n.id, case when c.id is not null then 'RUNNING' else n.status end as status, c.id as sub_workflow_id, c.id is not null as changed from workflow_tasks n left join c on c.workflow_id = n.workflow_id and c.task_index = n.task_index", "workflow_tasks", "workflows"),
     "expand_children": oracle(f", c as {_CHILD} select concat(id, '/', i) as id, id as workflow_id, cast(i as int) as task_index, concat('n', i) as node_id, case when i = 0 then 'READY' else 'PENDING' end as status, {NOW} as created_at from c, range(3) r(i)", "workflow_tasks", "workflows"),
     "append_snapshots": oracle(f" select id, worker_id, snapshot_at from worker_states union all select -id, worker_id, {NOW} from worker_states", "worker_states"),
-    "failure_errors": oracle(f", rq as (select n.workflow_id, n.result from workflow_tasks n join workflows w on w.id = n.workflow_id and w.success_policy is not null where n.status = 'FAILED' and n.task_index in (0, 1, 2) qualify row_number() over (partition by n.workflow_id order by n.task_index) = 1) select w.id, case when success_policy is null then f.result else coalesce(q.result, '{L.CASE_NOT_MET}') end as error from workflows w left join {_FIRST.format(n='workflow_tasks')} f on f.workflow_id = w.id left join rq q on q.workflow_id = w.id", "workflows", "workflow_tasks"),
+    "failure_errors": oracle(f", rq as (select n.workflow_id, n.result from workflow_tasks n join workflows w on w.id = n.workflow_id and w.success_policy is not null where n.status = 'FAILED' and n.task_index in (0, 1, 2) qualify row_number() over (partition by n.workflow_id order by n.task_index) = 1) select w.id, case when success_policy is null then {X.error_of('f.result')} else coalesce({X.error_of('q.result')}, {X.CASE_NOT_MET}) end as error from workflows w left join {_FIRST.format(n='workflow_tasks')} f on f.workflow_id = w.id left join rq q on q.workflow_id = w.id", "workflows", "workflow_tasks"),
     "apply_completions": oracle(f"{_WF0}{_ended_flows('workflow_tasks', 'wf')} select * from cf", "workflows", "workflow_tasks"),
-    "apply_on_error": oracle(f", x as (select w.*, f.result as e, w.status = 'RUNNING' and f.workflow_id is not null as go from workflows w left join {_FIRST.format(n='workflow_tasks')} f on f.workflow_id = w.id) select id, case when go and on_error = 'pause' then 'PAUSED' else status end as status, case when go then e end as error, case when go then {NOW} else updated_at end as updated_at, go as changed from x", "workflows", "workflow_tasks"),
+    "apply_on_error": oracle(f", x as (select w.*, {X.error_of('f.result')} as e, w.status = 'RUNNING' and f.workflow_id is not null as go from workflows w left join {_FIRST.format(n='workflow_tasks')} f on f.workflow_id = w.id) select id, case when go and on_error = 'pause' then 'PAUSED' else status end as status, case when go then e end as error, case when go then {NOW} else updated_at end as updated_at, go as changed from x", "workflows", "workflow_tasks"),
     "nodes_of_tasks": oracle(f"{_OUTS} select workflow_id, task_index, case when ok then 'COMPLETED' else 'FAILED' end as \"to\", o.result as outcome from workflow_tasks n join oc o using (task_id)", "tasks", "workflow_tasks"),
-    "complete_nodes": _recursive(oracle(f"{_WF0}{_OUTS}{_progress('select workflow_id, task_index, case when ok then $$COMPLETED$$ else $$FAILED$$ end as k, o.result as outcome from workflow_tasks n join oc o using (task_id)', 'workflow_tasks', 'wf')}{_BOTH}", "tasks", "workflows", "workflow_tasks")),
+    "complete_nodes": _recursive(oracle(f"{_WF0}{_OUTS}{_progress('select workflow_id, task_index, case when ok then $$COMPLETED$$ else $$FAILED$$ end as k, o.result as outcome, null::varchar as summary from workflow_tasks n join oc o using (task_id)', 'workflow_tasks', 'wf')}{_BOTH}", "tasks", "workflows", "workflow_tasks")),
     "crashed_results": oracle(f', cr as ({_CRASHED}) select workflow_id, task_index, k as "to", outcome from cr', "tasks", "workflows", "workflow_tasks"),
-    "recovery_repair": _recursive(oracle(f"{_WF0}, n0 as (select n.* replace (case when n.status = 'READY' and n.is_subworkflow and w.status = 'RUNNING' then 'PENDING' else n.status end as status) from workflow_tasks n left join workflows w on w.id = n.workflow_id){_progress(f'select * from (({_CRASHED}) union all ({_DONE_CHILDREN})) qualify row_number() over (partition by workflow_id, task_index order by k, outcome) = 1', 'n0', 'wf')}{_BOTH}", "tasks", "workflows", "workflow_tasks")),
+    "recovery_repair": _recursive(oracle(f"{_WF0}, l0 as (select * replace (case when status = 'READY' and task_index % 2 = 1 then null else task_id end as task_id) from workflow_tasks), n0 as (select n.* replace (case when n.status = 'READY' and n.is_subworkflow and w.status = 'RUNNING' then 'PENDING' else n.status end as status) from l0 n left join workflows w on w.id = n.workflow_id){_progress(f'select * from (({_CRASHED.replace("from workflow_tasks n", "from l0 n")}) union all ({_DONE_CHILDREN})) qualify row_number() over (partition by workflow_id, task_index order by k, outcome) = 1', 'n0', 'wf', _STUCK, True)}{_BOTH}", "tasks", "workflows", "workflow_tasks")),
     "resume_cascade": oracle(""", w as (select * replace (case when status = 'COMPLETED' then 'PAUSED' else status end as status) from workflows),
 hit as (select id from w where parent_workflow_id is null and status = 'PAUSED' union select c.id from w c join w p on p.id = c.parent_workflow_id and p.parent_workflow_id is null and p.status = 'PAUSED' where c.status = 'PAUSED')
 select id, case when id in (select id from hit) then 'RUNNING' else status end as status, id in (select id from hit) as changed from w""", "workflows"),
-    "resume_all": _recursive(oracle(f"{_WF0}, f0 as (select * replace (case when status = 'PAUSED' then 'RUNNING' else status end as status) from wf){_VERDICTS.format(nodes='workflow_tasks', flows='f0')}, pn as (select n.* replace (case when fx.status = 'READY' and w.status = 'RUNNING' then 'ENQUEUED' else fx.status end as status) from workflow_tasks n join fx using (id) left join f0 w on w.id = n.workflow_id){_ended_flows('pn', 'f0')}{_BOTH}", "workflows", "workflow_tasks")),
+    "resume_all": _recursive(oracle(f"{_WF0}, hot as (select id as workflow_id from wf where status = 'PAUSED'), f0 as (select * replace (case when status = 'PAUSED' then 'RUNNING' else status end as status) from wf){_VERDICTS.format(nodes='workflow_tasks', flows='f0', hot=_HOT)}, pn as (select n.* replace (case when fx.status = 'READY' and not n.is_subworkflow and w.status = 'RUNNING' {_HOT} then 'ENQUEUED' else fx.status end as status) from workflow_tasks n join fx using (id) left join f0 w on w.id = n.workflow_id){_ended_flows('pn', 'f0', _HOT)}{_BOTH}", "workflows", "workflow_tasks")),
     "reaper_round": REAPED.format(more=", late or silent or stale as changed"),
     "claim_limit": oracle(f"{_ALLOC} select w.worker, cast(claim_order as int) as claim_order, id from alloc, (values ('worker-7'), ('nobody')) w(worker) where (select count(*) from tasks where {_ACTIVE} and claimed_by_worker_id = w.worker) < 2", "tasks"),
     "claim_budget": oracle(f", c as (select count(*) filter (claimed_by_worker_id = 'worker-7' and (status = 'RUNNING' or {_ACTIVE})) as strict, count(*) filter (claimed_by_worker_id = 'worker-7' and status = 'RUNNING') as soft, count(*) filter (claimed_by_worker_id = 'worker-7' and {_ACTIVE}) as held, count(*) filter (status = 'RUNNING' or {_ACTIVE}) as total from tasks), m(mode, cap, pre, lim, wide) as (values ('strict', 90, false, 90, null), ('prefetch', 90, true, 90, null), ('limited', 90, false, 1, null), ('capped', 90, false, 90, 100000), ('full', 90, false, 90, 5)) select mode, cast(case when held >= lim then 0 else least(greatest(0, cap - case when pre then soft else strict end), greatest(0, coalesce(wide - total, 1000000))) end as bigint) as budget from c, m", "tasks"),
@@ -334,12 +350,16 @@ select schedule_name, case when n is not null then {NOW} else last_run_at end as
     "schedule_sync": oracle(f" select schedule_name, case when {_SN} % 4 = 1 then {NOW} + interval 1 hour else next_run_at end as next_run_at, case when {_SN} % 4 = 1 then 'new' else 'old' end as config_hash, run_count, case when {_SN} % 4 = 1 then {NOW} end as updated_at, last_run_at from schedule_state where {_SN} % 4 <> 0 union all select 'added', {NOW} + interval 1 hour, 'new', 0, {NOW}, null", "schedule_state"),
     "nested_definitions": oracle(f", u as (select concat('d', n) as name, case when n % 7 = 2 then concat('d', n - 2) else concat('d', n + 1) end as uses from (select cast(regexp_extract(id, '([0-9]+)$', 1) as bigint) as n from workflows) where n % 7 < 3 and n <> 0) select distinct a.name from (select * from u where uses <> 'd0') a join (select * from u where uses <> 'd0') b on b.name = a.uses join (select * from u where uses <> 'd0') c on c.name = b.uses where c.uses = a.name", "workflows"),
 }
-ORACLES["materialise_nodes"] = oracle(f"""{{edges}}, v as (select e.workflow_id, e.task_index, concat('"d', e.dep, '":{{{{"{Q.RESULT_TAG}":true,"data":', case when n.status = 'SKIPPED' then '{D.SKIPPED_RESULT.replace("{", "{{").replace("}", "}}")}' else coalesce(n.result, 'null') end, '}}}}') as part
-  from e join workflow_tasks n on n.workflow_id = e.workflow_id and n.task_index = e.dep and n.status in {_ENDED}), p as (select workflow_id, task_index, string_agg(part, ',' order by part) as parts from v group by 1, 2),
-m as (select concat(n.workflow_id, '/', n.task_index) as id, concat('fn_', n.task_index % 4) as task_name, 'main' as queue_name, n.task_index + 1 as priority, '[1]' as args, concat('{{{{', concat_ws(',', case when n.task_index % 3 = 0 then '"d0": 1' end, parts), '}}}}') as kwargs,
-  case n.task_index % 3 when 0 then '{_POLICY[0].replace("{", "{{").replace("}", "}}")}' when 1 then '{_POLICY[1].replace("{", "{{").replace("}", "}}")}' end as task_options, case when n.task_index % 3 = 1 then TIMESTAMP '2024-02-01 00:00:00' end as good_until, case when n.task_index % 3 = 0 then 2 else 0 end as max_retries
-  from workflow_tasks n left join p on p.workflow_id = n.workflow_id and p.task_index = n.task_index where n.status = 'ENQUEUED' and not n.is_subworkflow and not (n.task_index % 3 = 0 and list_contains(n.dependencies, 0)))
-select id, task_name, queue_name, priority, args, kwargs, 'PENDING' as status, {NOW} as sent_at, {NOW} as enqueued_at, false as claimed, 0 as retry_count, max_retries, task_options, good_until,
-  sha256(concat('["', task_name, '","', queue_name, '",', priority, ',', to_json(args), ',', to_json(kwargs), ',"2024-01-31T00:00:00.000000+00:00",', case when good_until is null then 'null' else '"2024-02-01T00:00:00.000000+00:00"' end, ',null,', case when task_options is null then 'null' else to_json(task_options) end, ']')) as enqueue_sha from m""".format(edges=", e as (select distinct workflow_id, task_index, unnest(dependencies) as dep from workflow_tasks)"), "workflow_tasks")
-ORACLES["dag_fixpoint"] = _recursive(oracle(f"{_VERDICTS.format(nodes='workflow_tasks', flows='workflows')} select id, status from fx", "workflows", "workflow_tasks"))
+ORACLES["materialise_nodes"] = oracle(f""", e as (select distinct workflow_id, task_index, unnest(dependencies) as dep from workflow_tasks), v as (select e.workflow_id, e.task_index, n.node_id, {X.seen("n.status", "n.result", "n.task_index", "n.workflow_id")} as value, e.dep, n.is_subworkflow
+  from e join workflow_tasks n on n.workflow_id = e.workflow_id and n.task_index = e.dep and n.status in {_ENDED}),
+p as (select workflow_id, task_index, string_agg(concat('"d', dep, '":{{"{Q.RESULT_TAG}":true,"data":', to_json(value), '}}'), ',' order by concat('d', dep)) as parts, string_agg(concat('"', node_id, '":', to_json(value)), ',' order by node_id) as seen from v where value is not null group by 1, 2),
+u as (select e.workflow_id, e.task_index, string_agg(concat('"', n.node_id, '":', to_json(concat('{{"total":', n.task_index, '}}'))), ',' order by n.node_id) as told from e join workflow_tasks n on n.workflow_id = e.workflow_id and n.task_index = e.dep and n.is_subworkflow group by 1, 2),
+q as (select n.*, concat('"workflow_id":"', n.workflow_id, '","task_index":', n.task_index, ',"task_name":"fn_', n.task_index % 4, '"') as place from workflow_tasks n where n.status = 'ENQUEUED' and not n.is_subworkflow and not (n.task_index % 3 = 0 and list_contains(n.dependencies, 0))),
+m as (select concat(n.workflow_id, '/', n.task_index) as id, concat('fn_', n.task_index % 4) as task_name, 'main' as queue_name, n.task_index + 1 as priority, '[1]' as args,
+  concat('{{', concat_ws(',', case when n.task_index % 3 = 0 then '"d0":1' end, parts, case when len(n.dependencies) > 0 then concat('"{Q.CONTEXT}":{{', place, ',"results_by_id":{{', coalesce(seen, ''), '}},"summaries_by_id":{{', coalesce(told, ''), '}}}}') end, concat('"{Q.META}":{{', place, '}}')), '}}') as kwargs,
+  case n.task_index % 3 when 0 then '{_POLICY[0]}' when 1 then '{_POLICY[1]}' end as task_options, case when n.task_index % 3 = 1 then TIMESTAMP '2024-02-01 00:00:00' end as good_until, case n.task_index % 3 when 0 then 2 when 1 then 3 else 0 end as max_retries
+  from q n left join p on p.workflow_id = n.workflow_id and p.task_index = n.task_index left join u on u.workflow_id = n.workflow_id and u.task_index = n.task_index)
+select id, task_name, queue_name, priority, args, kwargs, 'PENDING' as status, {NOW} as sent_at, {NOW} as enqueued_at, {NOW} as created_at, {NOW} as updated_at, false as claimed, 0 as retry_count, max_retries, task_options, good_until,
+  sha256(concat('["', task_name, '","', queue_name, '",', priority, ',', to_json(args), ',', to_json(kwargs), ',"2024-01-31T00:00:00.000000+00:00",', case when good_until is null then 'null' else '"2024-02-01T00:00:00.000000+00:00"' end, ',null,', case when task_options is null then 'null' else to_json(task_options) end, ']')) as enqueue_sha from m""", "workflow_tasks")
+ORACLES["dag_fixpoint"] = _recursive(oracle(f"{_VERDICTS.format(nodes='workflow_tasks', flows='workflows', hot='')} select id, status from fx", "workflows", "workflow_tasks"))
 ORACLES["advisory_key"] = oracle(" select schedule_name, cast(case when h >= 9223372036854775808 then h - 18446744073709551616 else h end as bigint) as key from (select schedule_name, cast(cast(concat('0x', substr(sha256(schedule_name), 1, 16)) as uhugeint) as hugeint) as h from schedule_state)", "schedule_state")

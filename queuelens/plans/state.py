@@ -14,6 +14,7 @@ from queuelens.operators import enqueue as Q
 from queuelens.operators import health as H
 from queuelens.operators import retention as R
 from queuelens.operators import transitions as T
+from queuelens.plans import resultsql as X
 from queuelens.sources.fixtures import oracle
 from queuelens.sources.tables import Tables, completed
 
@@ -59,6 +60,17 @@ def caps(t: Tables):
     return queues.select("queue_name", F.col("queue_name").alias("queue_order"), (n + 3).alias("cap"), F.when(n == 2, F.lit(2)).otherwise(F.lit(100000)).alias("max_concurrency"))
 
 
+def _finished(t: Tables):
+    """Workflows whose children completed or failed, with results and errors of all kinds."""
+    n = F.regexp_extract("id", r"(\d+)$", 1).cast("long")
+    result, error = F.floor(n / 6) % 4, F.floor(n / 12) % 5
+    return t.workflows.withColumns({
+        "status": F.when(F.col("parent_workflow_id").isNotNull() & (n % 12 == 7), "FAILED").otherwise(F.col("status")),
+        "result": F.when(result == 0, F.concat(F.lit('{"__task_result__":true,"ok":{"r":'), n.cast("string"), F.lit('},"err":null}'))).when(result == 1, F.concat(F.lit('{"ok":'), n.cast("string"), F.lit("}"))).when(result == 2, '{"r'),
+        "error": F.when(error == 0, '{"__task_error__":true,"error_code":"E","data":null,"message":"a b"}').when(error == 1, "plain words").when(error == 2, '{"message":3}').when(error == 3, "[1]"),
+    })
+
+
 def _states(df, key: str, *more: str):
     return df.select(key, "status", *more)
 
@@ -148,7 +160,7 @@ QUERIES = {
     "dag_sinks": lambda t: D.sinks(t.workflow_tasks),
     "dependents": lambda t: D.dependents(t.workflow_tasks, t.workflow_tasks.filter("status = 'COMPLETED'")),
     "dependency_results": lambda t: D.dependency_results(damaged(t)).select("workflow_id", "task_index", F.explode("results").alias("dep", "result")),
-    "child_summary": lambda t: D.child_summary(t.workflows, t.workflow_tasks),
+    "child_summary": lambda t: D.child_summary(_finished(t), t.workflow_tasks),
     "completion_status": lambda t: D.completion_status(t.workflows, t.workflow_tasks),
     "success_policy": lambda t: D.success(t.workflows, t.workflow_tasks),
     "first_failed": lambda t: D.first_failed(t.workflow_tasks),
@@ -164,8 +176,8 @@ QUERIES = {
     "tasks_of_nodes": lambda t: Q.tasks_of(t.workflow_tasks, t.as_of),
     "link_tasks": lambda t: Q.link(t.workflow_tasks, Q.tasks_of(t.workflow_tasks, t.as_of)).select("id", "task_id"),
     "children_of_nodes": lambda t: Q.children_of(t.workflow_tasks, t.workflows, t.as_of),
-    "parent_results": lambda t: Q.parent_results(D.child_summary(t.workflows, t.workflow_tasks)),
-    "end_nodes": lambda t: _states(T.end_nodes(t.workflow_tasks, Q.parent_results(D.child_summary(t.workflows, t.workflow_tasks)), t.as_of), "id", "result", "changed"),
+    "parent_results": lambda t: Q.parent_results(D.child_summary(_finished(t), t.workflow_tasks)),
+    "end_nodes": lambda t: _states(T.end_nodes(full(t).workflow_tasks, Q.parent_results(D.child_summary(_finished(t), t.workflow_tasks)), t.as_of), "id", "result", "sub_workflow_summary", "changed"),
     "start_workflow": lambda t: T.start_workflow(t.workflow_tasks, t.as_of).select("id", "status", "created_at"),
     # recovery
     "rec_pending": lambda t: D.rec_pending(t.workflow_tasks, t.workflows),
@@ -215,7 +227,7 @@ _EDGES = ", edges as (select workflow_id, task_index, unnest(dependencies) as de
 _WF_N = "cast(regexp_extract(workflow_id, '([0-9]+)$', 1) as bigint)"
 #: Nodes with damaged results, and what others see of them.
 _DAMAGED = f""", dm as (select * replace (case when status = 'COMPLETED' and task_index % 4 = 3 then '{{"r":' when status = 'FAILED' and task_index % 4 = 2 then '' else result end as result) from workflow_tasks),
-dn as (select *, case when status = 'SKIPPED' then '{D.SKIPPED_RESULT}' when result = '' then null when result is not null and not json_valid(result) then '{D.BROKEN_RESULT}' else result end as value from dm)"""
+dn as (select *, {X.seen("status", "result", "task_index", "workflow_id")} as value from dm)"""
 _CAPQ = ", caps as (select distinct queue_name, length(queue_name) % 5 + 3 as cap, case when length(queue_name) % 5 = 2 then 2 else 100000 end as lim from tasks)"
 _ALLOC = f"""{_CAPQ}, busy as (select queue_name, count(*) filter (status = 'RUNNING' or {_ACTIVE}) as busy from tasks group by 1),
 room as (select c.queue_name, greatest(0, least(cap, lim - coalesce(busy, 0))) as room from caps c left join busy using (queue_name)),
@@ -246,10 +258,17 @@ succ as (select j.id, coalesce(failed, 0) as failed, case when success_policy is
   case when success_policy is null then coalesce(failed, 0) = 0 else coalesce(met, false) end as succeeded from j left join met using (id) left join fail on workflow_id = j.id)"""
 
 
-_PARENTS = f""", cs as (select w.id, w.parent_workflow_id, w.parent_task_index, w.status, count(n.id) as total, count(*) filter (n.status = 'COMPLETED') as completed, count(*) filter (n.status = 'FAILED') as failed, count(*) filter (n.status = 'SKIPPED') as skipped
-  from workflows w left join workflow_tasks n on n.workflow_id = w.id where w.parent_workflow_id is not null group by 1, 2, 3, 4),
-pr as (select parent_workflow_id as workflow_id, parent_task_index as task_index, case when status = 'COMPLETED' then 'COMPLETED' else 'FAILED' end as "to", case when status <> 'COMPLETED' then '{{"err":"SUBWORKFLOW_FAILED"}}' end as outcome,
-  concat('{{"status":"', status, '","total":', total, ',"completed":', completed, ',"failed":', failed, ',"skipped":', skipped, '}}') as summary from cs where status in {_WF_ENDED})"""
+#: Children that completed or failed, with results and errors of all kinds.
+_FINISHED = f""", wf as (select * exclude (status), case when parent_workflow_id is not null and {_N} % 12 = 7 then 'FAILED' else status end as status,
+  case cast({_N} // 6 % 4 as int) when 0 then concat('{{"__task_result__":true,"ok":{{"r":', {_N}, '}},"err":null}}') when 1 then concat('{{"ok":', {_N}, '}}') when 2 then '{{"r' end as result,
+  case cast({_N} // 12 % 5 as int) when 0 then '{{"__task_error__":true,"error_code":"E","data":null,"message":"a b"}}' when 1 then 'plain words' when 2 then '{{"message":3}}' when 3 then '[1]' end as error from workflows)"""
+_SAID = f"case when json_valid(error) and error <> 'null' then case when json_type(error) = 'OBJECT' and json_type(error, '$.message') = 'VARCHAR' then {X.member('error', '$.message')} end else to_json(substr(error, 1, 200)) end"
+_SUMMARY = f"""concat('{{"status":"', status, '","output":', coalesce({X.member(X.canonical('result'), '$.ok')}, 'null'), ',"total_tasks":', total, ',"completed_tasks":', completed, ',"failed_tasks":', failed, ',"skipped_tasks":', skipped, ',"error_summary":', coalesce(case when error is not null then {_SAID} end, 'null'), '}}')"""
+_CHILD_ERROR = """concat('{"__task_result__":true,"ok":null,"err":{"__task_error__":true,"error_code":{"__builtin_task_code__":"SUBWORKFLOW_FAILED"},"data":null,"message":"Subworkflow ', id, ' failed with status ', status, '","sub_workflow_id":"', id, '","sub_workflow_summary":', summary, '}}')"""
+_PARENTS = f"""{_FINISHED}, cs as (select w.id, w.parent_workflow_id, w.parent_task_index, w.status, w.result, w.error, count(n.id) as total, count(*) filter (n.status = 'COMPLETED') as completed, count(*) filter (n.status = 'FAILED') as failed, count(*) filter (n.status = 'SKIPPED') as skipped
+  from wf w left join workflow_tasks n on n.workflow_id = w.id where w.parent_workflow_id is not null group by all),
+pr as (select parent_workflow_id as workflow_id, parent_task_index as task_index, case when status = 'COMPLETED' then 'COMPLETED' else 'FAILED' end as "to", case when status = 'COMPLETED' then result else {_CHILD_ERROR} end as outcome,
+  summary from (select *, {_SUMMARY} as summary from cs) where status in {_WF_ENDED})"""
 
 
 def _local(tz: str, expr: str) -> str:
@@ -283,18 +302,18 @@ ORACLES = {
     "join_readiness_round1": oracle(_VERDICT, "workflow_tasks", "workflows"),
     "dag_sinks": oracle(" select workflow_id, task_index, node_id, result from workflow_tasks w where not exists (select 1 from workflow_tasks o where o.workflow_id = w.workflow_id and list_contains(o.dependencies, w.task_index))", "workflow_tasks"),
     "dependents": oracle(f"{_EDGES} select distinct e.workflow_id, e.task_index from edges e join workflow_tasks p on p.workflow_id = e.workflow_id and p.task_index = e.task_index and p.status = 'PENDING' join workflow_tasks d on d.workflow_id = e.workflow_id and d.task_index = e.dep and d.status = 'COMPLETED'", "workflow_tasks"),
-    "dependency_results": oracle(f"""{_EDGES}{_DAMAGED} select distinct e.workflow_id, e.task_index, e.dep, d.value as result from edges e join dn d on d.workflow_id = e.workflow_id and d.task_index = e.dep and d.status in {_ENDED}""", "workflow_tasks"),
-    "child_summary": oracle(" select w.id, w.parent_workflow_id, w.parent_task_index, w.status, count(n.id) as total, count(*) filter (n.status = 'COMPLETED') as completed, count(*) filter (n.status = 'FAILED') as failed, count(*) filter (n.status = 'SKIPPED') as skipped from workflows w left join workflow_tasks n on n.workflow_id = w.id where w.parent_workflow_id is not null group by 1, 2, 3, 4", "workflows", "workflow_tasks"),
+    "dependency_results": oracle(f"""{_EDGES}{_DAMAGED} select distinct e.workflow_id, e.task_index, e.dep, d.value as result from edges e join dn d on d.workflow_id = e.workflow_id and d.task_index = e.dep and d.status in {_ENDED} where d.value is not null""", "workflow_tasks"),
+    "child_summary": oracle(f"{_PARENTS} select * from cs", "workflows", "workflow_tasks"),
     "completion_status": oracle(f" select w.id, w.status, w.completed_at, {_COUNTS} from workflows w left join workflow_tasks wt on wt.workflow_id = w.id group by 1, 2, 3", "workflows", "workflow_tasks"),
     "success_policy": oracle(f"{_SUCCESS} select * from succ", "workflows", "workflow_tasks"),
     "first_failed": oracle(" select workflow_id, task_index, result from workflow_tasks where status = 'FAILED' qualify row_number() over (partition by workflow_id order by task_index) = 1", "workflow_tasks"),
     "first_failed_required": oracle(" select n.workflow_id, n.task_index, n.result from workflow_tasks n join workflows w on w.id = n.workflow_id and w.success_policy is not null where n.status = 'FAILED' and n.task_index in (0, 1, 2) qualify row_number() over (partition by n.workflow_id order by n.task_index) = 1", "workflow_tasks", "workflows"),
-    "final_results": oracle(""", used as (select distinct workflow_id, unnest(dependencies) as task_index from workflow_tasks)
-select w.id, n.result from workflows w join workflow_tasks n on n.workflow_id = w.id and n.task_index = w.output_task_index
-union all select w.id, concat('{', string_agg(concat('"', n.node_id, '":', coalesce(n.result, 'null')), ',' order by n.node_id), '}') from workflows w join workflow_tasks n on n.workflow_id = w.id
+    "final_results": oracle(f""", used as (select distinct workflow_id, unnest(dependencies) as task_index from workflow_tasks)
+select w.id, coalesce(nullif(n.result, ''), 'null') as result from workflows w left join workflow_tasks n on n.workflow_id = w.id and n.task_index = w.output_task_index where w.output_task_index is not null
+union all select w.id, {X.value("string_agg(concat(to_json(n.node_id), ':', coalesce(" + X.canonical("n.result") + ", 'null')), ',' order by n.node_id)")} from workflows w join workflow_tasks n on n.workflow_id = w.id
   where w.output_task_index is null and not exists (select 1 from used u where u.workflow_id = n.workflow_id and u.task_index = n.task_index) group by 1""", "workflows", "workflow_tasks"),
     "completions": oracle(f"{_SUCCESS}, c as (select w.id, {_COUNTS} from workflows w left join workflow_tasks wt on wt.workflow_id = w.id where w.status = 'RUNNING' and w.completed_at is null group by 1) select c.id, case when succeeded then 'COMPLETED' else 'FAILED' end as to from c join succ using (id) where incomplete = 0", "workflows", "workflow_tasks"),
-    "on_error": oracle(" select w.id, case when w.on_error = 'pause' then 'PAUSED' else 'RUNNING' end as to, n.result as error from workflows w join (select workflow_id, result from workflow_tasks where status = 'FAILED' qualify row_number() over (partition by workflow_id order by task_index) = 1) n on n.workflow_id = w.id where w.status = 'RUNNING'", "workflows", "workflow_tasks"),
+    "on_error": oracle(f" select w.id, case when w.on_error = 'pause' then 'PAUSED' else 'RUNNING' end as to, {X.error_of('n.result')} as error from workflows w join (select workflow_id, result from workflow_tasks where status = 'FAILED' qualify row_number() over (partition by workflow_id order by task_index) = 1) n on n.workflow_id = w.id where w.status = 'RUNNING'", "workflows", "workflow_tasks"),
     "invalid_graphs": oracle(f""", f as (select * replace (case when {_WF_N} % 13 = 0 and task_index = 0 then [1] when {_WF_N} % 11 = 0 and task_index = 1 then [0, 99] else dependencies end as dependencies) from workflow_tasks),
 e as (select distinct workflow_id, task_index, unnest(dependencies) as dep from f), known as (select workflow_id, task_index as dep from f),
 asked as (select id as workflow_id, unnest(flatten(cast(json_extract(success_policy, '$.cases[*].required_indices') as int[][]))) as dep from workflows where success_policy is not null)
@@ -305,18 +324,20 @@ union select a.workflow_id, 'cycle' from e a join e b on a.workflow_id = b.workf
 union select workflow_id, 'policy over unknown nodes' from asked anti join known using (workflow_id, dep)
 union select id, 'unknown output' from (select id, id as workflow_id, output_task_index as dep from workflows where output_task_index is not null) anti join known using (workflow_id, dep)""", "workflow_tasks", "workflows"),
     "ctx_ready": oracle(f"{_EDGES} select e.workflow_id, e.task_index, count(*) filter (n.status in {_ENDED}) >= count(*) as ctx_ready from (select distinct * from edges) e left join workflow_tasks n on n.workflow_id = e.workflow_id and n.task_index = e.dep group by 1, 2", "workflow_tasks"),
-    "node_context": oracle(f"""{_DAMAGED}, a as (select workflow_id, task_index, unnest(dependencies) as dep from workflow_tasks) select distinct a.workflow_id, a.task_index, n.node_id, n.value as result from a join dn n on n.workflow_id = a.workflow_id and n.task_index = a.dep and n.status in {_ENDED}""", "workflow_tasks"),
+    "node_context": oracle(f"""{_DAMAGED}, a as (select workflow_id, task_index, unnest(dependencies) as dep from workflow_tasks) select distinct a.workflow_id, a.task_index, n.node_id, n.value as result from a join dn n on n.workflow_id = a.workflow_id and n.task_index = a.dep and n.status in {_ENDED} where n.value is not null""", "workflow_tasks"),
     "results_with_names": oracle(f"{_DAMAGED} select workflow_id, task_index, node_id, concat(join_type, '#', task_index) as by_name, status, value as result from dn where status in {_ENDED} and value is not null and task_index <> 5", "workflow_tasks"),
-    "node_arguments": oracle(f"""{_EDGES}{_DAMAGED}, v as (select e.workflow_id, e.task_index, concat('"d', e.dep, '":{{"{Q.RESULT_TAG}":true,"data":', coalesce(n.value, 'null'), '}}') as part
-  from edges e join dn n on n.workflow_id = e.workflow_id and n.task_index = e.dep and n.status in {_ENDED}), p as (select workflow_id, task_index, string_agg(part, ',' order by part) as parts from v group by 1, 2),
-k as (select w.workflow_id, w.task_index, cast(regexp_extract(workflow_id, '([0-9]+)$', 1) as bigint) as n, dependencies from workflow_tasks w)
-select k.workflow_id, k.task_index, case when not (n % 7 = 0 and list_contains(dependencies, 0)) then concat('{{', concat_ws(',', case when n % 7 = 0 then '"d0": 1' when n % 2 = 0 then '"x": [1, "a"]' end, parts), '}}') end as kwargs, n % 7 = 0 and list_contains(dependencies, 0) as conflict
-from k left join p on p.workflow_id = k.workflow_id and p.task_index = k.task_index""", "workflow_tasks"),
+    "node_arguments": oracle(f"""{_EDGES}{_DAMAGED}, v as (select distinct e.workflow_id, e.task_index, concat('"d', e.dep, '":{{"{Q.RESULT_TAG}":true,"data":', to_json(n.value), '}}') as part
+  from edges e join dn n on n.workflow_id = e.workflow_id and n.task_index = e.dep and n.status in {_ENDED} where n.value is not null), p as (select workflow_id, task_index, string_agg(part, ',' order by part) as parts from v group by 1, 2),
+k as (select w.workflow_id, w.task_index, is_subworkflow, cast(regexp_extract(workflow_id, '([0-9]+)$', 1) as bigint) as n, dependencies from workflow_tasks w),
+c as (select *, case when n % 7 = 0 and list_contains(dependencies, 0) then 'WORKFLOW_ENQUEUE_FAILED' end as code from k)
+select c.workflow_id, c.task_index, code, case when code is not null then concat('args_from key ''d0'' conflicts with static kwarg (', case when is_subworkflow then 'subworkflow ' else '' end, 'task ', c.task_index, ')') end as message,
+  case when code is null then concat('{{', concat_ws(',', case when n % 7 = 0 then '"d0":1' when n % 2 = 0 then '"x":[1,"a"]' end, parts, concat('"{Q.META}":{{"workflow_id":"', c.workflow_id, '","task_index":', c.task_index, ',"task_name":null}}')), '}}') end as kwargs
+from c left join p on p.workflow_id = c.workflow_id and p.task_index = c.task_index""", "workflow_tasks"),
     "tasks_of_nodes": oracle(f" select concat(workflow_id, '/', task_index) as id, 'PENDING' as status, {NOW} as enqueued_at, 0 as retry_count from workflow_tasks where status = 'ENQUEUED' and not is_subworkflow", "workflow_tasks"),
     "link_tasks": oracle(" select id, case when status = 'ENQUEUED' and not is_subworkflow then concat(workflow_id, '/', task_index) else task_id end as task_id from workflow_tasks", "workflow_tasks"),
     "children_of_nodes": oracle(f" select concat(n.workflow_id, '/', n.task_index) as id, w.name, 'RUNNING' as status, n.workflow_id as parent_workflow_id, n.task_index as parent_task_index, w.depth + 1 as depth, w.root_workflow_id, {NOW} as created_at from workflow_tasks n join workflows w on w.id = n.workflow_id where n.status = 'ENQUEUED' and n.is_subworkflow", "workflow_tasks", "workflows"),
     "parent_results": oracle(f"{_PARENTS} select workflow_id, task_index, \"to\", outcome, summary from pr", "workflows", "workflow_tasks"),
-    "end_nodes": oracle(f"{_PARENTS}, o as (select workflow_id, task_index, min(struct_pack(k := \"to\", outcome := outcome)) as r from pr group by 1, 2), x as (select n.*, o.r, o.r is not null and n.status not in {_ENDED} as go from workflow_tasks n left join o on o.workflow_id = n.workflow_id and o.task_index = n.task_index) select id, case when go then r.k else status end as status, case when go then r.outcome else result end as result, go as changed from x", "workflows", "workflow_tasks"),
+    "end_nodes": oracle(f"{_PARENTS}, o as (select workflow_id, task_index, min(struct_pack(k := \"to\", outcome := outcome, summary := summary)) as r from pr group by 1, 2), x as (select n.*, o.r, o.r is not null and n.status not in {_ENDED} as go from workflow_tasks n left join o on o.workflow_id = n.workflow_id and o.task_index = n.task_index) select id, case when go then r.k else status end as status, case when go then r.outcome else result end as result, case when go then r.summary end as sub_workflow_summary, go as changed from x", "workflows", "workflow_tasks"),
     "start_workflow": oracle(f" select id, case when len(dependencies) = 0 then 'READY' else 'PENDING' end as status, {NOW} as created_at from workflow_tasks", "workflow_tasks"),
     "rec_pending": oracle(f" select n.workflow_id, n.task_index, w.depth, w.root_workflow_id from workflow_tasks n join workflows w on w.id = n.workflow_id where n.status = 'PENDING' and w.status = 'RUNNING' and not exists (select 1 from workflow_tasks d where d.workflow_id = n.workflow_id and list_contains(n.dependencies, d.task_index) and d.status not in {_ENDED})", "workflow_tasks", "workflows"),
     "rec_ready": oracle(" select n.workflow_id, n.task_index, w.depth, w.root_workflow_id from workflow_tasks n join workflows w on w.id = n.workflow_id where n.status = 'READY' and n.task_index % 2 = 1 and not n.is_subworkflow and w.status = 'RUNNING'", "workflow_tasks", "workflows"),

@@ -1,4 +1,4 @@
-"""The seven tables, derived from the test data.
+"""The seven tables, and trees of workflows, derived from the test data.
 
 Each derivation is one SQL text; its placeholders have a Spark and a DuckDB
 form, so that both engines compute the same rows by exact integer arithmetic.
@@ -53,7 +53,11 @@ SQL = {
           case when i = 0 then arr() when i % 2 = 1 then arr(i - 1) else arr(i - 2, i - 1) end as dependencies,
           case cast(o_orderkey % 3 as int) when 0 then 'all' when 1 then 'any' else 'quorum' end as join_type,
           case when o_orderkey % 3 = 2 then case when i = 0 then 0 when i % 2 = 1 then 1 else 2 end end as min_success, o_orderkey % 5 = 0 as allow_failed_deps,
-          case when o_orderkey % 7 in (4, 6) then concat('{"r":', o_orderkey, '}') end as result
+          case when o_orderkey % 7 in (4, 6) and o_orderkey % 5 = 0 then concat('{"r":', o_orderkey, '}')
+            when o_orderkey % 7 = 6 and o_orderkey % 5 = 1 then concat('{"ok":', o_orderkey, '}')
+            when o_orderkey % 7 = 6 then concat('{"__task_result__":true,"ok":{"r":', o_orderkey, '},"err":null}')
+            when o_orderkey % 7 = 4 and o_orderkey % 5 = 1 then '{"err":{"error_code":"OLD"}}' when o_orderkey % 7 = 4 and o_orderkey % 5 = 2 then '{"err":"text"}'
+            when o_orderkey % 7 = 4 then concat('{"__task_result__":true,"ok":null,"err":{"__task_error__":true,"error_code":"E', o_orderkey % 3, '","data":{"n":', o_orderkey, '},"message":"no"}}') end as result
         from (select *, cast(row_number() over (partition by o_custkey order by o_orderkey) - 1 as int) as i from orders where o_custkey % 49 <> 0) x""",
     "task_attempts": """
         select concat('task-', l_orderkey) as task_id, cast(l_linenumber as int) as attempt,
@@ -64,10 +68,30 @@ SQL = {
     "schedule_state": """
         select s_name as schedule_name, ago(s_suppkey * 3600) as last_run_at, case when s_suppkey % 9 = 0 then null else ago((s_suppkey - 20) * 600) end as next_run_at,
           cast(s_suppkey % 13 as int) as run_count from supplier""",
+    "tree_workflows": """
+        select concat('tw-', n) as id, concat('flow', n % 4) as name, case when g % 7 = 3 and k = 2 then 'PAUSED' else 'RUNNING' end as status, case when n % 5 = 0 then 'pause' else 'fail' end as on_error,
+          case when n % 4 = 1 then 3 end as output_task_index, case when n % 3 = 0 then '{"cases":[{"required_indices":[0,2]},{"required_indices":[1]}]}' end as success_policy,
+          case when k > 0 then concat('tw-', 6 * g + case k when 3 then 1 when 4 then 3 when 5 then 2 else 0 end) end as parent_workflow_id, case when k = 0 then null when k in (2, 5) then 1 else 0 end as parent_task_index,
+          case k when 0 then 0 when 3 then 2 when 4 then 3 when 5 then 2 else 1 end as depth, concat('tw-', 6 * g) as root_workflow_id, cast(null as string) as result, cast(null as string) as error
+        from (select c_custkey as n, idiv(c_custkey, 6) as g, cast(c_custkey % 6 as int) as k from customer where c_custkey >= 6) x""",
+    "tree_nodes": """
+        select concat('tw-', n, '/', i) as id, concat('tw-', n) as workflow_id, i as task_index, concat('n', i) as node_id, concat('fn_', i) as task_name, 'main' as queue_name, 1 as priority, '[]' as task_args,
+          case when i = 2 and n % 11 = 4 then '{"a' when i = 2 and n % 11 = 5 then '{"d0": 1}' end as task_kwargs, case when i = 3 and n % 11 = 6 then '[1]' when i = 3 and n % 11 = 7 then '{"retry_policy":{"intervals":[1]}}' end as task_options,
+          sub as is_subworkflow, case when i >= 2 then 'PENDING' when sub or (n + i) % 4 > 0 then 'RUNNING' else 'COMPLETED' end as status, case when i < 2 and not sub then concat('tt-', n, '-', i) end as task_id,
+          case when i < 2 then arr() when i = 2 then arr(0, 1) else arr(2) end as dependencies, case cast(n % 3 as int) when 0 then 'all' when 1 then 'any' else 'quorum' end as join_type,
+          case when n % 3 = 2 then case when i = 2 then cast(n % 2 + 1 as int) else 1 end end as min_success, n % 4 < 2 as allow_failed_deps,
+          case when i < 2 and not sub and (n + i) % 4 = 0 then concat('{"__task_result__":true,"ok":{"r":', n, '},"err":null}') end as result
+        from (select n, i, (k = 0 and i < 2) or (k in (1, 3) and i = 0) or (k = 2 and i = 1) as sub
+          from (select c_custkey as n, cast(c_custkey % 6 as int) as k from customer where c_custkey >= 6) c cross join (select 0 as i union all select 1 union all select 2 union all select 3) four) x""",
+    "tree_outcomes": """
+        select concat('tt-', n, '-', i) as task_id, (n + 2 * i) % 5 <> 4 as ok, case when (n + 2 * i) % 5 <> 4 then concat('{"__task_result__":true,"ok":', n, ',"err":null}')
+          else '{"__task_result__":true,"ok":null,"err":{"__task_error__":true,"error_code":"E","data":null,"message":"no"}}' end as result
+        from (select c_custkey as n, i from customer cross join (select 0 as i union all select 1) two where c_custkey >= 6) x where (n + 2 * i) % 5 > 0""",
 }
 _BASE = {
     "worker_states": "events", "tasks": "orders", "heartbeats": "lineitem", "workflows": "customer",
     "workflow_tasks": "orders", "task_attempts": "lineitem", "schedule_state": "supplier",
+    "tree_workflows": "customer", "tree_nodes": "customer", "tree_outcomes": "customer",
 }
 _CALL = re.compile(r"\b(ago|idiv|arr)\(")
 
@@ -102,7 +126,7 @@ def render(text: str, duck: bool) -> str:
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
-    """One of the seven tables."""
+    """One of the derived tables."""
     base = spark.read.parquet(f"{sf_dir}/{_BASE[name]}.parquet")
     return spark.sql(_bound(name), base=base)
 

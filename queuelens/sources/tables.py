@@ -22,6 +22,8 @@ class Tables:
     workflows: DataFrame
     workflow_tasks: DataFrame
     as_of: Column
+    #: Where the tables are from, if they are fixtures.
+    path: str = ""
 
 
 def completed(t: Tables) -> Tables:
@@ -33,11 +35,11 @@ def completed(t: Tables) -> Tables:
     return replace(t, **{n: schemas.complete(getattr(t, n), s, T.TimestampNTZType()) for n, s in kinds.items()})
 
 
-NAMES = tuple(f.name for f in fields(Tables) if f.name != "as_of")
+NAMES = tuple(f.name for f in fields(Tables) if f.name not in ("as_of", "path"))
 
 
 def from_fixtures(spark: SparkSession, sf_dir: str) -> Tables:
-    return Tables(**{n: fixtures.table(spark, sf_dir, n) for n in NAMES}, as_of=F.expr(f"TIMESTAMP_NTZ '{fixtures.AS_OF}'"))
+    return Tables(**{n: fixtures.table(spark, sf_dir, n) for n in NAMES}, as_of=F.expr(f"TIMESTAMP_NTZ '{fixtures.AS_OF}'"), path=sf_dir)
 
 
 def from_parquet(spark: SparkSession, path: str, as_of: Column) -> Tables:
