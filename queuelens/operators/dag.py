@@ -138,12 +138,17 @@ def dependents(nodes: DataFrame, completed: DataFrame) -> DataFrame:
 
 def ended_value() -> Column:
     """What an ended node's result is to others (see `results.seen_by_others`)."""
-    return results.seen_by_others(F.col("status"), F.col("result"), F.col("task_index"), F.col("workflow_id"))
+    return F.expr(results.seen_by_others())
+
+
+def told() -> Column:
+    """Whether a node has ended with something to tell others: with a result, or skipped."""
+    return ended() & ((F.col("status") == "SKIPPED") | (F.coalesce("result", F.lit("")) != ""))
 
 
 def dependency_results(nodes: DataFrame) -> DataFrame:
     """(workflow_id, task_index, results): a map from dependency to the result of those that have ended with one."""
-    done = nodes.filter(ended()).select("workflow_id", F.col("task_index").alias("dep"), ended_value().alias("value")).filter("value is not null")
+    done = nodes.filter(told()).select("workflow_id", F.col("task_index").alias("dep"), ended_value().alias("value"))
     entry = F.struct("dep", "value")
     return edges(nodes).distinct().join(done, ["workflow_id", "dep"]).groupBy("workflow_id", "task_index").agg(F.map_from_entries(F.array_sort(F.collect_list(entry))).alias("results"))
 
@@ -178,7 +183,7 @@ def _required(workflows: DataFrame) -> DataFrame:
 
 def _has_policy() -> Column:
     """A policy that is no JSON object counts as none."""
-    return F.col("success_policy").isNotNull() & F.coalesce(results.is_object(F.col("success_policy")), F.lit(False))
+    return F.col("success_policy").isNotNull() & F.expr(results.is_object("success_policy"))
 
 
 def success(workflows: DataFrame, nodes: DataFrame) -> DataFrame:
@@ -215,10 +220,10 @@ def final_results(workflows: DataFrame, nodes: DataFrame) -> DataFrame:
     given = nodes.select(F.col("workflow_id").alias("id"), "task_index", F.nullif("result", F.lit("")).alias("result"))
     one = named.join(given, ["id", "task_index"], "left").select("id", F.coalesce("result", F.lit("null")).alias("result"))
     last = sinks(nodes).join(workflows.filter("output_task_index is null").select(F.col("id").alias("workflow_id")), "workflow_id", "left_semi")
-    entry = F.when(F.col("node_id").isNotNull(), F.struct("node_id", F.coalesce(results.canonical(F.col("result")), F.lit("null")).alias("value")))
+    entry = F.when(F.col("node_id").isNotNull(), F.struct("node_id", F.coalesce(F.expr(results.canonical("result")), F.lit("null")).alias("value")))
     many = last.groupBy(F.col("workflow_id").alias("id")).agg(F.array_sort(F.collect_list(entry)).alias("entries"))
-    members = F.array_join(F.transform("entries", lambda e: F.concat(results.text(e.node_id), F.lit(":"), e.value)), ",")
-    value = results.obj(**{RESULT: F.lit("true"), "ok": F.concat(F.lit("{"), members, F.lit("}")), "err": F.lit("null")})
+    members = f"concat('{{', array_join(transform(entries, e -> concat({results.text('e.node_id')}, ':', e.value)), ','), '}}')"
+    value = F.expr(results.obj(**{RESULT: "'true'", "ok": members, "err": "'null'"}))
     return one.unionByName(many.select("id", value.alias("result")))
 
 
@@ -230,7 +235,7 @@ def completions(workflows: DataFrame, nodes: DataFrame) -> DataFrame:
 
 def on_error(workflows: DataFrame, nodes: DataFrame) -> DataFrame:
     """(id, to, error): running workflows with a failed node, which pause or go on with its error noted."""
-    failed = first_failed(nodes).select(F.col("workflow_id").alias("id"), results.error_of(F.col("result")).alias("error"))
+    failed = first_failed(nodes).select(F.col("workflow_id").alias("id"), F.expr(results.error_of("result")).alias("error"))
     live = workflows.filter("status = 'RUNNING'").select("id", "on_error")
     return live.join(failed, "id").select("id", F.when(F.col("on_error") == "pause", "PAUSED").otherwise("RUNNING").alias("to"), "error")
 

@@ -62,7 +62,7 @@ def _union(frames: list[DataFrame]) -> DataFrame:
 def task_rows(ready: DataFrame, as_of: Column) -> DataFrame:
     """Tasks of nodes with `kwargs`: deadline, retries and fingerprint follow from their options."""
     option = lambda path: F.get_json_object("task_options", path)
-    policy = results.member(F.col("task_options"), ".retry_policy")
+    policy = F.expr(results.member("task_options", ".retry_policy"))
     # A policy without a number of retries has three, no policy none.
     most = F.when(policy.startswith("{"), F.coalesce(option("$.retry_policy.max_retries").cast("int"), F.lit(3))).otherwise(F.lit(0))
     rows = ready.select(
@@ -75,33 +75,34 @@ def task_rows(ready: DataFrame, as_of: Column) -> DataFrame:
     return rows.withColumn("enqueue_sha", sha)
 
 
-def enqueue_ready(nodes: DataFrame, workflows: DataFrame, as_of: Column, definitions: Definitions | None = None, which: Column | None = None) -> Change:
+def enqueue_ready(nodes: DataFrame, workflows: DataFrame, as_of: Column, definitions: Definitions | None = None, which: Column | None = None) -> Change | None:
     """READY nodes of running workflows become tasks, or child workflows with their nodes.
 
     `which` restricts the nodes. Nodes that can't be built fail with an error
     that says why: damaged options or arguments, an argument that is given and
     injected, a child without a definition. Without definitions sub-workflow
-    nodes stay READY.
+    nodes stay READY. None if there is nothing to start.
     """
     flow = workflows.filter("status = 'RUNNING'").select(F.col("id").alias("workflow_id"), F.col("name").alias("_name"), F.col("depth").alias("_depth"), F.coalesce("root_workflow_id", "id").alias("_root"))
     start = (F.col("status") == "READY") & (F.lit(True) if which is None else which)
     if definitions is None:
         start = start & ~F.col("is_subworkflow")
     seen = nodes.join(flow, "workflow_id", "left").withColumn("_start", F.coalesce(start & F.col("_name").isNotNull(), F.lit(False)))
+    seen = written(seen, "engine-ready")
+    if not seen.filter("_start").limit(1).count():
+        return None
     args = enqueue.arguments(seen, F.col("_start"))
     seen = seen.join(args, ["workflow_id", "task_index"], "left")
+    data = results.obj(workflow_id=results.text("workflow_id"), task_index="cast(task_index as string)")
     if definitions is not None:
         known = definitions.workflows.select(F.col("definition_key").alias("sub_definition_key"), F.lit(True).alias("_known"))
         seen = seen.join(known, "sub_definition_key", "left")
         lost = F.col("_start") & F.col("is_subworkflow") & F.col("_known").isNull()
         message = F.concat(F.lit("Failed to load subworkflow definition for "), F.col("_name"), F.lit(":"), F.col("task_index").cast("string"))
         seen = seen.withColumns({"code": F.when(lost, results.NOT_LOADED).otherwise(F.col("code")), "message": F.when(lost, message).otherwise(F.col("message"))})
-        data = F.when(F.col("code") == results.NOT_LOADED, results.obj(definition_key=results.text(F.col("sub_definition_key"))))
-    else:
-        data = F.lit(None).cast("string")
-    data = F.coalesce(data, results.obj(workflow_id=results.text(F.col("workflow_id")), task_index=F.col("task_index").cast("string")))
+        data = f"case when code = '{results.NOT_LOADED}' then {results.obj(definition_key=results.text('sub_definition_key'))} else {data} end"
     bad = F.col("_start") & F.col("code").isNotNull()
-    fault = results.failed(results.error(F.col("code"), F.col("message"), data))
+    fault = F.expr(results.failed(results.error("code", "message", data)))
     go, child = F.col("_start") & ~bad, F.col("is_subworkflow")
     set_ = lambda new, old: F.when(bad, new[0]).when(go & child, new[1]).when(go, new[2]).otherwise(F.col(old)).alias(old)
     changed = {
@@ -181,7 +182,10 @@ def settle(workflows: DataFrame, nodes: DataFrame, events: DataFrame, as_of: Col
             if failed is not None:
                 now_flows = lifecycle.apply_on_error(now_flows, failed, as_of).drop("changed")
             now_flows = written(now_flows, "engine-workflows")
-            made = enqueue_ready(dag.propagate(ended, now_flows), now_flows, as_of, definitions, F.col("_may"))
+            ended = dag.propagate(ended, now_flows)
+            made = enqueue_ready(ended, now_flows, as_of, definitions, F.col("_may"))
+            if made is None:
+                break
             tasks.append(made.tasks)
             if made.workflows is not None and made.workflows.limit(1).count():
                 new_flows.append(made.workflows)

@@ -2,13 +2,11 @@
 
 from __future__ import annotations
 
-import functools
-
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from queuelens.functions import results
-from queuelens.operators.dag import ended, ended_value
+from queuelens.operators.dag import ended_value, told
 from queuelens.schemas import WORKFLOW_TERMINAL
 
 #: Keys of a task's arguments that hold an injected result, the context of its workflow, and what node it is.
@@ -21,7 +19,7 @@ def results_with_names(nodes: DataFrame, asked: DataFrame | None = None) -> Data
     Of `asked` (workflow_id, node_id), if given. Skipped nodes and results that
     can't be read have a sentinel; nodes without a result are left out.
     """
-    done = nodes.filter(ended()).withColumn("result", ended_value()).filter("result is not null")
+    done = nodes.filter(told()).withColumn("result", ended_value())
     if asked is not None:
         done = done.join(asked.select("workflow_id", "node_id").distinct(), ["workflow_id", "node_id"], "left_semi")
     name = F.concat_ws("#", F.coalesce("task_name", F.lit("task")), F.col("task_index").cast("string"))
@@ -30,20 +28,19 @@ def results_with_names(nodes: DataFrame, asked: DataFrame | None = None) -> Data
 
 def context(nodes: DataFrame) -> DataFrame:
     """(workflow_id, task_index, results): results by node id of the nodes that a node asks to see, those without one left out."""
-    return _context(nodes, nodes.filter(ended()))
+    return _context(nodes, nodes.filter(told()))
 
 
 def _context(asking: DataFrame, done: DataFrame) -> DataFrame:
     wanted = asking.select("workflow_id", "task_index", F.explode(F.array_distinct("workflow_ctx_from")).alias("node_id"))
-    value = done.select("workflow_id", "node_id", ended_value().alias("value")).filter("value is not null")
+    value = done.select("workflow_id", "node_id", ended_value().alias("value"))
     met = wanted.join(value, ["workflow_id", "node_id"])
     return met.groupBy("workflow_id", "task_index").agg(F.map_from_entries(F.array_sort(F.collect_list(F.struct("node_id", "value")))).alias("results"))
 
 
-def _members(column: str, key: str, value: str) -> Column:
-    """JSON members of an array of structs of names and JSON texts, as one text; empty for null."""
-    each = F.transform(F.col(column), lambda e: F.concat(results.text(e[key]), F.lit(":"), e[value]))
-    return F.coalesce(F.array_join(each, ","), F.lit(""))
+def _members(column: str, key: str) -> str:
+    """SQL of the JSON members of an array of structs of names and JSON texts, as one text; empty for null."""
+    return f"coalesce(array_join(transform({column}, e -> concat({results.text('e.' + key)}, ':', e.value)), ','), '')"
 
 
 def arguments(nodes: DataFrame, which: Column | None = None, tag: str = RESULT_TAG) -> DataFrame:
@@ -60,46 +57,40 @@ def arguments(nodes: DataFrame, which: Column | None = None, tag: str = RESULT_T
     which = F.lit(True) if which is None else which
     sub = F.when(F.col("is_subworkflow"), "subworkflow ").otherwise("") if "is_subworkflow" in nodes.columns else F.lit("")
     optional = lambda c, kind: (F.col(c) if c in nodes.columns else F.lit(None).cast(kind)).alias(c)
-    own = nodes.filter(which).select("workflow_id", "task_index", optional("task_name", "string"), "dependencies", optional("task_kwargs", "string"), optional("task_options", "string"), optional("args_from", "map<string,int>"), optional("workflow_ctx_from", "array<string>"), optional("sub_workflow_id", "string"), sub.alias("_kind"))
-    done = nodes.filter(ended())
-    source = done.select("workflow_id", F.col("task_index").alias("dep"), ended_value().alias("value")).filter("value is not null")
+    own = nodes.filter(which).select("workflow_id", "task_index", optional("task_name", "string"), "dependencies", optional("task_kwargs", "string"), optional("task_options", "string"), optional("args_from", "map<string,int>"), optional("workflow_ctx_from", "array<string>"), sub.alias("_kind"))
+    done = nodes.filter(told())
+    source = done.select("workflow_id", F.col("task_index").alias("dep"), ended_value().alias("value"))
     asked = own.select("workflow_id", "task_index", "dependencies", F.explode("args_from").alias("arg", "dep")).filter("array_contains(dependencies, dep)").join(source, ["workflow_id", "dep"])
-    injected = asked.groupBy("workflow_id", "task_index").agg(F.array_sort(F.collect_list(F.struct("arg", F.concat(F.lit(f'{{"{tag}":true,"data":'), results.text(F.col("value")), F.lit("}")).alias("value")))).alias("injected"))
-    seen = _context(own, done).select("workflow_id", "task_index", F.transform(F.map_entries("results"), lambda e: F.struct(e.key.alias("key"), results.text(e.value).alias("value"))).alias("seen"))
+    part = F.expr(f"""struct(arg as key, concat('{{"{tag}":true,"data":', {results.text("value")}, '}}') as value)""")
+    injected = asked.groupBy("workflow_id", "task_index").agg(F.array_sort(F.collect_list(part)).alias("injected"))
+    seen = _context(own, done).select("workflow_id", "task_index", F.expr(f"transform(map_entries(results), e -> struct(e.key as key, {results.text('e.value')} as value))").alias("seen"))
     out = own.join(injected, ["workflow_id", "task_index"], "left").join(seen, ["workflow_id", "task_index"], "left")
     if {"sub_workflow_summary", "is_subworkflow"} <= set(nodes.columns):
         wanted = own.select("workflow_id", "task_index", F.explode(F.array_distinct("workflow_ctx_from")).alias("node_id"))
-        told = nodes.filter("is_subworkflow and sub_workflow_summary is not null").select("workflow_id", "node_id", results.text(F.col("sub_workflow_summary")).alias("value"))
-        sums = wanted.join(told, ["workflow_id", "node_id"]).groupBy("workflow_id", "task_index").agg(F.array_sort(F.collect_list(F.struct(F.col("node_id").alias("key"), "value"))).alias("told"))
+        known = nodes.filter("is_subworkflow and sub_workflow_summary is not null").select("workflow_id", "node_id", F.expr(results.text("sub_workflow_summary")).alias("value"))
+        sums = wanted.join(known, ["workflow_id", "node_id"]).groupBy("workflow_id", "task_index").agg(F.array_sort(F.collect_list(F.struct(F.col("node_id").alias("key"), "value"))).alias("told"))
         out = out.join(sums, ["workflow_id", "task_index"], "left")
     else:
         out = out.withColumn("told", F.lit(None).cast("array<struct<key: string, value: string>>"))
-    index, name = F.col("task_index").cast("string"), results.text(F.col("task_name"))
-    place = {"workflow_id": results.text(F.col("workflow_id")), "task_index": index, "task_name": name}
-    ctx = results.obj(**place, results_by_id=F.concat(F.lit("{"), _members("seen", "key", "value"), F.lit("}")), summaries_by_id=F.concat(F.lit("{"), _members("told", "key", "value"), F.lit("}")))
-    given = F.nullif("task_kwargs", F.lit(""))
-    static = F.when(results.is_object(given), F.get_json_object(given, "$"))
-    body = F.nullif(F.substring(static, F.lit(2), F.length(static) - 2), F.lit(""))
-    parts = [body, F.nullif(_members("injected", "arg", "value"), F.lit("")), F.when(F.size("workflow_ctx_from") > 0, F.concat(F.lit(f'"{CONTEXT}":'), ctx)), F.concat(F.lit(f'"{META}":'), results.obj(**place))]
-    kwargs = F.concat(F.lit("{"), F.concat_ws(",", *parts), F.lit("}"))
-    # JSON's null counts as damaged, as it can't be told from text that is no JSON.
-    damaged = lambda c: c.isNotNull() & ~F.coalesce(results.is_json(c) & (F.trim(c) != "null"), F.lit(False))
-    options = F.nullif("task_options", F.lit(""))
+    place = {"workflow_id": results.text("workflow_id"), "task_index": "cast(task_index as string)", "task_name": results.text("task_name")}
+    ctx = results.obj(**place, results_by_id=f"concat('{{', {_members('seen', 'key')}, '}}')", summaries_by_id=f"concat('{{', {_members('told', 'key')}, '}}')")
+    out = out.withColumns({"_given": F.expr("nullif(task_kwargs, '')"), "_options": F.expr("nullif(task_options, '')")})
+    out = out.withColumn("_static", F.expr(f"case when {results.is_object('_given')} then get_json_object(_given, '$') end"))
+    body = "nullif(regexp_extract(_static, '(?s)^.(.*).$', 1), '')"
+    kwargs = f"""concat('{{', concat_ws(',', {body}, nullif({_members("injected", "key")}, ''), case when size(workflow_ctx_from) > 0 then concat('"{CONTEXT}":', {ctx}) end, concat('"{META}":', {results.obj(**place)})), '}}')"""
     # The first conflict by length, then by name.
-    both = F.array_sort(F.transform(F.array_intersect(F.map_keys("args_from"), F.coalesce(F.json_object_keys(static), F.array().cast("array<string>"))), lambda k: F.struct(F.length(k).alias("n"), k.alias("k"))))
-    clash = F.try_element_at(both, F.lit(1))["k"]
-    say = lambda head, kind=F.lit(""): F.concat(F.lit(f"{head} for "), kind, F.lit("task "), index)
-    kind = F.col("_kind")
-    plain = kind == ""
+    both = "transform(array_intersect(map_keys(args_from), coalesce(json_object_keys(_static), cast(array() as array<string>))), k -> struct(length(k) as n, k as k))"
+    out = out.withColumn("_clash", F.expr(f"try_element_at(array_sort({both}), 1).k"))
+    index = "cast(task_index as string)"
     faults = [
-        (plain & damaged(options), results.NOT_SERIAL, say("Corrupt task_options JSON")),
-        (plain & options.isNotNull() & ~F.coalesce(results.is_object(options), F.lit(False)), results.NOT_SERIAL, F.concat(F.lit("Invalid task_options payload for task "), index, F.lit(": expected object"))),
-        (damaged(given), results.NOT_SERIAL, say("Corrupt kwargs JSON", kind)),
-        (clash.isNotNull(), results.ENQUEUE_FAILED, F.concat(F.lit("args_from key '"), clash, F.lit("' conflicts with static kwarg ("), kind, F.lit("task "), index, F.lit(")"))),
+        (f"_kind = '' and _options is not null and not {results.is_value('_options')}", results.NOT_SERIAL, f"concat('Corrupt task_options JSON for task ', {index})"),
+        (f"_kind = '' and _options is not null and not {results.is_object('_options')}", results.NOT_SERIAL, f"concat('Invalid task_options payload for task ', {index}, ': expected object')"),
+        (f"_given is not null and not {results.is_value('_given')}", results.NOT_SERIAL, f"concat('Corrupt kwargs JSON for ', _kind, 'task ', {index})"),
+        ("_clash is not null", results.ENQUEUE_FAILED, f"concat('args_from key \\'', _clash, '\\' conflicts with static kwarg (', _kind, 'task ', {index}, ')')"),
     ]
-    pick = lambda at: functools.reduce(lambda w, f: w.when(f[0], f[at] if at == 2 else F.lit(f[at])), faults[1:], F.when(faults[0][0], faults[0][at] if at == 2 else F.lit(faults[0][at])))
-    out = out.select("workflow_id", "task_index", kwargs.alias("kwargs"), pick(1).alias("code"), pick(2).alias("message"))
-    return out.select("workflow_id", "task_index", F.when(F.col("code").isNull(), F.col("kwargs")).alias("kwargs"), "code", "message")
+    fault = "case " + " ".join(f"when {when} then struct('{code}' as code, {message} as message)" for when, code, message in faults) + " end"
+    out = out.withColumn("_fault", F.expr(fault))
+    return out.select("workflow_id", "task_index", F.expr(f"case when _fault is null then {kwargs} end").alias("kwargs"), "_fault.code", "_fault.message")
 
 
 def tasks_of(nodes: DataFrame, as_of: Column) -> DataFrame:
@@ -136,14 +127,12 @@ def parent_results(children: DataFrame) -> DataFrame:
     """
     done = children.filter(F.col("status").isin(*WORKFLOW_TERMINAL))
     fine = F.col("status") == "COMPLETED"
-    output = results.member(results.canonical(F.col("result")), ".ok")
-    noted = F.nullif("error", F.lit(""))
+    output = results.member(results.canonical("result"), ".ok")
     # The error's message; an error that is no JSON is shown itself, up to 200 characters.
-    said = F.when(results.is_object(noted), F.when(results.member(noted, ".message").startswith('"'), results.member(noted, ".message"))).when(~F.coalesce(results.is_json(noted) & (F.trim(noted) != "null"), F.lit(False)), results.text(F.substring(noted, 1, 200)))
-    said = F.when(noted.isNotNull(), said)
-    count = lambda c: F.col(c).cast("string")
-    summary = results.obj(status=results.text(F.col("status")), output=output, total_tasks=count("total"), completed_tasks=count("completed"), failed_tasks=count("failed"), skipped_tasks=count("skipped"), error_summary=said)
-    message = F.concat(F.lit("Subworkflow "), F.col("id"), F.lit(" failed with status "), F.col("status"))
-    err = results.obj(**{results.ERROR: F.lit("true"), "error_code": F.lit(f'{{"{results.BUILT_IN}":"{results.CHILD_FAILED}"}}'), "data": F.lit("null"), "message": results.text(message), "sub_workflow_id": results.text(F.col("id")), "sub_workflow_summary": F.col("summary")})
-    told = done.withColumn("summary", summary)
-    return told.select(F.col("parent_workflow_id").alias("workflow_id"), F.col("parent_task_index").alias("task_index"), F.when(fine, "COMPLETED").otherwise("FAILED").alias("to"), F.when(fine, F.col("result")).otherwise(results.failed(err)).alias("outcome"), "summary")
+    own = results.member("error", ".message")
+    said = f"case when nullif(error, '') is null then null when {results.is_object('error')} then case when startswith({own}, '\"') then {own} end when not {results.is_value('error')} then {results.text('substring(error, 1, 200)')} end"
+    count = lambda c: f"cast({c} as string)"
+    summary = results.obj(status=results.text("status"), output=output, total_tasks=count("total"), completed_tasks=count("completed"), failed_tasks=count("failed"), skipped_tasks=count("skipped"), error_summary=said)
+    message = "concat('Subworkflow ', id, ' failed with status ', status)"
+    err = results.obj(**{results.ERROR: "'true'", "error_code": f"""'{{"{results.BUILT_IN}":"{results.CHILD_FAILED}"}}'""", "data": "'null'", "message": results.text(message), "sub_workflow_id": results.text("id"), "sub_workflow_summary": "summary"})
+    return done.withColumn("summary", F.expr(summary)).select(F.col("parent_workflow_id").alias("workflow_id"), F.col("parent_task_index").alias("task_index"), F.when(fine, "COMPLETED").otherwise("FAILED").alias("to"), F.when(fine, F.col("result")).otherwise(F.expr(results.failed(err))).alias("outcome"), "summary")

@@ -70,10 +70,10 @@ def outcome_plan(tasks: DataFrame, outcomes: DataFrame, as_of: Column) -> DataFr
 def failure_errors(workflows: DataFrame, nodes: DataFrame) -> DataFrame:
     """(id, error) of each workflow, should it fail: that of its first failed node; with a policy that of the first failed
     required one, else that no case is met. Results that can't be read give none; a policy that can't be read gives none either."""
-    of = lambda df, name: df.select(F.col("workflow_id").alias("id"), results.error_of(F.col("result")).alias(name))
+    of = lambda df, name: df.select(F.col("workflow_id").alias("id"), F.expr(results.error_of("result")).alias(name))
     seen = workflows.select("id", "success_policy").join(of(dag.first_failed(nodes), "_first"), "id", "left").join(of(dag.first_failed(nodes, workflows), "_required"), "id", "left")
-    readable = F.coalesce(results.is_object(F.col("success_policy")), F.lit(False))
-    return seen.select("id", F.when(F.col("success_policy").isNull(), F.col("_first")).when(readable, F.coalesce("_required", results.case_not_met())).alias("error"))
+    readable = F.expr(results.is_object("success_policy"))
+    return seen.select("id", F.when(F.col("success_policy").isNull(), F.col("_first")).when(readable, F.coalesce("_required", F.expr(results.case_not_met()))).alias("error"))
 
 
 def apply_completions(workflows: DataFrame, nodes: DataFrame, as_of: Column, keep_error: bool = False) -> DataFrame:
@@ -123,18 +123,17 @@ def crashed_results(nodes: DataFrame, tasks: DataFrame, workflows: DataFrame) ->
     The task's result counts if it can be read; else an error says what happened.
     """
     given = tasks.select(F.col("id").alias("task_id"), F.col("result").alias("_given"))
-    found = dag.rec_crashed(nodes, tasks, workflows).join(given, "task_id", "left").withColumn("_result", results.canonical(F.col("_given")))
-    state, corrupt = F.col("task_status"), F.col("_given").isNotNull()
+    found = dag.rec_crashed(nodes, tasks, workflows).join(given, "task_id", "left").withColumn("_result", F.expr(results.canonical("_given")))
     # Error codes and messages by state of the task.
-    code = F.when(corrupt, "WORKER_CRASHED").when(state == "CANCELLED", "TASK_CANCELLED").when(state == "EXPIRED", "TASK_EXPIRED").when(state == "COMPLETED", "RESULT_NOT_AVAILABLE").otherwise("WORKER_CRASHED")
+    code = "case when _given is not null then 'WORKER_CRASHED' when task_status = 'CANCELLED' then 'TASK_CANCELLED' when task_status = 'EXPIRED' then 'TASK_EXPIRED' when task_status = 'COMPLETED' then 'RESULT_NOT_AVAILABLE' else 'WORKER_CRASHED' end"
     message = (
-        F.when(corrupt, "Stored task result is corrupt and could not be deserialized").when(state == "CANCELLED", "Task was cancelled before producing a result")
-        .when(state == "EXPIRED", "Task expired before execution started (good_until passed)").when(state == "COMPLETED", "Task completed but result is missing")
-        .otherwise(F.concat(F.lit("Worker crashed during task execution (task_status="), state, F.lit(", no result stored)")))
-    )
-    data = results.obj(task_id=results.text(F.col("task_id")), task_status=results.text(state), recovery=F.lit('"case_1_7"'))
-    made = results.failed(results.error(code, message, data))
-    fine = F.col("_result").isNotNull() & ~F.coalesce(results.is_failure(F.col("_result")), F.lit(False))
+        "case when _given is not null then 'Stored task result is corrupt and could not be deserialized' when task_status = 'CANCELLED' then 'Task was cancelled before producing a result' "
+        "when task_status = 'EXPIRED' then 'Task expired before execution started (good_until passed)' when task_status = 'COMPLETED' then 'Task completed but result is missing' "
+        "else concat('Worker crashed during task execution (task_status=', task_status, ', no result stored)') end"
+    )
+    data = results.obj(task_id=results.text("task_id"), task_status=results.text("task_status"), recovery="'\"case_1_7\"'")
+    made = F.expr(results.failed(results.error(code, message, data)))
+    fine = F.col("_result").isNotNull() & F.expr(results.member("_result", ".err")).isNull()
     return found.select("workflow_id", "task_index", F.when(fine, "COMPLETED").otherwise("FAILED").alias("to"), F.coalesce("_result", made).alias("outcome"))
 
 
