@@ -18,7 +18,7 @@ from queuelens.operators import monitor as M
 from queuelens.operators import retention as R
 from queuelens.operators import transitions as T
 from queuelens.plans import resultsql as X
-from queuelens.plans.state import _ACTIVE, _ALLOC, _ENDED, _HB, _N, _WF_ENDED, DAY, NOW, caps, full
+from queuelens.plans.state import _ISO, _UUID, _ACTIVE, _ALLOC, _ENDED, _HB, _N, _WF_ENDED, DAY, NOW, caps, full
 from queuelens.sources.fixtures import oracle
 from queuelens.sources.tables import Tables
 
@@ -96,6 +96,18 @@ def _synced(t: Tables):
     return schedule.sync(state, _config(t), t.as_of).select("schedule_name", "next_run_at", "config_hash", "run_count", "updated_at", "last_run_at")
 
 
+_PATTERNS = (schedule.Interval(5400), schedule.Hourly(20, 5), schedule.Daily(3, 30), schedule.Weekly(("tuesday", "friday"), 9, 45), schedule.Monthly(31, 6))
+
+
+def _schedules(t: Tables):
+    """All schedules: five patterns in three time zones, half of them catching up, some not enabled."""
+    n = _number("schedule_name")
+    pick = lambda of, xs: functools.reduce(lambda w, i: w.when(of == i, xs[i]), range(1, len(xs)), F.when(of == 0, xs[0]))
+    pattern = pick(n % 5, [schedule.pattern_of(p) for p in _PATTERNS])
+    zone = pick(n % 3, [F.lit(z) for z in ("UTC", "Europe/Berlin", "America/New_York")])
+    return t.schedule_state.select("schedule_name", pattern.alias("pattern"), zone.alias("timezone"), (n % 7 != 3).alias("enabled"), (n % 2 == 0).alias("catch_up_missed"), F.lit(3).alias("max_catch_up_runs"))
+
+
 def _ticked(t: Tables, catch_up: int):
     n = _number("schedule_name")
     done = (n % 3).cast("int") if catch_up else None
@@ -159,6 +171,9 @@ QUERIES = {
     "schedule_tick": lambda t: _ticked(t, 0),
     "schedule_catch_up": lambda t: _ticked(t, 5),
     "schedule_sync": _synced,
+    "schedule_ticks": lambda t: schedule.tick_all(full(t).schedule_state, _schedules(t), t.as_of)[0].select("schedule_name", "last_run_at", "next_run_at", "run_count", "last_task_id", "updated_at"),
+    "schedule_runs": lambda t: schedule.tick_all(full(t).schedule_state, _schedules(t), t.as_of)[1],
+    "schedule_hashes": lambda t: _schedules(t).select("schedule_name", schedule.config_hash_of(F.col("pattern"), F.col("timezone")).alias("config_hash")),
     "advisory_key": lambda t: t.schedule_state.select("schedule_name", ids.advisory_key(F.col("schedule_name")).alias("key")),
     "upgrade_tasks": lambda t: _upgraded(t),
     "tagged_values": lambda t: _tagged(t),
@@ -361,5 +376,26 @@ m as (select concat(n.workflow_id, '/', n.task_index) as id, concat('fn_', n.tas
   from q n left join p on p.workflow_id = n.workflow_id and p.task_index = n.task_index left join u on u.workflow_id = n.workflow_id and u.task_index = n.task_index)
 select id, task_name, queue_name, priority, args, kwargs, 'PENDING' as status, {NOW} as sent_at, {NOW} as enqueued_at, {NOW} as created_at, {NOW} as updated_at, false as claimed, 0 as retry_count, max_retries, task_options, good_until,
   sha256(concat('["', task_name, '","', queue_name, '",', priority, ',', to_json(args), ',', to_json(kwargs), ',"2024-01-31T00:00:00.000000+00:00",', case when good_until is null then 'null' else '"2024-02-01T00:00:00.000000+00:00"' end, ',null,', case when task_options is null then 'null' else to_json(task_options) end, ']')) as enqueue_sha from m""", "workflow_tasks")
+_ZONE = "case cast({0} % 3 as int) when 0 then 'UTC' when 1 then 'Europe/Berlin' else 'America/New_York' end"
+_LOCAL = "((({0}) at time zone 'UTC') at time zone z)"
+#: Runs of each schedule after its first slot, for sixty days: candidates are local times.
+_RUNS = f""", k as (select *, {_SN} as n, {_ZONE.format(_SN)} as z, coalesce(next_run_at, {NOW}) as first, {_DUE} and {_SN} % 7 <> 3 as due from schedule_state),
+l as (select *, date_trunc('day', {_LOCAL.format("first")}) as day, date_trunc('hour', {_LOCAL.format("first")}) as hour from k),
+c as (select schedule_name, n, z, first, due, first + to_seconds(5400 * (i + 1)) as run from l, range(0, 1000) r(i) where n % 5 = 0
+  union all select schedule_name, n, z, first, due, ((hour + to_hours(cast(i as int)) + interval 20 minute + interval 5 second) at time zone z) at time zone 'UTC' from l, range(0, 1500) r(i) where n % 5 = 1
+  union all select schedule_name, n, z, first, due, ((day + to_days(cast(i as int)) + interval 3 hour + interval 30 minute) at time zone z) at time zone 'UTC' from l, range(0, 60) r(i) where n % 5 = 2
+  union all select schedule_name, n, z, first, due, ((day + to_days(cast(i as int)) + interval 9 hour + interval 45 minute) at time zone z) at time zone 'UTC' from l, range(0, 60) r(i) where n % 5 = 3 and dayofweek(day + to_days(cast(i as int))) in (2, 5)
+  union all select schedule_name, n, z, first, due, ((day + to_days(cast(i as int)) + interval 6 hour) at time zone z) at time zone 'UTC' from l, range(0, 200) r(i) where n % 5 = 4 and day(day + to_days(cast(i as int))) = 31),
+s as (select schedule_name, slot from (select schedule_name, slot, row_number() over (partition by schedule_name order by slot) as place, catching from (select schedule_name, first as slot, n % 2 = 0 as catching from k where due union all select schedule_name, run, true from c where due and n % 2 = 0 and run > first and run <= {NOW}))
+  where place <= 3),
+e as (select schedule_name, max(slot) as last from s group by 1),
+after as (select c.schedule_name, min(run) as run from c join e using (schedule_name) where run > case when n % 2 = 0 then e.last else {NOW} end and (n % 5 > 0 or n % 2 = 0) group by 1)"""
+_SLOT_HASH = f"sha1(unhex('{ids.NAMESPACE}') || encode(concat(schedule_name, ':', {_ISO})))"
+ORACLES["schedule_ticks"] = oracle(f"""{_RUNS}, x as (select k.*, e.last, case when n % 5 = 0 and n % 2 = 1 then {NOW} + to_seconds(5400) else after.run end as run, {_SLOT_HASH.format("e.last")} as h from k left join e using (schedule_name) left join after using (schedule_name))
+select schedule_name, case when last is null then last_run_at else {NOW} end as last_run_at, case when last is null then next_run_at else run end as next_run_at, run_count + cast(last is not null as int) as run_count, case when last is not null then {_UUID} end as last_task_id, case when last is not null then {NOW} end as updated_at from x""", "schedule_state")
+ORACLES["schedule_runs"] = oracle(f"{_RUNS} select schedule_name, slot, {_UUID} as task_id from (select *, {_SLOT_HASH.format('slot')} as h from s)", "schedule_state")
+ORACLES["schedule_hashes"] = oracle(f"""select schedule_name, sha256(concat('{{"pattern":', case cast({_SN} % 5 as int) when 0 then '{{"type":"interval","seconds":5400,"minutes":null,"hours":null,"days":null}}' when 1 then '{{"type":"hourly","minute":20,"second":5}}'
+  when 2 then '{{"type":"daily","time":{{"__time__":true,"value":"03:30:00"}}}}' when 3 then '{{"type":"weekly","days":["tuesday","friday"],"time":{{"__time__":true,"value":"09:45:00"}}}}' else '{{"type":"monthly","day":31,"time":{{"__time__":true,"value":"06:00:00"}}}}' end,
+  ',"timezone":"', {_ZONE.format(_SN)}, '"}}')) as config_hash from schedule_state""", "schedule_state").replace(")select", ") select")
 ORACLES["dag_fixpoint"] = _recursive(oracle(f"{_VERDICTS.format(nodes='workflow_tasks', flows='workflows', hot='')} select id, status from fx", "workflows", "workflow_tasks"))
 ORACLES["advisory_key"] = oracle(" select schedule_name, cast(case when h >= 9223372036854775808 then h - 18446744073709551616 else h end as bigint) as key from (select schedule_name, cast(cast(concat('0x', substr(sha256(schedule_name), 1, 16)) as uhugeint) as hugeint) as h from schedule_state)", "schedule_state")
