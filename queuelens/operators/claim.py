@@ -65,6 +65,64 @@ def claim_allocation(tasks: DataFrame, caps: DataFrame, as_of: Column, total: in
     return first.withColumn("claim_order", order).filter(F.col("claim_order") <= total).select("claim_order", "queue_name", "place", "id")
 
 
+def worker_budgets(tasks: DataFrame, workers: DataFrame, as_of: Column) -> DataFrame:
+    """`workers` (worker_id, worker_order, processes, prefetch, max_claimed) with `budget`, as `claim_budget` has it for one; without the cluster's cap."""
+    running, claimed = F.col("status") == "RUNNING", active_claim(as_of)
+    own = tasks.filter(F.col("status").isin("RUNNING", "CLAIMED")).groupBy(F.col("claimed_by_worker_id").alias("worker_id")).agg(F.count_if(running).alias("_running"), F.count_if(claimed).alias("_held"))
+    seen = workers.join(own, "worker_id", "left").fillna(0, ["_running", "_held"])
+    capacity = F.col("processes") + F.col("prefetch")
+    busy = F.col("_running") + F.when(F.col("prefetch") == 0, F.col("_held")).otherwise(0)
+    most = F.when(F.col("max_claimed") > 0, F.col("max_claimed")).otherwise(capacity)
+    budget = F.when(F.col("_held") >= most, 0).otherwise(F.greatest(F.lit(0), capacity - busy))
+    return seen.withColumn("budget", budget.cast("long")).drop("_running", "_held")
+
+
+def claims_of_workers(tasks: DataFrame, workers: DataFrame, caps: DataFrame, as_of: Column, cluster_cap: int | None = None) -> DataFrame:
+    """(worker_id, queue_name, place, id): the tasks that all workers take, as if they claimed one after the other.
+
+    In the order of `worker_order`, each worker goes through the queues and
+    takes from each at most `cap` tasks, what other workers left of it and of
+    its `max_concurrency`, and what is left of its own budget. What a worker
+    finds in a queue depends on those before it there, and on itself in the
+    queues before: so one running sum over the workers for each queue gives all
+    numbers, and the tasks' ranks in their queues tell who gets which. The
+    cluster's cap cuts the whole sequence.
+
+    Queues and workers are configuration: a row of each per queue reaches the
+    driver, and the workers meet in one task; tasks don't.
+    """
+    state = tasks.groupBy("queue_name").agg(F.count_if((F.col("status") == "RUNNING") | active_claim(as_of)).alias("busy"), F.count_if(claimable(as_of)).alias("open"))
+    total = tasks.agg(F.count_if((F.col("status") == "RUNNING") | active_claim(as_of))).first()[0] if cluster_cap is not None else 0
+    rows = caps.join(state, "queue_name", "left").fillna(0, ["busy", "open"]).orderBy("queue_order").collect()
+    left = worker_budgets(tasks, workers, as_of).select("worker_id", "worker_order", F.col("budget").alias("_left"))
+    before = Window.orderBy("worker_order", "worker_id").rowsBetween(Window.unboundedPreceding, -1)
+    takes = []
+    for i, q in enumerate(rows):
+        there = q.open if q.max_concurrency is None else max(0, min(q.open, q.max_concurrency - q.busy))
+        left = left.withColumn("_want", F.least(F.lit(q.cap), F.col("_left"))).withColumn("_start", F.least(F.coalesce(F.sum("_want").over(before), F.lit(0)), F.lit(there)))
+        left = left.withColumn("_take", F.least(F.col("_want"), F.lit(there) - F.col("_start")))
+        left = left.withColumns({"_left": F.col("_left") - F.col("_take"), f"_t{i}": F.struct(F.lit(q.queue_name).alias("queue_name"), F.lit(i).alias("no"), F.col("_start").alias("start"), F.col("_take").alias("take"))})
+        takes.append(f"_t{i}")
+    if not takes:
+        return tasks.limit(0).select(F.lit("").alias("worker_id"), "queue_name", F.lit(0).alias("place"), "id")
+    each = left.select("worker_id", "worker_order", F.explode(F.array(*takes)).alias("t")).filter("t.take > 0").select("worker_id", "worker_order", "t.*")
+    if cluster_cap is not None:
+        sofar = Window.orderBy("worker_order", "worker_id", "no").rowsBetween(Window.unboundedPreceding, -1)
+        room = F.greatest(F.lit(0), F.lit(max(0, cluster_cap - total)) - F.coalesce(F.sum("take").over(sofar), F.lit(0)))
+        each = each.withColumn("take", F.least("take", room)).filter("take > 0")
+    places = each.select("worker_id", "queue_name", F.explode(F.expr("sequence(cast(start + 1 as int), cast(start + take as int))")).alias("place"))
+    most = max((q.open if q.max_concurrency is None else max(0, min(q.open, q.max_concurrency - q.busy)) for q in rows), default=0)
+    return claimable_top_k(tasks, as_of, int(most)).join(places, ["queue_name", "place"]).select("worker_id", "queue_name", "place", "id")
+
+
+def claim_all(tasks: DataFrame, chosen: DataFrame, as_of: Column, lease: int = 60) -> DataFrame:
+    """The next state of the tasks: each chosen one (id, worker_id) is claimed by its worker under a lease."""
+    taken = chosen.select(F.col("id").alias("_id"), F.col("worker_id").alias("_worker"))
+    flagged = tasks.join(taken, F.col("id") == F.col("_id"), "left")
+    changes = {"status": F.lit("CLAIMED"), "claimed": F.lit(True), "claimed_at": as_of, "claimed_by_worker_id": F.col("_worker"), "claim_expires_at": as_of + seconds(lease), "updated_at": as_of}
+    return update(flagged, F.col("_worker").isNotNull(), changes).drop("_id", "_worker")
+
+
 def claim(tasks: DataFrame, chosen: DataFrame, as_of: Column, worker: str, lease: int = 60) -> DataFrame:
     """The next state of the tasks: the chosen ones are claimed by the worker under a lease."""
     taken = chosen.select(F.col("id").alias("_id"), F.lit(True).alias("_taken"))

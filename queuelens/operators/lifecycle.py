@@ -50,6 +50,18 @@ def settle_stale(tasks: DataFrame, heartbeats: DataFrame, as_of: Column, thresho
     return both.withColumn("changed", F.col("changed") | F.col("_again")).drop("_again")
 
 
+def stale_attempts(tasks: DataFrame, heartbeats: DataFrame, as_of: Column, threshold: int = 300) -> DataFrame:
+    """The attempt rows that `settle_stale` leaves: failed ones, with `will_retry` where the task is tried again."""
+    stale = with_heartbeat(tasks, heartbeats, "runner").filter(is_stale_running(as_of, threshold))
+    planned = retry_plan(stale, as_of, F.from_json("task_options", OPTIONS), F.lit(results.CRASHED))
+    reason = F.lit(transitions.stale_reason(threshold))
+    own = [F.col(c) if c in tasks.columns else F.lit(None).cast(kind).alias(c) for c, kind in (("worker_hostname", "string"), ("worker_pid", "int"), ("worker_process_name", "string"))]
+    return planned.select(
+        F.col("id").alias("task_id"), (F.col("retry_count") + 1).alias("attempt"), F.lit("FAILED").alias("outcome"), (F.col("verdict") == "scheduled").alias("will_retry"), "started_at", as_of.alias("finished_at"),
+        F.lit(results.CRASHED).alias("error_code"), reason.alias("error_message"), reason.alias("failed_reason"), F.col("claimed_by_worker_id").alias("worker_id"), *own,
+    )
+
+
 def finalize_or_retry(tasks: DataFrame, outcomes: DataFrame, as_of: Column) -> DataFrame:
     """Running tasks end as `outcomes` say; those that failed and may be tried again wait for it instead."""
     again = schedule_retries(tasks, outcome_plan(tasks, outcomes, as_of), as_of).withColumnRenamed("changed", "_again")

@@ -10,6 +10,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from queuelens.functions import results
 from queuelens.functions.times import ago, seconds
 from queuelens.operators.health import is_stale_claimed, is_stale_running, with_heartbeat
 from queuelens.schemas import NODE_TERMINAL
@@ -42,16 +43,24 @@ def cancel_tasks(tasks: DataFrame, as_of: Column, which: Column) -> DataFrame:
     return update(tasks, which & F.col("status").isin("CLAIMED", "PENDING"), {"status": F.lit("CANCELLED"), **RELEASED(as_of)})
 
 
+#: Fixed value: what an expired task is told.
+_TOO_LATE = "'Task expired: good_until deadline passed before execution started'"
+
+
 def expire_pending(tasks: DataFrame, as_of: Column) -> DataFrame:
-    """Pending tasks past their deadline end as EXPIRED."""
+    """Pending tasks past their deadline end as EXPIRED, with a result that says so."""
     late = (F.col("status") == "PENDING") & (F.col("good_until") <= as_of)
-    return update(tasks, late, {"status": F.lit("EXPIRED"), "failed_at": as_of, "error_code": F.lit("TASK_EXPIRED"), "updated_at": as_of})
+    told = F.expr(results.failed(results.error(f"'{results.EXPIRED}'", _TOO_LATE)))
+    return update(tasks, late, {"status": F.lit("EXPIRED"), "failed_at": as_of, "result": told, "error_code": F.lit(results.EXPIRED), "updated_at": as_of})
 
 
-def expire_claimed(tasks: DataFrame, as_of: Column) -> DataFrame:
-    """Claimed tasks whose deadline passed before they started."""
-    late = (F.col("status") == "CLAIMED") & (F.col("good_until") <= as_of)
-    return update(tasks, late, {"status": F.lit("EXPIRED"), "failed_at": as_of, "error_code": F.lit("TASK_EXPIRED"), **RELEASED(as_of)})
+def expire_claimed(tasks: DataFrame, as_of: Column, owner: str) -> DataFrame:
+    """A worker's claimed tasks whose deadline passed before they started. They still say who claimed them, and when."""
+    late = (F.col("status") == "CLAIMED") & (F.col("claimed_by_worker_id") == owner) & (F.col("good_until") <= as_of)
+    data = results.obj(task_id=results.text("id"), worker_id=results.text("claimed_by_worker_id"))
+    told = F.expr(results.failed(results.error(f"'{results.EXPIRED}'", _TOO_LATE, data)))
+    changes = {"status": F.lit("EXPIRED"), "claimed": F.lit(False), "claim_expires_at": F.lit(None), "failed_at": as_of, "result": told, "error_code": F.lit(results.EXPIRED), "updated_at": as_of}
+    return update(tasks, late, changes)
 
 
 def start_claimed(tasks: DataFrame, stopped: DataFrame, as_of: Column, owner: str) -> DataFrame:
@@ -63,7 +72,7 @@ def start_claimed(tasks: DataFrame, stopped: DataFrame, as_of: Column, owner: st
     flagged = tasks.join(blocked, F.col("id") == F.col("_id"), "left")
     valid = (F.col("claim_expires_at").isNull() | (F.col("claim_expires_at") > as_of)) & (F.col("good_until").isNull() | (F.col("good_until") > as_of))
     guard = (F.col("status") == "CLAIMED") & (F.col("claimed_by_worker_id") == owner) & valid & F.col("_stop").isNull()
-    return update(flagged, guard, {"status": F.lit("RUNNING"), "started_at": as_of, "claim_expires_at": F.lit(None), "updated_at": as_of}).drop("_id", "_stop")
+    return update(flagged, guard, {"status": F.lit("RUNNING"), "claimed": F.lit(False), "started_at": as_of, "claim_expires_at": F.lit(None), "updated_at": as_of}).drop("_id", "_stop")
 
 
 def requeue_claimed(tasks: DataFrame, heartbeats: DataFrame, as_of: Column, threshold: int = 120, claimed_at: str = "claimed_at") -> DataFrame:
@@ -72,11 +81,24 @@ def requeue_claimed(tasks: DataFrame, heartbeats: DataFrame, as_of: Column, thre
     return update(seen, is_stale_claimed(as_of, threshold, claimed_at), {"status": F.lit("PENDING"), **RELEASED(as_of)}).drop("last_heartbeat")
 
 
+def stale_reason(threshold: int) -> str:
+    """Why a silent task fails."""
+    return f"Worker process crashed (no runner heartbeat for {threshold * 1000}ms = {float(threshold):.1f}s)"
+
+
 def mark_stale_failed(tasks: DataFrame, heartbeats: DataFrame, as_of: Column, threshold: int = 300) -> DataFrame:
-    """Running tasks without a sign of life fail with WORKER_CRASHED."""
-    seen = with_heartbeat(tasks, heartbeats, "runner")
-    changes = {"status": F.lit("FAILED"), "failed_at": as_of, "failed_reason": F.lit("worker crashed"), "error_code": F.lit("WORKER_CRASHED"), "updated_at": as_of}
-    return update(seen, is_stale_running(as_of, threshold), changes).drop("last_heartbeat")
+    """Running tasks without a sign of life fail with WORKER_CRASHED, and a result that says who ran them and since when."""
+    seen = with_heartbeat(tasks, heartbeats, "runner").withColumn("_now", as_of)
+    iso = lambda c: f"""'"' || date_format({c}, "yyyy-MM-dd'T'HH:mm:ss") || case when date_format({c}, 'SSSSSS') = '000000' then '' else date_format({c}, '.SSSSSS') end || '+00:00"'"""
+    own = lambda c, as_text: (results.text(c) if as_text else f"cast({c} as string)") if c in tasks.columns else "null"
+    data = results.obj(
+        stale_threshold_ms=f"'{threshold * 1000}'", stale_threshold_seconds=f"'{float(threshold):.1f}'", worker_pid=own("worker_pid", False), worker_hostname=own("worker_hostname", True),
+        worker_id=results.text("claimed_by_worker_id"), started_at=iso("started_at"), detected_at=iso("_now"),
+    )
+    reason = stale_reason(threshold)
+    told = F.expr(results.failed(results.error(f"'{results.CRASHED}'", f"'{reason}'", data)))
+    changes = {"status": F.lit("FAILED"), "failed_at": as_of, "failed_reason": F.lit(reason), "result": told, "error_code": F.lit(results.CRASHED), "updated_at": as_of}
+    return update(seen, is_stale_running(as_of, threshold), changes).drop("last_heartbeat", "_now")
 
 
 def renew_leases(tasks: DataFrame, as_of: Column, owner: str, lease: int = 60, max_age: int = 180, claimed_at: str = "claimed_at") -> DataFrame:
@@ -159,13 +181,13 @@ def reset_nodes(nodes: DataFrame, which: Column) -> DataFrame:
     return update(nodes, which, {"status": F.lit("READY"), "task_id": F.lit(None), "started_at": F.lit(None)})
 
 
-def end_nodes(nodes: DataFrame, results: DataFrame, as_of: Column) -> DataFrame:
-    """Nodes take the states and results of `results` (workflow_id, task_index, to, outcome), unless they have ended.
+def end_nodes(nodes: DataFrame, outcomes: DataFrame, as_of: Column) -> DataFrame:
+    """Nodes take the states and results of `outcomes` (workflow_id, task_index, to, outcome), unless they have ended.
 
-    A `summary` of a child workflow in `results` is the node's then, if it has a column for it.
+    A `summary` of a child workflow in `outcomes` is the node's then, if it has a column for it.
     """
-    with_summary = "summary" in results.columns and "sub_workflow_summary" in nodes.columns
-    once = results.groupBy("workflow_id", "task_index").agg(F.min(F.struct("to", "outcome", *(["summary"] if with_summary else []))).alias("_r"))
+    with_summary = "summary" in outcomes.columns and "sub_workflow_summary" in nodes.columns
+    once = outcomes.groupBy("workflow_id", "task_index").agg(F.min(F.struct("to", "outcome", *(["summary"] if with_summary else []))).alias("_r"))
     seen = nodes.join(once, ["workflow_id", "task_index"], "left")
     guard = F.col("_r").isNotNull() & ~F.col("status").isin(*NODE_TERMINAL)
     more = {"sub_workflow_summary": F.coalesce("_r.summary", "sub_workflow_summary")} if with_summary else {}

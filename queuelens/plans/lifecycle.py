@@ -18,7 +18,8 @@ from queuelens.operators import monitor as M
 from queuelens.operators import retention as R
 from queuelens.operators import transitions as T
 from queuelens.plans import resultsql as X
-from queuelens.plans.state import _ISO, _UUID, _ACTIVE, _ALLOC, _ENDED, _HB, _N, _WF_ENDED, DAY, NOW, caps, full
+from queuelens.plans.state import _CLAIMABLE as _OPEN
+from queuelens.plans.state import CRASHED, REASON, _ISO, _UUID, _ACTIVE, _ALLOC, _ENDED, _HB, _N, _WF_ENDED, DAY, NOW, caps, full
 from queuelens.sources.fixtures import oracle
 from queuelens.sources.tables import Tables
 
@@ -119,12 +120,13 @@ QUERIES = {
     # retries
     "schedule_retry": lambda t: L.schedule_retries(full(t).tasks, _plan(t), t.as_of).select(*_RETRY),
     "schedule_stale_retry": lambda t: L.schedule_stale_retries(full(t).tasks, t.heartbeats, _plan(t), t.as_of).select(*_RETRY, *_CLAIM),
-    "settle_stale": lambda t: L.settle_stale(equipped(t).tasks, t.heartbeats, t.as_of).select(*_RETRY, "failed_at", "failed_reason"),
+    "settle_stale": lambda t: L.settle_stale(equipped(t).tasks, t.heartbeats, t.as_of).select(*_RETRY, "failed_at", "failed_reason", "result"),
+    "stale_attempts": lambda t: L.stale_attempts(equipped(t).tasks, t.heartbeats, t.as_of).drop("worker_process_name"),
     "finalize_or_retry": lambda t: L.finalize_or_retry(equipped(t).tasks, outcomes(t), t.as_of).select(*_RETRY, "result", "completed_at", "failed_at", "failed_reason"),
     "attempts_with_retry": lambda t: _attempts(equipped(t)),
     # claims and starts
     "unclaim": lambda t: T.unclaim(full(t).tasks, t.as_of, _number("id") % 3 == 0, "worker-7").select("id", "status", "updated_at", "changed", *_CLAIM),
-    "expire_claimed": lambda t: T.expire_claimed(full(t).tasks, t.as_of).select("id", "status", "error_code", "failed_at", "updated_at", "changed", *_CLAIM),
+    "expire_claimed": lambda t: T.expire_claimed(full(t).tasks, t.as_of, "worker-7").select("id", "status", "error_code", "result", "failed_at", "updated_at", "changed", *_CLAIM),
     "reset_nodes": lambda t: T.reset_nodes(full(t).workflow_tasks, (F.col("status") == "ENQUEUED") & (F.col("task_index") % 2 == 0)).select("id", "status", "task_id", "started_at", "changed"),
     "skip_nodes": lambda t: T.skip_nodes(full(t).workflow_tasks, F.col("task_index") % 2 == 0, t.as_of).select("id", "status", "completed_at", "changed"),
     "guard_nodes": lambda t: L.guard_nodes(full(t).workflow_tasks, t.tasks, t.workflows, t.as_of).select("id", "status", "task_id", "completed_at", "changed"),
@@ -135,6 +137,8 @@ QUERIES = {
     "reset_subworkflows": lambda t: T.move_nodes(full(t).workflow_tasks, F.col("is_subworkflow"), "PENDING", only=("READY",)).select("id", "status", "changed"),
     "claim_limit": lambda t: _claim_limit(t),
     "claim_budget": lambda t: _budgets(t),
+    "claims_of_workers": lambda t: C.claims_of_workers(t.tasks, _fleet(t), caps(t), t.as_of, 60000),
+    "claim_all": lambda t: C.claim_all(full(t).tasks, C.claims_of_workers(t.tasks, _fleet(t), caps(t), t.as_of), t.as_of).select("id", "status", "updated_at", "changed", *_CLAIM),
     "delayed_messages": lambda t: L.delayed_messages(t.tasks, t.as_of),
     "task_of_workflow": lambda t: t.tasks.select("id").join(t.workflow_tasks.select(F.col("task_id").alias("id")), "id", "left_semi"),
     # inserts
@@ -218,6 +222,13 @@ def _claim_limit(t: Tables):
     return rows[0].unionByName(rows[1])
 
 
+def _fleet(t: Tables):
+    """All workers that hold tasks, by number, of different sizes."""
+    n = _number("worker_id")
+    ids = t.tasks.filter("claimed_by_worker_id is not null").select(F.col("claimed_by_worker_id").alias("worker_id")).distinct()
+    return ids.select("worker_id", n.alias("worker_order"), (n % 5 * 40 + 2).cast("int").alias("processes"), (n % 3 * 30).cast("int").alias("prefetch"), F.when(n % 7 == 0, 3).otherwise(0).alias("max_claimed"))
+
+
 def _budgets(t: Tables):
     """Budgets of one worker by mode: strict, with prefetching, with a limit of claims, under a cap of the cluster."""
     modes = {"strict": {"processes": 90}, "prefetch": {"processes": 40, "prefetch": 50}, "limited": {"processes": 90, "max_claimed": 1}, "capped": {"processes": 90, "cluster_cap": 100000}, "full": {"processes": 90, "cluster_cap": 5}}
@@ -228,6 +239,7 @@ def _budgets(t: Tables):
 # ---- oracles ---------------------------------------------------------------
 
 _FT = f", ft as (select *, status = 'CLAIMED' as claimed, case when status = 'CLAIMED' then enqueued_at end as claimed_at, enqueued_at as updated_at from tasks)"
+_HAD = f"""case {_N} % 5 when 0 then '{{"ok":1}}' when 1 then '{{"err":{{"error_code":"X"}}}}' when 2 then '{{"o' end"""
 _STALE = f"t.status = 'RUNNING' and t.started_at is not null and coalesce(hb.last_heartbeat, t.started_at) < {NOW} - interval 300 second"
 _HBJ = f"left join {_HB.format('runner')} hb on hb.task_id = t.id"
 _AT = f"({NOW} + interval 100 second)"
@@ -303,19 +315,21 @@ _SN = "cast(regexp_extract(schedule_name, '([0-9]+)$', 1) as bigint)"
 _DUE = f"(next_run_at is null or next_run_at <= {NOW})"
 _THREE = f"(date_trunc('day', {{0}}) + case when {{0}} < date_trunc('day', {{0}}) + interval 3 hour then interval 3 hour else interval 27 hour end)"
 
+_TOLD = X.failed(X.error("'TASK_EXPIRED'", "'Task expired: good_until deadline passed before execution started'", """concat('{"task_id":"', id, '","worker_id":"', claimed_by_worker_id, '"}')"""))
 #: Tasks after a round of the reaper, with more columns.
 REAPED = oracle(f"{_FT}{_OPT}, x as (select t.*, coalesce({_STALE}, false) as stale, coalesce({_CAN}, false) as can, coalesce(status = 'PENDING' and good_until <= {NOW}, false) as late, coalesce(status = 'CLAIMED' and coalesce(cl.last_heartbeat, claimed_at) < {NOW} - interval 120 second, false) as silent from p t {_HBJ} left join {_HB.format('claimer')} cl on cl.task_id = t.id) select id, case when late then 'EXPIRED' when silent or stale and can then 'PENDING' when stale then 'FAILED' else status end as status, case when stale and can then retry_count + 1 else retry_count end as retry_count, case when silent or stale and can then null else claimed_by_worker_id end as claimed_by_worker_id, case when late then 'TASK_EXPIRED' when stale and can then null when stale then 'WORKER_CRASHED' else error_code end as error_code@@ from x", "tasks", "heartbeats").replace("{", "{{").replace("}", "}}").replace("@@", "{more}")
 ORACLES = {
     "schedule_retry": oracle(f"{_FT}, x as (select *, status = 'RUNNING' and {_N} % 2 = 0 and (good_until is null or {_AT} < good_until) as go from ft) select id, case when go then 'PENDING' else status end as status, case when go then retry_count + 1 else retry_count end as retry_count, case when go then {_AT} else next_retry_at end as next_retry_at, case when go then {_AT} else enqueued_at end as enqueued_at, case when go then null else error_code end as error_code, case when go then {NOW} else updated_at end as updated_at, go as changed from x", "tasks"),
     "schedule_stale_retry": oracle(f"{_FT}, x as (select t.*, coalesce({_STALE}, false) and {_N} % 2 = 0 and (good_until is null or {_AT} < good_until) as go from ft t {_HBJ}) select id, case when go then 'PENDING' else status end as status, case when go then retry_count + 1 else retry_count end as retry_count, case when go then {_AT} else next_retry_at end as next_retry_at, case when go then {_AT} else enqueued_at end as enqueued_at, case when go then null else error_code end as error_code, case when go then {NOW} else updated_at end as updated_at, go as changed, case when go then false else claimed end as claimed, case when go then null else claimed_at end as claimed_at, case when go then null else claimed_by_worker_id end as claimed_by_worker_id, case when go then null else claim_expires_at end as claim_expires_at from x", "tasks", "heartbeats"),
-    "settle_stale": oracle(f"{_FT}{_OPT}, x as (select t.*, {NOW} + to_seconds(delay) as again, coalesce({_STALE}, false) as stale, coalesce({_CAN}, false) as can from p t {_HBJ}) select id, case when stale and can then 'PENDING' when stale then 'FAILED' else status end as status, case when stale and can then retry_count + 1 else retry_count end as retry_count, case when stale and can then again else next_retry_at end as next_retry_at, case when stale and can then again else enqueued_at end as enqueued_at, case when stale and can then null when stale then 'WORKER_CRASHED' else error_code end as error_code, case when stale then {NOW} else updated_at end as updated_at, stale as changed, case when stale and not can then {NOW} else failed_at end as failed_at, case when stale and not can then 'worker crashed' end as failed_reason from x", "tasks", "heartbeats"),
+    "settle_stale": oracle(f"{_FT}{_OPT}, x as (select t.*, {NOW} + to_seconds(delay) as again, coalesce({_STALE}, false) as stale, coalesce({_CAN}, false) as can from p t {_HBJ}) select id, case when stale and can then 'PENDING' when stale then 'FAILED' else status end as status, case when stale and can then retry_count + 1 else retry_count end as retry_count, case when stale and can then again else next_retry_at end as next_retry_at, case when stale and can then again else enqueued_at end as enqueued_at, case when stale and can then null when stale then 'WORKER_CRASHED' else error_code end as error_code, case when stale then {NOW} else updated_at end as updated_at, stale as changed, case when stale and not can then {NOW} else failed_at end as failed_at, case when stale and not can then '{REASON}' end as failed_reason, case when stale and not can then {CRASHED} else {_HAD} end as result from x", "tasks", "heartbeats"),
+    "stale_attempts": oracle(f"{_FT}{_OPT}, x as (select t.*, coalesce({_STALE}, false) as stale, coalesce({_CAN}, false) as can from p t {_HBJ}) select id as task_id, retry_count + 1 as attempt, 'FAILED' as outcome, can as will_retry, started_at, {NOW} as finished_at, 'WORKER_CRASHED' as error_code, '{REASON}' as error_message, '{REASON}' as failed_reason, claimed_by_worker_id as worker_id, worker_hostname, worker_pid from x where stale", "tasks", "heartbeats"),
     "finalize_or_retry": oracle(f"""{_FT}{_OPT}, x as (select *, {NOW} + to_seconds(delay) as again, has and status = 'RUNNING' as own, coalesce(has and status = 'RUNNING' and out = 3 and kind = 0 and {_CAN}, false) as re, case {_N} % 5 when 0 then '{{"ok":1}}' when 1 then '{{"err":{{"error_code":"X"}}}}' when 2 then '{{"o' end as had from p)
 select id, case when re then 'PENDING' when own then case when out = 0 then 'COMPLETED' else 'FAILED' end else status end as status, case when re then retry_count + 1 else retry_count end as retry_count, case when re then again else next_retry_at end as next_retry_at, case when re then again else enqueued_at end as enqueued_at,
 case when re then null when own then case when out = 3 then 'TASK_EXCEPTION' end else error_code end as error_code, case when own then {NOW} else updated_at end as updated_at, own as changed, case when re or not own then had when out = 6 then null when out = 0 then '{{"ok":1}}' else '{{"err":2}}' end as result,
 case when own and not re and out = 0 then {NOW} else completed_at end as completed_at, case when own and not re and out <> 0 then {NOW} else failed_at end as failed_at, case when own and not re and out = 6 then 'worker lost' end as failed_reason from x""", "tasks"),
     "attempts_with_retry": oracle(f"{_FT}{_OPT} select id as task_id, retry_count + 1 as attempt, case out when 0 then 'COMPLETED' when 6 then 'WORKER_FAILURE' else 'FAILED' end as outcome, coalesce(out = 3 and kind = 0 and {_CAN}, false) as will_retry, started_at, {NOW} as finished_at, case when out = 3 then 'TASK_EXCEPTION' end as error_code, claimed_by_worker_id as worker_id from p where has and status = 'RUNNING'", "tasks"),
     "unclaim": oracle(f"{_FT}, x as (select *, coalesce({_N} % 3 = 0 and status = 'CLAIMED' and claimed_by_worker_id = 'worker-7', false) as go from ft) select id, case when go then 'PENDING' else status end as status, case when go then {NOW} else updated_at end as updated_at, go as changed, case when go then false else claimed end as claimed, case when go then null else claimed_at end as claimed_at, case when go then null else claimed_by_worker_id end as claimed_by_worker_id, case when go then null else claim_expires_at end as claim_expires_at from x", "tasks"),
-    "expire_claimed": oracle(f"{_FT}, x as (select *, coalesce(status = 'CLAIMED' and good_until <= {NOW}, false) as go from ft) select id, case when go then 'EXPIRED' else status end as status, case when go then 'TASK_EXPIRED' else error_code end as error_code, case when go then {NOW} else failed_at end as failed_at, case when go then {NOW} else updated_at end as updated_at, go as changed, case when go then false else claimed end as claimed, case when go then null else claimed_at end as claimed_at, case when go then null else claimed_by_worker_id end as claimed_by_worker_id, case when go then null else claim_expires_at end as claim_expires_at from x", "tasks"),
+    "expire_claimed": oracle(f"{_FT}, x as (select *, coalesce(status = 'CLAIMED' and claimed_by_worker_id = 'worker-7' and good_until <= {NOW}, false) as go from ft) select id, case when go then 'EXPIRED' else status end as status, case when go then 'TASK_EXPIRED' else error_code end as error_code, case when go then {_TOLD} end as result, case when go then {NOW} else failed_at end as failed_at, case when go then {NOW} else updated_at end as updated_at, go as changed, case when go then false else claimed end as claimed, claimed_at, claimed_by_worker_id, case when go then null else claim_expires_at end as claim_expires_at from x", "tasks"),
     "reset_nodes": oracle(", x as (select *, status = 'ENQUEUED' and task_index % 2 = 0 as go from workflow_tasks) select id, case when go then 'READY' else status end as status, case when go then null else task_id end as task_id, null::timestamp as started_at, go as changed from x", "workflow_tasks"),
     "skip_nodes": oracle(f", x as (select *, status in ('PENDING', 'READY', 'ENQUEUED') and task_index % 2 = 0 as go from workflow_tasks) select id, case when go then 'SKIPPED' else status end as status, case when go then {NOW} end as completed_at, go as changed from x", "workflow_tasks"),
     "guard_nodes": oracle(f", x as (select n.*, coalesce(t.status = 'CLAIMED' and w.status = 'PAUSED', false) as back, coalesce(t.status = 'CLAIMED' and w.status = 'CANCELLED' and n.status in ('PENDING', 'READY', 'ENQUEUED'), false) as off from workflow_tasks n left join tasks t on t.id = n.task_id left join workflows w on w.id = n.workflow_id) select id, case when back then 'READY' when off then 'SKIPPED' else status end as status, case when back then null else task_id end as task_id, case when off then {NOW} end as completed_at, back or off as changed from x", "workflow_tasks", "tasks", "workflows"),
@@ -397,5 +411,26 @@ ORACLES["schedule_runs"] = oracle(f"{_RUNS} select schedule_name, slot, {_UUID}
 ORACLES["schedule_hashes"] = oracle(f"""select schedule_name, sha256(concat('{{"pattern":', case cast({_SN} % 5 as int) when 0 then '{{"type":"interval","seconds":5400,"minutes":null,"hours":null,"days":null}}' when 1 then '{{"type":"hourly","minute":20,"second":5}}'
   when 2 then '{{"type":"daily","time":{{"__time__":true,"value":"03:30:00"}}}}' when 3 then '{{"type":"weekly","days":["tuesday","friday"],"time":{{"__time__":true,"value":"09:45:00"}}}}' else '{{"type":"monthly","day":31,"time":{{"__time__":true,"value":"06:00:00"}}}}' end,
   ',"timezone":"', {_ZONE.format(_SN)}, '"}}')) as config_hash from schedule_state""", "schedule_state").replace(")select", ") select")
+
+
+def _claims(cluster_cap: int | None) -> str:
+    """CTEs: tk (worker_id, n, q, start, take) of all workers and queues, and placed tasks."""
+    out = f""", queues as (select distinct queue_name, length(queue_name) % 5 + 3 as cap, case when length(queue_name) % 5 = 2 then 2 else 100000 end as lim from tasks),
+qs as (select q.*, greatest(0, least(o.n, lim - o.busy)) as there, cast(row_number() over (order by q.queue_name) - 1 as int) as no from queues q join (select queue_name, count(*) filter ({_OPEN}) as n, count(*) filter (status = 'RUNNING' or {_ACTIVE}) as busy from tasks group by 1) o using (queue_name)),
+own as (select claimed_by_worker_id as worker_id, count(*) filter (status = 'RUNNING') as running, count(*) filter ({_ACTIVE}) as held from tasks where claimed_by_worker_id is not null group by 1),
+fleet as (select worker_id, n, case when held >= case when n % 7 = 0 then 3 else cap end then 0 else greatest(0, cap - running - case when pre = 0 then held else 0 end) end as b0 from (select *, n % 5 * 40 + 2 + n % 3 * 30 as cap, n % 3 * 30 as pre from (select *, cast(regexp_extract(worker_id, '([0-9]+)$', 1) as bigint) as n from own)))"""
+    for i in range(5):
+        there, cap = (f"coalesce((select {c} from qs where no = {i}), 0)" for c in ("there", "cap"))
+        before = f"coalesce(sum(least({cap}, b{i})) over (order by n rows between unbounded preceding and 1 preceding), 0)"
+        name = "fleet" if i == 0 else f"w{i - 1}"
+        out += f""", v{i} as (select *, least({before}, {there}) as s{i}, least(least({cap}, b{i}), {there} - least({before}, {there})) as t{i} from {name}), w{i} as (select *, b{i} - t{i} as b{i + 1} from v{i})"""
+    parts = " union all ".join(f"select worker_id, n, {i} as no, s{i} as start, t{i} as take from w4" for i in range(5))
+    room = "take" if cluster_cap is None else f"greatest(0, least(take, {cluster_cap} - (select count(*) from tasks where status = 'RUNNING' or {_ACTIVE}) - coalesce(sum(take) over (order by n, no rows between unbounded preceding and 1 preceding), 0)))"
+    return out + f""", tk as (select worker_id, no, start, {room} as take from ({parts})), ranked as (select *, row_number() over (partition by queue_name order by priority, enqueued_at, id) as place from tasks where {_OPEN}),
+taken as (select k.worker_id, r.queue_name, cast(r.place as int) as place, r.id from tk k join qs on qs.no = k.no join ranked r on r.queue_name = qs.queue_name and r.place > k.start and r.place <= k.start + k.take)"""
+
+
+ORACLES["claims_of_workers"] = oracle(f"{_claims(60000)} select * from taken", "tasks")
+ORACLES["claim_all"] = oracle(f"{_FT}{_claims(None)} select f.id, case when k.id is not null then 'CLAIMED' else status end as status, case when k.id is not null then {NOW} else updated_at end as updated_at, k.id is not null as changed, f.claimed or k.id is not null as claimed, case when k.id is not null then {NOW} else claimed_at end as claimed_at, coalesce(k.worker_id, claimed_by_worker_id) as claimed_by_worker_id, case when k.id is not null then {NOW} + interval 60 second else claim_expires_at end as claim_expires_at from ft f left join taken k using (id)", "tasks")
 ORACLES["dag_fixpoint"] = _recursive(oracle(f"{_VERDICTS.format(nodes='workflow_tasks', flows='workflows', hot='')} select id, status from fx", "workflows", "workflow_tasks"))
 ORACLES["advisory_key"] = oracle(" select schedule_name, cast(case when h >= 9223372036854775808 then h - 18446744073709551616 else h end as bigint) as key from (select schedule_name, cast(cast(concat('0x', substr(sha256(schedule_name), 1, 16)) as uhugeint) as hugeint) as h from schedule_state)", "schedule_state")

@@ -187,11 +187,11 @@ QUERIES = {
     "rec_crashed": lambda t: D.rec_crashed(t.workflow_tasks, t.tasks, t.workflows),
     "rec_terminal": lambda t: D.rec_terminal(t.workflows, t.workflow_tasks),
     # transitions
-    "expire_pending": lambda t: _states(T.expire_pending(t.tasks, t.as_of), "id", "error_code"),
+    "expire_pending": lambda t: _states(T.expire_pending(full(t).tasks, t.as_of), "id", "error_code", "result"),
     "requeue_claimed": lambda t: _states(T.requeue_claimed(t.tasks, t.heartbeats, t.as_of, 120, "enqueued_at"), "id", "claimed_by_worker_id"),
-    "mark_stale_failed": lambda t: _states(T.mark_stale_failed(t.tasks, t.heartbeats, t.as_of), "id", "error_code", "failed_at"),
+    "mark_stale_failed": lambda t: _states(T.mark_stale_failed(full(t).tasks, t.heartbeats, t.as_of), "id", "error_code", "failed_at", "failed_reason", "result"),
     "renew_lease": lambda t: _states(T.renew_leases(t.tasks, t.as_of, "worker-7", 60, 7 * DAY, "enqueued_at"), "id", "claim_expires_at"),
-    "start_claimed": lambda t: _states(T.start_claimed(t.tasks, H.nonrunnable_tasks(t.tasks, t.workflow_tasks, t.workflows), t.as_of, "worker-1"), "id", "started_at"),
+    "start_claimed": lambda t: _states(T.start_claimed(full(t).tasks, H.nonrunnable_tasks(t.tasks, t.workflow_tasks, t.workflows), t.as_of, "worker-1"), "id", "started_at"),
     "finalize_outcomes": lambda t: _states(T.finalize(_full(t), outcomes(t), t.as_of), "id", "result", "error_code", "failed_reason"),
     "attempts_of": lambda t: T.attempts_of(_full(t), outcomes(t), t.as_of),
     "upsert_attempts": lambda t: _attempts(t),
@@ -202,7 +202,7 @@ QUERIES = {
     "resume": lambda t: T.resume(t.workflows, F.lit(True), t.as_of).select("id", "status", "changed"),
     "enqueue_nodes": lambda t: T.enqueue_nodes(t.workflow_tasks, t.workflows, t.as_of).select("id", "status", "changed"),
     "claimer_heartbeats": lambda t: T.claimer_heartbeats(t.tasks, t.as_of, "worker-7", "host-1", 42),
-    "change_feed": lambda t: T.changes(t.tasks, T.expire_pending(t.tasks, t.as_of), "id"),
+    "change_feed": lambda t: T.changes(t.tasks, T.expire_pending(full(t).tasks, t.as_of), "id"),
     # retention
     "retention_heartbeats": lambda t: R.keep_recent(t.heartbeats, "sent_at", t.as_of, 600),
     "retention_worker_states": lambda t: R.keep_recent(t.worker_states, "snapshot_at", t.as_of, 7 * DAY).select("id", "worker_id", "snapshot_at"),
@@ -282,6 +282,11 @@ def _next_sql(tz: str, candidates: str) -> str:
     return oracle(f", s as (select schedule_name, last_run_at, {local} as l from schedule_state) select schedule_name, min(utc) as next_run from (select schedule_name, last_run_at, {_local(tz, 'c')} as utc from ({candidates})) where utc > last_run_at group by 1", "schedule_state")
 
 
+#: What expired and silent tasks are told.
+LATE = X.failed(X.error("'TASK_EXPIRED'", "'Task expired: good_until deadline passed before execution started'"))
+REASON = "Worker process crashed (no runner heartbeat for 300000ms = 300.0s)"
+_PLAIN_ISO = "strftime({}, '%Y-%m-%dT%H:%M:%S+00:00')"
+CRASHED = X.failed(X.error("'WORKER_CRASHED'", f"'{REASON}'", f"""concat('{{"stale_threshold_ms":300000,"stale_threshold_seconds":300.0,"worker_pid":', worker_pid, ',"worker_hostname":"', worker_hostname, '","worker_id":', coalesce('"' || claimed_by_worker_id || '"', 'null'), ',"started_at":"', {_PLAIN_ISO.format("started_at")}, '","detected_at":"2024-01-31T00:00:00+00:00"}}')"""))
 _UUID = "concat(substr(h, 1, 8), '-', substr(h, 9, 4), '-5', substr(h, 14, 3), '-', translate(substr(h, 17, 1), '0123456789abcdef', '89ab89ab89ab89ab'), substr(h, 18, 3), '-', substr(h, 21, 12))"
 _ISO = "strftime({}, '%Y-%m-%dT%H:%M:%S.%f+00:00')"
 ORACLES = {
@@ -345,9 +350,9 @@ from c left join p on p.workflow_id = c.workflow_id and p.task_index = c.task_in
     "rec_children": oracle(f" select c.id, c.parent_workflow_id, c.parent_task_index, c.status from workflows c join workflows p on p.id = c.parent_workflow_id join workflow_tasks n on n.workflow_id = p.id and n.task_index = c.parent_task_index where c.status in {_WF_ENDED} and n.status = 'RUNNING' and p.status = 'RUNNING'", "workflows", "workflow_tasks"),
     "rec_crashed": oracle(f" select n.workflow_id, n.task_index, n.task_id, upper(t.status) as task_status from workflow_tasks n join tasks t on t.id = n.task_id join workflows w on w.id = n.workflow_id where n.status not in {_ENDED} and not n.is_subworkflow and w.status = 'RUNNING' and upper(t.status) in {_TASK_ENDED}", "workflow_tasks", "tasks", "workflows"),
     "rec_terminal": oracle(f" select w.id, count(*) filter (wt.status = 'FAILED') as failed_count from workflows w left join workflow_tasks wt on wt.workflow_id = w.id where w.status = 'RUNNING' and not exists (select 1 from workflow_tasks x where x.workflow_id = w.id and x.status not in {_ENDED}) group by 1", "workflows", "workflow_tasks"),
-    "expire_pending": oracle(f" select id, case when late then 'EXPIRED' else status end as status, case when late then 'TASK_EXPIRED' else error_code end as error_code from (select *, coalesce(status = 'PENDING' and good_until <= {NOW}, false) as late from tasks)", "tasks"),
+    "expire_pending": oracle(f" select id, case when late then 'EXPIRED' else status end as status, case when late then 'TASK_EXPIRED' else error_code end as error_code, case when late then {LATE} end as result from (select *, coalesce(status = 'PENDING' and good_until <= {NOW}, false) as late from tasks)", "tasks"),
     "requeue_claimed": oracle(f" select id, case when s then 'PENDING' else status end as status, case when s then null else claimed_by_worker_id end as claimed_by_worker_id from (select t.*, coalesce(status = 'CLAIMED' and coalesce(last_heartbeat, enqueued_at) < {NOW} - interval 120 second, false) as s from tasks t left join {_HB.format('claimer')} hb on hb.task_id = t.id)", "tasks", "heartbeats"),
-    "mark_stale_failed": oracle(f" select id, case when s then 'FAILED' else status end as status, case when s then 'WORKER_CRASHED' else error_code end as error_code, case when s then {NOW} else failed_at end as failed_at from (select t.*, coalesce({_STALE}, false) as s from tasks t left join {_HB.format('runner')} hb on hb.task_id = t.id)", "tasks", "heartbeats"),
+    "mark_stale_failed": oracle(f" select id, case when s then 'FAILED' else status end as status, case when s then 'WORKER_CRASHED' else error_code end as error_code, case when s then {NOW} else failed_at end as failed_at, case when s then '{REASON}' end as failed_reason, case when s then {CRASHED} end as result from (select t.*, coalesce({_STALE}, false) as s from tasks t left join {_HB.format('runner')} hb on hb.task_id = t.id)", "tasks", "heartbeats"),
     "renew_lease": oracle(f" select id, status, case when status = 'CLAIMED' and claimed_by_worker_id = 'worker-7' and enqueued_at >= {NOW} - interval 7 day then {NOW} + interval 60 second else claim_expires_at end as claim_expires_at from tasks", "tasks"),
     "start_claimed": oracle(f", stop as (select distinct id from ({_NONRUN})), x as (select t.*, coalesce(status = 'CLAIMED' and claimed_by_worker_id = 'worker-1' and (claim_expires_at is null or claim_expires_at > {NOW}) and (good_until is null or good_until > {NOW}) and s.id is null, false) as go from tasks t left join stop s on s.id = t.id) select id, case when go then 'RUNNING' else status end as status, case when go then {NOW} else started_at end as started_at from x", "tasks", "workflow_tasks", "workflows"),
     "finalize_outcomes": oracle(f"""{_OUT}, x as (select t.*, o.kind, o.task_id is not null and status = 'RUNNING' as own from tasks t left join o on o.task_id = t.id)

@@ -72,3 +72,40 @@ def test_finalize_ignores_tasks_that_do_not_run(spark):
 def test_descendants_reach_all_levels(spark):
     flows = spark.createDataFrame([("a", "RUNNING", None, 0), ("b", "RUNNING", "a", 1), ("c", "RUNNING", "b", 2), ("d", "PAUSED", "a", 1), ("e", "RUNNING", "d", 2)], "id string, status string, parent_workflow_id string, depth int")
     assert {r.id for r in T.descendants(flows, F.col("id") == "a", "RUNNING").collect()} == {"a", "b", "c"}
+
+
+def test_all_workers_claim_as_one_after_the_other(spark):
+    rng = random.Random(11)
+    for cluster_cap in (None, 40, 3):
+        ids = [f"w{i}" for i in range(9)]
+        tasks = [task(i, rng.choice("abcd"), rng.randint(1, 3), rng.choice(["PENDING", "PENDING", "PENDING", "RUNNING", "CLAIMED"]), rng.randint(-5, 60), rng.choice([None, -30, 30]), rng.choice([None, *ids])) for i in range(150)]
+        limits = {"a": (1, 2, 30), "b": (2, 1, None), "c": (3, 3, 9), "d": (4, 50, None)}
+        fleet = [(w, rng.randint(0, 20), rng.randint(0, 7), rng.choice([0, 0, 3]), rng.choice([0, 0, 2])) for w in ids]
+        caps = spark.createDataFrame([(q, *v) for q, v in limits.items()], "queue_name string, queue_order int, cap int, max_concurrency int")
+        workers = spark.createDataFrame(fleet, "worker_id string, worker_order int, processes int, prefetch int, max_claimed int")
+        got = {(r.worker_id, r.id) for r in C.claims_of_workers(spark.createDataFrame(tasks, SCHEMA), workers, caps, as_of(), cluster_cap).collect()}
+        active = lambda t: t[4] == "CLAIMED" and (t[8] is None or t[8] > NOW)
+        open_ = sorted((t for t in tasks if (t[4] == "PENDING" or t[4] == "CLAIMED" and t[8] is not None and t[8] < NOW) and t[5] <= NOW), key=lambda t: (t[3], t[5], t[0]))
+        expected, gone = set(), set()
+        for w, _, processes, prefetch, held_most in sorted(fleet, key=lambda f: (f[1], f[0])):
+            running, held = (sum(t[9] == w and f(t) for t in tasks) for f in (lambda t: t[4] == "RUNNING", active))
+            budget = 0 if held >= (held_most or processes + prefetch) else max(0, processes + prefetch - running - (0 if prefetch else held))
+            if cluster_cap is not None:
+                budget = min(budget, max(0, cluster_cap - sum(t[4] == "RUNNING" or active(t) for t in tasks) - len(gone)))
+            for q, (_, cap, limit) in limits.items():
+                busy = sum(t[1] == q and (t[4] == "RUNNING" or active(t) or t[0] in gone) for t in tasks)
+                room = min(cap, budget, cap if limit is None else max(0, limit - busy))
+                mine = [t[0] for t in open_ if t[1] == q and t[0] not in gone][:room]
+                expected |= {(w, i) for i in mine}
+                gone |= set(mine)
+                budget -= len(mine)
+        assert got == expected
+
+
+def test_no_queues_or_workers(spark):
+    df = spark.createDataFrame([task(1)], SCHEMA)
+    caps = spark.createDataFrame([("a", 1, 2, None)], "queue_name string, queue_order int, cap int, max_concurrency int")
+    workers = spark.createDataFrame([("w", 1, 1, 0, 0)], "worker_id string, worker_order int, processes int, prefetch int, max_claimed int")
+    assert C.claims_of_workers(df, workers, caps.limit(0), as_of()).count() == 0
+    assert C.claims_of_workers(df, workers.limit(0), caps, as_of()).count() == 0
+    assert C.claims_of_workers(df, workers, caps, as_of(), 0).count() == 0
