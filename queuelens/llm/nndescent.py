@@ -19,11 +19,15 @@ was ever compared is in their lists.
 
 An audit compares nodes with all others by brute force, more and more of them
 until it has seen `MIN_LINKS` true links. If there are so few links that it has
-not after its limit, recall is unknown, and a warning says so. While
-the final links and components lack more of the true links than `recall`
+not after its limit, recall is measured at the links that an independent set of
+tables finds, each with a probability of `COLLISION`. While the final links and components lack more of the true links than `recall`
 allows, descent goes on with longer lists. If `ATTEMPTS` descents are not
-enough, every node is treated as saturated, which finds all links. All decisive
-cosines are computed in double precision.
+enough, every node is treated as saturated, which finds all links.
+
+Vectors travel in half precision, which moves a cosine by less than `MARGIN`
+whatever the number of components. What may link is decided by one test, in
+lists, blocks and audits alike: the dot product by the root of the product of
+the squared norms, all in double precision and summed up in the same order.
 
 Results, also for odd input:
 
@@ -33,14 +37,12 @@ Results, also for odd input:
   any id has a null id, and `kept` is false for rows without an id;
 * repeated rows link with each other, and each gets a result row;
 * vectors shorter than the longest one are filled up with zeros;
-* cosines equal to the threshold link; an empty table gives no rows;
+* cosines equal to the threshold link, as far as doubles tell; an empty table gives no rows;
 * columns beside id and vector are ignored, whatever their names.
 """
 
 from __future__ import annotations
 
-import warnings
-
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, Window
@@ -69,8 +71,12 @@ MIN_LINKS = 100
 #: An audit ends at so many nodes or so many comparisons, whichever are more.
 AUDIT_NODES = 1 << 14
 AUDIT_PAIRS = 1 << 33
-#: Byte vectors may miss a cosine by as much.
-MARGIN = 0.02
+#: Vectors of half precision may miss a cosine by as much: twice 2**-11, and rounding.
+MARGIN = 1.5e-3
+#: How much better than the worst entry of a full list a new one must be.
+STEP = 1e-3
+#: Products of unit vectors miss a cosine in double precision by less.
+SLACK = 1e-9
 #: Cosine to its leader that a node has at least when it joins a ball.
 NEAR_LEADER = 0.96
 #: Bytes of vectors that meet all nodes in one pass.
@@ -78,9 +84,34 @@ PASS_BYTES = 4 << 20
 _GRAPH = "node long, other long, sim double"
 
 
-def _units(column: pa.Array, dim: int) -> np.ndarray:
+def _rows(column: pa.Array, dim: int) -> np.ndarray:
+    """Rows of doubles, scaled by powers of two so that no product over- or underflows; that changes no cosine."""
     rows = matrix(column, dim)
-    return rows / np.linalg.norm(rows, axis=1)[:, None]
+    return np.ldexp(rows, -np.frexp(np.abs(rows).max(axis=1, initial=0))[1][:, None])
+
+
+def _units(column: pa.Array, dim: int) -> np.ndarray:
+    return _normal(_rows(column, dim))
+
+
+def _normal(rows: np.ndarray) -> np.ndarray:
+    return rows / np.sqrt((rows * rows).sum(axis=1))[:, None]
+
+
+def cosines(x: np.ndarray, y: np.ndarray) -> np.ndarray:
+    """The cosine of each row of x with the same row of y: what decides whether they link."""
+    return (x * y).sum(axis=1) / np.sqrt((x * x).sum(axis=1) * (y * y).sum(axis=1))
+
+
+def near(x: np.ndarray, y: np.ndarray, threshold: float) -> np.ndarray:
+    """Which rows of x link with which of y, as `cosines` has it; products of unit vectors leave only those at the threshold to it."""
+    product = _normal(x) @ _normal(y).T
+    out = product >= threshold
+    i, j = np.nonzero(np.abs(product - threshold) <= SLACK)
+    for a in range(0, len(i), 1 << 12):
+        part = slice(a, a + (1 << 12))
+        out[i[part], j[part]] = cosines(x[i[part]], y[j[part]]) >= threshold
+    return out
 
 
 def nodes_of(vectors: DataFrame, vector_col: str) -> DataFrame:
@@ -106,13 +137,12 @@ def _best(ids: np.ndarray, sims: np.ndarray, k: int):
 
 
 def _shrunk(batch: pa.RecordBatch, dim: int) -> pa.Array:
-    """Unit vectors with a byte per component."""
-    rows = np.clip(np.round(_units(batch.column("v"), dim) * 127), -127, 127).astype(np.int8)
-    return pa.array([r.tobytes() for r in rows], pa.binary())
+    """Unit vectors in half precision."""
+    return pa.array([r.tobytes() for r in _units(batch.column("v"), dim).astype(np.float16)], pa.binary())
 
 
 def _grown(column: pa.ChunkedArray, dim: int) -> np.ndarray:
-    rows = np.frombuffer(b"".join(column.to_pylist()), np.int8).reshape(-1, dim).astype(np.float32)
+    rows = np.frombuffer(b"".join(column.to_pylist()), np.float16).reshape(-1, dim).astype(np.float32)
     norm = np.linalg.norm(rows, axis=1)
     return rows / np.where(norm > 0, norm, 1)[:, None]
 
@@ -123,13 +153,13 @@ def tables_for(bits: int, threshold: float) -> int:
     return TABLES if shared >= 1 else max(TABLES, int(np.ceil(np.log(1 - COLLISION) / np.log1p(-shared))))
 
 
-def first_graph(nodes: DataFrame, dim: int, count: int, k: int, threshold: float) -> DataFrame:
-    """Neighbours within the buckets of tables of random hyperplanes."""
+def first_graph(nodes: DataFrame, dim: int, count: int, k: int, threshold: float, seed: int = 7, near_only: bool = False) -> DataFrame:
+    """Neighbours within the buckets of tables of random hyperplanes; with `near_only` just those that may link."""
     bits = max(1, int(np.ceil(np.log2(max(2, count / BUCKET)))))
     tables = tables_for(bits, threshold)
 
     def codes(batches):
-        planes = np.random.default_rng(7).standard_normal((dim, tables * bits))
+        planes = np.random.default_rng(seed).standard_normal((dim, tables * bits))
         for whole in batches:
             for start in range(0, whole.num_rows, BLOCK):
                 batch = whole.slice(start, BLOCK)
@@ -145,17 +175,17 @@ def first_graph(nodes: DataFrame, dim: int, count: int, k: int, threshold: float
     placed = written(nodes.select("node", "v").mapInArrow(codes, "node long, bucket long"), "vectors-buckets")
     # Large buckets are dealt out into blocks.
     blocks = placed.groupBy("bucket").agg(F.ceil(F.count("*") / BLOCK).cast("long").alias("blocks"))
-    further = F.col("bucket") >= (TABLES << bits)
+    further = F.lit(True) if near_only else F.col("bucket") >= (TABLES << bits)
     placed = placed.join(blocks, "bucket").select("node", further.alias("further"), F.xxhash64("bucket", F.pmod(F.xxhash64("node", "bucket"), "blocks")).alias("place"))
     met = placed.join(nodes.select("node", "v").mapInArrow(shrink, "node long, v binary"), "node")
 
     def work(table: pa.Table):
         ids, rows = table.column("node").to_numpy(), _grown(table.column("v"), dim)
-        near_only = table.column("further").to_numpy()
+        only = table.column("further").to_numpy(zero_copy_only=False)
         edge = bounds(table.column("place").to_numpy())
         for a, b in zip(edge[:-1], edge[1:]):
             node, other, sim = _best(ids[a:b], rows[a:b] @ rows[a:b].T, k)
-            keep = sim >= (threshold - MARGIN if near_only[a] else -2)
+            keep = sim >= (threshold - MARGIN if only[a] else -2)
             yield _graph_batch(node[keep], other[keep], sim[keep].astype(float))
 
     return map_groups(met.select("place", "further", "node", "v"), "place", work, _GRAPH)
@@ -179,7 +209,7 @@ def descend(graph: DataFrame, nodes: DataFrame, dim: int, k: int) -> DataFrame:
     back = back.withColumn("place", F.row_number().over(order)).filter(F.col("place") <= k)
     met = graph.select("node", "other").unionByName(back.select("node", "other")).unionByName(nodes.select("node", F.col("node").alias("other"))).distinct()
     worst = graph.groupBy("node").agg(F.when(F.count("*") >= k, F.min("sim")).otherwise(F.lit(-2.0)).alias("worst"))
-    # What travels is a byte per component; links are computed anew in the end.
+    # What travels is in half precision; links are computed anew in the end.
     small = nodes.join(worst, "node", "left").select(F.col("node").alias("other"), "v", F.coalesce("worst", F.lit(-2.0)).alias("worst"))
 
     def shrink(batches):
@@ -199,7 +229,7 @@ def descend(graph: DataFrame, nodes: DataFrame, dim: int, k: int) -> DataFrame:
                 at = part[:, None] + np.arange(n)
                 block = rows[at]
                 sims = block @ block.transpose(0, 2, 1)
-                good = sims > worst[at][:, :, None] + 1e-3
+                good = sims > worst[at][:, :, None] + STEP
                 good[:, np.arange(n), np.arange(n)] = False
                 g, i, j = np.nonzero(good)
                 yield _graph_batch(ids[at[g, i]], ids[at[g, j]], sims[g, i, j].astype(float))
@@ -215,9 +245,8 @@ def exact_links(pairs: DataFrame, nodes: DataFrame, dim: int, threshold: float)
 
     def run(batches):
         for batch in batches:
-            x, y = matrix(batch.column("x"), dim), matrix(batch.column("y"), dim)
-            near = (x * y).sum(axis=1) / (np.linalg.norm(x, axis=1) * np.linalg.norm(y, axis=1)) >= threshold
-            yield pa.RecordBatch.from_arrays([batch.column("u"), batch.column("v")], names=["u", "v"]).filter(pa.array(near))
+            linked = cosines(_rows(batch.column("x"), dim), _rows(batch.column("y"), dim)) >= threshold
+            yield pa.RecordBatch.from_arrays([batch.column("u"), batch.column("v")], names=["u", "v"]).filter(pa.array(linked))
 
     return full.select("u", "v", "x", "y").mapInArrow(run, "u long, v long")
 
@@ -229,9 +258,9 @@ def _counts(links: DataFrame, nodes: DataFrame) -> DataFrame:
 
 
 def saturated(graph: DataFrame, k: int, threshold: float) -> DataFrame:
-    """(node): nodes whose lists of k entries hold nothing but links, so that there may be more."""
+    """(node): nodes whose lists of k entries hold nothing that is surely no link, so that there may be more."""
     lists_ = graph.groupBy("node").agg(F.min("sim").alias("least"), F.count("*").alias("entries"))
-    return lists_.filter((F.col("entries") >= k) & (F.col("least") >= threshold - MARGIN)).select("node")
+    return lists_.filter((F.col("entries") >= k) & (F.col("least") >= threshold - MARGIN - STEP)).select("node")
 
 
 def balls(full: DataFrame, nodes: DataFrame, dim: int) -> DataFrame:
@@ -296,12 +325,12 @@ def within_reach(member: DataFrame, nodes: DataFrame, dim: int, threshold: float
     return nodes.sparkSession.read.schema("node long, ball long").parquet(path)
 
 
-def _joined(near: np.ndarray, x: np.ndarray, y: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+def _joined(linked: np.ndarray, x: np.ndarray, y: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     """For each row and column the least id it is linked with, over any number of links."""
     none = np.iinfo(np.int64).max
     while True:
-        low_y = np.minimum(y, np.where(near, x[:, None], none).min(axis=0))
-        low_x = np.minimum(x, np.where(near, low_y, none).min(axis=1))
+        low_y = np.minimum(y, np.where(linked, x[:, None], none).min(axis=0))
+        low_x = np.minimum(x, np.where(linked, low_y, none).min(axis=1))
         if (low_x == x).all() and (low_y == y).all():
             return x, y
         x, y = low_x, low_y
@@ -325,16 +354,16 @@ def complete(full: DataFrame, nodes: DataFrame, dim: int, threshold: float) -> D
     def work(table: pa.Table):
         ids, many, place = (table.column(c).to_numpy() for c in ("node", "many", "place"))
         inside, is_full = (table.column(c).to_numpy() for c in ("member", "full"))
-        units = _units(table.column("v"), dim)
+        vectors = _rows(table.column("v"), dim)
         edge = bounds(place)
         for a, b in zip(edge[:-1], edge[1:]):
             x, y = np.flatnonzero(inside[a:b]) + a, np.flatnonzero(~inside[a:b]) + a
             if not len(x) or not len(y):
                 continue
-            near = (units[x] @ units[y].T >= threshold) & (ids[x][:, None] != ids[y])
-            low_x, low_y = _joined(near, ids[x], ids[y])
+            linked = near(vectors[x], vectors[y], threshold) & (ids[x][:, None] != ids[y])
+            low_x, low_y = _joined(linked, ids[x], ids[y])
             # Two nodes of `full` meet twice: each of them is once the one within reach.
-            n = [near @ (many[y] * ~is_full[y]), many[x] @ near]
+            n = [linked @ (many[y] * ~is_full[y]), many[x] @ linked]
             yield pa.RecordBatch.from_arrays([pa.array(np.append(ids[x], ids[y])), pa.array(np.append(*n)), pa.array(np.append(low_x, low_y))], names=["node", "n", "root"])
 
     return map_groups(met.select("place", "node", "full", "member", "v", "many"), "place", work, "node long, n long, root long")
@@ -357,18 +386,22 @@ def settle(graph: DataFrame, full: DataFrame, nodes: DataFrame, dim: int, thresh
 
 def _audited(few: pa.Table, nodes: DataFrame, counts: DataFrame, roots: DataFrame, dim: int, threshold: float) -> tuple[int, int]:
     """(true, found): links of the nodes `few`, which are all compared with every node."""
-    ids, rows = few.column("node").to_numpy(), _units(few.column("v"), dim)
+    ids, rows = few.column("node").to_numpy(), _rows(few.column("v"), dim)
 
     def run(batches):
         for whole in batches:
             for start in range(0, whole.num_rows, BLOCK):
                 batch = whole.slice(start, BLOCK)
-                q, c = np.nonzero(rows @ _units(batch.column("v"), dim).T >= threshold)
+                q, c = np.nonzero(near(rows, _rows(batch.column("v"), dim), threshold))
                 other, many = (batch.column(name).to_numpy()[c] for name in ("node", "many"))
                 own = ids[q] == other
                 yield pa.RecordBatch.from_arrays([pa.array(ids[q][~own]), pa.array(other[~own]), pa.array(many[~own])], names=["node", "other", "many"])
 
-    true = nodes.select("node", "v", "many").mapInArrow(run, "node long, other long, many long")
+    return _recalled(nodes.select("node", "v", "many").mapInArrow(run, "node long, other long, many long"), counts, roots)
+
+
+def _recalled(true: DataFrame, counts: DataFrame, roots: DataFrame) -> tuple[int, int]:
+    """(true, found) of true links (node, other, many): a node finds as many as it counts and has in its component."""
     root = lambda name: roots.select(F.col("node").alias(name), F.col("root").alias(f"{name}_root"))
     together = F.when(F.col("node_root") == F.col("other_root"), F.col("many")).otherwise(0)
     true = true.join(root("node"), "node", "left").join(root("other"), "other", "left").groupBy("node").agg(F.sum("many").alias("true"), F.sum(together).alias("together"))
@@ -376,6 +409,19 @@ def _audited(few: pa.Table, nodes: DataFrame, counts: DataFrame, roots: DataFram
     return sums.t or 0, sums.f or 0
 
 
+def probe(nodes: DataFrame, counts: DataFrame, roots: DataFrame, dim: int, count: int, k: int, threshold: float) -> tuple[float, DataFrame]:
+    """(recall, links) at the links that tables independent of the first ones find.
+
+    Each link shares a bucket there with a probability of `COLLISION`; without
+    any, it is as unlikely that there are some.
+    """
+    candidates = first_graph(nodes, dim, count, k, threshold, seed=11, near_only=True)
+    links = written(exact_links(candidates, nodes, dim, threshold), "vectors-probe")
+    both = links.select(F.col("u").alias("node"), F.col("v").alias("other")).unionByName(links.select(F.col("v").alias("node"), F.col("u").alias("other")))
+    true, found = _recalled(both.join(nodes.select(F.col("node").alias("other"), "many"), "other"), counts, roots)
+    return found / true if true else 1.0, links
+
+
 def audit(nodes: DataFrame, counts: DataFrame, roots: DataFrame, dim: int, threshold: float) -> float | None:
     """Recall of the final links at the audited nodes; None if too few links were seen to tell.
 
@@ -417,8 +463,12 @@ def near_duplicates(vectors: DataFrame, threshold: float = 0.9, id_col: str = "v
         counts, roots = settle(graph, saturated(graph, k, threshold), nodes, dim, threshold)
         reached = audit(nodes, counts, roots, dim, threshold)
         if reached is None:
-            warnings.warn("recall of near-duplicate links is unknown: the audit saw too few links", stacklevel=2)
-        if reached is None or reached >= recall:
+            reached, links = probe(nodes, counts, roots, dim, count, k, threshold)
+            if reached < recall:  # what the probe found joins the lists
+                ends = links.select(F.col("u").alias("node"), F.col("v").alias("other"), F.lit(float(threshold)).alias("sim"))
+                more = ends.unionByName(ends.select(F.col("other").alias("node"), F.col("node").alias("other"), "sim"))
+                graph = written(_top(graph.unionByName(more), 2 * k), "vectors-graph")
+        if reached >= recall:
             break
     else:
         counts, roots = settle(graph, nodes.select("node"), nodes, dim, threshold)
