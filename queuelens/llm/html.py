@@ -66,6 +66,11 @@ MARKS = frozenset(
     "nav navbar navigation menu breadcrumb breadcrumbs pagination pager footer masthead sidebar aside complementary contentinfo search toolbar share sharing social related recommended widget "
     "comment comments disqus respond replies reply hidden".split()
 )
+#: Words that say where or how a part is, beside a mark.
+BESIDE = frozenset(
+    "site main top bottom left right page global primary secondary mobile desktop sticky fixed floating inline bar list lists box boxes form links link items item block blocks section area wrapper wrap container inner outer "
+    "panel pane header head title body content group row column col widget widgets posts post articles stories entries topics buttons button icons icon thread count text unit slot region zone policy message dialog window".split()
+)
 CONTENT = frozenset(["article", "main"])
 HEADINGS = frozenset("h1 h2 h3 h4 h5 h6".split())
 CONTAINERS = frozenset("div section article main body html".split())
@@ -103,10 +108,16 @@ def _hidden(name: str, value: str) -> bool:
     return name == "hidden" or name == "aria-hidden" and value == "true" or name == "style" and _NONE.search(value) is not None
 
 
+def _is_mark(name: str) -> bool:
+    """Whether a name consists of a mark, or of marks and words that say where or how: "left-sidebar", not "search-algorithms"."""
+    words = [w.lower() for w in _NAME.findall(name)]
+    return any(w in MARKS for w in words) and all(w in MARKS or w in BESIDE for w in words)
+
+
 def marked(text: str) -> bool:
     """Whether an element's attributes say that it is no content."""
     for name, value in attributes(text) if text else ():
-        if _hidden(name, value) or name in ("class", "id", "role") and any(w.lower() in MARKS for w in _NAME.findall(value)):
+        if _hidden(name, value) or name in ("class", "id", "role") and any(map(_is_mark, value.split())):
             return True
     return False
 

@@ -90,3 +90,12 @@ def test_long_pages_take_linear_time(unit):
     began = time.process_time()
     html.content(page)
     assert time.process_time() - began < 8
+
+
+def test_marks_are_whole_names():
+    """A word inside a name is no mark; a name of marks, or of marks and places, is."""
+    prose = "<p>" + "Some long sentence, with commas, about the matter. " * 6 + "</p>"
+    for attribute in ("class='search-algorithms'", "class='comment-period'", "class=related-work", "id='menu-engineering'", "class='socialHistory'"):
+        assert "kept words" in html.content(f"<article>{prose}<section {attribute}><p>kept words, here.</p></section>{prose}</article>"), attribute
+    for attribute in ("class='left-sidebar'", "class=relatedPosts", "id=comments2", "class='x cookie-notice'", "class='main-nav-links'"):
+        assert "lost words" not in html.content(f"<article>{prose}<section {attribute}><p>lost words, here.</p></section>{prose}</article>"), attribute
