@@ -124,6 +124,16 @@ def _with(nodes: DataFrame, moved: DataFrame) -> DataFrame:
     return seen.withColumn("status", F.coalesce("verdict", "status")).select(nodes.columns)
 
 
+def waiting(nodes: DataFrame) -> DataFrame:
+    """(workflow_id, task_index, dependencies) of PENDING nodes."""
+    return nodes.filter("status = 'PENDING'").select("workflow_id", "task_index", "dependencies")
+
+
+def ready(nodes: DataFrame) -> DataFrame:
+    """(workflow_id, task_index, dependencies, is_subworkflow) of READY nodes."""
+    return nodes.filter("status = 'READY'").select("workflow_id", "task_index", "dependencies", "is_subworkflow")
+
+
 def sinks(nodes: DataFrame) -> DataFrame:
     """Nodes that no other node depends on."""
     used = edges(nodes).select("workflow_id", F.col("dep").alias("task_index"))

@@ -197,6 +197,17 @@ def expand(children: DataFrame, definitions: DataFrame, as_of: Column) -> DataFr
     return transitions.start_workflow(nodes.withColumn("id", F.concat_ws("/", "workflow_id", F.col("task_index").cast("string"))), as_of)
 
 
+def append(table: DataFrame, rows: DataFrame) -> DataFrame:
+    """A table of heartbeats or snapshots with new rows; columns that these lack are null, others than the table's are left out."""
+    known = [c for c in rows.columns if c in table.columns]
+    return table.unionByName(rows.select(*[F.col(c).cast(table.schema[c].dataType).alias(c) for c in known]), allowMissingColumns=True)
+
+
+def of_workflows(tasks: DataFrame, nodes: DataFrame) -> DataFrame:
+    """(id): the tasks that belong to a node; whoever waits for one asks its workflow too."""
+    return tasks.select("id").join(nodes.select(F.col("task_id").alias("id")), "id", "left_semi")
+
+
 # ---- lookups ---------------------------------------------------------------
 
 

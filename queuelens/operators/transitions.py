@@ -181,6 +181,11 @@ def reset_nodes(nodes: DataFrame, which: Column) -> DataFrame:
     return update(nodes, which, {"status": F.lit("READY"), "task_id": F.lit(None), "started_at": F.lit(None)})
 
 
+def reset_subworkflows(nodes: DataFrame, which: Column) -> DataFrame:
+    """READY sub-workflow nodes that match wait again, for a later start of their child."""
+    return move_nodes(nodes, which & F.col("is_subworkflow"), "PENDING", only=("READY",))
+
+
 def end_nodes(nodes: DataFrame, outcomes: DataFrame, as_of: Column) -> DataFrame:
     """Nodes take the states and results of `outcomes` (workflow_id, task_index, to, outcome), unless they have ended.
 
@@ -228,6 +233,11 @@ def descendants(workflows: DataFrame, start: Column, through: str) -> DataFrame:
     return found.distinct()
 
 
+def children(workflows: DataFrame, status: str) -> DataFrame:
+    """(id, parent_workflow_id, depth, root_workflow_id) of the child workflows in a state."""
+    return workflows.filter((F.col("status") == status) & F.col("parent_workflow_id").isNotNull()).select("id", "parent_workflow_id", "depth", "root_workflow_id")
+
+
 def cascade(workflows: DataFrame, start: Column, through: str, to: str, as_of: Column) -> DataFrame:
     """Pause (RUNNING to PAUSED) or resume (PAUSED to RUNNING) workflows with all their children."""
     below = descendants(workflows, start, through).select(F.col("id").alias("_id"))

@@ -134,19 +134,20 @@ QUERIES = {
     "mark_ready": lambda t: T.mark_ready(full(t).workflow_tasks, F.col("task_index") % 2 == 1).select("id", "status", "changed"),
     "end_ready_nodes": lambda t: T.move_nodes(full(t).workflow_tasks, F.col("task_index") % 3 == 1, "FAILED", only=("READY",), result=F.lit('{"err":1}'), completed_at=t.as_of).select("id", "status", "result", "completed_at", "changed"),
     "enqueue_subworkflows": lambda t: T.enqueue_nodes(full(t).workflow_tasks, t.workflows, t.as_of, subworkflows=True).select("id", "status", "started_at", "changed"),
-    "reset_subworkflows": lambda t: T.move_nodes(full(t).workflow_tasks, F.col("is_subworkflow"), "PENDING", only=("READY",)).select("id", "status", "changed"),
+    "reset_subworkflows": lambda t: T.reset_subworkflows(full(t).workflow_tasks, F.lit(True)).select("id", "status", "changed"),
     "claim_limit": lambda t: _claim_limit(t),
     "claim_budget": lambda t: _budgets(t),
     "claims_of_workers": lambda t: C.claims_of_workers(t.tasks, _fleet(t), caps(t), t.as_of, 60000),
     "claim_all": lambda t: C.claim_all(full(t).tasks, C.claims_of_workers(t.tasks, _fleet(t), caps(t), t.as_of), t.as_of).select("id", "status", "updated_at", "changed", *_CLAIM),
     "delayed_messages": lambda t: L.delayed_messages(t.tasks, t.as_of),
-    "task_of_workflow": lambda t: t.tasks.select("id").join(t.workflow_tasks.select(F.col("task_id").alias("id")), "id", "left_semi"),
+    "task_of_workflow": lambda t: L.of_workflows(t.tasks, t.workflow_tasks),
     # inserts
     "insert_workflows": lambda t: L.insert(t.workflows, _children(t).unionByName(t.workflows.select("id", "name", F.lit("PENDING").alias("status"), "parent_workflow_id", "parent_task_index", "depth", "root_workflow_id", "created_at"))).select("id", "name", "status", "depth"),
     "link_children": lambda t: L.link_children(full(t).workflow_tasks, _children(t)).select("id", "status", "sub_workflow_id", "changed"),
     "expand_children": lambda t: L.expand(_children(t), _definitions(t), t.as_of).select("id", "workflow_id", "task_index", "node_id", "status", "created_at"),
     "materialise_nodes": lambda t: E.materialise(equipped(t).workflow_tasks, t.as_of),
-    "append_snapshots": lambda t: t.worker_states.select("id", "worker_id", "snapshot_at").unionByName(t.worker_states.select(-F.col("id"), "worker_id", F.lit(None).alias("snapshot_at")).toDF("id", "worker_id", "snapshot_at").withColumn("snapshot_at", t.as_of)),
+    "append_snapshots": lambda t: L.append(t.worker_states, t.worker_states.select((-F.col("id")).alias("id"), "worker_id", t.as_of.alias("snapshot_at"))).select("id", "worker_id", "snapshot_at"),
+    "append_heartbeats": lambda t: L.append(t.heartbeats, T.claimer_heartbeats(full(t).tasks, t.as_of, "worker-7", "host-1", 7)).select("task_id", "sender_id", "role", "sent_at"),
     # completions
     "failure_errors": lambda t: L.failure_errors(t.workflows, t.workflow_tasks),
     "apply_completions": lambda t: L.apply_completions(full(t).workflows, t.workflow_tasks, t.as_of).select(*_FLOW, "changed"),
@@ -164,9 +165,9 @@ QUERIES = {
     "workflow_outcome": lambda t: L.apply_completions(full(t).workflows, t.workflow_tasks, t.as_of).filter("status in ('COMPLETED', 'FAILED')").select("id", "result", "error"),
     "node_summaries": lambda t: L.summaries(equipped(t).workflow_tasks).select("workflow_id", "task_index", F.explode("summaries").alias("node_id", "summary")),
     "node_config": lambda t: L.node_config(t.workflow_tasks, t.workflows),
-    "pending_nodes": lambda t: t.workflow_tasks.filter("status = 'PENDING'").select("workflow_id", "task_index", "dependencies"),
-    "ready_nodes": lambda t: t.workflow_tasks.filter("status = 'READY'").select("workflow_id", "task_index", "is_subworkflow"),
-    "paused_children": lambda t: t.workflows.withColumn("status", F.when(F.col("status") == "COMPLETED", "PAUSED").otherwise(F.col("status"))).filter("status = 'PAUSED' and parent_workflow_id is not null").select("id", "parent_workflow_id"),
+    "pending_nodes": lambda t: D.waiting(t.workflow_tasks),
+    "ready_nodes": lambda t: D.ready(t.workflow_tasks),
+    "paused_children": lambda t: T.children(t.workflows.withColumn("status", F.when(F.col("status") == "COMPLETED", "PAUSED").otherwise(F.col("status"))), "PAUSED"),
     "task_notifications": lambda t: L.notifications(t.tasks, L.insert(T.expire_pending(full(t).tasks, t.as_of).select("id", "status", "queue_name"), t.tasks.select(F.concat("id", F.lit("-new")).alias("id"), F.lit("PENDING").alias("status"), "queue_name")), "task"),
     "workflow_notifications": lambda t: L.notifications(t.workflows, T.pause(full(t).workflows, F.lit(True), t.as_of), "workflow"),
     "workflow_statuses": lambda t: M.workflow_totals(t.workflows),
@@ -180,6 +181,7 @@ QUERIES = {
     "schedule_hashes": lambda t: _schedules(t).select("schedule_name", schedule.config_hash_of(F.col("pattern"), F.col("timezone")).alias("config_hash")),
     "advisory_key": lambda t: t.schedule_state.select("schedule_name", ids.advisory_key(F.col("schedule_name")).alias("key")),
     "upgrade_tasks": lambda t: _upgraded(t),
+    "upgrade_attempts": lambda t: schemas.upgrade_attempts(t.task_attempts.drop("will_retry", "worker_id"), t.tasks, t.as_of).select("task_id", "attempt", "will_retry", "worker_id", "worker_process_name", "created_at"),
     "tagged_values": lambda t: _tagged(t),
     "nested_definitions": lambda t: D.nested_definitions(_uses(t)),
 }
@@ -343,6 +345,7 @@ case when own and not re and out = 0 then {NOW} else completed_at end as complet
     "link_children": oracle(f", c as {_CHILD} select n.id, case when c.id is not null then 'RUNNING' else n.status end as status, c.id as sub_workflow_id, c.id is not null as changed from workflow_tasks n left join c on c.workflow_id = n.workflow_id and c.task_index = n.task_index", "workflow_tasks", "workflows"),
     "expand_children": oracle(f", c as {_CHILD} select concat(id, '/', i) as id, id as workflow_id, cast(i as int) as task_index, concat('n', i) as node_id, case when i = 0 then 'READY' else 'PENDING' end as status, {NOW} as created_at from c, range(3) r(i)", "workflow_tasks", "workflows"),
     "append_snapshots": oracle(f" select id, worker_id, snapshot_at from worker_states union all select -id, worker_id, {NOW} from worker_states", "worker_states"),
+    "append_heartbeats": oracle(f" select task_id, sender_id, role, sent_at from heartbeats union all select id, 'worker-7', 'claimer', {NOW} from tasks where status = 'CLAIMED' and claimed_by_worker_id = 'worker-7'", "heartbeats", "tasks"),
     "failure_errors": oracle(f", rq as (select n.workflow_id, n.result from workflow_tasks n join workflows w on w.id = n.workflow_id and w.success_policy is not null where n.status = 'FAILED' and n.task_index in (0, 1, 2) qualify row_number() over (partition by n.workflow_id order by n.task_index) = 1) select w.id, case when success_policy is null then {X.error_of('f.result')} else coalesce({X.error_of('q.result')}, {X.CASE_NOT_MET}) end as error from workflows w left join {_FIRST.format(n='workflow_tasks')} f on f.workflow_id = w.id left join rq q on q.workflow_id = w.id", "workflows", "workflow_tasks"),
     "apply_completions": oracle(f"{_WF0}{_ended_flows('workflow_tasks', 'wf')} select * from cf", "workflows", "workflow_tasks"),
     "apply_on_error": oracle(f", x as (select w.*, {X.error_of('f.result')} as e, w.status = 'RUNNING' and f.workflow_id is not null as go from workflows w left join {_FIRST.format(n='workflow_tasks')} f on f.workflow_id = w.id) select id, case when go and on_error = 'pause' then 'PAUSED' else status end as status, case when go then e end as error, case when go then {NOW} else updated_at end as updated_at, go as changed from x", "workflows", "workflow_tasks"),
@@ -359,6 +362,7 @@ select id, case when id in (select id from hit) then 'RUNNING' else status end a
     "claim_budget": oracle(f", c as (select count(*) filter (claimed_by_worker_id = 'worker-7' and (status = 'RUNNING' or {_ACTIVE})) as strict, count(*) filter (claimed_by_worker_id = 'worker-7' and status = 'RUNNING') as soft, count(*) filter (claimed_by_worker_id = 'worker-7' and {_ACTIVE}) as held, count(*) filter (status = 'RUNNING' or {_ACTIVE}) as total from tasks), m(mode, cap, pre, lim, wide) as (values ('strict', 90, false, 90, null), ('prefetch', 90, true, 90, null), ('limited', 90, false, 1, null), ('capped', 90, false, 90, 100000), ('full', 90, false, 90, 5)) select mode, cast(case when held >= lim then 0 else least(greatest(0, cap - case when pre then soft else strict end), greatest(0, coalesce(wide - total, 1000000))) end as bigint) as budget from c, m", "tasks"),
     "delayed_messages": oracle(f" select concat('task_queue_', queue_name) as channel, id as payload, next_retry_at as deliver_at from tasks where status = 'PENDING' and next_retry_at > {NOW}", "tasks"),
     "upgrade_tasks": oracle(f" select id, case when {_N} % 2 = 0 then enqueued_at else {NOW} end as enqueued_at, 'legacy-pre-sha' as enqueue_sha from tasks", "tasks"),
+    "upgrade_attempts": oracle(" select task_id, attempt, false as will_retry, null as worker_id, null as worker_process_name, finished_at as created_at from task_attempts", "task_attempts"),
     "tagged_values": oracle(f" select id, case {_N} % 5 when 0 then 'datetime' when 1 then 'date' when 2 then 'result' when 3 then 'plain' end as kind, case when {_N} % 5 = 0 then enqueued_at end as at, case when {_N} % 5 = 1 then DATE '2024-02-29' end as day, case when {_N} % 5 = 2 then '7' end as ok from tasks", "tasks"),
     "node_results": oracle(" select workflow_id, node_id, result from workflow_tasks where result is not null", "workflow_tasks"),
     "node_result": oracle(" select workflow_id, node_id, result from workflow_tasks where result is not null and node_id = 'n1'", "workflow_tasks"),
@@ -366,8 +370,8 @@ select id, case when id in (select id from hit) then 'RUNNING' else status end a
     "node_summaries": oracle(""", e as (select distinct workflow_id, task_index, unnest(dependencies) as dep from workflow_tasks) select e.workflow_id, e.task_index, n.node_id, concat('{"total":', n.task_index, '}') as summary from e join workflow_tasks n on n.workflow_id = e.workflow_id and n.task_index = e.dep and n.is_subworkflow""", "workflow_tasks"),
     "node_config": oracle(" select n.workflow_id, n.task_index, n.status, n.join_type, n.min_success, n.allow_failed_deps, n.is_subworkflow, w.status as workflow_status, w.depth, w.root_workflow_id from workflow_tasks n join workflows w on w.id = n.workflow_id", "workflow_tasks", "workflows"),
     "pending_nodes": oracle(" select workflow_id, task_index, dependencies from workflow_tasks where status = 'PENDING'", "workflow_tasks"),
-    "ready_nodes": oracle(" select workflow_id, task_index, is_subworkflow from workflow_tasks where status = 'READY'", "workflow_tasks"),
-    "paused_children": oracle(" select id, parent_workflow_id from workflows where status in ('PAUSED', 'COMPLETED') and parent_workflow_id is not null", "workflows"),
+    "ready_nodes": oracle(" select workflow_id, task_index, dependencies, is_subworkflow from workflow_tasks where status = 'READY'", "workflow_tasks"),
+    "paused_children": oracle(" select id, parent_workflow_id, depth, root_workflow_id from workflows where status in ('PAUSED', 'COMPLETED') and parent_workflow_id is not null", "workflows"),
     "task_notifications": oracle(f", late as (select id from tasks where status = 'PENDING' and good_until <= {NOW}) select 'task_status' as channel, id as payload from late union all select 'task_done', id from late union all select unnest(['task_status', 'task_new', concat('task_queue_', queue_name)]), concat(id, '-new') from tasks", "tasks"),
     "workflow_notifications": oracle(" select unnest(['workflow_status', 'workflow_done']) as channel, id as payload from workflows where status = 'RUNNING'", "workflows"),
     "workflow_statuses": oracle(" select count(*) as total, count(*) filter (status = 'PENDING') as pending, count(*) filter (status = 'RUNNING') as running, count(*) filter (status = 'COMPLETED') as completed, count(*) filter (status = 'FAILED') as failed, count(*) filter (status = 'PAUSED') as paused, count(*) filter (status = 'CANCELLED') as cancelled from workflows", "workflows"),

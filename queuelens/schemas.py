@@ -79,6 +79,22 @@ def upgrade_tasks(tasks: DataFrame, as_of: Column) -> DataFrame:
     return tasks.withColumns({"enqueued_at": F.coalesce("enqueued_at", "sent_at", as_of), "enqueue_sha": F.coalesce("enqueue_sha", F.lit("legacy-pre-sha"))})
 
 
+def upgrade_attempts(attempts: DataFrame | None, tasks: DataFrame, as_of: Column) -> DataFrame:
+    """The table of attempts at the present schema; None is a database from before it existed.
+
+    Past attempts can't be told from a task, so that such a database starts
+    with an empty table. Rows of an older table get the columns that it lacks:
+    `will_retry` is false, and `created_at` the instant of their end.
+    """
+    kinds = {f.name: tasks.schema["enqueued_at"].dataType for f in TASK_ATTEMPTS if isinstance(f.dataType, T.TimestampType)}
+    if attempts is None:
+        empty = tasks.limit(0)
+        return empty.select(*[F.lit(None).cast(kinds.get(f.name, f.dataType)).alias(f.name) for f in TASK_ATTEMPTS])
+    whole = attempts.withColumns({f.name: F.lit(None).cast(kinds.get(f.name, f.dataType)) for f in TASK_ATTEMPTS if f.name not in attempts.columns})
+    ended = F.coalesce("created_at", "finished_at", as_of).cast(whole.schema["created_at"].dataType)
+    return whole.withColumns({"will_retry": F.coalesce("will_retry", F.lit(False)), "created_at": ended}).select([f.name for f in TASK_ATTEMPTS])
+
+
 def upgrade_workflows(workflows: DataFrame, as_of: Column) -> DataFrame:
     """Workflows written before `sent_at` existed."""
     workflows = complete(workflows, T.StructType([WORKFLOWS["sent_at"]]))

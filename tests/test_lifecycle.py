@@ -7,7 +7,8 @@ import os
 import pytest
 from pyspark.sql import functions as F
 
-from queuelens.functions import retry, tagged, udfs
+from queuelens import schemas
+from queuelens.functions import retry, schedule, tagged, udfs
 from queuelens.operators import lifecycle, transitions
 from queuelens.sources import shared, tables
 
@@ -79,3 +80,25 @@ def test_tables_are_read_from_a_database(spark, tmp_path):
     for name, df in plain.items():
         assert getattr(back, name).count() == df.count()
     assert back.heartbeats.rdd.getNumPartitions() > 1
+
+
+def test_attempts_of_a_database_without_them(spark):
+    t = tables.from_fixtures(spark, SF)
+    empty = schemas.upgrade_attempts(None, t.tasks, t.as_of)
+    assert empty.count() == 0 and empty.columns == [f.name for f in schemas.TASK_ATTEMPTS]
+
+
+def test_appended_rows_keep_the_table_s_columns(spark):
+    old = spark.createDataFrame([(1, "a")], "id long, kind string")
+    new = spark.createDataFrame([(2, "x")], "id int, other string")
+    assert sorted(map(tuple, lifecycle.append(old, new).collect()), key=str) == [(1, "a"), (2, None)]
+
+
+def test_hash_of_settings_is_that_of_their_stored_form(spark):
+    import hashlib
+
+    text = '{"pattern":{"type":"weekly","days":["monday"],"time":{"__time__":true,"value":"09:05:00"}},"timezone":"UTC"}'
+    assert schedule.config_hash(schedule.Weekly(("monday",), 9, 5), "UTC") == hashlib.sha256(text.encode()).hexdigest()
+    for pattern in (schedule.Interval(30), schedule.Hourly(5), schedule.Daily(3), schedule.Weekly(("monday",), 9, 5), schedule.Monthly(31, 6, 0, 1)):
+        row = spark.range(1).select(schedule.config_hash_of(schedule.pattern_of(pattern), F.lit("Europe/Berlin")).alias("h")).first()
+        assert row.h == schedule.config_hash(pattern, "Europe/Berlin")
