@@ -237,19 +237,25 @@ def delayed_messages(tasks: DataFrame, as_of: Column) -> DataFrame:
     return waiting.select(F.concat(F.lit("task_queue_"), F.col("queue_name")).alias("channel"), F.col("id").alias("payload"), F.col("next_retry_at").alias("deliver_at"))
 
 
-def notifications(old: DataFrame, new: DataFrame, kind: str) -> DataFrame:
-    """(channel, payload) messages between two states of the tasks ("task") or workflows ("workflow").
+def channels(kind: str, was: Column, to: Column, queue_name: Column) -> Column:
+    """Array of the channels that hear of a change of state, some of them null: of tasks ("task"), workflows ("workflow") or others.
 
     Fixed values: the names of the channels.
     """
+    created = was.isNull()
+    told = [F.lit(f"{kind}_status")]
+    if kind == "task":
+        pending = created & (to == "PENDING")
+        told += [F.when(pending, "task_new"), F.when(pending, F.concat(F.lit("task_queue_"), queue_name)), F.when(~created & to.isin("COMPLETED", "FAILED", "CANCELLED", "EXPIRED"), "task_done")]
+    elif kind == "workflow":
+        told += [F.when(~created & to.isin("COMPLETED", "FAILED", "CANCELLED", "PAUSED"), "workflow_done")]
+    return F.array(*told)
+
+
+def notifications(old: DataFrame, new: DataFrame, kind: str) -> DataFrame:
+    """(channel, payload) messages between two states of the tasks ("task") or workflows ("workflow")."""
     queue = ["queue_name"] if kind == "task" else []
     a, b = old.select("id", F.col("status").alias("_old")), new.select("id", F.col("status").alias("_new"), *queue)
     moved = b.join(a, "id", "left").filter(~F.col("_old").eqNullSafe(F.col("_new")))
-    created, to = F.col("_old").isNull(), F.col("_new")
-    channels = [F.lit(f"{kind}_status")]
-    if kind == "task":
-        pending = created & (to == "PENDING")
-        channels += [F.when(pending, "task_new"), F.when(pending, F.concat(F.lit("task_queue_"), F.col("queue_name"))), F.when(~created & to.isin("COMPLETED", "FAILED", "CANCELLED", "EXPIRED"), "task_done")]
-    else:
-        channels += [F.when(~created & to.isin("COMPLETED", "FAILED", "CANCELLED", "PAUSED"), "workflow_done")]
-    return moved.select(F.explode(F.array(*channels)).alias("channel"), F.col("id").alias("payload")).filter("channel is not null")
+    told = channels(kind, F.col("_old"), F.col("_new"), F.col("queue_name") if queue else F.lit(None).cast("string"))
+    return moved.select(F.explode(told).alias("channel"), F.col("id").alias("payload")).filter("channel is not null")

@@ -7,12 +7,10 @@ as the retention, so that no row is dropped that a batch query would keep.
 
 from __future__ import annotations
 
-from collections.abc import Callable, Iterator
+from collections.abc import Callable
 
-import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
-from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
 
 from queuelens.functions.times import ratio, rounded
 
@@ -44,26 +42,6 @@ def deduplicated(events: DataFrame, key: str, time: str, delay: str = DELAY) ->
     return events.withWatermark(time, delay).dropDuplicatesWithinWatermark([key])
 
 
-def liveness(heartbeats: DataFrame, timeout: int = 300, delay: str = "10 minutes") -> DataFrame:
-    """(task_id, last_seen, alive): a row when a task is heard of, one when it falls silent."""
-
-    def step(key: tuple, batches: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
-        if state.hasTimedOut:
-            (seen,) = state.get
-            state.remove()
-            yield pd.DataFrame({"task_id": [key[0]], "last_seen": [pd.Timestamp(seen, unit="us", tz="UTC")], "alive": [False]})
-            return
-        newest = max(int(b["sent_at"].max().timestamp() * 1_000_000) for b in batches)
-        old = state.get[0] if state.exists else 0
-        newest = max(newest, old)
-        state.update((newest,))
-        state.setTimeoutTimestamp(max(newest // 1000 + timeout * 1000, state.getCurrentWatermarkMs() + 1))
-        yield pd.DataFrame({"task_id": [key[0]], "last_seen": [pd.Timestamp(newest, unit="us", tz="UTC")], "alive": [True]})
-
-    seen = heartbeats.select("task_id", "sent_at").withWatermark("sent_at", delay)
-    return seen.groupBy("task_id").applyInPandasWithState(step, "task_id string, last_seen timestamp, alive boolean", "seen long", "append", GroupStateTimeout.EventTimeTimeout)
-
-
 def change_feed(tasks: DataFrame, time: str = "enqueued_at", delay: str = DELAY) -> DataFrame:
     """(channel, payload, at) messages of a stream of task rows, for each task and state once.
 
@@ -86,9 +64,9 @@ def reaper(ticks: DataFrame, tasks: DataFrame, heartbeats: DataFrame, step: Call
 
     Each round's tasks are written below `root` by number of the batch, so
     that a batch which is run again after a failure gives the same table.
-    Returns the folder of the last round.
+    Returns the folder of the last round; it is an error if no tick came.
     """
-    spark, rounds = tasks.sparkSession, [-1]
+    spark, rounds = tasks.sparkSession, []
 
     def one(batch: DataFrame, number: int) -> None:
         as_of = batch.agg(F.max("at").alias("at")).first().at
@@ -97,6 +75,8 @@ def reaper(ticks: DataFrame, tasks: DataFrame, heartbeats: DataFrame, step: Call
         rounds.append(number)
 
     ticks.writeStream.option("checkpointLocation", checkpoint).trigger(availableNow=True).foreachBatch(one).start().awaitTermination()
+    if not rounds:
+        raise ValueError("there was no tick")
     return f"{root}/round-{max(rounds)}"
 
 

@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from datetime import datetime, timedelta
 
-from queuelens.streaming import jobs
+from queuelens.streaming import jobs, state
 
 T0 = datetime(2024, 1, 1)
 SCHEMA = "task_id string, sent_at timestamp"
@@ -12,7 +12,7 @@ SCHEMA = "task_id string, sent_at timestamp"
 
 def test_silence_is_reported_by_event_time(spark, tmp_path):
     source, out = f"{tmp_path}/in", f"{tmp_path}/out"
-    stream = lambda: jobs.drain(jobs.liveness(spark.readStream.schema(SCHEMA).parquet(source), timeout=60, delay="0 seconds"), f"{tmp_path}/c", out)
+    stream = lambda: jobs.drain(state.liveness(spark.readStream.schema(SCHEMA).parquet(source), timeout=60, delay="0 seconds"), f"{tmp_path}/c", out)
     for rows in ([("a", T0), ("b", T0)], [("b", T0 + timedelta(seconds=200))], [("b", T0 + timedelta(seconds=400))]):
         spark.createDataFrame(rows, SCHEMA).write.mode("append").parquet(source)
         found = stream()
