@@ -3,6 +3,9 @@
 from __future__ import annotations
 
 import uuid
+from collections.abc import Iterator
+from contextlib import contextmanager
+from contextvars import ContextVar
 
 from pyspark.sql import DataFrame, SparkSession
 
@@ -10,8 +13,31 @@ from pyspark.sql import DataFrame, SparkSession
 _MADE: dict[str, list[str]] = {}
 
 
+#: Those of the innermost `scope`, if there is one.
+_OWN: ContextVar[list[str] | None] = ContextVar("own", default=None)
+
+
 def _made(spark: SparkSession) -> list[str]:
-    return _MADE.setdefault(spark.conf.get("spark.app.id", ""), [])
+    own = _OWN.get()
+    return _MADE.setdefault(spark.conf.get("spark.app.id", ""), []) if own is None else own
+
+
+@contextmanager
+def scope() -> Iterator[None]:
+    """Folders made inside are counted, and cleared, for themselves: `clear` inside touches no folder of another query of the session.
+
+    Folders that are left at the end count to what is around.
+    """
+    outer, own = _OWN.get(), []
+    token = _OWN.set(own)
+    try:
+        yield
+    finally:
+        _OWN.reset(token)
+        if own and outer is not None:
+            outer.extend(own)
+        elif own and (spark := SparkSession.getActiveSession()) is not None:
+            _made(spark).extend(own)
 
 
 def shared_dir(spark: SparkSession, name: str) -> str:

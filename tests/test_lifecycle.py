@@ -64,6 +64,19 @@ def test_folders_can_be_cleared(spark):
         first.count()
 
 
+def test_a_scope_clears_only_its_own_folders(spark):
+    before = shared.written(spark.range(2), "other")
+    count = shared.mark(spark)
+    with shared.scope():
+        assert shared.mark(spark) == 0
+        mine = shared.written(spark.range(3), "mine")
+        kept = shared.written(spark.range(4), "kept")
+        shared.clear(spark, 0, keep=1)
+    assert before.count() == 2 and kept.count() == 4 and shared.mark(spark) == count + 1
+    with pytest.raises(Exception, match="(?i)not.*exist|file"):
+        mine.count()
+
+
 def test_tables_are_read_from_a_database(spark, tmp_path):
     """An embedded database; heartbeats are read in parallel by id."""
     url = f"jdbc:derby:{tmp_path}/db;create=true"
