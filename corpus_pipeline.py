@@ -24,7 +24,7 @@ from queuelens.llm.common import fresh, small_enough, table, written
 from queuelens.llm.op2_quality import GOOD
 from queuelens.llm.op3_packing import END_ID, FILE
 from queuelens.llm.packing import pack
-from queuelens.sources.shared import clear, mark
+from queuelens.sources.shared import clear, scope
 
 
 def keep_good(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -77,8 +77,8 @@ ORACLE_SQL = None
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The rows of the last stage. What a stage has written goes as soon as the next one is written."""
     docs = table(spark, sf_dir, "documents")
-    since = mark(spark)
-    for name, stage in STAGES:
-        docs = written(stage(spark, docs, sf_dir), f"pipeline-{name}")
-        clear(spark, since, keep=1)
+    with scope():
+        for name, stage in STAGES:
+            docs = written(stage(spark, docs, sf_dir), f"pipeline-{name}")
+            clear(spark, keep=1)
     return docs
