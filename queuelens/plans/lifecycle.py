@@ -183,6 +183,7 @@ QUERIES = {
     "upgrade_tasks": lambda t: _upgraded(t),
     "upgrade_attempts": lambda t: schemas.upgrade_attempts(t.task_attempts.drop("will_retry", "worker_id"), t.tasks, t.as_of).select("task_id", "attempt", "will_retry", "worker_id", "worker_process_name", "created_at"),
     "tagged_values": lambda t: _tagged(t),
+    "nested_values": lambda t: tagged.nested(_nested(t), "id", "text"),
     "nested_definitions": lambda t: D.nested_definitions(_uses(t)),
 }
 
@@ -211,6 +212,14 @@ def _tagged(t: Tables):
     return rows.select("id", tagged.kind(F.col("text")).alias("kind"), tagged.as_timestamp(F.col("text")).cast("timestamp_ntz").alias("at"), tagged.as_date(F.col("text")).alias("day"), tagged.decode_result(F.col("text"))["ok"].alias("ok"))
 
 
+def _nested(t: Tables):
+    """Tagged values in lists, objects and results; every fifth date is damaged, every seventh text is no JSON."""
+    n = _number("id")
+    day = F.when(n % 5 == 0, "2024-13-01").otherwise("2024-02-29")
+    text = F.concat(F.lit('{"a":[1,{"__datetime__":true,"value":"2024-01-31T00:00:00+00:00"},{"b":{"__date__":true,"value":"'), day, F.lit('"}}],"c":{"__task_result__":true,"ok":{"d":["x",'), n.cast("string"), F.lit(']},"err":null},"e":{"__future__":true,"value":"y"},"f":{},"g":{"__date__":false}}'))
+    return t.tasks.select("id", F.when(n % 7 == 0, "{no json").otherwise(text).alias("text"))
+
+
 def _uses(t: Tables):
     """Definitions by number that use each other: chains, and a loop for every seventh."""
     n = t.workflows.select(_number("id").alias("n"))
@@ -364,6 +373,11 @@ select id, case when id in (select id from hit) then 'RUNNING' else status end a
     "upgrade_tasks": oracle(f" select id, case when {_N} % 2 = 0 then enqueued_at else {NOW} end as enqueued_at, 'legacy-pre-sha' as enqueue_sha from tasks", "tasks"),
     "upgrade_attempts": oracle(" select task_id, attempt, false as will_retry, null as worker_id, null as worker_process_name, finished_at as created_at from task_attempts", "task_attempts"),
     "tagged_values": oracle(f" select id, case {_N} % 5 when 0 then 'datetime' when 1 then 'date' when 2 then 'result' when 3 then 'plain' end as kind, case when {_N} % 5 = 0 then enqueued_at end as at, case when {_N} % 5 = 1 then DATE '2024-02-29' end as day, case when {_N} % 5 = 2 then '7' end as ok from tasks", "tasks"),
+    "nested_values": oracle(f""", n as (select id, {_N} as n from tasks), f as (select * from n where n % 7 <> 0) select id, '$' as path, null as kind, null as value, true as damaged from n where n % 7 = 0
+union all select id, '$.a[0]', 'plain', '1', false from f union all select id, '$.a[1]', 'datetime', '2024-01-31T00:00:00+00:00', false from f
+union all select id, '$.a[2].b', 'date', case when n % 5 = 0 then '2024-13-01' else '2024-02-29' end, n % 5 = 0 from f union all select id, '$.c.ok.d[0]', 'plain', '"x"', false from f
+union all select id, '$.c.ok.d[1]', 'plain', n::varchar, false from f union all select id, '$.e.__future__', 'plain', 'true', false from f union all select id, '$.e.value', 'plain', '"y"', false from f
+union all select id, '$.f', 'plain', '{{}}', false from f union all select id, '$.g.__date__', 'plain', 'false', false from f""", "tasks"),
     "node_results": oracle(" select workflow_id, node_id, result from workflow_tasks where result is not null", "workflow_tasks"),
     "node_result": oracle(" select workflow_id, node_id, result from workflow_tasks where result is not null and node_id = 'n1'", "workflow_tasks"),
     "workflow_outcome": oracle(f"{_WF0}{_ended_flows('workflow_tasks', 'wf')} select id, result, error from cf where status in ('COMPLETED', 'FAILED')", "workflows", "workflow_tasks"),
