@@ -6,7 +6,7 @@ and returns a lazy DataFrame.
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from queuelens.functions.times import ago, duration_text, ratio, rounded, seconds_between
@@ -16,20 +16,38 @@ from queuelens.schemas import WORKFLOW_STATES
 # ---- tasks -----------------------------------------------------------------
 
 
-def task_breakdown(tasks: DataFrame, retried_only: bool = False, statuses: list[str] | None = None) -> DataFrame:
+def _counted(tasks: DataFrame, retried_only: bool, statuses: list[str] | None) -> DataFrame:
+    base = where(tasks, F.col("retry_count") > 0 if retried_only else None)
+    if statuses is not None:
+        base = base.filter(F.col("status").isin(*statuses)) if statuses else base.filter(F.lit(False))
+    return base
+
+
+def task_ids(tasks: DataFrame, retried_only: bool = False, statuses: list[str] | None = None) -> DataFrame:
+    """(worker_id, id, retry_count, enqueued_at): the tasks that `task_breakdown` counts, a row each; for tables where a worker has too many for one row."""
+    return _counted(tasks, retried_only, statuses).select(F.coalesce("claimed_by_worker_id", F.lit("unknown")).alias("worker_id"), "id", "retry_count", "enqueued_at")
+
+
+def task_breakdown(tasks: DataFrame, retried_only: bool = False, statuses: list[str] | None = None, most: int | None = None) -> DataFrame:
     """Counts by state for each worker, with a total row, and the worker's tasks in order.
 
     With `statuses` only tasks in one of them count; an empty list means no
-    task. The ids are those of all counted tasks, whatever their state.
+    task. The ids are those of all counted tasks, whatever their state; with
+    `most` the first so many of each worker, which tasks cut to before the
+    shuffle (all of them in one row can be too many: see `task_ids`).
     """
-    base = where(tasks, F.col("retry_count") > 0 if retried_only else None)
-    if statuses is not None:
-        base = base.filter(F.col("status").isin(*statuses)) if statuses else base.filter(F.lit(False))
+    base = _counted(tasks, retried_only, statuses)
     states = {s: F.count_if(F.col("status") == s.upper()).alias(f"{s}_count") for s in ("pending", "claimed", "running", "completed", "failed", "cancelled", "expired")}
     numbers = [F.count("*").alias("total_count"), *states.values(), F.count_if(F.col("retry_count") > 0).alias("retried_count")]
     # A worker's tasks are gathered by worker alone: the total row holds no ids.
-    rows = F.array_sort(F.collect_list(F.struct("enqueued_at", "id", "retry_count")))
-    per_worker = base.groupBy("claimed_by_worker_id").agg(*numbers, rows.alias("rows"))
+    rows = F.array_sort(F.collect_list(F.struct("enqueued_at", "id", "retry_count"))).alias("rows")
+    if most is None:
+        per_worker = base.groupBy("claimed_by_worker_id").agg(*numbers, rows)
+    else:
+        place = F.row_number().over(Window.partitionBy("claimed_by_worker_id").orderBy("enqueued_at", "id"))
+        first = base.withColumn("place", place).filter(F.col("place") <= most).groupBy(F.col("claimed_by_worker_id").alias("_worker")).agg(rows)
+        counts = base.groupBy("claimed_by_worker_id").agg(*numbers)
+        per_worker = counts.join(first, F.col("claimed_by_worker_id").eqNullSafe(F.col("_worker")), "left").drop("_worker")
     per_worker = per_worker.select(
         F.lit(0).alias("g"), F.coalesce("claimed_by_worker_id", F.lit("unknown")).alias("worker_id"), *[c for c in per_worker.columns if c.endswith("_count")],
         F.transform("rows", lambda r: r.id).alias("claimed_task_ids"), F.transform("rows", lambda r: r.retry_count).alias("claimed_retry_counts"),

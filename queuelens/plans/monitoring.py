@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from pyspark.sql import functions as F
+
 from queuelens.operators import monitor as M
 from queuelens.sources.fixtures import oracle
 from queuelens.sources.tables import Tables
@@ -53,6 +55,8 @@ def _workflows(where: str, tail: str) -> str:
 
 QUERIES = {
     "task_breakdown": lambda t: M.task_breakdown(t.tasks),
+    "task_breakdown_first": lambda t: M.task_breakdown(t.tasks, most=5).select("worker_id", "total_count", "retried_count", F.array_join("claimed_task_ids", ",").alias("ids")),
+    "task_ids": lambda t: M.task_ids(t.tasks, True, ["FAILED", "RUNNING"]),
     "task_breakdown_filtered": lambda t: M.task_breakdown(t.tasks, True, ["FAILED", "RUNNING"]),
     "task_facets": lambda t: M.task_facets(t.tasks, statuses=("FAILED", "COMPLETED")),
     "queue_facets": lambda t: M.facet(M.task_facets(t.tasks, statuses=("FAILED", "COMPLETED")), "queue"),
@@ -88,6 +92,8 @@ QUERIES = {
 _SECONDS = f"date_diff('second', created_at, coalesce(completed_at, {NOW}))"
 ORACLES = {
     "task_breakdown": _breakdown("true"),
+    "task_breakdown_first": oracle(", r as (select *, coalesce(claimed_by_worker_id, 'unknown') as worker_id, row_number() over (partition by claimed_by_worker_id order by enqueued_at, id) as place from tasks) select worker_id, count(*) as total_count, count(*) filter (retry_count > 0) as retried_count, string_agg(id, ',' order by enqueued_at, id) filter (place <= 5) as ids from r group by 1 union all select 'TOTAL', count(*), count(*) filter (retry_count > 0), null from tasks", "tasks"),
+    "task_ids": oracle(" select coalesce(claimed_by_worker_id, 'unknown') as worker_id, id, retry_count, enqueued_at from tasks where retry_count > 0 and status in ('FAILED', 'RUNNING')", "tasks"),
     "task_breakdown_filtered": _breakdown("retry_count > 0 and status in ('FAILED', 'RUNNING')"),
     "queue_facets": oracle(" select queue_name as value, count(*) as count from tasks where status in ('FAILED', 'COMPLETED') group by 1 qualify row_number() over (order by count(*) desc, queue_name) <= 30", "tasks"),
     "task_facets": _facets("status in ('FAILED', 'COMPLETED')"),
