@@ -120,7 +120,8 @@ def render(text: str, duck: bool) -> str:
         elif duck:
             new = f"(TIMESTAMP '{AS_OF}' - to_seconds({given[0]}))"
         else:
-            new = f"(TIMESTAMP_NTZ '{AS_OF}' - make_dt_interval(0, 0, 0, {given[0]}))"
+            # As DuckDB's to_seconds, which takes a double; make_dt_interval takes no more than twelve digits of seconds.
+            new = f"timestampadd(MICROSECOND, -cast(cast({given[0]} as double) * 1000000 as bigint), TIMESTAMP_NTZ '{AS_OF}')"
         text = text[: m.start()] + new + text[end:]
     return text
 
