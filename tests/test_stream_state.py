@@ -90,3 +90,9 @@ def test_a_reaper_goes_on_from_its_last_round(spark, tmp_path):
     assert {r.id: r.n for r in spark.read.parquet(last).collect()} == {"a": 31, "b": 36}
     with pytest.raises(ValueError, match="no tick"):
         jobs.reaper(ticks, tasks, tasks, step, f"{tmp_path}/rounds", f"{tmp_path}/checkpoint")
+
+
+@pytest.mark.parametrize("case", [test_messages_come_when_they_are_due, test_silence_and_return])
+def test_keys_share_a_group_and_its_timer(spark, tmp_path, monkeypatch, case):
+    monkeypatch.setattr(state, "GROUPS", 1)
+    case(spark, tmp_path)
