@@ -364,7 +364,11 @@ def join(docs: DataFrame, n: int = 5, num: int = 80, den: int = 100) -> DataFram
     long = written(placed.join(long, "token", "left_semi"), "jaccard-long")
     if long.limit(1).count():
         pairs = meeting(placed.join(long.select("token").distinct(), "token", "left_anti"), ["token"], num, den)
-        both = long.join(second_prefixes(sketch.join(long.select("id").distinct(), "id", "left_semi")), "id")
+        # Tokens of one component alone meet nobody; what is left is joined once, not for each reader.
+        ids = long.select("id", "root").distinct()
+        second = second_prefixes(sketch.join(ids, "id", "left_semi")).join(ids, "id")
+        second = written(_several_roots(second, ["second"]).select("id", "second"), "jaccard-second")
+        both = written(long.join(second, "id"), "jaccard-both")
         both = written(_several_roots(both, ["token", "second"]), "jaccard-both")
         pairs = pairs.unionByName(meeting(both, ["token", "second"], num, den)).distinct()
     else:

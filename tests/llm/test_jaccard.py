@@ -32,3 +32,15 @@ def test_a_token_in_many_prefixes(spark):
     found = jaccard.join(docs, 1, 34, 100)
     assert found.filter("component_id <> doc_id").collect()[0][:] == (n, 5, 5)
     assert found.filter("component_id <> doc_id").count() == 1
+
+
+def test_long_lists_meet_shared_tokens_once(spark, monkeypatch):
+    """Texts with one long line and a few words of their own, just not similar enough: their own words meet no list."""
+    line = " ".join(f"line{i}" for i in range(36))
+    rows = [(d, line + " " + " ".join(f"own{d}x{k}" for k in range(5 + d % 4))) for d in range(40)]
+    made, write = [], jaccard.written
+    monkeypatch.setattr(jaccard, "LIST", 8)
+    monkeypatch.setattr(jaccard, "written", lambda df, name: (made.append(df.count()) if name == "jaccard-both" else None, write(df, name))[1])
+    found = jaccard.join(spark.createDataFrame(rows, "doc_id long, text string").coalesce(1), n=5, num=80, den=100).collect()
+    assert sorted((r.doc_id, r.component_id) for r in found) == [(d, d) for d, _ in rows]
+    assert len(made) == 2 and 0 < made[1] <= made[0] <= 4 * len(rows)
