@@ -35,6 +35,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import types as T
 
 from queuelens.llm.common import append_columns, texts
+from queuelens.llm.textstats import buffers
 
 #: Words that a worker remembers before it starts afresh.
 CACHE_WORDS = 500_000
@@ -42,7 +43,16 @@ CACHE_WORDS = 500_000
 CACHE_IDS = 4_000_000
 #: The splitting pattern of byte-level tokenizers.
 BYTE_LEVEL_PATTERN = r"'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"
+#: The same for characters below U+0250, where these are all letters, numbers and white space.
+NARROW_PATTERN = r"'s|'t|'re|'ve|'m|'ll|'d| ?[{L}]+| ?[{N}]+| ?[^{W}{L}{N}]+|[{W}]+(?![^{W}])|[{W}]+".format(L="A-Za-z\xaa\xb5\xba\xc0-\xd6\xd8-\xf6\xf8-\u024f", N="0-9\xb2\xb3\xb9\xbc-\xbe", W="\t-\r \x85\xa0")
+#: RE2: chunks that can't be split in one go, with a return between them: others than such characters, or white space that meets the return.
+ALONE = r"^[\s\x0b\x{85}\x{a0}]{2}|[\s\x0b\x{85}\x{a0}]$|[\r\x{250}-\x{10ffff}]"
 ODD_SPACE = re.compile("[\x1c-\x1f]")
+#: RE2: a space before white space or the end, where cutting at it would cut a run of white space, or an odd separator.
+UNEVEN = r" (?:[\s\x0b\x{85}\x{a0}\x{1680}\x{2000}-\x{200a}\x{2028}\x{2029}\x{202f}\x{205f}\x{3000}]|$)|[\x1c-\x1f]"
+
+
+_narrow = re.compile(NARROW_PATTERN).findall
 
 
 def byte_symbols() -> list[str]:
@@ -78,6 +88,8 @@ class Bpe:
         self._find, self._chunk = self._splitter(_steps(spec["pre_tokenizer"], "pretokenizers"))
         # Runs of white space need no squeezing where white space is dropped.
         dropped = self._chunk == str.split
+        #: Whether words take one space from the left, and no other text is changed, so that even texts are cut before each space.
+        self._spaced = not dropped and not spec["normalizer"]
         steps = [n for n in _steps(spec["normalizer"], "normalizers") if not (dropped and n.get("content") == " " and n["pattern"] == {"Regex": "\\s+"})]
         self._normal = [self._normalizer(n) for n in steps]
         self.byte_decoder = bool(spec["decoder"]) and spec["decoder"]["type"] == "ByteLevel"
@@ -167,25 +179,24 @@ class Bpe:
 
     # -- merging ----------------------------------------------------------
     def _reset(self) -> None:
-        self.index = {"\0" + t: k for k, t in enumerate(self.special)}
+        self.index = {"\0" + t: k for k, t in enumerate(self.special)} | {"": len(self.special)}
         self.flat = np.array(list(self.special.values()), np.int32)
-        self.start = np.arange(len(self.special), dtype=np.int64)
-        self.length = np.ones(len(self.special), np.int64)
+        self.start = np.append(np.arange(len(self.special), dtype=np.int64), 0)
+        self.length = np.append(np.ones(len(self.special), np.int64), 0)
 
-    def merged(self, new: list[str]) -> tuple[np.ndarray, np.ndarray]:
+    def merged(self, new: pa.Array) -> tuple[np.ndarray, np.ndarray]:
         """Ids of all words, flat, and the number of ids of each word."""
-        if not new:
+        if not len(new):
             return np.zeros(0, np.int32), np.zeros(0, np.int64)
-        raw = [w.encode("utf-8", "surrogatepass") for w in new]
-        size = np.fromiter(map(len, raw), np.int64, len(raw))
-        data = np.frombuffer(b"".join(raw), np.uint8)
+        data, offsets = buffers(new)
+        size = np.diff(offsets)
         symbol = self.byte_ids[data]
-        ends = np.cumsum(size) - 1
+        ends = offsets[1:] - 1
         symbol[ends] = self.last_ids[data[ends]]
-        word = np.repeat(np.arange(len(raw)), size)
+        word = np.repeat(np.arange(len(size)), size)
         never = len(self.keys)
-        merge = np.full(len(symbol), never)  # of each pair, by its first symbol: where its key stands
-        rank = np.full(len(symbol), never)
+        merge = np.full(len(symbol), never, np.int32)  # of each pair, by its first symbol: where its key stands
+        rank = np.full(len(symbol), never, np.int32)
 
         def look_up(at: np.ndarray) -> None:
             """Find the merges of the pairs that begin at the given places."""
@@ -226,43 +237,56 @@ class Bpe:
         symbol = np.concatenate([*done_symbol, symbol])
         word = np.concatenate([*done_word, word])
         order = np.argsort(word, kind="stable")
-        return symbol[order].astype(np.int32), np.bincount(word, minlength=len(raw))
+        return symbol[order].astype(np.int32), np.bincount(word, minlength=len(size))
 
     def _learn(self, new: list[str]) -> None:
-        """Encode chunks that were not met before and remember their ids."""
-        words: list[str] = []
-        counts = np.zeros(len(new), np.int64)
-        for i, chunk in enumerate(new):
-            own = self._find(chunk)
+        """Encode chunks that were not met before and remember their ids.
+
+        All that can be are split in one go, with a return between them that is a word of its own.
+        """
+        alone = np.ones(len(new), bool)
+        if self._spaced:
+            alone = pc.match_substring_regex(pa.array(new, pa.string()), ALONE).to_numpy(zero_copy_only=False)
+        joined = np.flatnonzero(~alone).tolist()
+        alone = np.flatnonzero(alone).tolist()
+        words = _narrow("\r".join(map(new.__getitem__, joined))) if joined else []
+        cut = len(words)
+        counts = np.zeros(len(alone), np.int64)
+        for i, k in enumerate(alone):
+            own = self._find(new[k])
             counts[i] = len(own)
             words += own
-        distinct = {w: k for k, w in enumerate(dict.fromkeys(words))}
-        flat, length = self.merged(list(distinct))
+        coded = pa.array(words, pa.string()).dictionary_encode()
+        at, distinct = coded.indices.to_numpy().astype(np.int64), coded.dictionary
+        if joined:
+            between = np.append(at[:cut] == pc.index(distinct, "\r").as_py(), np.zeros(len(at) - cut, bool))
+            counts = np.append(np.diff(np.concatenate([[-1], np.flatnonzero(between), [cut]])) - 1, counts)
+            at = at[~between]
+        flat, length = self.merged(distinct)
         start = np.cumsum(length) - length
-        at = np.fromiter(map(distinct.__getitem__, words), np.int64, len(words))
         ends = np.append(0, np.cumsum(length[at]))
         ids = flat[np.repeat(start[at] - ends[:-1], length[at]) + np.arange(ends[-1])]
         bounds = ends[np.append(0, np.cumsum(counts))]
         known = len(self.index)
-        self.index.update(zip(new, range(known, known + len(new))))
+        self.index.update(zip(map(new.__getitem__, joined + alone), range(known, known + len(new))))
         self.start = np.concatenate([self.start, len(self.flat) + bounds[:-1]])
         self.length = np.concatenate([self.length, np.diff(bounds)])
         self.flat = np.concatenate([self.flat, ids])
 
-    def encode_batch(self, batch: list[str]) -> tuple[np.ndarray, np.ndarray]:
-        """(ids of all texts as one flat int32 array, offsets of the texts in it)."""
-        found: list[str] = []
-        counts = np.zeros(len(batch), np.int64)
-        for i, text in enumerate(batch):
-            chunks = self.chunks(text)
-            counts[i] = len(chunks)
-            found += chunks
-        if len(self.index) > CACHE_WORDS or len(self.flat) > CACHE_IDS:
-            self._reset()
+    def _met(self, found: list[str]) -> np.ndarray:
+        """Where the ids of chunks are remembered; those that are new are learned."""
         at = np.fromiter(map(self.index.get, found, repeat(-1)), np.int64, len(found))
         if len(unmet := np.flatnonzero(at < 0)):
             self._learn(list(dict.fromkeys(map(found.__getitem__, unmet))))
             at[unmet] = [self.index[found[i]] for i in unmet]
+        return at
+
+    def _forget(self) -> None:
+        if len(self.index) > CACHE_WORDS or len(self.flat) > CACHE_IDS:
+            self._reset()
+
+    def _gather(self, at: np.ndarray, counts: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """Ids of remembered chunks, and offsets of the texts that have so many of them."""
         length = self.length[at]
         ends = np.cumsum(length)
         total = int(ends[-1]) if len(ends) else 0
@@ -270,6 +294,62 @@ class Bpe:
         word_ends = np.append(0, ends)
         return ids, word_ends[np.append(0, np.cumsum(counts))]
 
+    def encode_batch(self, batch: list[str]) -> tuple[np.ndarray, np.ndarray]:
+        """(ids of all texts as one flat int32 array, offsets of the texts in it)."""
+        self._forget()
+        found, counts = self._cut(batch)
+        return self._gather(self._met(found), counts)
+
+    def _cut(self, batch: list[str]) -> tuple[list[str], np.ndarray]:
+        """Chunks of all texts, and the number of chunks of each."""
+        found: list[str] = []
+        counts = np.zeros(len(batch), np.int64)
+        for i, text in enumerate(batch):
+            chunks = self.chunks(text)
+            counts[i] = len(chunks)
+            found += chunks
+        return found, counts
+
+    def encode_column(self, column: pa.Array) -> tuple[np.ndarray, np.ndarray]:
+        """`encode_batch` of an Arrow column of texts, nulls as empty ones.
+
+        Even texts are cut before each space by Arrow, and only distinct pieces
+        become Python strings.
+        """
+        column = pc.fill_null(column, "")
+        if not self._spaced:
+            return self.encode_batch(column.to_pylist())
+        self._forget()
+        uneven = pc.match_substring_regex(column, UNEVEN)
+        for token in self.special:
+            uneven = pc.or_(uneven, pc.match_substring(column, token))
+        uneven = uneven.to_numpy(zero_copy_only=False)
+        even = column.filter(pa.array(~uneven))
+        lists = pc.split_pattern(even, " ")
+        many = pc.list_value_length(lists).to_numpy()
+        coded = lists.flatten().dictionary_encode()
+        code = coded.indices.to_numpy()
+        heads = np.cumsum(many) - many
+        tail = np.ones(len(code), bool)
+        tail[heads] = False
+        used = np.zeros(len(coded.dictionary), bool)
+        used[code[tail]] = True
+        strings = coded.dictionary.to_numpy(zero_copy_only=False)
+        after = [" " + p for p in strings[used].tolist()]
+        first = strings[code[heads]].tolist()
+        odd, counts = self._cut(column.filter(pa.array(uneven)).to_pylist())
+        met = self._met(after + first + odd)
+        place = np.zeros(len(used), np.int64)
+        place[used] = met[: len(after)]
+        at = place[code]
+        at[heads] = met[len(after) : len(after) + len(first)]
+        total = np.zeros(len(column), np.int64)
+        total[~uneven], total[uneven] = many, counts
+        every = np.zeros(int(total.sum()), np.int64)
+        own = np.repeat(uneven, total)
+        every[~own], every[own] = at, met[len(after) + len(first) :]
+        return self._gather(every, total)
+
     # -- decoding ---------------------------------------------------------
     def decode_lists(self, lists: pa.ListArray) -> pa.Array:
         """Texts of arrays of ids; special tokens are kept."""

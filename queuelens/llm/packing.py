@@ -52,7 +52,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from queuelens.llm.bpe import load
-from queuelens.llm.common import in_small_batches, slices, small_enough, texts, written
+from queuelens.llm.common import in_small_batches, slices, small_enough, written
 
 #: Fractional bits of deficits, which are counted in chunks.
 BITS = 20
@@ -212,7 +212,7 @@ def tokenised(docs: DataFrame, path: str, end_id: int) -> DataFrame:
         part, held = TaskContext.get().partitionId(), {}
         for batch in batches:
             for rows in slices(batch, "text"):
-                ids, offsets = coder.encode_batch(texts(rows.column("text")))
+                ids, offsets = coder.encode_column(rows.column("text"))
                 flat = np.insert(ids, offsets[1:], end_id).astype(kind).tobytes()
                 tokens = np.diff(offsets) + 1
                 ends = np.cumsum(tokens) * np.dtype(kind).itemsize

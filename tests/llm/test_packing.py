@@ -2,10 +2,14 @@
 
 from __future__ import annotations
 
+import random
+
 import numpy as np
 import public_tokenizers
+import pyarrow as pa
+import tokenizers
 
-from queuelens.llm import packing
+from queuelens.llm import bpe, packing
 from queuelens.llm.op3_packing import END_ID, FILE
 
 
@@ -49,3 +53,17 @@ def test_sources_keep_their_names(spark):
     assert (first == got.groupby("doc_id")["doc_tokens"].max()).all()
     filled = got.groupby("sequence_id")["length"].sum()
     assert (filled.iloc[:-1] == 2048).all()
+
+
+def test_texts_cut_by_arrow_have_the_ids_of_the_library():
+    """Pieces between spaces, runs of any white space, odd separators, characters of all widths, special tokens and nulls."""
+    path = public_tokenizers.path("byte_bpe_50k.json")
+    own, lib = bpe.Bpe(path), tokenizers.Tokenizer.from_file(path)
+    rng = random.Random(5)
+    parts = [*" " * 8, *"\n\n\n", *"ab'sé²1,.…ß一", "\t", "\r", "\x0b", "\x85", "\xa0", "　", "\x1c", "​", "it's", *own.special]
+    texts = ["".join(rng.choice(parts) for _ in range(rng.randrange(14))) for _ in range(20_000)] + [None, "", " ", "   a", "a   ", "a" * 5000]
+    for at in range(0, len(texts), 3000):
+        some = texts[at : at + 3000]
+        ids, offsets = own.encode_column(pa.array(some, pa.string()))
+        expected = [lib.encode(t or "", add_special_tokens=False).ids for t in some]
+        assert [ids[a:b].tolist() for a, b in zip(offsets[:-1], offsets[1:])] == expected
