@@ -72,3 +72,9 @@ def test_tagged_values(spark):
     assert got[0].t.hour == 3 and got[1].d.day == 2 and got[2].r.ok == '{"a":1}' and got[3].r is None
     again = spark.range(1).select(G.decode_result(G.encode_result(F.lit("[1]"), F.lit(None).cast("string"))).alias("r")).first().r
     assert again.ok == "[1]" and again.err is None
+
+
+def test_seconds_between_counts_new_seconds(spark):
+    """As DuckDB's date_diff: parts of seconds make no difference, also before 1970."""
+    row = spark.sql("select TIMESTAMP_NTZ '1960-01-01 00:00:00.000064' as a, TIMESTAMP_NTZ '2024-01-31 00:00:00' as b, TIMESTAMP_NTZ '2024-01-31 00:00:01.9' as c")
+    assert tuple(row.select(times.seconds_between("a", "b"), times.seconds_between("b", "c"), times.seconds_between("c", "b")).first()) == (2_022_278_400, 1, -1)
