@@ -281,7 +281,11 @@ class Bpe:
             at[unmet] = [self.index[found[i]] for i in unmet]
         return at
 
-    def _forget(self) -> None:
+    def forget(self) -> None:
+        """Give the memory of remembered chunks back."""
+        self._reset()
+
+    def _bound(self) -> None:
         if len(self.index) > CACHE_WORDS or len(self.flat) > CACHE_IDS:
             self._reset()
 
@@ -296,7 +300,7 @@ class Bpe:
 
     def encode_batch(self, batch: list[str]) -> tuple[np.ndarray, np.ndarray]:
         """(ids of all texts as one flat int32 array, offsets of the texts in it)."""
-        self._forget()
+        self._bound()
         found, counts = self._cut(batch)
         return self._gather(self._met(found), counts)
 
@@ -319,7 +323,7 @@ class Bpe:
         column = pc.fill_null(column, "")
         if not self._spaced:
             return self.encode_batch(column.to_pylist())
-        self._forget()
+        self._bound()
         uneven = pc.match_substring_regex(column, UNEVEN)
         for token in self.special:
             uneven = pc.or_(uneven, pc.match_substring(column, token))

@@ -223,6 +223,9 @@ def tokenised(docs: DataFrame, path: str, end_id: int) -> DataFrame:
                 coded = pa.Array.from_buffers(pa.binary(), len(tokens), [None, pa.py_buffer(np.append(0, ends).astype(np.int32)), pa.py_buffer(flat)])
                 columns = [pa.array([part] * len(tokens), pa.int32()), rows.column("queue"), rows.column("doc_id"), pa.array(tokens), pa.array(before, pa.int64()), coded]
                 yield pa.RecordBatch.from_arrays(columns, names=["part", "queue", "doc_id", "tokens", "before", "ids"])
+        # Workers live on: what they remember would take memory from later stages.
+        coder.forget()
+        pa.default_memory_pool().release_unused()
 
     return in_small_batches(docs.select(queue.alias("queue"), F.col("doc_id").cast("long").alias("doc_id"), "text")).mapInArrow(run, schema)
 

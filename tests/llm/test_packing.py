@@ -67,3 +67,16 @@ def test_texts_cut_by_arrow_have_the_ids_of_the_library():
         ids, offsets = own.encode_column(pa.array(some, pa.string()))
         expected = [lib.encode(t or "", add_special_tokens=False).ids for t in some]
         assert [ids[a:b].tolist() for a, b in zip(offsets[:-1], offsets[1:])] == expected
+
+
+def test_tasks_leave_no_chunks_in_their_worker(spark):
+    """A worker that has packed documents serves other stages, with what it has learned no more in its memory."""
+    docs = spark.createDataFrame([(i, "s", f"word{i} more{i} of{i}") for i in range(200)], "doc_id long, source string, text string").coalesce(1)
+    path = public_tokenizers.path(FILE)
+    packing.tokenised(docs, path, END_ID).collect()
+
+    def held(batches):
+        for _ in batches:
+            yield pa.RecordBatch.from_pydict({"n": [len(bpe.load(path).index) - len(bpe.load(path).special)]})
+
+    assert max(r.n for r in spark.range(8, numPartitions=4).mapInArrow(held, "n long").collect()) <= 1
