@@ -85,3 +85,17 @@ def test_random_graphs_equal_a_simulation(spark):
 def test_invalid_graphs(spark):
     df = spark.createDataFrame([node(0, [1], flow="cycle"), node(1, [0], flow="cycle"), node(2, flow="cycle"), node(0, flow="fine"), node(1, [0], flow="fine"), node(0, flow="lost"), node(1, [7], flow="lost")], SCHEMA)
     assert {tuple(r) for r in D.invalid_graphs(df).collect()} == {("cycle", "cycle"), ("lost", "unknown dependency")}
+
+
+def test_only_graphs_with_an_edge_up_are_peeled(spark, monkeypatch):
+    """A long chain towards smaller indices costs no round of peeling; a cycle behind a chain is found."""
+    from queuelens.operators import dag
+
+    chain = [node(0, flow="chain"), *[node(i, [i - 1], flow="chain") for i in range(1, 12)]]
+    cycle = [node(0, flow="cycle"), node(1, [0, 3], flow="cycle"), node(2, [1], flow="cycle"), node(3, [2], flow="cycle"), node(4, [3], flow="cycle")]
+    sizes, real = [], dag.written
+    monkeypatch.setattr(dag, "written", lambda df, name: sizes.append(df.count()) or real(df, name))
+    assert {tuple(r) for r in D.cycles(spark.createDataFrame(chain + cycle, SCHEMA)).collect()} == {("cycle", "cycle")}
+    assert sizes[0] == 5
+    sizes.clear()
+    assert not D.cycles(spark.createDataFrame(chain, SCHEMA)).collect() and sizes == [0]
