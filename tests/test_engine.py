@@ -129,3 +129,30 @@ def test_what_can_be_read_of_results(spark):
     assert [r.c for r in rows] == [tag + '"ok":1,"err":null}', tag + f'"ok":null,"err":{err}}}', None, None, None, None, None, None, tag + '"ok":{"é":"\\n"},"err":null}']
     assert [r.e for r in rows] == [None, err, *[None] * 7]
     assert [json.loads(r.q) for r in rows] == texts
+
+
+def test_workflows_without_a_depth_stay_as_they_are(spark):
+    f = flows(spark, ("w", None, None, 0, "w", "fail"), ("x", "w", 0, None, "w", "fail"), ("y", None, None, None, "y", "fail"))
+    n = nodes(spark, ("w", 0, [], "RUNNING", False, {}), ("x", 0, [], "RUNNING", False, {}), ("y", 0, [], "RUNNING", False, {}))
+    f, n, _ = engine.complete_tree(f, n, ended(spark, ("t-w-0", True), ("t-y-0", True)), now())
+    assert {r.id: r.status for r in f.collect()} == {"w": "COMPLETED", "x": "RUNNING", "y": "RUNNING"}
+    assert {r.id: r.status for r in n.collect()} == {"w/0": "COMPLETED", "x/0": "RUNNING", "y/0": "RUNNING"}
+
+
+def test_only_nodes_that_start_are_joined_and_written_again(spark, monkeypatch):
+    sizes, write = {}, engine.written
+
+    def counted(df, name):
+        out = write(df, name)
+        sizes.setdefault(name, []).append(out.count())
+        return out
+
+    monkeypatch.setattr(engine, "written", counted)
+    idle = [("w", i, [0], "RUNNING", False, {}) for i in range(2, 10)]
+    f = flows(spark, ("w", None, None, 0, "w", "fail"))
+    n = nodes(spark, ("w", 0, [], "RUNNING", False, {}), ("w", 1, [0], "PENDING", False, {}), *idle)
+    f, n, tasks = engine.complete_tree(f, n, ended(spark, ("t-w-0", True)), now())
+    assert {r.id: r.status for r in n.collect()} == {"w/0": "COMPLETED", "w/1": "ENQUEUED"} | {f"w/{i}": "RUNNING" for i in range(2, 10)}
+    assert [r.id for r in tasks.collect()] == ["w/1"]
+    # All of them, all with the event, and the one that starts.
+    assert sizes["engine-nodes"] == [10, 10, 1] and sizes["engine-ready"] == [10]
